@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.byte_bpe import op10_byte_bpe
-from weirflow.llm import line_dedup, secrets, toxicity, warc
+from weirflow.llm import line_dedup, near_vectors, secrets, top_k, toxicity, warc
 from weirflow.llm.packing import op6_best_fit_packing
 from weirflow.llm.pii import op3_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over whole tables."""
-    return {f.__name__: f for f in (warc.op1_warc, toxicity.op2_toxicity, op3_pii, line_dedup.op4_line_dedup, op6_best_fit_packing, secrets.op7_secret_scans, op10_byte_bpe)}
+    return {f.__name__: f for f in (warc.op1_warc, toxicity.op2_toxicity, op3_pii, line_dedup.op4_line_dedup, op6_best_fit_packing, secrets.op7_secret_scans, top_k.op8_top_k, near_vectors.op9_near_vectors, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_warc": warc.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_secret_scans": secrets.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_secret_scans": secrets.ORACLE, "op8_top_k": top_k.ORACLE, "op9_near_vectors": near_vectors.ORACLE}
