@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +48,17 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where their path doesn't have it: send it along, once a context."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_weirflow_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="weirflow-")) / "weirflow.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "weirflow").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._weirflow_shipped = True
