@@ -38,6 +38,7 @@ PLACEHOLDER = r"(?i)example|sample|changeme|dummy|placeholder|your[_-]?|xxxx|\*\
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 OWNERS_OF_AN_EXAMPLE = 3
 LEAST_LIVE = 12
+MASK = "[SECRET]"
 
 
 def _literal(pattern: str) -> str:
@@ -111,7 +112,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     return rows.join(verdicts, "key", "left").select("key", "doc_id", "base", F.coalesce("judged", none).alias("judged"))
 
 
-def masked(docs: DataFrame, mask: str = "[SECRET]", **columns: str) -> DataFrame:
+def masked(docs: DataFrame, mask: str = MASK, **columns: str) -> DataFrame:
     """``docs`` with every live value in the text replaced by ``mask``; columns as they were."""
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     live = scan(docs, **columns).select("key", F.expr("array_sort(filter(judged, s -> s.kind = 3))").alias("_live")).where(F.size("_live") > 0).dropDuplicates(["key"])

@@ -332,23 +332,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, score, n_windows; and the columns named in ``keep`` (then id and text only if named)."""
-    kept = keep or []
+    """Per row of ``docs``: doc_id (or the columns named in ``keep``), ``_score`` and ``_windows``."""
+    given = keep or []
+    text = [F.col(text_col).cast("string").alias("_text")] if text_col not in given else []
+    kept = text + ([F.col(c) for c in given] or [F.col(id_col).cast("long").alias("doc_id")])
+    slim = docs.select(*kept)
+    at, out = (0, 1) if text else (given.index(text_col), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = [len(t.as_py() or "") for t in batch.column(0)]
+            texts = [str(t.as_py() or "") for t in batch.column(at)]
             start = total = 0
-            for i, n in enumerate(lengths):
-                total += n
-                if total >= GROUP_CHARS or i + 1 == len(lengths):
+            for i, t in enumerate(texts):
+                total += len(t)
+                if total >= GROUP_CHARS or i + 1 == len(texts):
                     part = batch.slice(start, i + 1 - start)
-                    scores, counts = score_texts(model, [t.as_py() or "" for t in part.column(0)])
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores), pa.array(counts)], names=[*batch.schema.names[1:], "_score", "_windows"])
+                    scores, counts = score_texts(model, texts[start : i + 1])
+                    yield pa.RecordBatch.from_arrays([*part.columns[out:], pa.array(scores), pa.array(counts)], names=[*batch.schema.names[out:], "_score", "_windows"])
                     start, total = i + 1, 0
 
-    slim = docs.select(F.col(text_col).cast("string").alias("_text"), *([F.col(c) for c in kept] or [F.col(id_col).cast("long").alias("doc_id")]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[1:])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[out:])
     return slim.mapInArrow(run, f"{fields}, _score double, _windows long")
 
 
