@@ -37,11 +37,11 @@ def _key(id_col: str, text_col: str) -> Column:
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (key, id, at, hash, lines): the windows of every text; ``lines`` are their lines' numbers."""
     counting = "filter(transform(split(text, '\\n'), (l, i) -> named_struct('i', i, 'l', trim(BOTH ' \\t\\r' FROM l))), x -> x.l <> '')"
-    made = f"""CASE WHEN size(c) >= {WINDOW} THEN transform(sequence(0, size(c) - {WINDOW}), i -> named_struct(
+    made = f"""transform(array({counting}), c -> CASE WHEN size(c) >= {WINDOW} THEN transform(sequence(0, size(c) - {WINDOW}), i -> named_struct(
       'hash', unhex(md5(concat_ws('\\n', c[i].l, c[i + 1].l, c[i + 2].l))),
-      'lines', array(c[i].i, c[i + 1].i, c[i + 2].i))) END"""
+      'lines', array(c[i].i, c[i + 1].i, c[i + 2].i))) END)[0]"""
     slim = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    per_text = slim.select("key", "id", F.expr(counting).alias("c")).select("key", "id", F.expr(made).alias("w"))
+    per_text = slim.select("key", "id", F.expr(made).alias("w"))
     return per_text.select("key", "id", F.posexplode("w").alias("at", "w")).select("key", "id", "at", "w.hash", "w.lines")
 
 
@@ -57,7 +57,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``docs`` with covered lines taken out of the text, and ``_n_lines``, ``_n_removed``."""
     joined = docs.withColumn("_key", _key(id_col, text_col)).join(covered(docs, id_col, text_col).withColumnRenamed("key", "_key"), "_key", "left")
     lines = f"split(`{text_col}`, '\\n')"
-    kept = F.expr(f"array_join(transform(array_except(sequence(0, size({lines}) - 1), removed), i -> {lines}[i]), '\\n')")
+    # The one-element array binds the lines to a name, so that a text is split once and not for every line.
+    kept = F.expr(f"transform(array({lines}), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), removed), i -> ls[i]), '\\n'))[0]")
     return joined.select(
         *(F.when(F.col("removed").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.expr(lines))).cast("long").alias("_n_lines"),
