@@ -1 +1 @@
-
+"""Pure DataFrame -> DataFrame operators."""

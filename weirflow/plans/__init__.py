@@ -1 +1 @@
-
+"""Rules, profiles and whole flows."""

@@ -1 +1 @@
-
+"""Streams into the store."""
