@@ -1,0 +1,28 @@
+import corpus_pipeline as pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_in_order_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "secret scans", "best-fit packing"]
+    alive = set(before)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).checkpoint() if spark.sparkContext.getCheckpointDir() else stage(spark, docs, SF).persist()
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert {r.doc_id for r in rows} <= alive and all(r.n_chars == len(r.text) for r in rows)
+        alive = {r.doc_id for r in rows}
+    assert len(alive) > len(before) / 2
+    packed = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == alive
+
+
+def test_stages_take_nulls_and_empty_tables(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c d e f", "en", "s", 11), (4, "A b c d e f", "en", "s", 11)], schema)
+    for docs, want in ((odd.limit(0), set()), (odd, {1, 2, 3})):
+        for _, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+        assert {r.doc_id for r in docs.collect()} == want

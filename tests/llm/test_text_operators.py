@@ -1,0 +1,256 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from weirflow.llm import byte_bpe, line_dedup, packing, pii, secrets, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, removed int"
+
+
+def docs(spark, *texts, source="s"):
+    rows = [(i, t, "en", source if isinstance(source, str) else source[i], 0, "clash", 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# -- PII -----------------------------------------------------------------------
+
+
+def brute_pii(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0])):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(digits(m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans_equal_the_plain_patterns():
+    rng = random.Random(3)
+    seeds = ["4041894974608795", "4041 8949-7460 8795", "+1 (988) 555-2485", "a.b@c.example.com", "1.2.3.4", "300.1.1.1", "@", ".", "+", "é", "x", " ", "-", "12", "0" * 12, "255.255.255.255.1"]
+    for _ in range(4000):
+        text = "".join(rng.choice(seeds) for _ in range(rng.randint(0, 9)))
+        assert sorted(pii.find(text)[0]) == brute_pii(text), text
+    assert sorted(pii.find("a" * 200_000 + "@b.c")[0]) == [(0, 0, 200_004)]
+
+
+def test_pii_added_kinds():
+    text = "see https://a.example.com/x?y=1. IBAN: DE89 3704 0044 0532 0130 00 and account 12345678, subaccount 99999999"
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in sorted(pii.find(text)[1])] == [("url", "https://a.example.com/x?y=1"), ("iban", "DE89 3704 0044 0532 0130 00"), ("account", "12345678")]
+
+
+def test_pii_frame(spark):
+    got = [tuple(r) for r in pii.detect(docs(spark, "ü a@b.cd", None, "")).select("doc_id", "n_email", "spans").orderBy("doc_id").collect()]
+    assert got == [(0, 1, "email:2:8"), (1, 0, ""), (2, 0, "")]
+    assert pii.detect(docs(spark).limit(0)).count() == 0
+
+
+# -- byte-level BPE ------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return byte_bpe.Codec(byte_bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def test_bpe_equals_tiktoken(codec):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.vocab.ranks, special_tokens={})
+    rng = random.Random(1)
+    letters = " \n\t\x1c\x85\xa0 　abcdeé中1٣½x.,!?'sŚ🎉"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, " " * 700 + "x", "ab" * 300 + "€" * 90, "<|endoftext|>", ""]
+    for text, ids in zip(texts, codec.encode_many(texts), strict=True):
+        assert ids == own.encode_ordinary(text), text
+        assert codec.decode(ids) == text.encode()
+        assert "".join(codec.chunks(text)) == text
+
+
+def test_bpe_frames(spark, codec):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    frame = docs(spark, "Hello  world, hello world", None, "", "Hello  world, hello world")
+    encoded = byte_bpe.encode(frame, path, public_tokenizers.PATTERN)
+    raw = {r.doc_id: bytes(r.raw) for r in byte_bpe.decode(encoded, path).collect()}
+    assert raw == {0: b"Hello  world, hello world", 1: b"", 2: b"", 3: b"Hello  world, hello world"}
+    ids = {r.doc_id: r.ids for r in encoded.collect()}
+    for r in byte_bpe.round_trip_digests(frame, path, public_tokenizers.PATTERN).collect():
+        assert r.n_tokens == len(ids[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids[r.doc_id])).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(raw[r.doc_id]).hexdigest()
+    assert byte_bpe.encode(frame.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+# -- packing -------------------------------------------------------------------
+
+
+def test_word_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    rng = random.Random(2)
+    letters = " \n\x1c\x85\xa0　.,!?;:%*&$#~abcdeéÉA中1٣½²x'sŚ🎉Σσς́̈İſK"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(8000)] + ["~", "a~ ~b", "x" * 3000]
+    for text, raw in zip(texts, packing.WordIds(path)(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_plan_holds_every_length_and_is_near_the_bound():
+    rng = random.Random(4)
+    for n in (0, 1, 7, 4000):
+        histogram = {}
+        for _ in range(n):
+            a = min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1)
+            histogram[a] = histogram.get(a, 0) + 1
+        bins = packing.pack_histogram(histogram)
+        held = {}
+        for contents, times in bins:
+            assert sum(a * c for a, c in contents) <= 2048 and times > 0
+            for a, c in contents:
+                held[a] = held.get(a, 0) + c * times
+        assert held == histogram
+        bound = -(-sum(a * c for a, c in histogram.items()) // 2048)
+        assert sum(t for _, t in bins) <= max(bound + 1, bound * 1.01)
+
+
+def test_packing_frame(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["word " * 5000, None, "", "a b c", "a b c", *(f"number {i} " * (i % 90) for i in range(300))]
+    rows = packing.pack(packing.pieces(docs(spark, *texts), path)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    long = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 0)
+    assert long == [(0, 0, 2048), (1, 2048, 2048), (2, 4096, 905)]
+    assert [(r.length, r.ids_crc32) for r in rows if r.doc_id == 1] == [(1, __import__("zlib").crc32(b"\0\0\0\0"))]
+    assert packing.pack(packing.pieces(docs(spark).limit(0), path)).count() == 0
+
+
+# -- WARC ----------------------------------------------------------------------
+
+
+def test_arc_versions_and_declared_lengths():
+    block = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhello\nworld"
+    for version in (1, 2):
+        data = warc.arc_head(version, "f.arc", "20010203040506") + warc.arc_record(version, "http://a/", "20010203040506", "text/html", block) + warc.arc_record(version, "http://b/", "2001", "text/plain", b"raw\n\n")
+        head, one, two = list(warc.read_arc(data))
+        assert (one.version, one.block, two.block) == (version, block, b"raw\n\n") and one.fields["URL"] == "http://a/"
+        records = [next(warc.read_warc(__import__("io").BytesIO(warc.to_warc(r) + b"\r\n\r\n"))) for r in (head, one, two)]
+        assert [f["WARC-Type"] for f, _ in records] == ["warcinfo", "response", "resource"]
+        assert records[1][0]["WARC-Date"] == "2001-02-03T04:05:06Z" and records[1][1] == block
+        assert records[1][0]["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"hello\nworld").hexdigest()
+        assert records[2][0]["WARC-Date"] == "2001-01-01T00:00:00Z"
+        with pytest.raises(warc.ArchiveError):
+            list(warc.read_arc(data[:-3]))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "é" * 100
+    pages = [(3, "http://a b/", big), (1, None, big), (2, "http://c", None), (4, "http://d", ""), (5, "http://e", "x\r\n\r\nWARC/1.1\r\n"), (None, "http://f", big), (6, "http://g", "short"), (7, "http://g", "short")]
+    frame = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, digest string")
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(warc.pages_to_records(frame), path)
+    got = {re.search(rb"X-Page-Id: (-?\d*)", bytes(r.http_head))[1].decode(): r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == len(pages)
+    for page_id, _, html in pages:
+        r, raw = got["" if page_id is None else str(page_id)], (html or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert (r.record_type, r.refers_label) == (("revisit", "1") if html == big and page_id != 1 else ("response", None))
+        assert r.record_type == "revisit" or bytes(r.payload) == raw
+    arcs = spark.createDataFrame([(bytearray(warc.arc_head(1, "x", "2001") + warc.arc_record(1, "http://a", "2001", "t", b"b")),)], "content binary")
+    assert warc.convert(arcs).count() == 2
+    warc.write_archives(warc.pages_to_records(frame.limit(0)), path + "0")
+    assert warc.read_archives(spark, path + "0").count() == 0
+
+
+# -- line dedup ----------------------------------------------------------------
+
+
+def brute_lines(texts):
+    counting = [[(i, line.strip(" \t\r")) for i, line in enumerate(t.split("\n")) if line.strip(" \t\r")] for t in texts]
+    first, removed = {}, [set() for _ in texts]
+    for d, lines in enumerate(counting):
+        for at in range(len(lines) - 2):
+            key = tuple(x for _, x in lines[at : at + 3])
+            where = first.setdefault(key, (d, at))
+            if where[0] != d or at - where[1] >= 3:
+                removed[d].update(i for i, _ in lines[at : at + 3])
+    return ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in r) for t, r in zip(texts, removed, strict=True)]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["a", "b", " b ", "c", "", "d", "e"]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["x\n" * 9, "one line", ""]
+    rows = line_dedup.dedup(docs(spark, *texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == brute_lines(texts)
+    assert {(r._key, r.removed) for r in rows} == {("clash", 7)}
+
+
+def test_line_dedup_edges(spark):
+    got = line_dedup.dedup(docs(spark, None, "a\nb\nc", "a\nb\nc\nd")).select("doc_id", "text", "_n_lines", "_n_removed").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(0, None, 0, 0), (1, "a\nb\nc", 3, 0), (2, "d", 4, 3)]
+    twice = docs(spark, "a\nb\nc").union(docs(spark, "a\nb\nc"))
+    assert [r.text for r in line_dedup.dedup(twice).collect()] == ["a\nb\nc"] * 2
+    assert line_dedup.dedup(docs(spark).limit(0)).count() == 0
+
+
+# -- secrets -------------------------------------------------------------------
+
+
+def brute_secrets(text):
+    out = []
+    for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secret_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", "ſecret", "=", ":", " ", '"', "'", "abc12345", "x", "AKIA", "ABCDEF123456", "0123456789abcdef", "é", "🎉", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)]
+    got = {r.doc_id: sorted((s.start, s.kind, s.end) for s in r.base) for r in secrets.scan(docs(spark, *texts)).collect()}
+    assert got == {i: brute_secrets(t) for i, t in enumerate(texts)}
+
+
+def test_ownership_separates_live_from_copied(spark):
+    shared, own = "password=abc123abc123xyz", "token = 'zz99zz99zz99zz99'"
+    frame = docs(spark, shared, shared, shared, own, "password=changeme1234", None, "", source=["a", "b", "c", "a", "a", None, None])
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.judged] for r in secrets.scan(frame).collect()}
+    assert got == {0: [(4, 9, 24)], 1: [(4, 9, 24)], 2: [(4, 9, 24)], 3: [(3, 9, 25)], 4: [(4, 9, 21)], 5: [], 6: []}
+    text = {r.doc_id: r.text for r in secrets.masked(frame).collect()}
+    assert text[3] == "token = '[SECRET]'" and text[0] == shared and text[5] is None
+    assert {(r._key, r.removed) for r in secrets.masked(frame).collect()} == {("clash", 7)}
+    assert secrets.masked(frame).columns == frame.columns and secrets.scan(frame.limit(0)).count() == 0
+
+
+def test_masking_overlaps_once(spark):
+    value = "0123456789abcdef" * 2
+    (row,) = secrets.masked(docs(spark, f"é secret={value} end")).select("text").collect()
+    assert row.text == "é secret=[SECRET] end"
+
+
+def test_pii_digest_of_nothing(spark):
+    frame = docs(spark, "").select(F.sha2(F.lit("").cast("binary"), 256).alias("d"))
+    assert frame.first().d == hashlib.sha256(b"").hexdigest() == pii.digest("")

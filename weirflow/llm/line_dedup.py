@@ -54,14 +54,17 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with covered lines taken out of the text, and ``_n_lines``, ``_n_removed``."""
-    joined = docs.withColumn("_key", _key(id_col, text_col)).join(covered(docs, id_col, text_col).withColumnRenamed("key", "_key"), "_key", "left")
-    lines = f"split(`{text_col}`, '\\n')"
+    """``docs`` with covered lines taken out of the text, and ``_n_lines``, ``_n_removed`` (in place of columns of these names)."""
+    # All of a document's columns travel in a struct, so none of their names can clash with ours.
+    keyed = docs.select(_key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = keyed.join(covered(docs, id_col, text_col), "key", "left")
+    lines = f"split(doc.`{text_col}`, '\\n')"
     # The one-element array binds the lines to a name, so that a text is split once and not for every line.
     kept = F.expr(f"transform(array({lines}), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), removed), i -> ls[i]), '\\n'))[0]")
+    own = {c: F.col(f"doc.`{c}`") for c in docs.columns if c not in ("_n_lines", "_n_removed")}
     return joined.select(
-        *(F.when(F.col("removed").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.expr(lines))).cast("long").alias("_n_lines"),
+        *(F.when(F.col("removed").isNull(), x).otherwise(kept).alias(c) if c == text_col else x.alias(c) for c, x in own.items()),
+        F.when(own[text_col].isNull(), 0).otherwise(F.size(F.expr(lines))).cast("long").alias("_n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("_n_removed"),
     )
 

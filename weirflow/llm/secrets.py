@@ -115,14 +115,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
 def masked(docs: DataFrame, mask: str = MASK, **columns: str) -> DataFrame:
     """``docs`` with every live value in the text replaced by ``mask``; columns as they were."""
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    live = scan(docs, **columns).select("key", F.expr("array_sort(filter(judged, s -> s.kind = 3))").alias("_live")).where(F.size("_live") > 0).dropDuplicates(["key"])
+    live = scan(docs, **columns).select("key", F.expr("array_sort(filter(judged, s -> s.kind = 3))").alias("live")).where(F.size("live") > 0).dropDuplicates(["key"])
     # Values may overlap (an assignment whose value is a long hexadecimal run): a later start inside a masked part masks only what goes beyond.
-    text = f"""aggregate(_live, named_struct('at', 0, 'out', ''),
+    text = f"""aggregate(live, named_struct('at', 0, 'out', ''),
       (a, s) -> CASE WHEN s.end <= a.at THEN a ELSE named_struct('at', s.end, 'out',
-        concat(a.out, CASE WHEN s.start >= a.at THEN concat(substring(`{text_col}`, a.at + 1, s.start - a.at), '{mask}') ELSE '' END)) END,
-      a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"""
-    joined = docs.withColumn("_key", key(id_col, text_col)).join(live.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.select(*(F.when(F.col("_live").isNotNull(), F.expr(text)).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+        concat(a.out, CASE WHEN s.start >= a.at THEN concat(substring(doc.`{text_col}`, a.at + 1, s.start - a.at), '{mask}') ELSE '' END)) END,
+      a -> concat(a.out, substring(doc.`{text_col}`, a.at + 1)))"""
+    # All of a document's columns travel in a struct, so none of their names can clash with ours.
+    keyed = docs.select(key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = keyed.join(live, "key", "left")
+    own = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    return joined.select(*((F.when(F.col("live").isNotNull(), F.expr(text)).otherwise(x) if c == text_col else x).alias(c) for c, x in own.items()))
 
 
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:

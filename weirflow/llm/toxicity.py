@@ -235,6 +235,10 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 7) -> Model:
         picks = {int(np.argmax(telling))} if y else {int(np.argmax(telling)), int(rng.integers(len(ids)))}
         windows += [ids[i] for i in picks]
         labels += [y] * len(picks)
+    # Without any word there is nothing toxic: padding alone is an example, too.
+    empty = 1 + len(windows) // 50
+    windows += [np.zeros(WINDOW, dtype=np.int32)] * empty
+    labels += [0] * empty
     w_all, y_all = np.array(windows), np.array(labels, dtype=np.float32)
     weights = np.where(y_all > 0, 0.5 / max(y_all.mean(), 1e-6), 0.5 / max(1 - y_all.mean(), 1e-6)).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in par.items()}
