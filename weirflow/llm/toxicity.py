@@ -185,7 +185,7 @@ def _minhashes(words: list[str], k: int = 4) -> list[int]:
     return out
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 7) -> Model:
+def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Model:
     """Train on (text, label) pairs."""
     rng = np.random.default_rng(seed)
     seen: set[int] = set()
@@ -204,14 +204,16 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 7) -> Model:
     df: tuple[Counter, Counter] = (Counter(), Counter())
     for words, y in docs:
         df[y].update({w.strip(EDGE) for w in words})
-    z = {}
+    z, odds = {}, {}
     for w in df[1].keys() | df[0].keys():
         p, n = df[1][w] + 0.5, df[0][w] + 0.5
         if p + n >= 4:
-            z[w] = (np.log(p / (n_pos + 1)) - np.log(n / (n_neg + 1))) / np.sqrt(1 / p + 1 / n)
+            ratio, error = np.log(p / (n_pos + 1)) - np.log(n / (n_neg + 1)), np.sqrt(1 / p + 1 / n)
+            # What remains of the log odds ratio at 1.5 standard errors: common words that differ a little stay small.
+            z[w], odds[w] = ratio / error, np.sign(ratio) * max(0.0, abs(ratio) - 1.5 * error) / 3
     z.pop("", None)
     strong = sorted((w for w in z if abs(z[w]) >= SIGNIFICANT), key=lambda w: (-abs(z[w]), w))[:VOCABULARY]
-    vocab = {w: float(np.clip(z[w] / 4, -2, 2)) for w in strong}
+    vocab = {w: float(np.clip(odds[w], -2, 2)) for w in strong}
     trigram = rng.normal(0, 0.3, (TRIGRAMS, 1 + CODE)).astype(np.float32)
     types = list(z)
     buckets, starts = _trigram_buckets(types)
@@ -229,26 +231,39 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 7) -> Model:
         par |= {f"w{d}": rng.normal(0, 0.3, (size, 3 * HIDDEN)), f"u{d}": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), f"b{d}": np.zeros(3 * HIDDEN)}
     par = {k: v.astype(np.float32) for k, v in par.items()}
     # Of a positive text the window with the most telling words stands for it, of a negative one that and a random one.
-    windows, labels = [], []
+    picks: list[set[int]] = []
     for ids, (_, y) in zip(cut, docs, strict=True):
-        telling = x[ids, 0].max(axis=1)
-        picks = {int(np.argmax(telling))} if y else {int(np.argmax(telling)), int(rng.integers(len(ids)))}
-        windows += [ids[i] for i in picks]
-        labels += [y] * len(picks)
+        most = int(np.argmax(x[ids, 0].max(axis=1)))
+        picks.append({most} if y else {most, int(rng.integers(len(ids)))})
+    _descend(par, x, cut, docs, picks, max(1, epochs // 2), rng, model.losses)
+    # Then the windows that the network itself finds worst: in place of the first guess, and as hard negatives.
+    for own, (worst, (_, y)) in zip(picks, zip(_worst_windows(par, x, cut), docs, strict=True), strict=True):
+        if y:
+            own.clear()
+        own.add(worst)
+    _descend(par, x, cut, docs, picks, max(1, epochs // 2), rng, model.losses)
+    model.par = par
+    peaks = _peaks(par, x, cut)
+    _calibrate(model, peaks, np.array([y for _, y in docs], dtype=np.float64))
+    return model
+
+
+def _descend(par: dict[str, np.ndarray], x: np.ndarray, cut: list[np.ndarray], docs: list, picks: list[set[int]], epochs: int, rng: np.random.Generator, log: list[float]) -> None:
+    """Train ``par`` in place on the picked windows by Adam, both labels weighing the same."""
+    windows = [ids[i] for ids, own in zip(cut, picks, strict=True) for i in sorted(own)]
+    labels = [y for (_, y), own in zip(docs, picks, strict=True) for _ in own]
     # Without any word there is nothing toxic: padding alone is an example, too.
     empty = 1 + len(windows) // 50
-    windows += [np.zeros(WINDOW, dtype=np.int32)] * empty
-    labels += [0] * empty
-    w_all, y_all = np.array(windows), np.array(labels, dtype=np.float32)
+    w_all = np.array(windows + [np.zeros(WINDOW, dtype=np.int32)] * empty)
+    y_all = np.array(labels + [0] * empty, dtype=np.float32)
     weights = np.where(y_all > 0, 0.5 / max(y_all.mean(), 1e-6), 0.5 / max(1 - y_all.mean(), 1e-6)).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in par.items()}
     s = {k: np.zeros_like(v) for k, v in par.items()}
-    step, size_of_batch = 0, min(128, max(16, len(y_all) // 8))
-    epochs = max(epochs, min(60, -(-400 * size_of_batch // len(y_all))))
-    for _ in range(epochs):
+    step, size = 0, min(128, max(16, len(y_all) // 8))
+    for _ in range(max(epochs, min(30, -(-200 * size // len(y_all))))):
         order, losses = rng.permutation(len(y_all)), []
-        for at in range(0, len(order), size_of_batch):
-            pick = order[at : at + size_of_batch]
+        for at in range(0, len(order), size):
+            pick = order[at : at + size]
             names, local = np.unique(w_all[pick], return_inverse=True)
             if names[0] != 0:
                 names, local = np.concatenate([[0], names]), local + 1
@@ -260,11 +275,16 @@ def fit(rows: list[tuple[str, int]], epochs: int = 5, seed: int = 7) -> Model:
                 m[k] += 0.1 * (g - m[k])
                 s[k] += 0.001 * (g * g - s[k])
                 par[k] = (par[k] - rate * m[k] / (np.sqrt(s[k]) + 1e-8)).astype(np.float32)
-        model.losses.append(float(np.mean(losses)))
-    model.par = par
-    peaks = _peaks(par, x, cut)
-    _calibrate(model, peaks, np.array([y for _, y in docs], dtype=np.float64))
-    return model
+        log.append(float(np.mean(losses)))
+
+
+def _worst_windows(par: dict[str, np.ndarray], x: np.ndarray, cut: list[np.ndarray]) -> list[int]:
+    """Of each text the number of the window with the highest logit."""
+    ids = np.concatenate(cut)
+    gates = [x @ par[f"w{d}"] + par[f"b{d}"] for d in (0, 1)]
+    logits = np.concatenate([_logits(par, gates, ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)])
+    ends = np.cumsum([len(c) for c in cut])
+    return [int(np.argmax(logits[e - len(c) : e])) for e, c in zip(ends, cut, strict=True)]
 
 
 def _calibrate(model: Model, peaks: np.ndarray, y: np.ndarray) -> None:
