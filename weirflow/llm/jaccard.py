@@ -9,21 +9,23 @@ the triangle inequality says which sets of a region can be near which.
   shingles first), and its boundary window - the regions into which a set within
   the radius can fall - is its first ``n - ceil(t n) + 1`` shingles.  Two sets
   within the radius always meet in a region.
-* Within a region, sets serve as pivots.  Every set's distance to the pivots is
-  computed exactly; sets within the radius are linked.  The rest goes to the
-  nearest pivot's region, is replicated to regions whose pivot is no further than
-  the window ``d(x, nearest) + 2 r`` allows, and sets far from every pivot form a
-  region of their own.  Regions join recursively until all of a region's sets are
-  in one component.  Pivots double each round, so that a region of k sets ends
-  after log k rounds.
-
-Which shingles are frequent is counted over all texts; it reaches the tasks as a
-bit map of fixed size and only orders shingles, so that neither its size nor its
-errors change a result.
-
-Skew: equal sets collapse by a partial aggregate before anything is compared; a
-region's pivots are partial aggregates (minima per salt), never collected; joins
-are equi-joins that adaptive execution may split.  Pairs are (set, pivot), at
+* Within a region, sets serve as pivots: first its smallest and its largest set,
+  then one of each salt.  Every set meets every pivot of its region unless both are
+  in one component already; their sizes and a bound from the shared windows prove
+  most pairs beyond the radius, the others are computed exactly.  Sets within the
+  radius of a pivot join its component, pivots leave, and what is left joins
+  recursively, with more pivots each time, until a region's sets are all of one
+  component.  (Voronoi cells around set pivots were tried at the deeper levels and
+  given up; what that version cost, and what is not known about it, is in the README.)
+
+Which shingles are frequent is counted over all texts (lossily); it reaches the
+tasks as a bit map of fixed size and only orders shingles, so that neither its
+size nor its errors change a result.
+
+Skew: equal sets collapse within each task before anything is shuffled; a set has
+rows in as many regions as its window is long, so that one region never has more
+than a small share of the rows; a region's pivots are partial aggregates (minima
+per salt), never collected; joins are equi-joins that adaptive execution may split.  Pairs are (set, pivot), at
 most linear in a region for the first rounds.
 
 Sets are named by a 64-bit hash of their sorted 64-bit shingle hashes: among N
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.components import components
@@ -51,8 +53,9 @@ from weirflow.llm.workspace import materialise
 WORDS = 4  #: words in a shingle of the registered query
 PERCENT = 85  #: of the union that the intersection must have
 BITS = 25  #: a bit map has 2 ** BITS bits
-FREQUENT = 16  #: a shingle is frequent if so many sets have it among their counted ones
-FAR = 0.5  #: a set is far from a pivot beyond this distance
+FREQUENT, LOSSY = 8, 3  #: a shingle is frequent if so many sets have it among their counted ones, of which at least LOSSY in a block
+SALTS = 64  #: pivots of a region in the second round, at most; its powers in later ones
+SEEN = 1_000_000  #: names that a task remembers to skip copies
 KEPT = 500_000  #: words whose hash a worker keeps
 
 
@@ -129,135 +132,201 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def sets(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, n, s, first): size, name and boundary window of each text's set."""
+def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One pass over the texts with two kinds of rows: (doc_id, n, s), and (h, c) of lossy counting.
+
+    Each batch of texts reports which shingles occur ``LOSSY`` times among the windows of its distinct sets, with the
+    count; a shingle that a given share of texts has is found however many there are, and rarer ones cost no shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s, first = [], [], []
+            n, s, first = [], [], {}
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 n.append(len(found))
                 s.append(name_of(found))
-                first.append(_signed(ordered(found, frequent)[: window(len(found), percent) if len(found) else 0]))
-            ends = np.cumsum([0, *map(len, first)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), lists], names=["doc_id", "n", "s", "first"])
+                if len(found):
+                    first[s[-1]] = _signed(found[: window(len(found), percent)])
+            h, count = np.unique(np.concatenate([np.empty(0, np.int64), *first.values()]), return_counts=True)
+            h, count = h[count >= LOSSY], count[count >= LOSSY].astype(np.int64)
+            none, nothing = pa.nulls(len(n), pa.int64()), pa.nulls(len(h), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), none, none], names=["doc_id", "n", "s", "h", "c"])
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(h), pa.array(count)], names=["doc_id", "n", "s", "h", "c"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, s long, h long, c long")
+
+
+def region_rows(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
+    """(s, n, first) of each set that a task sees, once a task: copies within a task collapse before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out: list[tuple[int, int, np.ndarray]] = []
+            for text in batch.column(0):
+                found = shingles(text.as_py(), words)
+                if len(found) and (name := name_of(found)) not in seen:
+                    seen.add(name)
+                    out.append((name, len(found), _signed(ordered(found, frequent)[: window(len(found), percent)])))
+            if len(seen) > SEEN:
+                seen.clear()
+            if out:
+                yield _listed(out, "first")
+
+    return docs.select("text").mapInArrow(run, "s long, n long, first array<long>")
+
+
+def named_in(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The rows whose name ``s`` is in the bit map (and some others): fewer to shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column(batch.schema.get_field_index("s")).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(_in_map(wanted, at)))
 
-    return docs.mapInArrow(run, "doc_id long, n long, s long, first array<long>")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
     """(s, n, members) of the texts whose set's name is in the bit map ``wanted`` (and of some others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            out: list[tuple[int, np.ndarray]] = []
+            out: list[tuple[int, int, np.ndarray]] = []
             size = 0
-            for text in batch.column(1):
+            for text in batch.column(0):
                 found = shingles(text.as_py(), words)
                 name = name_of(found)
-                if len(found) and _in_map(wanted, _bits(np.array([name]).view(np.uint64)))[0]:
-                    out.append((name, _signed(found)))
+                if len(found) and name not in seen and _in_map(wanted, _bits(np.array([name]).view(np.uint64)))[0]:
+                    seen.add(name)
+                    out.append((name, len(found), _signed(found)))
                     size += len(found)
                 if size > 1_000_000:
-                    yield _member_batch(out)
+                    yield _listed(out, "members")
                     out, size = [], 0
+            if len(seen) > SEEN:
+                seen.clear()
             if out:
-                yield _member_batch(out)
+                yield _listed(out, "members")
 
-    return docs.mapInArrow(run, "s long, n long, members array<long>")
+    return docs.select("text").mapInArrow(run, "s long, n long, members array<long>")
 
 
-def _member_batch(out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *(len(m) for _, m in out)])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([m for _, m in out])))
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array(np.diff(ends), pa.int64()), lists], names=["s", "n", "members"])
+def _listed(out: list[tuple[int, int, np.ndarray]], name: str) -> pa.RecordBatch:
+    """A batch (s, n, list) from rows."""
+    ends = np.cumsum([0, *(len(x) for _, _, x in out)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, _, x in out])))
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), lists], names=["s", "n", name])
 
 
 # -- the join ----------------------------------------------------------------
 
 
 def _pivots(regions: DataFrame, salts: int, turn: int) -> DataFrame:
-    """(region, p, pn): of each salt of a region one set; with two salts the smallest and the largest set."""
-    if salts == 2:
-        ends = regions.groupBy("region").agg(F.min(F.struct("n", "s")).alias("lo"), F.max(F.struct("n", "s")).alias("hi")).where("lo <> hi")
-        return ends.select("region", F.explode(F.array("lo", "hi")).alias("x")).select("region", F.col("x.s").alias("p"), F.col("x.n").alias("pn"))
+    """(region, p, pn, pc): of each salt of a region one set, with its size and component."""
     salt = F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(salts))
-    return regions.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("s", "n")).alias("x")).select("region", F.col("x.s").alias("p"), F.col("x.n").alias("pn"))
+    return regions.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("s", "n", "c")).alias("x")).select("region", F.col("x.s").alias("p"), F.col("x.n").alias("pn"), F.col("x.c").alias("pc"))
+
+
+def _sided(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b, ...) with the sizes and lists of both sides: an, al, bn, bl."""
+    left = pairs.join(rows.select(F.col("s").alias("a"), F.col("n").alias("an"), F.col(column).alias("al")), "a")
+    return left.join(rows.select(F.col("s").alias("b"), F.col("n").alias("bn"), F.col(column).alias("bl")), "b")
+
+
+def _names(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
 
 
-def _distances(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(a, b, inter, total): exact intersections of pairs of names, a < b."""
-    spark = docs.sparkSession
-    named = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    found = members(docs, words, bit_map_of(spark, named))
-    exact = found.join(named.withColumnRenamed("h", "s"), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("members").alias("m"))
-    exact = materialise(exact, "members")
-    left = pairs.join(exact.select(F.col("s").alias("a"), F.col("n").alias("an"), F.col("m").alias("am")), "a")
-    both = left.join(exact.select(F.col("s").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("am", "bm")).cast("long").alias("inter"), (F.col("an") + F.col("bn")).alias("total"))
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose windows share enough.
 
+    Of the two windows one ends first in the global order; what the sets share and that window lacks is in the rest of
+    its set.  So the intersection is at most what the windows share and the larger rest.
+    """
+    some = named_in(nodes, bit_map_of(pairs.sparkSession, _names(pairs).select(F.col("s").alias("h"))))
+    shared = F.size(F.array_intersect("al", "bl")).cast("long")
+    most = shared + F.greatest(F.col("an") - F.size("al"), F.col("bn") - F.size("bl"))
+    return _sided(pairs, some, "first").where(most * (100 + percent) >= (F.col("an") + F.col("bn")) * percent).select("a", "b")
 
-def links(docs: DataFrame, per_text: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
+
+class _Members:
+    """Whole sets of the names that pairs need, fetched from the texts once each."""
+
+    def __init__(self, docs: DataFrame, words: int) -> None:
+        self.docs, self.words = docs, words
+        self.table: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        need = _names(pairs)
+        if self.table is not None:
+            need = need.join(self.table, "s", "left_anti")
+        need = materialise(need, "names")
+        if self.table is None or not need.isEmpty():
+            found = members(self.docs, self.words, bit_map_of(self.docs.sparkSession, need.select(F.col("s").alias("h"))))
+            one = found.join(need, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+            fetched = materialise(one, "members")
+            self.table = fetched if self.table is None else self.table.union(fetched)
+        return self.table
+
+
+def links(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
     """(node, component) of the sets that have a set within the radius."""
-    radius = 1 - percent / 100
-    first = materialise(sets(docs, words, percent, frequent).where("n > 0").select("s", "n", "first"), "windows")
-    each = first.select("s", "n", F.explode("first").alias("region"))
-    pivots = _pivots(each, 2, 0)
-    regions = materialise(each.join(pivots.select("region").distinct(), "region", "left_semi").select("region", "s", "n").distinct(), "regions")
-    edges: DataFrame | None = None
+    once = region_rows(docs, words, percent, frequent).groupBy("s").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    nodes = materialise(once, "nodes")
+    each = nodes.select(F.explode("first").alias("region"), "s", "n")
+    # One shuffle of all rows: most regions have one set and end here; the others know their smallest and largest set.
+    whole = Window.partitionBy("region")
+    ends = each.withColumn("lo", F.min(F.struct("n", "s")).over(whole)).withColumn("hi", F.max(F.struct("n", "s")).over(whole)).where("lo <> hi")
+    shared = materialise(ends.select("region", "s", "n", "lo", "hi"), "regions")
+    regions = shared.select("region", "s", "n")
+    met = shared.select("region", "s", "n", F.explode(F.array("lo", "hi")).alias("x")).select("region", "s", "n", F.col("x.s").alias("p"), F.col("x.n").alias("pn"))
+    pivots = met.select("region", "p", "pn").distinct()
+    whole_sets = _Members(docs, words)
     groups: DataFrame | None = None
-    salts, turn = 2, 0
+    turn = 0
     while True:
-        pivots = _pivots(regions, salts, turn)
-        met = regions.join(pivots, "region").where("s <> p")
         near = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-        pairs = materialise(met.where(near).select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct(), "pairs")
-        known = materialise(_distances(docs, pairs, words), "distances")
+        pairs = met.where(near & (F.col("s") != F.col("p"))).select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct()
+        possible = materialise(_possible(materialise(pairs, "pairs"), nodes, percent), "possible")
+        exact = _sided(possible, whole_sets.of(possible), "members")
+        both = F.size(F.array_intersect("al", "bl")).cast("long")
+        known = materialise(exact.select("a", "b", both.alias("inter"), (F.col("an") + F.col("bn")).alias("total")), "distances")
         fresh = known.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b")
-        edges = fresh if edges is None else edges.union(fresh)
-        groups = materialise(components(edges), "groups")
-        regions = _next_regions(regions, met, pivots, known, groups, radius)
+        old = groups.select(F.col("node").alias("a"), F.col("component").alias("b")) if groups is not None else None
+        groups = materialise(components(fresh if old is None else old.union(fresh)), "groups")
+        regions = _rest(regions, pivots, groups)
         if regions.isEmpty():
             return groups
-        salts, turn = max(16, 2 * salts), turn + 1
+        turn += 1
+        pivots = materialise(_pivots(regions, SALTS ** min(turn, 4), turn), "pivots")
+        # Sets of one component need not meet: a hot group costs its outsiders, not its pairs.
+        met = regions.join(pivots, "region").where("c <> pc")
+
 
+def _rest(regions: DataFrame, pivots: DataFrame, groups: DataFrame) -> DataFrame:
+    """(region, s, n, c): what is left of each region without its pivots, with components; one-component regions are done.
 
-def _next_regions(regions: DataFrame, met: DataFrame, pivots: DataFrame, known: DataFrame, groups: DataFrame, radius: float) -> DataFrame:
-    """The regions of the next level: what is in no pivot's component yet, and what the windows replicate."""
-    ids = pivots.select("region", F.col("p").alias("s"))
+    Every set of a region has met every pivot of it, or is in its component, so a pair within the radius that has not been found is among what is left.
+    """
     labels = groups.withColumnRenamed("node", "s")
-    rest = regions.join(ids, ["region", "s"], "left_anti").join(labels, "s", "left").select("region", "s", "n", F.coalesce("component", "s").alias("c"))
-    # Regions whose remaining sets are all of one component are done.
-    mixed = rest.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
-    rest = materialise(rest.join(mixed, "region", "left_semi"), "rest")
-    pair = (F.least("s", "p") == F.col("a")) & (F.greatest("s", "p") == F.col("b"))
-    # A pair that its sizes keep apart has no distance; the sizes bound it from below, which is all that windows need.
-    bound = 1 - F.least("n", "pn") / F.greatest("n", "pn")
-    placed = rest.join(pivots, "region").join(known, pair, "left").select("region", "s", "n", "p", F.coalesce(1 - F.col("inter") / (F.col("total") - F.col("inter")), bound).alias("d"), F.col("inter").isNotNull().alias("exact"))
-    nearest = placed.groupBy("region", "s").agg(F.min(F.when(F.col("exact"), F.struct("d", "p"))).alias("near"))
-    both = placed.join(nearest, ["region", "s"])
-    least, slack = F.coalesce(F.col("near.d"), F.lit(1.0)), 1e-9
-    own = (F.col("p") == F.col("near.p")) & (least <= FAR)
-    # A set whose nearest pivot is p lies in p's region; one within the radius of it is no further from p than both windows allow.
-    guest = F.col("d") <= F.least(F.lit(FAR + radius), least + 2 * radius) + slack
-    cells = both.where(own | guest).select(F.xxhash64("region", "p").alias("region"), "s", "n")
-    void = both.where(least > FAR - radius - slack).select(F.xxhash64("region", F.lit("far")).alias("region"), "s", "n").distinct()
-    divided = cells.union(void).distinct().join(labels, "s", "left").select("region", "s", "n", F.coalesce("component", "s").alias("c"))
-    mixed = divided.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
-    return materialise(divided.join(mixed, "region", "left_semi").select("region", "s", "n"), "regions")
+    left = regions.select("region", "s", "n").join(pivots.select("region", F.col("p").alias("s")), ["region", "s"], "left_anti")
+    left = left.join(labels, "s", "left").select("region", "s", "n", F.coalesce("component", "s").alias("c"))
+    mixed = left.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
+    return materialise(left.join(mixed, "region", "left_semi"), "regions")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     slim = _slim(docs, id_col, text_col)
-    per_text = materialise(sets(slim, words, percent), "sets")
-    distinct = per_text.where("n > 0").select("s", "first").groupBy("s").agg(F.first("first").alias("first"))
-    counts = distinct.select(F.explode("first").alias("h")).groupBy("h").count()
-    frequent = bit_map_of(docs.sparkSession, counts.where(F.col("count") >= FREQUENT).select("h"))
-    groups = links(slim, per_text, words, percent, frequent)
-    labelled = per_text.drop("first").join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+    seen = materialise(sets(slim, words, percent), "sets")
+    per_text = seen.where("n IS NOT NULL").select("doc_id", "n", "s")
+    often = seen.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    frequent = bit_map_of(docs.sparkSession, often.select("h"))
+    groups = links(slim, words, percent, frequent)
+    labelled = per_text.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
     least = labelled.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     joined = labelled.join(least, (labelled.c == least.c) & (labelled.n > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
