@@ -41,7 +41,10 @@ CAPACITY = 2048
 GROUPS = 192  #: groups of large lengths
 SMALL = 3  #: a length is small if so many of it fit into a sequence
 ROWS_A_SALT = 50_000  #: rows of one length that a task ranks, about
-KEPT = 400_000  #: words whose ids a worker keeps
+MARK, LINE = " ~ ", 4000  #: what parts words that are encoded together, and how many are
+TAIL = b".,!?;:%*&$#"  #: punctuation that is split off a word before its ids are looked up
+KEPT_STEMS = 900_000  #: as KEPT, without punctuation
+KEPT = 500_000  #: words whose ids a worker keeps
 
 
 # -- tokens ------------------------------------------------------------------
@@ -57,21 +60,57 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [t.encode("utf-8").split() for t in texts]  # at ASCII white space only
+        cut = [t.encode("utf-8").lower().split() for t in texts]  # of ASCII alone, at ASCII white space
         if len(self.kept) > KEPT:
             self.kept.clear()
+        if len(self.stems) > KEPT_STEMS:
+            self.stems.clear()
         seen: set[bytes] = set()
         for words in cut:
             seen.update(words)
         new = [w for w in seen if w not in self.kept]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.kept[word] = np.array(found.ids, dtype="<u4").tobytes()
+        parts = [self._parts(w) for w in new]
+        fresh = {p for pair in parts for p in pair if p not in self.stems}
+        self.stems.update(zip(fresh, self._encode([p.decode() for p in fresh]), strict=True))
+        for word, (stem, tail) in zip(new, parts, strict=True):
+            self.kept[word] = self.stems[stem] + self.stems[tail]
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """A word and the ASCII punctuation behind it, where the tokenizer's pattern is bound to cut: behind a letter or digit."""
+        stem = word.rstrip(TAIL)
+        if len(stem) == len(word) or not stem:
+            return word, b""
+        last = stem[-1:] if stem[-1] < 0x80 else stem[-2:]
+        sure = last.isalnum() if len(last) == 1 else last != b"\xc4\xb0" and last[0] in (0xC3, 0xC4, 0xC5) and last.decode().isalpha()  # the dotted capital I becomes two characters
+        return (stem, word[len(stem) :]) if sure else (word, b"")
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: many at once with a mark between them, each alone where a word holds the mark."""
+        encode = self.tokenizer.encode_batch_fast
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        plain = [w for w in words if MARK.strip() not in w] if len(mark) == 1 else []
+        lines = [MARK.join(["", *plain[at : at + LINE], ""]) for at in range(0, len(plain), LINE)]
+        flat = np.array([i for e in encode(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        at = np.flatnonzero(flat == mark[0])
+        if len(at) != len(plain) + len(lines):
+            raise ValueError("the tokenizer makes the mark's id of something else")
+        first = np.ones(len(at), dtype=bool)  # of the marks, those behind which a word begins
+        if len(at):
+            first[np.append(np.arange(LINE, len(at), LINE + 1), len(at) - 1)] = False
+        starts = np.flatnonzero(first)
+        raw, ends = flat.tobytes(), 4 * at
+        found = dict(zip(plain, (raw[a:b] for a, b in zip((ends[starts] + 4).tolist(), ends[starts + 1].tolist(), strict=True)), strict=True))
+        odd = [w for w in words if w not in found]
+        found |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(odd, encode(odd, add_special_tokens=False), strict=True)}
+        return [found[w] for w in words]
+
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
