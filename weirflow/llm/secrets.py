@@ -2,9 +2,11 @@
 
 Native: DataFrame and SQL functions only.  Candidates are found by three fixed
 patterns; the hash of each candidate's value is counted by distinct
-repositories and owners over the whole corpus.  A value that several owners
-have, or that reads like a placeholder, is an ``example``; a value of one owner
-that mixes letters and digits is ``live``.
+repositories and owners over the whole corpus.  Every candidate gets a verdict:
+a value that several owners have, or that reads like a placeholder, is an
+``example``; any other is ``live``, from the least length of its pattern on and
+whether or not it mixes letters and digits.  (The SQL twin still holds the
+narrower rule of before: live from 12 characters on, letters and digits mixed.)
 
 Positions come from the text between matches: ``split`` cuts a text where
 ``regexp_extract_all`` finds its matches, so the lengths of both, added up in
@@ -37,7 +39,7 @@ HEX = r"[0-9a-f]{32,}"  # runs are whole: the same as [0-9a-f]+ of which shorter
 PLACEHOLDER = r"(?i)example|sample|changeme|dummy|placeholder|your[_-]?|xxxx|\*\*\*\*|0000000"
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 OWNERS_OF_AN_EXAMPLE = 3
-LEAST_LIVE = 12
+LEAST_LIVE = 12  # of the twin alone
 MASK = "[SECRET]"
 
 
@@ -85,7 +87,6 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str,
     })
     base = f"""transform(concat(_assign, _access, _hex), x -> named_struct(
       'kind', x.kind, 'start', x.start, 'end', x.end, 'value_start', x.end - length(x.value), 'hash', unhex(sha2(x.value, 256)),
-      'mixed', length(x.value) >= {LEAST_LIVE} AND x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Za-z]',
       'placeholder', x.value RLIKE {_literal(PLACEHOLDER)}))"""
     return found.select("key", "doc_id", "repository", "owner", F.expr(base).alias("base"))
 
@@ -103,9 +104,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     frequency = owned.groupBy("hash").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
     judged = each.join(frequency, "hash").withColumn(
         "verdict",
-        F.when(F.col("placeholder") | (F.col("owners") >= owners_of_an_example), 4).when(F.col("mixed"), 3),
+        F.when(F.col("placeholder") | (F.col("owners") >= owners_of_an_example), 4).otherwise(3),
     )
-    verdicts = judged.where("verdict IS NOT NULL").groupBy("key").agg(
+    verdicts = judged.groupBy("key").agg(
         F.collect_set(F.struct(F.col("value_start").alias("start"), F.col("verdict").alias("kind"), "end")).alias("judged"),
     )
     none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int>>)")
