@@ -257,6 +257,16 @@ def test_every_candidate_has_a_verdict(spark):
     assert [[s.kind for s in r.judged] for r in secrets.scan(shared).collect()] == [[4]] * 3
 
 
+def test_repositories_count_beside_owners(spark):
+    wide, narrow = "token: abc123abc123", "token: zz99zz99zz99"
+    rows = [(i, wide, "ab"[i % 2], f"{'ab'[i % 2]}/{i}") for i in range(4)] + [(4 + i, narrow, "a", f"a/{i % 3}") for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repository string")
+    got = {r.doc_id: [(s.kind, s.n_repositories, s.n_owners) for s in r.judged] for r in secrets.scan(frame, repository_col="repository").collect()}
+    assert got == {i: [(4, 4, 2)] if i < 4 else [(3, 3, 1)] for i in range(13)}
+    text = {r.doc_id: r.text for r in secrets.masked(frame, repository_col="repository").collect()}
+    assert text == {i: wide if i < 4 else "token: [SECRET]" for i in range(13)}
+
+
 def test_masking_overlaps_once(spark):
     value = "0123456789abcdef" * 2
     (row,) = secrets.masked(docs(spark, f"é secret={value} end")).select("text").collect()

@@ -3,10 +3,12 @@
 Native: DataFrame and SQL functions only.  Candidates are found by three fixed
 patterns; the hash of each candidate's value is counted by distinct
 repositories and owners over the whole corpus.  Every candidate gets a verdict:
-a value that several owners have, or that reads like a placeholder, is an
-``example``; any other is ``live``, from the least length of its pattern on and
-whether or not it mixes letters and digits.  (The SQL twin still holds the
-narrower rule of before: live from 12 characters on, letters and digits mixed.)
+a value that several owners have, or one or two owners in still more
+repositories, or that reads like a placeholder, is an ``example``; any other is
+``live``, from the least length of its pattern on and whether or not it mixes
+letters and digits.  Each judged span carries both counts.  (The SQL twin still
+holds the narrower rule of before: counts of owners alone, and live from 12
+characters on, letters and digits mixed.)
 
 Positions come from the text between matches: ``split`` cuts a text where
 ``regexp_extract_all`` finds its matches, so the lengths of both, added up in
@@ -39,6 +41,7 @@ HEX = r"[0-9a-f]{32,}"  # runs are whole: the same as [0-9a-f]+ of which shorter
 PLACEHOLDER = r"(?i)example|sample|changeme|dummy|placeholder|your[_-]?|xxxx|\*\*\*\*|0000000"
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 OWNERS_OF_AN_EXAMPLE = 3
+REPOSITORIES_OF_AN_EXAMPLE = 4  #: more than of owners: copies within one owner say less
 LEAST_LIVE = 12  # of the twin alone
 MASK = "[SECRET]"
 
@@ -96,20 +99,18 @@ def key(id_col: str, text_col: str):
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str = "source", owners_of_an_example: int = OWNERS_OF_AN_EXAMPLE) -> DataFrame:
-    """Per row: key, doc_id, ``base`` spans and ``judged`` value spans (start, kind, end), kinds 3 live and 4 example."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str = "source", owners_of_an_example: int = OWNERS_OF_AN_EXAMPLE, repositories_of_an_example: int = REPOSITORIES_OF_AN_EXAMPLE) -> DataFrame:
+    """Per row: key, doc_id, ``base`` spans and ``judged`` value spans (start, kind, end, n_repositories, n_owners), kinds 3 live and 4 example."""
     rows = materialise(candidates(docs, id_col, text_col, repository_col, owner_col), "secrets")
     each = rows.where(F.size("base") > 0).select("key", "repository", "owner", F.explode("base").alias("c")).select("key", "repository", "owner", "c.*")
     owned = each.select("hash", "repository", "owner").distinct()
-    frequency = owned.groupBy("hash").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
-    judged = each.join(frequency, "hash").withColumn(
-        "verdict",
-        F.when(F.col("placeholder") | (F.col("owners") >= owners_of_an_example), 4).otherwise(3),
-    )
+    frequency = owned.groupBy("hash").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
+    shared = (F.col("n_owners") >= owners_of_an_example) | (F.col("n_repositories") >= repositories_of_an_example)
+    judged = each.join(frequency, "hash").withColumn("verdict", F.when(F.col("placeholder") | shared, 4).otherwise(3))
     verdicts = judged.groupBy("key").agg(
-        F.collect_set(F.struct(F.col("value_start").alias("start"), F.col("verdict").alias("kind"), "end")).alias("judged"),
+        F.collect_set(F.struct(F.col("value_start").alias("start"), F.col("verdict").alias("kind"), "end", "n_repositories", "n_owners")).alias("judged"),
     )
-    none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int>>)")
+    none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,n_repositories:bigint,n_owners:bigint>>)")
     return rows.join(verdicts, "key", "left").select("key", "doc_id", "base", F.coalesce("judged", none).alias("judged"))
 
 
@@ -134,10 +135,11 @@ def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_repository", F.concat_ws("/", "source", "lang"))
     found = scan(docs, repository_col="_repository", owner_col="source")
     of = lambda column, kind: F.expr(f"cast(size(filter({column}, s -> s.kind = {kind})) AS bigint)")
-    base = "transform(base, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
+    plain = "transform({}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end))"
+    base, judged = plain.format("base"), plain.format("judged")
     return found.select(
         "doc_id", of("base", 0).alias("n_assign"), of("base", 1).alias("n_access"), of("base", 2).alias("n_hex"),
-        F.sha2(F.expr(_rendered(base)).cast("binary"), 256).alias("base_sha256"), F.expr(_rendered(f"concat({base}, judged)")).alias("spans"),
+        F.sha2(F.expr(_rendered(base)).cast("binary"), 256).alias("base_sha256"), F.expr(_rendered(f"concat({base}, {judged})")).alias("spans"),
         of("judged", 3).alias("n_live"), of("judged", 4).alias("n_example"),
     )
 
