@@ -29,10 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    groups = jaccard.near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row: that with the smallest id, null ids last; repeated rows are near duplicates too."""
+    return jaccard.one_of_each(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,20 @@ def test_stages_take_nulls_and_empty_tables(spark):
         for _, stage in pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
         assert {r.doc_id for r in docs.collect()} == want
+
+
+def test_one_row_of_every_group_of_near_duplicates(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, near, b, c, d = ("one two three four five six", "One two  three four five six", "some other words that are clean", "null ids have this text here", "and no id but one has this")
+    rows = [
+        (5, a), (5, a), (5, a),  # repeated rows
+        (7, near), (7, b),  # one id with two texts, of which one is a near copy of a smaller id's
+        (None, c), (None, c), (None, c.upper()),  # null ids alone
+        (None, d), (9, d),  # null and other ids
+        (11, ""), (11, ""), (12, None),  # in no group
+    ]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(rows)], schema)
+    got = pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=str)
+    assert left == sorted([(5, a), (7, b), (None, c), (9, d), (11, ""), (11, ""), (12, "")], key=str)

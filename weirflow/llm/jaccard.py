@@ -135,10 +135,15 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """One pass over the texts with two kinds of rows: (doc_id, n, s), and (h, c) of lossy counting.
 
+    Columns behind the text, all of type long, go along with the first kind.
+
     Each batch of texts reports which shingles occur ``LOSSY`` times among the windows of its distinct sets, with the
     count; a shingle that a given share of texts has is found however many there are, and rarer ones cost no shuffle.
     """
 
+    more = docs.columns[2:]
+    names = ["doc_id", "n", "s", "h", "c", *more]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s, first = [], [], {}
@@ -151,10 +156,10 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             h, count = np.unique(np.concatenate([np.empty(0, np.int64), *first.values()]), return_counts=True)
             h, count = h[count >= LOSSY], count[count >= LOSSY].astype(np.int64)
             none, nothing = pa.nulls(len(n), pa.int64()), pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), none, none], names=["doc_id", "n", "s", "h", "c"])
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(h), pa.array(count)], names=["doc_id", "n", "s", "h", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), none, none, *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(h), pa.array(count), *[nothing] * len(more)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s long, h long, c long")
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def region_rows(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
@@ -318,20 +323,50 @@ def _rest(regions: DataFrame, pivots: DataFrame, groups: DataFrame) -> DataFrame
     return materialise(left.join(mixed, "region", "left_semi"), "regions")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
-    slim = _slim(docs, id_col, text_col)
+def _labelled(slim: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row of ``slim``: doc_id, n, s, c (the component, by the name of a set) and the columns behind the text."""
     seen = materialise(sets(slim, words, percent), "sets")
-    per_text = seen.where("n IS NOT NULL").select("doc_id", "n", "s")
+    per_text = seen.where("n IS NOT NULL").select("doc_id", "n", "s", *slim.columns[2:])
     often = seen.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    frequent = bit_map_of(docs.sparkSession, often.select("h"))
+    frequent = bit_map_of(slim.sparkSession, often.select("h"))
     groups = links(slim, words, percent, frequent)
-    labelled = per_text.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+    return per_text.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    labelled = _labelled(_slim(docs, id_col, text_col), words, percent)
     least = labelled.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     joined = labelled.join(least, (labelled.c == least.c) & (labelled.n > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, of every component exactly one; columns as they were.
+
+    It is the one with the smallest id, null ids last, then by a 64-bit hash of the text; of rows with both in common the
+    smallest by all columns.  A component is a row's by its id and text, so an id with two texts may be in two components.
+    Texts without words are in no component and all stay.
+    """
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    slim = _slim(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+    rows = materialise(_labelled(slim, words, percent).where("n > 0").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    least = rows.groupBy("c").agg(F.min(order).alias("least"))
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t"))
+    # What stays once and has no copies needs nothing; here is the rest, with whether one row of it stays.
+    odd = materialise(rows.join(least, "c").withColumn("stays", stays).where("NOT stays OR rows > 1").select("doc_id", "t", "stays"), "odd")
+    # All of a document's columns travel in a struct, so none of their names can clash with ours.
+    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    same = lambda other: keyed["_id"].eqNullSafe(other["doc_id"]) & (keyed["_t"] == other["t"])
+    kept = keyed.join(odd, same(odd), "left_anti").select("doc")
+    repeated = odd.where("stays")
+    if not repeated.isEmpty():
+        one = keyed.join(repeated, same(repeated), "left_semi").groupBy("_id", "_t").agg(F.min("doc").alias("doc"))
+        kept = kept.union(one.select("doc"))
+    return kept.select("doc.*")
+
+
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """The query of this operator over the whole of ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
