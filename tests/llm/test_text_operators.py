@@ -108,6 +108,19 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_equal_the_plain_call():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    assert np.frombuffer(words(["a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n", "a", "É", "Σ", "'s", ".", "~", "1", "x" * 40, "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for text, raw in zip(texts, words(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_plan_holds_every_length_and_is_near_the_bound():
     rng = random.Random(4)
     for n in (0, 1, 7, 4000):

@@ -51,20 +51,25 @@ KEPT = 500_000  #: words whose ids a worker keeps
 
 
 class WordIds:
-    """Ids of texts under a tokenizer whose pieces never span white space; words are kept."""
+    """Ids of texts under a tokenizer whose pieces never span white space; words are kept.
+
+    A text that holds an added token (matched before anything else, case and all) goes through the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # for words alone: lower-casing must not make an added token of one
         self.kept: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [t.encode("utf-8").lower().split() for t in texts]  # of ASCII alone, at ASCII white space
+        added = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [[] if k in added else t.encode("utf-8").lower().split() for k, t in enumerate(texts)]  # of ASCII alone, at ASCII white space
         if len(self.kept) > KEPT:
             self.kept.clear()
         if len(self.stems) > KEPT_STEMS:
@@ -79,7 +84,10 @@ class WordIds:
         for word, (stem, tail) in zip(new, parts, strict=True):
             self.kept[word] = self.stems[stem] + self.stems[tail]
         get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return [self._whole(texts[k]) if k in added else b"".join(map(get, words)) for k, words in enumerate(cut)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
