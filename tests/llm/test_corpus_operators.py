@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.llm import jaccard, near_vectors, top_k, toxicity
+from weirflow.llm import jaccard, near_vectors, regions, top_k, toxicity
 from weirflow.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, s long, region string"
@@ -77,11 +77,67 @@ def test_jaccard_equals_brute_force(spark, words, percent):
     assert got == brute_jaccard(texts, words, percent)
 
 
-def test_jaccard_recursion_without_order(spark, monkeypatch):
-    """With no shingle counted as frequent, regions are large and go through several levels."""
-    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
-    texts = near_copies(random.Random(9), 5, [f"common{i}" for i in range(30)])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+def test_jaccard_splits_cells_that_are_too_large(spark, monkeypatch):
+    """Cells of a few sets go through whole jobs: pivots, regions, blocks."""
+    monkeypatch.setattr(jaccard, "TASK", 900)
+    texts = near_copies(random.Random(9), 24, [f"common{i}" for i in range(30)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, texts), 4, 85).collect()}
+    assert got == brute_jaccard(texts, 4, 85)
+
+
+def test_jaccard_group_of_many_near_copies(spark):
+    """A star: thousands of copies with changes of their own, so that many are within the radius of few."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(70)]
+    texts = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(70)] = f"m{rng.randint(0, 10**6)}"
+        texts.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, texts), 4, 85).collect()}
+    assert got == brute_jaccard(texts, 4, 85)
+
+
+def test_linked_sets_share_a_key():
+    """Whatever their sizes, with keys of empty parts where a set has more of them than its class allows."""
+    rng = np.random.default_rng(1)
+    for percent in (50, 80, 85, 95):
+        classes = jaccard.Classes(percent)
+        for n in (1, 2, 3, 5, 6, 7, 9, 12, 20, 33, 61, 100, 700):
+            for _ in range(12):
+                width = 2**64 if rng.random() < 0.7 else 2**60  # bunched hashes leave parts empty
+                a = np.unique(rng.integers(0, width, n, dtype=np.uint64))
+                drop, add = rng.integers(0, n // 4 + 1, 2)
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, width, add, dtype=np.uint64)]))
+                both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                if not both or both * 100 < percent * either or len(a) == len(b) == both:
+                    continue
+                key, who = jaccard.keys_of(np.concatenate([a, b]), np.array([len(a), len(b)]), classes)
+                assert np.intersect1d(key[who == 0], key[who == 1]).size, (percent, n)
+
+
+def test_regions_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        sets, families = [], [rng.integers(0, 2**63, 60) for _ in range(3)]
+        for _ in range(90):
+            base = families[rng.integers(0, 3)]
+            sets.append(np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 2**63, 60), base)))
+        sizes = np.array([len(s) for s in sets])
+        labels = regions.Labels(len(sets))
+        regions.join(regions.Sets(np.concatenate(sets), sizes), np.arange(len(sets)), labels, 80)
+        found = [(i, j) for i in range(90) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        want = union(found, range(90))
+        assert {tuple(sorted(np.flatnonzero(labels.label == k))) for k in labels.label} == {tuple(sorted(i for i in want if want[i] == c)) for c in want.values()}, trial
+
+
+def test_jaccard_takes_very_long_texts_whole(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 400)}" for _ in range(120_000)]
+    other = [*words[:-12_000], *(f"x{rng.randint(0, 400)}" for _ in range(12_000))]
+    texts = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:60_000])), (4, "x" * 300_000), (5, "x" * 300_000 + " y")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs(spark, texts), 4, 85).collect()}
     assert got == brute_jaccard(texts, 4, 85)
 
 

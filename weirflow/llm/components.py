@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.workspace import materialise
+from weirflow.llm.workspace import Scratch
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -29,14 +29,17 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a, b) that isn't its component's smallest itself."""
+    work = Scratch(edges.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialise(now, "edges")
+    now = work.table(now, "edges")
     before, state = None, _state(now)
     while state != before and state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(_star(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = work.table(_star(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         starred = _star(large)
         small = starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "small")
+        after = work.table(small, "small")
+        work.drop(now, large)
+        now = after
         before, state = state, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,336 +1,448 @@
 """Exact Jaccard join of word shingles in the metric space of sets.
 
 Jaccard distance is a metric, so pivots cut the space into Voronoi regions and
-the triangle inequality says which sets of a region can be near which.
-
-* Unrelated texts all lie at distance 1 from any text, so texts as pivots do not
-  divide the corpus.  The first level therefore takes single shingles as pivots:
-  a set is nearest to those that it has, ties broken by one global order (rarer
-  shingles first), and its boundary window - the regions into which a set within
-  the radius can fall - is its first ``n - ceil(t n) + 1`` shingles.  Two sets
-  within the radius always meet in a region.
-* Within a region, sets serve as pivots: first its smallest and its largest set,
-  then one of each salt.  Every set meets every pivot of its region unless both are
-  in one component already; their sizes and a bound from the shared windows prove
-  most pairs beyond the radius, the others are computed exactly.  Sets within the
-  radius of a pivot join its component, pivots leave, and what is left joins
-  recursively, with more pivots each time, until a region's sets are all of one
-  component.  (Voronoi cells around set pivots were tried at the deeper levels and
-  given up; what that version cost, and what is not known about it, is in the README.)
-
-Which shingles are frequent is counted over all texts (lossily); it reaches the
-tasks as a bit map of fixed size and only orders shingles, so that neither its
-size nor its errors change a result.
-
-Skew: equal sets collapse within each task before anything is shuffled; a set has
-rows in as many regions as its window is long, so that one region never has more
-than a small share of the rows; a region's pivots are partial aggregates (minima
-per salt), never collected; joins are equi-joins that adaptive execution may split.  Pairs are (set, pivot), at
-most linear in a region for the first rounds.
-
-Sets are named by a 64-bit hash of their sorted 64-bit shingle hashes: among N
-different sets some two share a name with probability N^2 / 3.7e19.
+the triangle inequality says which sets must also be copied into a neighbouring
+region.
+
+1. Most texts are at distance 1 from all others; no pivot divides them.  An exact
+   index finds who can have a partner at all.  The hashed universe of shingles is
+   cut into K parts, where K depends on a set's size alone and exceeds the largest
+   symmetric difference that two linked sets of that size can have.  So two linked
+   sets have a part in which they are equal: they share a key, the hash of what
+   they have in that part.  A set has keys for its own class of sizes and for the
+   next one, in which a linked set may be.  Unrelated sets share no key, however
+   frequent the words, lines or passages are that they have in common.
+2. Each key names a pivot, of its sets the one with the most shared keys.  All sets
+   that share a key with a pivot of that key form its cell; a linked pair meets in
+   a cell.
+3. A cell is joined recursively and exactly (:mod:`weirflow.llm.regions`): sets go
+   to the Voronoi region of their nearest pivot and, where the triangle inequality
+   admits a partner there, to others.  Cells that are too large for a task are first
+   split in the same way by whole jobs: a few pivots of the cell are sent to all of
+   its blocks, each block deals its sets to regions, the next round deals those;
+   regions that stop shrinking are joined block by block.
+
+Empty parts need care: sets that are both empty in a part agree in it without being
+alike.  K therefore has a margin, more than the number of parts that a set of that
+size is likely to have empty, and empty parts give no key; a set with more empty
+parts than the margin has keys for them, too, so that the join stays exact.
+
+Skew: equal sets collapse within a task before anything is shuffled, and a key that
+many sets of a batch share is sent to the index twice, its sets directly; pivots of
+keys are partial aggregates; joins on keys are equi-joins that adaptive execution
+may split; a hot cell is split by pivots and blocks.  What is returned of a region
+is a spanning forest of its links.
+
+Sets are named by 128 bits of a hash of their sorted 64-bit shingle hashes.  The
+index uses 64 of them; where two sets share these, a few more are compared.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 repeated rows are linked like any equal texts; null ids take part, a component is
-named by its smallest non-null id; an empty table gives an empty table; only the
-columns named are read.
+named by its smallest non-null id; a text of any length is one set, cut whole; an
+empty table gives an empty table; only the columns named are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm import regions
 from weirflow.llm.components import components
-from weirflow.llm.workspace import materialise
+from weirflow.llm.shingles import mix, names_of, shingle_sets, short_names
+from weirflow.llm.workspace import Scratch
 
 WORDS = 4  #: words in a shingle of the registered query
 PERCENT = 85  #: of the union that the intersection must have
-BITS = 25  #: a bit map has 2 ** BITS bits
-FREQUENT, LOSSY = 8, 3  #: a shingle is frequent if so many sets have it among their counted ones, of which at least LOSSY in a block
-SALTS = 64  #: pivots of a region in the second round, at most; its powers in later ones
 SEEN = 1_000_000  #: names that a task remembers to skip copies
-KEPT = 500_000  #: words whose hash a worker keeps
-
-
-# -- sets --------------------------------------------------------------------
+OFTEN = 8  #: a key of more sets of a batch is sent to the index twice only
+ENTRIES = 4_000_000  #: entries of the index in a partition, about
+BITS = 25  #: a bit map has 2 ** BITS bits
+TASK = 2_000_000  #: weight of a cell that one task joins, and of a block
+WEIGHT = "n + 50"  #: of a set: its shingles and something for itself
+SPLIT = 12  #: pivots of a cell that whole jobs split
+
+_ROW = "doc_id long, n long, name binary"
+
+
+# -- keys --------------------------------------------------------------------
+
+
+class Classes:
+    """Classes of sizes: linked sets are of one class or of neighbours."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.upper = [0, 1]
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        """The class of each size (from 1)."""
+        while self.upper[-1] < n.max(initial=0):
+            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * 100 // self.percent))
+        return np.searchsorted(np.array(self.upper), n)
+
+    def parts(self, k: int) -> tuple[int, int]:
+        """Number of parts of class ``k``, and its margin: how many parts a set may have empty; (0, 0) where only equal sets link."""
+        while len(self.upper) <= k:
+            self.of(np.array([self.upper[-1] + 1]))
+        apart = 2 * self.upper[k] * (100 - self.percent) // (100 + self.percent)
+        if not apart:
+            return 0, 0
+        least, margin = self.upper[max(k - 2, 0)] + 1, 1
+        for _ in range(8):
+            mean = (apart + 1 + margin) * math.exp(-least / (apart + 1 + margin))
+            margin = max(margin, math.ceil(mean + 5 * math.sqrt(mean)))
+        return apart + 1 + margin, margin
+
+
+def keys_of(flat: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of sets (one behind the other, sorted) and the number of the set that each belongs to."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    own = classes.of(sizes)
+    out, owners = [], []
+    for step in (0, 1):
+        kinds, number = np.unique(own + step, return_inverse=True)
+        table = np.array([classes.parts(int(k)) for k in kinds], dtype=np.int64).reshape(-1, 2)
+        parts, margin = table[number].T
+        used = parts[owner] > 0
+        who, shingle = owner[used], flat[used]
+        if not len(who):
+            continue
+        part = ((shingle >> np.uint64(32)) * parts[who].astype(np.uint64)) >> np.uint64(32)
+        first = np.ones(len(who), dtype=bool)
+        first[1:] = (who[1:] != who[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(first)
+        sums = np.add.reduceat(mix(shingle ^ np.uint64(0x5851F42D4C957F2D)), at)
+        who, part = who[at], part[at]
+        seed = mix((own[who] + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part)
+        out.append(mix(sums + seed))
+        owners.append(who)
+        # Sets with more empty parts than the margin, which are very few, have keys for these.
+        for i in np.flatnonzero((parts > 0) & (parts - np.bincount(who, minlength=len(sizes)) > margin)).tolist():
+            empty = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[who == i])
+            out.append(mix(mix(np.full(len(empty), own[i] + step, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + empty)))
+            owners.append(np.full(len(empty), i))
+    if not out:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(out), np.concatenate(owners)
 
-_WORDS: dict[bytes, int] = {}
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of a 64-bit hash, on whole arrays."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+def index_entries(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, keys, owners): packed entries of the index; ``bucket`` -1 - x: entries of keys that a batch has often.
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text."""
-    found = (text or "").encode("utf-8", "replace").lower().split()  # of ASCII alone, at ASCII white space
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    if len(_WORDS) > KEPT:
-        _WORDS.clear()
-    for w in set(found).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
-    size = min(words, len(h))
-    out = np.full(len(h) - size + 1, size, dtype=np.uint64)
-    for k in range(size):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k])
-    return np.unique(out)
+    A key is its bucket and 32 bits; keys that agree in these are taken for one, which costs a comparison.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        classes = Classes(percent)
+        for batch in batches:
+            flat, sizes = shingle_sets(batch.column(0), words)
+            names = names_of(flat, sizes)
+            fresh = np.zeros(len(names), dtype=bool)
+            for i, name in enumerate(names):
+                if name and name not in seen:
+                    seen.add(name)
+                    fresh[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
+            key, who = keys_of(flat[np.repeat(fresh, sizes)], sizes[fresh], classes)
+            if not len(key):
+                continue
+            short = short_names([n for n, f in zip(names, fresh, strict=True) if f])
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], who[order]
+            run_at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            rank = np.arange(len(key)) - np.repeat(run_at, np.diff(np.append(run_at, len(key))))
+            often = np.repeat(np.diff(np.append(run_at, len(key))) > OFTEN, np.diff(np.append(run_at, len(key)))) & (rank > 1)
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+            rows: tuple[list, list, list] = ([], [], [])
+            for pick, sign in ((np.flatnonzero(~often), 1), (np.flatnonzero(often), -1)):
+                if not len(pick):
+                    continue
+                cut = np.flatnonzero(np.append(True, bucket[pick][1:] != bucket[pick][:-1])).tolist()
+                for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
+                    part = pick[a:b]
+                    x = int(bucket[part[0]])
+                    rows[0].append(x if sign > 0 else -1 - x)
+                    rows[1].append(low[part].tobytes())
+                    rows[2].append(short[who[part]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "keys", "owners"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, keys binary, owners binary")
+
+
+def shared_keys(entries: DataFrame, partitions: int) -> DataFrame:
+    """(key, s): the keys that at least two sets have, and their sets by short name.
+
+    Rows of a bucket with few sets a batch meet in a partition; of other keys two sets a batch come there, which is enough
+    for the key to count as shared, while the rest pass by any partition.
+    """
+    dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("keys", "owners"))
 
-def name_of(shingle_set: np.ndarray) -> int:
-    """The 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(shingle_set.tobytes()) - (1 << 63)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners = [], []
+        for batch in batches:
+            for bucket, low, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                whole = (np.frombuffer(low, dtype="<u4").astype(np.int64)) | ((bucket if bucket >= 0 else -1 - bucket) << 32)
+                own = np.frombuffer(own, dtype="<i8")
+                if bucket < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(own)], names=["key", "s"])
+                else:
+                    keys.append(whole)
+                    owners.append(own)
+        if not keys:
+            return
+        key, own = np.concatenate(keys), np.concatenate(owners)
+        del keys, owners
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        mixed = np.repeat(np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at), np.diff(np.append(at, len(key))))
+        key, own = key[mixed], own[mixed]
+        for a in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(own[a : a + 100_000])], names=["key", "s"])
+
+    return entries.repartition(partitions, dealt).mapInArrow(run, "key long, s long").distinct()
+
+
+# -- texts -------------------------------------------------------------------
 
 
-def window(n: int, percent: int) -> int:
-    """How many first shingles of a set of n any set within the radius must meet."""
-    return n - -(-percent * n // 100) + 1
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def named(slim: DataFrame, words: int) -> DataFrame:
+    """Per text: doc_id, n, name, and the columns of type long behind the text."""
+    more = slim.columns[2:]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = shingle_sets(batch.column(1), words)
+            columns = [batch.column(0), pa.array(sizes), pa.array(names_of(flat, sizes), pa.binary()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "name", *more])
 
-def _in_map(bit_map: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bit_map[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return slim.mapInArrow(run, ", ".join([_ROW, *(f"{x} long" for x in more)]))
 
 
-def ordered(shingle_set: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
-    """A set in the global order: rare before frequent, then by hash."""
-    if frequent is None or not len(shingle_set):
-        return shingle_set
-    late = _in_map(frequent, _bits(shingle_set))
-    return np.concatenate([shingle_set[~late], shingle_set[late]])
+def _bits(short: np.ndarray) -> np.ndarray:
+    return (short.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def bit_map_of(spark: SparkSession, hashes: DataFrame) -> np.ndarray:
-    """The bits of column ``h`` as 64-bit words; what comes to the driver is at most 2 ** (BITS - 6) rows."""
-    bit = f"shiftrightunsigned(h, {64 - BITS})"
-    words = hashes.selectExpr(f"shiftright({bit}, 6) AS w", f"shiftleft(1L, cast({bit} & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+def bit_map_of(spark: SparkSession, short: DataFrame) -> np.ndarray:
+    """The bits of column ``s`` as 64-bit words; what comes to the driver is at most 2 ** (BITS - 6) rows."""
+    bit = f"shiftrightunsigned(s, {64 - BITS})"
+    words = short.selectExpr(f"shiftright({bit}, 6) AS w", f"shiftleft(1L, cast({bit} & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
     table = words.toArrow()
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     out[table.column("w").to_numpy()] = table.column("b").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One pass over the texts with two kinds of rows: (doc_id, n, s), and (h, c) of lossy counting.
-
-    Columns behind the text, all of type long, go along with the first kind.
-
-    Each batch of texts reports which shingles occur ``LOSSY`` times among the windows of its distinct sets, with the
-    count; a shingle that a given share of texts has is found however many there are, and rarer ones cost no shuffle.
-    """
-
-    more = docs.columns[2:]
-    names = ["doc_id", "n", "s", "h", "c", *more]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, s, first = [], [], {}
-            for text in batch.column(1):
-                found = shingles(text.as_py(), words)
-                n.append(len(found))
-                s.append(name_of(found))
-                if len(found):
-                    first[s[-1]] = _signed(found[: window(len(found), percent)])
-            h, count = np.unique(np.concatenate([np.empty(0, np.int64), *first.values()]), return_counts=True)
-            h, count = h[count >= LOSSY], count[count >= LOSSY].astype(np.int64)
-            none, nothing = pa.nulls(len(n), pa.int64()), pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), none, none, *batch.columns[2:]], names=names)
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(h), pa.array(count), *[nothing] * len(more)], names=names)
-
-    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-
-
-def region_rows(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """(s, n, first) of each set that a task sees, once a task: copies within a task collapse before they are shuffled."""
+def members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
+    """(s, name, n, members) of the texts whose set's short name is in the bit map ``wanted`` (and of some others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            out: list[tuple[int, int, np.ndarray]] = []
-            for text in batch.column(0):
-                found = shingles(text.as_py(), words)
-                if len(found) and (name := name_of(found)) not in seen:
-                    seen.add(name)
-                    out.append((name, len(found), _signed(ordered(found, frequent)[: window(len(found), percent)])))
+            flat, sizes = shingle_sets(batch.column(0), words)
+            names = names_of(flat, sizes)
+            short = short_names(names)
+            at = _bits(short)
+            hit = ((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0) & (sizes > 0)
+            ends, pick = np.cumsum(sizes), []
+            for i in np.flatnonzero(hit).tolist():
+                if names[i] not in seen:
+                    seen.add(names[i])
+                    pick.append(i)
             if len(seen) > SEEN:
                 seen.clear()
-            if out:
-                yield _listed(out, "first")
+            while pick:
+                some = pick[: max(1, int(np.searchsorted(np.cumsum(sizes[pick]), 1_000_000)))]
+                pick = pick[len(some) :]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes[some]]), pa.int32()), pa.array(_signed(np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in some]))))
+                yield pa.RecordBatch.from_arrays([pa.array(short[some]), pa.array([names[i] for i in some], pa.binary()), pa.array(sizes[some]), lists], names=["s", "name", "n", "members"])
 
-    return docs.select("text").mapInArrow(run, "s long, n long, first array<long>")
+    return docs.select("text").mapInArrow(run, "s long, name binary, n long, members array<long>")
 
 
-def named_in(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """The rows whose name ``s`` is in the bit map (and some others): fewer to shuffle."""
+# -- cells -------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _bits(batch.column(batch.schema.get_field_index("s")).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(_in_map(wanted, at)))
 
-    return rows.mapInArrow(run, rows.schema)
+def _sets(table: pa.Table) -> regions.Sets:
+    lists = table.column("members").combine_chunks()
+    return regions.Sets(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
 
 
-def members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
-    """(s, n, members) of the texts whose set's name is in the bit map ``wanted`` (and of some others)."""
+def _edges(names: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([names[i] for i, _ in links], pa.binary()), "b": pa.array([names[j] for _, j in links], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            out: list[tuple[int, int, np.ndarray]] = []
-            size = 0
-            for text in batch.column(0):
-                found = shingles(text.as_py(), words)
-                name = name_of(found)
-                if len(found) and name not in seen and _in_map(wanted, _bits(np.array([name]).view(np.uint64)))[0]:
-                    seen.add(name)
-                    out.append((name, len(found), _signed(found)))
-                    size += len(found)
-                if size > 1_000_000:
-                    yield _listed(out, "members")
-                    out, size = [], 0
-            if len(seen) > SEEN:
-                seen.clear()
-            if out:
-                yield _listed(out, "members")
-
-    return docs.select("text").mapInArrow(run, "s long, n long, members array<long>")
 
+def join_cells(rows: DataFrame, percent: int, bunches: int) -> DataFrame:
+    """(a, b): spanning forests of the links of cells (cell, name, n, members, pivot); each cell fits into a task."""
 
-def _listed(out: list[tuple[int, int, np.ndarray]], name: str) -> pa.RecordBatch:
-    """A batch (s, n, list) from rows."""
-    ends = np.cumsum([0, *(len(x) for _, _, x in out)])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, _, x in out])))
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), lists], names=["s", "n", name])
+    def bunch(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cell", "ascending"), ("name", "ascending")])
+        cell, names, pivot = table.column("cell").to_numpy(), table.column("name").to_pylist(), table.column("pivot").to_numpy()
+        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist()
+        out: list[tuple[int, int]] = []
+        for a, b in zip(at, [*at[1:], len(cell)], strict=True):
+            sets, labels = _sets(table.slice(a, b - a)), regions.Labels(b - a)
+            head = np.flatnonzero(pivot[a:b])
+            regions.join(sets, np.arange(b - a), labels, percent, int(head[0]) if len(head) else None)
+            out += [(a + i, a + j) for i, j in labels.links]
+        return _edges(names, out)
 
+    return rows.withColumn("bunch", F.pmod(F.xxhash64("cell"), F.lit(bunches))).groupBy("bunch").applyInArrow(bunch, "a binary, b binary")
 
-# -- the join ----------------------------------------------------------------
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows with ``blocks`` and the ``block`` of their cell: about TASK each."""
+    blocks = F.ceil(F.col("total") / TASK).cast("long")
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
 
-def _pivots(regions: DataFrame, salts: int, turn: int) -> DataFrame:
-    """(region, p, pn, pc): of each salt of a region one set, with its size and component."""
-    salt = F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(salts))
-    return regions.groupBy("region", salt.alias("salt")).agg(F.min(F.struct("s", "n", "c")).alias("x")).select("region", F.col("x.s").alias("p"), F.col("x.n").alias("pn"), F.col("x.c").alias("pc"))
 
+def deal(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """One round over cells too large for a task, (cell, name, n, members, total).
 
-def _sided(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b, ...) with the sizes and lists of both sides: an, al, bn, bl."""
-    left = pairs.join(rows.select(F.col("s").alias("a"), F.col("n").alias("an"), F.col(column).alias("al")), "a")
-    return left.join(rows.select(F.col("s").alias("b"), F.col("n").alias("bn"), F.col(column).alias("bl")), "b")
-
+    Returns (cell, q, name, d, core) of the regions that the sets go to, the pivots' links as (name, link), and pivots
+    themselves nowhere: they have met their whole cell.
+    """
+    radius = 1 - percent / 100
+    salt = F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(SPLIT))
+    picked = rows.groupBy("cell", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("name", F.lit(turn + 1)), "name")).alias("x")).select("cell", F.col("x.name").alias("name"))
+    blocked = _blocks(rows).select("cell", "block", "name", "n", "members", F.lit(False).alias("pivot"))
+    pivots = _blocks(rows.join(picked, ["cell", "name"], "left_semi")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def split(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pivot", "descending"), ("name", "ascending")])
+        names, k = table.column("name").to_pylist(), int(table.column("pivot").to_numpy().astype(np.int64).sum())
+        sets, own = _sets(table), set(names[:k])
+        idx = np.array([i for i in range(k, len(names)) if names[i] not in own], dtype=np.int64)
+        out: list[tuple] = []
+        cell = table.column("cell")[0].as_py()
+        # Pivots against pivots as well: they leave together.
+        for i in range(k):
+            later = np.arange(i + 1, k)
+            for j in later[regions.linked(sets, i, later, percent)].tolist() if len(later) else ():
+                out.append((cell, None, names[j], names[i], None, None))
+        d = np.stack([sets.distances(i, idx) for i in range(k)], axis=1) if len(idx) else np.zeros((0, k))
+        for i in range(k):
+            near = idx[regions.linked(sets, i, idx, percent)] if len(idx) else idx
+            out += [(cell, None, names[j], names[i], None, None) for j in near.tolist()]
+        least = d.min(axis=1, initial=np.inf)
+        nearest = d.argmin(axis=1) if len(idx) else least
+        for q in range(k):
+            for r in np.flatnonzero(d[:, q] <= least + 2 * radius + regions.EPS).tolist():
+                out.append((cell, names[q], names[idx[r]], None, float(d[r, q]), bool(nearest[r] == q)))
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.bool_()]
+        return pa.table({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(zip(("cell", "q", "name", "link", "d", "core"), types, strict=True))})
+
+    both = blocked.union(pivots.select("cell", "block", "name", "n", "members", F.lit(True).alias("pivot")))
+    return both.groupBy("cell", "block").applyInArrow(split, "cell long, q binary, name binary, link binary, d double, core boolean")
+
+
+def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links of regions that pivots don't shrink, (cell, name, n, members, total, c), two blocks at a time; c: component."""
+    blocked = _blocks(rows)
+    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = spread.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "name", "members", "c")
+
+    def pair(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("name", "ascending")])
+        names, sets = table.column("name").to_pylist(), _sets(table)
+        labels = regions.Labels(len(names), np.unique(np.array(table.column("c").to_pylist(), dtype=object), return_inverse=True)[1])
+        regions.exact(sets, np.arange(len(names)), labels, percent)
+        return _edges(names, labels.links)
+
+    return paired.groupBy("cell", "x", "y").applyInArrow(pair, "a binary, b binary")
 
-def _names(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
 
+# -- the join ----------------------------------------------------------------
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose windows share enough.
 
-    Of the two windows one ends first in the global order; what the sets share and that window lacks is in the rest of
-    its set.  So the intersection is at most what the windows share and the larger rest.
-    """
-    some = named_in(nodes, bit_map_of(pairs.sparkSession, _names(pairs).select(F.col("s").alias("h"))))
-    shared = F.size(F.array_intersect("al", "bl")).cast("long")
-    most = shared + F.greatest(F.col("an") - F.size("al"), F.col("bn") - F.size("bl"))
-    return _sided(pairs, some, "first").where(most * (100 + percent) >= (F.col("an") + F.col("bn")) * percent).select("a", "b")
-
-
-class _Members:
-    """Whole sets of the names that pairs need, fetched from the texts once each."""
-
-    def __init__(self, docs: DataFrame, words: int) -> None:
-        self.docs, self.words = docs, words
-        self.table: DataFrame | None = None
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        need = _names(pairs)
-        if self.table is not None:
-            need = need.join(self.table, "s", "left_anti")
-        need = materialise(need, "names")
-        if self.table is None or not need.isEmpty():
-            found = members(self.docs, self.words, bit_map_of(self.docs.sparkSession, need.select(F.col("s").alias("h"))))
-            one = found.join(need, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("members").alias("members"))
-            fetched = materialise(one, "members")
-            self.table = fetched if self.table is None else self.table.union(fetched)
-        return self.table
-
-
-def links(docs: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """(node, component) of the sets that have a set within the radius."""
-    once = region_rows(docs, words, percent, frequent).groupBy("s").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    nodes = materialise(once, "nodes")
-    each = nodes.select(F.explode("first").alias("region"), "s", "n")
-    # One shuffle of all rows: most regions have one set and end here; the others know their smallest and largest set.
-    whole = Window.partitionBy("region")
-    ends = each.withColumn("lo", F.min(F.struct("n", "s")).over(whole)).withColumn("hi", F.max(F.struct("n", "s")).over(whole)).where("lo <> hi")
-    shared = materialise(ends.select("region", "s", "n", "lo", "hi"), "regions")
-    regions = shared.select("region", "s", "n")
-    met = shared.select("region", "s", "n", F.explode(F.array("lo", "hi")).alias("x")).select("region", "s", "n", F.col("x.s").alias("p"), F.col("x.n").alias("pn"))
-    pivots = met.select("region", "p", "pn").distinct()
-    whole_sets = _Members(docs, words)
-    groups: DataFrame | None = None
+def _totals(cells: DataFrame) -> DataFrame:
+    """The rows with ``total``, the weight of their cell."""
+    return cells.join(cells.groupBy("cell").agg(F.sum(F.expr(WEIGHT)).alias("total")), "cell")
+
+
+def links(slim: DataFrame, rows: DataFrame, words: int, percent: int, work: Scratch) -> DataFrame | None:
+    """(node, component) of the sets that have a set within the radius; ``rows``: as of :func:`named`."""
+    spark = slim.sparkSession
+    shingles_in_all = rows.agg(F.sum("n")).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles_in_all * 8 * (100 - percent) // 300 // ENTRIES))
+    met = work.table(shared_keys(index_entries(slim, words, percent, 4 * partitions), partitions), "keys")
+    # The pivot of a key is its set with the most shared keys.
+    weight = met.join(met.groupBy("s").agg(F.count("*").alias("k")), "s")
+    pivots = weight.groupBy("key").agg(F.max(F.struct("k", "s")).alias("x")).select("key", F.col("x.s").alias("cell"))
+    pairs = work.table(met.join(pivots, "key").where("s <> cell").select("cell", "s").distinct(), "pairs")
+    work.drop(met)
+    everyone = pairs.union(pairs.select("cell", F.col("cell").alias("s")).distinct())
+    wanted = pairs.select("s").union(pairs.select("cell")).distinct()
+    found = members(slim, words, bit_map_of(spark, wanted)).join(wanted, "s", "left_semi")
+    sets = work.table(found.groupBy("name").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.first("members").alias("members")), "sets")
+    cells = work.table(_totals(everyone.join(sets.select("s", "name", "n"), "s").select("cell", "name", "n", (F.col("s") == F.col("cell")).alias("pivot"))), "cells")
+    edges = _recurse(cells, sets, percent, work)
+    work.drop(pairs, sets, cells)
+    groups = work.table(components(edges), "groups")
+    return groups
+
+
+def _recurse(cells: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """The edges of all cells (cell, name, n, total, pivot)."""
+    whole = sets.select("name", "members")
+    done: list[DataFrame] = []
     turn = 0
     while True:
-        near = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-        pairs = met.where(near & (F.col("s") != F.col("p"))).select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct()
-        possible = materialise(_possible(materialise(pairs, "pairs"), nodes, percent), "possible")
-        exact = _sided(possible, whole_sets.of(possible), "members")
-        both = F.size(F.array_intersect("al", "bl")).cast("long")
-        known = materialise(exact.select("a", "b", both.alias("inter"), (F.col("an") + F.col("bn")).alias("total")), "distances")
-        fresh = known.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b")
-        old = groups.select(F.col("node").alias("a"), F.col("component").alias("b")) if groups is not None else None
-        groups = materialise(components(fresh if old is None else old.union(fresh)), "groups")
-        regions = _rest(regions, pivots, groups)
-        if regions.isEmpty():
-            return groups
-        turn += 1
-        pivots = materialise(_pivots(regions, SALTS ** min(turn, 4), turn), "pivots")
-        # Sets of one component need not meet: a hot group costs its outsiders, not its pairs.
-        met = regions.join(pivots, "region").where("c <> pc")
-
-
-def _rest(regions: DataFrame, pivots: DataFrame, groups: DataFrame) -> DataFrame:
-    """(region, s, n, c): what is left of each region without its pivots, with components; one-component regions are done.
-
-    Every set of a region has met every pivot of it, or is in its component, so a pair within the radius that has not been found is among what is left.
-    """
-    labels = groups.withColumnRenamed("node", "s")
-    left = regions.select("region", "s", "n").join(pivots.select("region", F.col("p").alias("s")), ["region", "s"], "left_anti")
-    left = left.join(labels, "s", "left").select("region", "s", "n", F.coalesce("component", "s").alias("c"))
-    mixed = left.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("region")
-    return materialise(left.join(mixed, "region", "left_semi"), "regions")
+        fits = cells.where(F.col("total") <= TASK)
+        bunches = max(1, -(-(fits.agg(F.sum(F.expr(WEIGHT))).first()[0] or 0) // TASK))
+        done.append(work.table(join_cells(fits.join(whole, "name"), percent, bunches), "edges"))
+        large = cells.where(F.col("total") > TASK)
+        if large.isEmpty():
+            break
+        turn += 2
+        dealt = work.table(deal(large.join(whole, "name"), percent, turn), "dealt")
+        done.append(work.table(dealt.where("link IS NOT NULL").select(F.col("name").alias("a"), F.col("link").alias("b")).distinct(), "edges"))
+        labels = components(_all(done))
+        parts = dealt.where("q IS NOT NULL")
+        reach = parts.where("core").groupBy("cell", "q").agg(F.max("d").alias("reach"))
+        kept = parts.join(reach, ["cell", "q"]).where(F.col("core") | (F.col("d") <= F.col("reach") + (1 - percent / 100) + regions.EPS))
+        kept = kept.join(labels.withColumnRenamed("node", "name"), "name", "left").select("cell", "q", "name", F.coalesce("component", "name").alias("c"))
+        mixed = kept.groupBy("cell", "q").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell", "q")
+        sub = kept.join(mixed, ["cell", "q"]).join(sets.select("name", "n"), "name").join(large.select("cell", F.col("total").alias("before")).distinct(), "cell")
+        named_sub = sub.select(F.xxhash64("cell", "q").alias("cell"), "name", "n", "c", "before")
+        cells = work.table(_totals(named_sub).withColumn("pivot", F.lit(False)), "cells")
+        stuck = cells.where((F.col("total") > TASK) & (F.col("total") > F.col("before") * regions.SHRUNK))
+        if not stuck.isEmpty():
+            done.append(work.table(join_blocks(stuck.join(whole, "name"), percent), "edges"))
+            cells = cells.where((F.col("total") <= TASK) | (F.col("total") <= F.col("before") * regions.SHRUNK))
+    return _all(done)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 def _labelled(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row of ``slim``: doc_id, n, s, c (the component, by the name of a set) and the columns behind the text."""
-    seen = materialise(sets(slim, words, percent), "sets")
-    per_text = seen.where("n IS NOT NULL").select("doc_id", "n", "s", *slim.columns[2:])
-    often = seen.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    frequent = bit_map_of(slim.sparkSession, often.select("h"))
-    groups = links(slim, words, percent, frequent)
-    return per_text.join(groups.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+    """Per row of ``slim``: doc_id, n, name, c (the component, by the name of a set) and the columns behind the text."""
+    work = Scratch(slim.sparkSession)
+    rows = work.table(named(slim, words), "named")
+    groups = links(slim, rows, words, percent, work)
+    return rows.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("c", F.coalesce("component", "name"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,16 +460,18 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     smallest by all columns.  A component is a row's by its id and text, so an id with two texts may be in two components.
     Texts without words are in no component and all stay.
     """
-    text = F.xxhash64(F.col(text_col).cast("string"))
-    slim = _slim(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
-    rows = materialise(_labelled(slim, words, percent).where("n > 0").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows")), "rows")
+    text = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    slim = _slim(docs, f"`{id_col}`", f"`{text_col}`").withColumn("t", F.xxhash64("text"))
+    work = Scratch(docs.sparkSession)
+    rows = work.table(_labelled(slim, words, percent).where("n > 0").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     least = rows.groupBy("c").agg(F.min(order).alias("least"))
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t"))
     # What stays once and has no copies needs nothing; here is the rest, with whether one row of it stays.
-    odd = materialise(rows.join(least, "c").withColumn("stays", stays).where("NOT stays OR rows > 1").select("doc_id", "t", "stays"), "odd")
+    odd = work.table(rows.join(least, "c").withColumn("stays", stays).where("NOT stays OR rows > 1").select("doc_id", "t", "stays"), "odd")
+    work.drop(rows)
     # All of a document's columns travel in a struct, so none of their names can clash with ours.
-    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     same = lambda other: keyed["_id"].eqNullSafe(other["doc_id"]) & (keyed["_t"] == other["t"])
     kept = keyed.join(odd, same(odd), "left_anti").select("doc")
     repeated = odd.where("stays")

@@ -16,11 +16,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (tests, a laptop) is a folder of our own
-    made; driver and executors share the machine in that case.
+    Only where that setting is empty and the master is local (tests, a laptop;
+    driver and executors share the machine) is a folder of our own made.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return base.rstrip("/")
@@ -37,10 +39,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     Later stages read the table, so a lost executor costs a re-read of files
     and never a recomputation of what came before.
     """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -50,6 +51,29 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one run, deleted when no later step reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """As :func:`materialise`; the table can be dropped."""
+        path = new_path(self.spark, tag)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that have served."""
+        gone = [path for made, path in self.made if any(made is t for t in tables)]
+        self.made = [x for x in self.made if x[1] not in gone]
+        for path in gone:
+            delete(self.spark, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where their path doesn't have it: send it along, once a context."""
     root = Path(__file__).resolve().parents[2]
