@@ -4,11 +4,12 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from weirflow.llm import byte_bpe, line_dedup, packing, pii, secrets, warc
+from weirflow.llm import byte_bpe, interned, line_dedup, packing, pii, pretokens, secrets, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, removed int"
 
@@ -74,8 +75,44 @@ def test_bpe_equals_tiktoken(codec):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, " " * 700 + "x", "ab" * 300 + "€" * 90, "<|endoftext|>", ""]
     for text, ids in zip(texts, codec.encode_many(texts), strict=True):
         assert ids == own.encode_ordinary(text), text
-        assert codec.decode(ids) == text.encode()
-        assert "".join(codec.chunks(text)) == text
+        assert codec.decode(ids).tobytes() == text.encode()
+
+
+def test_bpe_pieces_equal_the_pattern(codec):
+    """Under another, equal pattern texts are cut by regular expression."""
+    other = byte_bpe.Codec(codec.vocab, public_tokenizers.PATTERN + "|(?!)")
+    assert codec.finditer is None and other.finditer is not None
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab's rlvemd't \n\té1½! ") for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    assert codec.encode_many(texts) == other.encode_many(texts)
+
+
+def test_bpe_long_texts_in_parts(codec, monkeypatch):
+    """Long texts go through in parts, groups are small, what is kept is dropped: digests stay."""
+    rng = random.Random(6)
+    texts = pa.array([" ".join("".join(rng.choice("abcé1' ") for _ in range(rng.randint(1, 12))) for _ in range(900)) for _ in range(6)] + [None, "", "x" * 9000])
+    want = byte_bpe._digests(codec, texts)
+    monkeypatch.setattr(byte_bpe, "GROUP", 700)
+    monkeypatch.setattr(byte_bpe, "KEPT_IDS", 50)
+    assert byte_bpe._digests(codec, texts) == want
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.vocab.ranks, special_tokens={})
+    assert [n for n, _, _ in want] == [len(own.encode_ordinary(t or "")) for t in texts.to_pylist()]
+
+
+def test_interned_numbers():
+    rng = random.Random(7)
+    for bits in (64, 6):  # with few bits of hash, different strings meet and all are hashed anew
+        known, seen = interned.Interned(10**6), {}
+        if bits < 64:
+            plain = known._hashed
+            known._hashed = lambda low, high, size, plain=plain, known=known: plain(low, high, size) >> np.uint64(40 if not known.salt else 0)
+        for _ in range(5):
+            words = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([0, 1, 2, 7, 8, 9, 15, 16, 17, 30]))) for _ in range(400)]
+            data, ends = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([0, *map(len, words)])
+            number, new = known.numbers(data, ends[:-1], ends[1:])
+            for w, n in zip(words, number.tolist(), strict=True):
+                assert seen.setdefault(w, n) == n
+            assert len(set(seen.values())) == len(seen) and [number[i] for i in new] == sorted(number[i] for i in new)
 
 
 def test_bpe_frames(spark, codec):
@@ -95,16 +132,19 @@ def test_bpe_frames(spark, codec):
 # -- packing -------------------------------------------------------------------
 
 
+def packed(texts):
+    return pretokens.text_bytes(pa.array(texts, pa.string()))
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(2)
     letters = " \n\x1c\x85\xa0　.,!?;:%*&$#~abcdeéÉA中1٣½²x'sŚ🎉Σσς́̈İſK"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(8000)] + ["~", "a~ ~b", "x" * 3000]
-    for text, raw in zip(texts, packing.WordIds(path)(texts), strict=True):
+    for text, raw in zip(texts, packing.WordIds(path)(*packed(texts)), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
@@ -113,11 +153,11 @@ def test_added_tokens_equal_the_plain_call():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, words = Tokenizer.from_file(path), packing.WordIds(path)
-    assert np.frombuffer(words(["a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+    assert np.frombuffer(words(*packed(["a <|endoftext|> b"]))[0], "<u4").tolist() == [320, 49407, 321]
     rng = random.Random(7)
     parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n", "a", "É", "Σ", "'s", ".", "~", "1", "x" * 40, "İ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    for text, raw in zip(texts, words(texts), strict=True):
+    for text, raw in zip(texts, words(*packed(texts)), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 

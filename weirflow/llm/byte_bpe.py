@@ -8,6 +8,11 @@ logarithmic time.  Short pieces go through the tree in batches (one tree per
 row of a matrix, all rows advance together); long pieces get a tree of their
 own.
 
+Texts are cut into pieces and pieces into numbers by whole arrays
+(:mod:`weirflow.llm.pretokens`, :mod:`weirflow.llm.interned`); a piece that a
+worker has merged is kept, up to a bound on what is kept.  Under another pattern
+than the one that the arrays stand for, texts are cut by regular expression.
+
 Defined results: a null text counts as empty, an empty text has no tokens, rows
 are independent (repeated rows, null ids), empty tables give empty tables, only
 the columns named are read.
@@ -25,10 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm import pretokens
+from weirflow.llm.interned import Interned, Lists, gathered
+
 NONE = np.int64(1) << 40  #: the rank of a pair that does not merge
 BATCHED = 64  #: pieces of up to so many bytes go through the trees of a batch
 CELLS = 1 << 15  #: leaves in one batch
-KEPT = 400_000  #: chunks of text whose result a worker keeps
+KEPT, KEPT_IDS = 1_200_000, 8_000_000  #: pieces that a worker keeps, and ids of them: about 100 MB
+GROUP = 1 << 22  #: bytes of text encoded at a time, but for longer pieces
 
 
 class Vocabulary:
@@ -38,7 +47,6 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {rank: raw for raw, rank in ranks.items()}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.decimal = {rank: b"%d" % rank for rank in self.token}
         self.base = max(ranks.values()) + 1
         self.pairs: dict[int, int] = {}
         for raw, rank in ranks.items():
@@ -46,8 +54,35 @@ class Vocabulary:
                 left, right = ranks.get(raw[:cut]), ranks.get(raw[cut:])
                 if left is not None and right is not None:
                     self.pairs[left * self.base + right] = rank
-        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
-        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self._fill()
+        # Tokens by rank: their bytes, and their ranks in decimal with a blank behind.
+        known = [self.token.get(rank, b"") for rank in range(self.base)]
+        self.raw = np.frombuffer(b"".join(known), dtype=np.uint8)
+        self.raw_size = np.array([len(t) for t in known], dtype=np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        width = len(str(self.base)) + 1
+        self.decimal = np.frombuffer(b"".join(b"%d " % rank + bytes(width - 1 - len(str(rank))) for rank in range(self.base)), dtype=np.uint8).reshape(-1, width)
+        # Pairs of single bytes, by their ranks' places in the table of bytes.
+        one = np.arange(256)
+        self.two_bytes = self.pair_ranks(np.repeat(self.byte, 256), np.tile(self.byte[one], 256))
+
+    def _fill(self) -> None:
+        """An open-addressing table of the pairs, at most a quarter full."""
+        self.bits = max(4, (4 * len(self.pairs)).bit_length())
+        self.slots, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+        key, value = np.array(list(self.pairs), dtype=np.int64), np.array(list(self.pairs.values()), dtype=np.int64)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.slots[slot[put]], self.values[slot[put]] = key[put], value[put]
+            rest = np.ones(len(key), dtype=bool)
+            rest[put] = False
+            key, value, slot = key[rest], value[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -57,9 +92,17 @@ class Vocabulary:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, ``NONE`` where it does not merge or a side is -1."""
-        key = np.where((left < 0) | (right < 0), np.int64(-1), left * self.base + right)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        key = left * self.base + right
+        out = np.full(len(key), NONE)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))
+        slot = self._slot(key[todo])
+        while len(todo):
+            there = self.slots[slot]
+            hit = there == key[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
 
 
 def merge_long(raw: bytes, vocab: Vocabulary) -> list[int]:
@@ -110,8 +153,8 @@ def merge_long(raw: bytes, vocab: Vocabulary) -> list[int]:
     return out
 
 
-def merge_batch(pieces: Sequence[bytes], width: int, vocab: Vocabulary) -> list[list[int]]:
-    """The tokens of pieces of at most ``width`` bytes, a power of two."""
+def merge_batch(pieces: Sequence[bytes], width: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of pieces of at most ``width`` bytes, a power of two, one behind the other, and how many each has."""
     m = len(pieces)
     size = np.fromiter(map(len, pieces), dtype=np.int64, count=m)
     raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8).reshape(m, width)
@@ -119,7 +162,8 @@ def merge_batch(pieces: Sequence[bytes], width: int, vocab: Vocabulary) -> list[
     grid = np.where(spot < size[:, None], vocab.byte[raw], -1)
     dead = NONE * width
     trees = np.full((m, 2 * width), dead, dtype=np.int64)
-    trees[:, width : 2 * width - 1] = vocab.pair_ranks(grid[:, :-1], grid[:, 1:]) * width + spot[:-1]
+    pairs = vocab.two_bytes[raw[:, :-1].astype(np.int64) * 256 + raw[:, 1:]]
+    trees[:, width : 2 * width - 1] = np.where(spot[1:] < size[:, None], pairs, NONE) * width + spot[:-1]
     level = width
     while level > 1:
         half = level // 2
@@ -157,149 +201,186 @@ def merge_batch(pieces: Sequence[bytes], width: int, vocab: Vocabulary) -> list[
             tree[base + node] = np.minimum(tree[child], tree[child + 1])
         rows = rows[tree[root + 1] < dead]
     live = grid >= 0
-    flat, ends = grid[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return grid[live], live.sum(axis=1)
 
 
 class Codec:
-    """Encodes texts piece by piece and decodes ids; keeps the results of chunks."""
+    """Encodes texts and decodes ids; keeps the ids of pieces."""
 
     def __init__(self, vocab: Vocabulary, pattern: str) -> None:
         self.vocab = vocab
-        self.findall = regex.compile(pattern).findall
-        self.split = regex.compile(r"(?<=\S) (?=\S)").split
-        self.twice = regex.compile(r"\s\s").search
-        self.pieces: dict[str, list[int]] = {}
-
-    def encode_pieces(self, pieces: set[str]) -> None:
-        """Fill ``self.pieces`` for all of ``pieces``."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.vocab.ranks.get(raw)
-            if whole is not None:
-                self.pieces[piece] = [whole]
-            elif len(raw) > BATCHED:
-                self.pieces[piece] = merge_long(raw, self.vocab)
-            else:
-                by_width.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append((piece, raw))
-        for width, group in by_width.items():
+        self.finditer = None if pattern == pretokens.SPACED else regex.compile(pattern).finditer
+        self.known, self.ids = Interned(KEPT), Lists("int32")
+
+    def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of texts begin and end in their bytes; ``bounds``: where texts begin, with the end."""
+        if self.finditer is None:
+            points = pretokens.Points(data, bounds[:-1])
+            at = points.bytes_at(pretokens.spaced(points))
+            return at[:-1], at[1:]
+        start, end = [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            text = data[a:b].tobytes().decode()
+            at = np.cumsum([a, *(len(c.encode()) for c in text)])
+            for m in self.finditer(text):
+                start.append(at[m.start()])
+                end.append(at[m.end()])
+        return np.array(start, dtype=np.int64), np.array(end, dtype=np.int64)
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one behind the other, and how many each has."""
+        if self.known.full or self.ids.used > KEPT_IDS:
+            self.known.clear()
+            self.ids.clear()
+        start, end = self._pieces(data, bounds)
+        if not len(start):
+            return np.empty(0, np.int32), np.zeros(len(bounds) - 1, dtype=np.int64)
+        number, new = self.known.numbers(data, start, end)
+        raw = data.tobytes()
+        self.ids.extend(*self._merged([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
+        flat, sizes = self.ids.gather(number)
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        return flat, np.diff(before[np.searchsorted(start, bounds)])
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one behind the other, and how many each has."""
+        whole, sizes = np.array([self.vocab.ranks.get(p, -1) for p in pieces], dtype=np.int64), np.ones(len(pieces), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        rest = np.flatnonzero(whole < 0)
+        length = np.array([len(pieces[i]) for i in rest.tolist()], dtype=np.int64)
+        for i in rest[length > BATCHED].tolist():
+            ids = np.array(merge_long(pieces[i], self.vocab), dtype=np.int64)
+            sizes[i] = len(ids)
+            done.append((np.array([i]), ids))
+        width = 2
+        while width <= BATCHED:
+            own = rest[(length <= width) & (length > (width // 2 if width > 2 else 0))]
             step = max(1, CELLS // width)
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
-                for (piece, _), ids in zip(part, merge_batch([raw for _, raw in part], width, self.vocab), strict=True):
-                    self.pieces[piece] = ids
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                flat, sizes[part] = merge_batch([pieces[i] for i in part.tolist()], width, self.vocab)
+                done.append((part, flat))
+            width *= 2
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        for part, flat in done:
+            to, _ = gathered(np.arange(len(out)), ends[part] - sizes[part], sizes[part])
+            out[to] = flat
+        return out, sizes
 
     def encode_many(self, texts: Sequence[str]) -> list[list[int]]:
         """The ids of each text."""
-        cut = [self.findall(t) for t in texts]
-        missing = {p for pieces in cut for p in pieces}.difference(self.pieces)
-        self.encode_pieces(missing)
-        return [[i for p in pieces for i in self.pieces[p]] for pieces in cut]
+        data, bounds = pretokens.text_bytes(pa.array(texts, pa.string()))
+        flat, sizes = self.encode(data, bounds)
+        ends = np.cumsum(sizes).tolist()
+        return [flat[b - n : b].tolist() for b, n in zip(ends, sizes.tolist(), strict=True)]
 
-    def decode(self, ids: Sequence[int]) -> bytes:
+    def decode(self, ids: np.ndarray | Sequence[int]) -> np.ndarray:
         """The bytes that ids stand for."""
-        token = self.vocab.token
-        return b"".join([token[i] for i in ids])
-
-    def chunks(self, text: str) -> list[str]:
-        """The text cut at single spaces between visible characters, where no piece can straddle.
+        ids = np.asarray(ids, dtype=np.int64)
+        return gathered(self.vocab.raw, self.vocab.raw_at[ids], self.vocab.raw_size[ids])[0]
 
-        Each chunk but the first begins with its space.
-        """
-        parts = text.split(" ") if not self.twice(text) and text[:1] != " " and text[-1:] != " " else self.split(text)
-        return parts[:1] + [" " + p for p in parts[1:]]
-
-
-def _digests(codec: Codec, texts: list[str], kept: dict[str, tuple[int, bytes, bytes]]) -> list[tuple[int, str, str]]:
-    """Per text: number of ids, SHA-256 of the ids' decimal list, SHA-256 of the decoded bytes."""
-    cut = [codec.chunks(t) for t in texts]
-    if len(kept) > KEPT:
-        kept.clear()
-    seen: set[str] = set()
-    for chunks in cut:
-        seen.update(chunks)
-    seen.discard("")
-    new = [c for c in seen if c not in kept]
-    decimal = codec.vocab.decimal
-    for chunk, ids in zip(new, codec.encode_many(new), strict=True):
-        kept[chunk] = (len(ids), b" ".join([decimal[i] for i in ids]), codec.decode(ids))
-    codec.pieces.clear()
-    out = []
-    for text, chunks in zip(texts, cut, strict=True):
-        count, listed, raw = zip(*[kept[c] for c in chunks if c], strict=True) if text else ((), (), ())
-        out.append((sum(count), hashlib.sha256(b" ".join(listed)).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()))
-    return out
+    def decimals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each id in decimal with a blank behind, as bytes, and their sizes."""
+        grid = self.vocab.decimal[ids]
+        used = grid > 0
+        return grid[used], used.sum(axis=1)
 
 
-_CODECS: dict[tuple[str, str], tuple[Codec, dict]] = {}
+_CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(path: str, pattern: str) -> tuple[Codec, dict]:
-    """One codec per worker process, with the chunks it has seen."""
+def _codec(path: str, pattern: str) -> Codec:
+    """One codec per worker process, with the pieces it has seen."""
     if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = (Codec(Vocabulary.load(path), pattern), {})
+        _CODECS[path, pattern] = Codec(Vocabulary.load(path), pattern)
     return _CODECS[path, pattern]
 
 
-def _groups(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Rows of a batch in runs of bounded total length."""
-    ids: list = []
-    texts: list[str] = []
-    size = 0
-    for i, t in zip(batch.column(0), batch.column(1), strict=True):
-        text = t.as_py() or ""
-        ids.append(i.as_py())
-        texts.append(text)
-        size += len(text)
-        if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _groups(texts: pa.Array, cut: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, bounds, row): runs of texts of about GROUP bytes; with ``cut``, long texts in parts that begin where a piece does."""
+    data, ends = pretokens.text_bytes(texts)
+    at, rows = [], []
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        parts = [a + x for x in pretokens.cuttable(data[a:b], GROUP)] if cut and b - a > GROUP else [a]
+        at += parts
+        rows += [i] * len(parts)
+    if not rows:
+        return
+    bounds, rows = np.array([*at, len(data)], dtype=np.int64), np.array(rows)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + GROUP, side="right")) - 1)
+        yield data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], rows[lo:hi]
+        lo = hi
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id and its token ids as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _ = _codec(vocab_path, pattern)
+        codec = _codec(vocab_path, pattern)
         for batch in batches:
-            for ids, texts in _groups(batch):
-                found = codec.encode_many(texts)
-                codec.pieces.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for data, bounds, rows in _groups(batch.column(1), False):
+                flat, sizes = codec.encode(data, bounds)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists], names=["doc_id", "ids"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>")
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row of ``encoded``: doc_id and the bytes of its ids (null ids: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _ = _codec(vocab_path, "")
+        codec = _codec(vocab_path, pretokens.SPACED)
         for batch in batches:
-            raw = [codec.decode(x.as_py() or []) for x in batch.column(1)]
+            raw = [codec.decode(x.as_py() or []).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
     slim = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return slim.mapInArrow(run, "doc_id long, raw binary")
 
 
+def _digests(codec: Codec, texts: pa.Array) -> list[tuple[int, str, str]]:
+    """Per text: number of ids, SHA-256 of the ids' decimal list, SHA-256 of the decoded bytes."""
+    count = [0] * len(texts)
+    hashes: list = [None] * len(texts)
+    for data, bounds, rows in _groups(texts, codec.finditer is None):
+        ids, sizes = codec.encode(data, bounds)
+        listed, widths = codec.decimals(ids)
+        raw = codec.decode(ids)
+        ends = np.cumsum(sizes)
+        listed_at = np.concatenate([[0], np.cumsum(widths)])[np.concatenate([[0], ends])].tolist()
+        raw_at = np.concatenate([[0], np.cumsum(codec.vocab.raw_size[ids])])[np.concatenate([[0], ends])].tolist()
+        listed, raw = listed.data, raw.data
+        for k, row in enumerate(rows.tolist()):
+            if hashes[row] is None:
+                hashes[row] = (hashlib.sha256(), hashlib.sha256())
+            if sizes[k]:
+                if count[row]:
+                    hashes[row][0].update(b" ")
+                hashes[row][0].update(listed[listed_at[k] : listed_at[k + 1] - 1])
+                hashes[row][1].update(raw[raw_at[k] : raw_at[k + 1]])
+                count[row] += int(sizes[k])
+    return [(n, a.hexdigest(), b.hexdigest()) for n, (a, b) in zip(count, hashes, strict=True)]
+
+
 def round_trip_digests(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text; return counts and digests instead of the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, kept = _codec(vocab_path, pattern)
+        codec = _codec(vocab_path, pattern)
         for batch in batches:
-            for ids, texts in _groups(batch):
-                found = _digests(codec, texts, kept)
-                columns = [pa.array(ids, pa.int64()), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = _digests(codec, batch.column(1))
+            columns = [batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

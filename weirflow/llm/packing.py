@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm import pretokens
+from weirflow.llm.interned import Interned, Lists
 from weirflow.llm.workspace import materialise
 
 CAPACITY = 2048
@@ -42,18 +44,26 @@ GROUPS = 192  #: groups of large lengths
 SMALL = 3  #: a length is small if so many of it fit into a sequence
 ROWS_A_SALT = 50_000  #: rows of one length that a task ranks, about
 MARK, LINE = " ~ ", 4000  #: what parts words that are encoded together, and how many are
-TAIL = b".,!?;:%*&$#"  #: punctuation that is split off a word before its ids are looked up
-KEPT_STEMS = 900_000  #: as KEPT, without punctuation
-KEPT = 500_000  #: words whose ids a worker keeps
+KEPT, KEPT_IDS = 1_200_000, 8_000_000  #: pieces that a worker keeps, and ids of them: about 100 MB
+GROUP = 1 << 22  #: bytes of text encoded at a time, but for longer texts
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Code points that neither composition nor lower-casing turns into others in number or kind: what lies before the combining
+#: marks, but for the dotted capital I.
+_PLAIN = np.ones(0x301, dtype=bool)
+_PLAIN[[0x130, 0x300]] = False
 
 
 # -- tokens ------------------------------------------------------------------
 
 
 class WordIds:
-    """Ids of texts under a tokenizer whose pieces never span white space; words are kept.
+    """Ids of texts under a tokenizer that lower-cases and encodes each piece of the pattern BARE by itself.
 
-    A text that holds an added token (matched before anything else, case and all) goes through the tokenizer whole.
+    Pieces of plain words are told apart by whole arrays, and those that are new are encoded by the tokenizer, many in one
+    call; their ids are kept, up to a bound.  A word with a code point that normalisation may change in number or kind goes
+    to the tokenizer whole, and so does a text that holds an added token (matched before anything else, case and all).
     """
 
     def __init__(self, path: str) -> None:
@@ -61,46 +71,56 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.tokenizer.encode_special_tokens = True  # for words alone: lower-casing must not make an added token of one
-        self.kept: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit numbers."""
-        added = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [[] if k in added else t.encode("utf-8").lower().split() for k, t in enumerate(texts)]  # of ASCII alone, at ASCII white space
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        if len(self.stems) > KEPT_STEMS:
-            self.stems.clear()
-        seen: set[bytes] = set()
-        for words in cut:
-            seen.update(words)
-        new = [w for w in seen if w not in self.kept]
-        parts = [self._parts(w) for w in new]
-        fresh = {p for pair in parts for p in pair if p not in self.stems}
-        self.stems.update(zip(fresh, self._encode([p.decode() for p in fresh]), strict=True))
-        for word, (stem, tail) in zip(new, parts, strict=True):
-            self.kept[word] = self.stems[stem] + self.stems[tail]
-        get = self.kept.__getitem__
-        return [self._whole(texts[k]) if k in added else b"".join(map(get, words)) for k, words in enumerate(cut)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # for pieces alone: lower-casing must not make an added token of one
+        self.known, self.ids = Interned(KEPT), Lists("<u4")
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit numbers; ``bounds``: where texts begin, with the end."""
+        if self.known.full or self.ids.used > KEPT_IDS:
+            self.known.clear()
+            self.ids.clear()
+        raw = data.tobytes()
+        low = _LOWER[data]
+        start, end = self._pieces(low, bounds)
+        number, new = self.known.numbers(low, start, end)
+        text = low.tobytes()
+        fresh = self._encode([text[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+        self.ids.extend(np.frombuffer(b"".join(fresh), dtype="<u4"), np.array([len(f) // 4 for f in fresh], dtype=np.int64))
+        flat, sizes = self.ids.gather(number)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, bounds)].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        if any(a in raw for a in self.added):
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if any(x in raw[a:b] for x in self.added):
+                    out[k] = np.array(self.whole.encode(raw[a:b].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
 
     @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word and the ASCII punctuation behind it, where the tokenizer's pattern is bound to cut: behind a letter or digit."""
-        stem = word.rstrip(TAIL)
-        if len(stem) == len(word) or not stem:
-            return word, b""
-        last = stem[-1:] if stem[-1] < 0x80 else stem[-2:]
-        sure = last.isalnum() if len(last) == 1 else last != b"\xc4\xb0" and last[0] in (0xC3, 0xC4, 0xC5) and last.decode().isalpha()  # the dotted capital I becomes two characters
-        return (stem, word[len(stem) :]) if sure else (word, b"")
+    def _pieces(low: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin and end: of plain words those of the pattern, other words whole."""
+        if not len(low):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        points = pretokens.Points(low, bounds[:-1])
+        begin = points.runs()
+        begin[1:-1] |= points.kind[1:] == pretokens.NUMBER
+        points.contract(begin)
+        dark = points.kind != pretokens.SPACE
+        odd = ~(_PLAIN[np.minimum(points.point, len(_PLAIN) - 1)])
+        if odd.any():
+            edge = points.first.copy()
+            edge[1:-1] |= dark[1:] != dark[:-1]
+            words = np.flatnonzero(edge)
+            number = np.cumsum(edge)[:-1] - 1
+            strange = np.bincount(number, odd & dark, len(words) - 1) > 0
+            begin[:-1] &= ~strange[number] | edge[:-1]
+        at = np.flatnonzero(begin)
+        kept = dark[at[:-1]]
+        at = points.bytes_at(at)
+        return at[:-1][kept], at[1:][kept]
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of single words: many at once with a mark between them, each alone where a word holds the mark."""
+        """Ids of single pieces: many at once with a mark between them, each alone where one holds the mark."""
         encode = self.tokenizer.encode_batch_fast
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         plain = [w for w in words if MARK.strip() not in w] if len(mark) == 1 else []
@@ -131,9 +151,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         words = _TOKENIZERS.get(tokenizer_path) or _TOKENIZERS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         end, most = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
-        def cut(ids: list, texts: list[str]) -> pa.RecordBatch:
+        def cut(ids: list, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
             out: list[tuple] = []
-            for doc, raw in zip(ids, words(texts), strict=True):
+            for doc, raw in zip(ids, words(data, bounds), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), most)):
                     part = raw[at : at + most]
@@ -142,18 +162,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
-            ids: list = []
-            texts: list[str] = []
-            size = 0
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(i.as_py())
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size > 4_000_000:
-                    yield cut(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield cut(ids, texts)
+            ids = batch.column(0).to_pylist()
+            data, bounds = pretokens.text_bytes(batch.column(1))
+            lo = 0
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + GROUP, side="right")) - 1)
+                yield cut(ids[lo:hi], data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                lo = hi
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
