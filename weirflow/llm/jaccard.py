@@ -11,10 +11,11 @@ region.
    sets have a part in which they are equal: they share a key, the hash of what
    they have in that part.  A set has keys for its own class of sizes and for the
    next one, in which a linked set may be.  Unrelated sets share no key, however
-   frequent the words, lines or passages are that they have in common.
+   frequent the words, lines or passages are that they have in common.  Linked sets
+   agree in more parts than one, so a set must share a number of keys to go on.
 2. Each key names a pivot, of its sets the one with the most shared keys.  All sets
-   that share a key with a pivot of that key form its cell; a linked pair meets in
-   a cell.
+   of the key go to the pivot's cell, or to that of a better pivot to which it hands
+   its own; a linked pair meets in a cell.
 3. A cell is joined recursively and exactly (:mod:`weirflow.llm.regions`): sets go
    to the Voronoi region of their nearest pivot and, where the triangle inequality
    admits a partner there, to others.  Cells that are too large for a task are first
@@ -54,12 +55,13 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import regions
 from weirflow.llm.components import components
-from weirflow.llm.shingles import mix, names_of, shingle_sets, short_names
+from weirflow.llm.shingles import mix, names_of, runs, shingle_sets, short_names
 from weirflow.llm.workspace import Scratch
 
 WORDS = 4  #: words in a shingle of the registered query
 PERCENT = 85  #: of the union that the intersection must have
 SEEN = 1_000_000  #: names that a task remembers to skip copies
+HANDED = 2  #: doublings of the steps by which a cell goes to a better pivot
 OFTEN = 8  #: a key of more sets of a batch is sent to the index twice only
 ENTRIES = 4_000_000  #: entries of the index in a partition, about
 BITS = 25  #: a bit map has 2 ** BITS bits
@@ -67,7 +69,7 @@ TASK = 2_000_000  #: weight of a cell that one task joins, and of a block
 WEIGHT = "n + 50"  #: of a set: its shingles and something for itself
 SPLIT = 12  #: pivots of a cell that whole jobs split
 
-_ROW = "doc_id long, n long, name binary"
+_ROW = "doc_id long, n long, name binary, s long"
 
 
 # -- keys --------------------------------------------------------------------
@@ -100,11 +102,23 @@ class Classes:
         return apart + 1 + margin, margin
 
 
-def keys_of(flat: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of sets (one behind the other, sorted) and the number of the set that each belongs to."""
+def keys_of(flat: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of sets (one behind the other, sorted), the set that each belongs to, and how many of its set's keys must be shared.
+
+    Linked sets agree in one part more than the margin at least, so they share as many keys of one class, less the parts
+    that both have empty.  A key's lowest bit tells its class from the set's other one.
+    """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     own = classes.of(sizes)
-    out, owners = [], []
+    out, owners, needs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def add(sums: np.ndarray, who: np.ndarray, part: np.ndarray, need: np.ndarray) -> None:
+        kind = (own[who] + step).astype(np.uint64)
+        key = mix(sums + mix(kind * np.uint64(0x9E3779B97F4A7C15) + part))
+        out.append(key & ~np.uint64(1) | kind & np.uint64(1))
+        owners.append(who)
+        needs.append(need)
+
     for step in (0, 1):
         kinds, number = np.unique(own + step, return_inverse=True)
         table = np.array([classes.parts(int(k)) for k in kinds], dtype=np.int64).reshape(-1, 2)
@@ -119,17 +133,13 @@ def keys_of(flat: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple[np.n
         at = np.flatnonzero(first)
         sums = np.add.reduceat(mix(shingle ^ np.uint64(0x5851F42D4C957F2D)), at)
         who, part = who[at], part[at]
-        seed = mix((own[who] + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part)
-        out.append(mix(sums + seed))
-        owners.append(who)
+        empty = parts - np.bincount(who, minlength=len(sizes))
+        add(sums, who, part, np.maximum(1 + margin - empty, 1)[who])
         # Sets with more empty parts than the margin, which are very few, have keys for these.
-        for i in np.flatnonzero((parts > 0) & (parts - np.bincount(who, minlength=len(sizes)) > margin)).tolist():
-            empty = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[who == i])
-            out.append(mix(mix(np.full(len(empty), own[i] + step, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + empty)))
-            owners.append(np.full(len(empty), i))
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(out), np.concatenate(owners)
+        for i in np.flatnonzero((parts > 0) & (empty > margin)).tolist():
+            blank = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[who == i])
+            add(np.zeros(len(blank), np.uint64), np.full(len(blank), i), blank, np.ones(len(blank), np.int64))
+    return np.concatenate(out), np.concatenate(owners), np.concatenate(needs)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -137,83 +147,113 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def index_entries(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """(bucket, keys, owners): packed entries of the index; ``bucket`` -1 - x: entries of keys that a batch has often.
+    """(bucket, keys, owners, needs): packed entries of the index; ``bucket`` -1 - x: entries of keys that a batch has often.
 
     A key is its bucket and 32 bits; keys that agree in these are taken for one, which costs a comparison.
     """
 
+    def rows(texts: pa.Array, seen: set[bytes], classes: Classes) -> pa.RecordBatch | None:
+        flat, sizes = shingle_sets(texts, words)
+        names = names_of(flat, sizes)
+        fresh = np.zeros(len(names), dtype=bool)
+        for i, name in enumerate(names):
+            if name and name not in seen:
+                seen.add(name)
+                fresh[i] = True
+        if len(seen) > SEEN:
+            seen.clear()
+        key, who, need = keys_of(flat[np.repeat(fresh, sizes)], sizes[fresh], classes)
+        if not len(key):
+            return None
+        short = short_names([n for n, f in zip(names, fresh, strict=True) if f])
+        order = np.argsort(key, kind="stable")
+        key, who, need = key[order], who[order], np.minimum(need[order], 255).astype(np.uint8)
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(at, len(key)))
+        often = np.repeat(count > OFTEN, count) & (np.arange(len(key)) - np.repeat(at, count) > 1)
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for pick, sign in ((np.flatnonzero(~often), 1), (np.flatnonzero(often), -1)):
+            if not len(pick):
+                continue
+            cut = np.flatnonzero(np.append(True, bucket[pick][1:] != bucket[pick][:-1])).tolist()
+            for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
+                part = pick[a:b]
+                x = int(bucket[part[0]])
+                for to, value in zip(out, (x if sign > 0 else -1 - x, low[part].tobytes(), short[who[part]].tobytes(), need[part].tobytes()), strict=True):
+                    to.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "keys", "owners", "needs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         classes = Classes(percent)
         for batch in batches:
-            flat, sizes = shingle_sets(batch.column(0), words)
-            names = names_of(flat, sizes)
-            fresh = np.zeros(len(names), dtype=bool)
-            for i, name in enumerate(names):
-                if name and name not in seen:
-                    seen.add(name)
-                    fresh[i] = True
-            if len(seen) > SEEN:
-                seen.clear()
-            key, who = keys_of(flat[np.repeat(fresh, sizes)], sizes[fresh], classes)
-            if not len(key):
-                continue
-            short = short_names([n for n, f in zip(names, fresh, strict=True) if f])
-            order = np.argsort(key, kind="stable")
-            key, who = key[order], who[order]
-            run_at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            rank = np.arange(len(key)) - np.repeat(run_at, np.diff(np.append(run_at, len(key))))
-            often = np.repeat(np.diff(np.append(run_at, len(key))) > OFTEN, np.diff(np.append(run_at, len(key)))) & (rank > 1)
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-            rows: tuple[list, list, list] = ([], [], [])
-            for pick, sign in ((np.flatnonzero(~often), 1), (np.flatnonzero(often), -1)):
-                if not len(pick):
-                    continue
-                cut = np.flatnonzero(np.append(True, bucket[pick][1:] != bucket[pick][:-1])).tolist()
-                for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
-                    part = pick[a:b]
-                    x = int(bucket[part[0]])
-                    rows[0].append(x if sign > 0 else -1 - x)
-                    rows[1].append(low[part].tobytes())
-                    rows[2].append(short[who[part]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "keys", "owners"])
-
-    return docs.select("text").mapInArrow(run, "bucket long, keys binary, owners binary")
+            for a, b in runs(batch.column(0)):
+                if (found := rows(batch.column(0).slice(a, b - a), seen, classes)) is not None:
+                    yield found
+
+    return docs.select("text").mapInArrow(run, "bucket long, keys binary, owners binary, needs binary")
 
 
 def shared_keys(entries: DataFrame, partitions: int) -> DataFrame:
-    """(key, s): the keys that at least two sets have, and their sets by short name.
+    """(key, s, need): the keys that at least two sets have, and their sets by short name.
 
     Rows of a bucket with few sets a batch meet in a partition; of other keys two sets a batch come there, which is enough
     for the key to count as shared, while the rest pass by any partition.
     """
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("keys", "owners"))
+    names = ["key", "s", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [], []
+        keys, owners, needs = [], [], []
         for batch in batches:
-            for bucket, low, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for bucket, low, own, need in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 whole = (np.frombuffer(low, dtype="<u4").astype(np.int64)) | ((bucket if bucket >= 0 else -1 - bucket) << 32)
-                own = np.frombuffer(own, dtype="<i8")
+                own, need = np.frombuffer(own, dtype="<i8"), np.frombuffer(need, dtype=np.uint8)
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(own)], names=["key", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(own), pa.array(need.astype(np.int16))], names=names)
                 else:
                     keys.append(whole)
                     owners.append(own)
+                    needs.append(need)
         if not keys:
             return
-        key, own = np.concatenate(keys), np.concatenate(owners)
-        del keys, owners
+        key, own, need = np.concatenate(keys), np.concatenate(owners), np.concatenate(needs)
+        del keys, owners, needs
         order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
+        key, own, need = key[order], own[order], need[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         mixed = np.repeat(np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at), np.diff(np.append(at, len(key))))
-        key, own = key[mixed], own[mixed]
+        key, own, need = key[mixed], own[mixed], need[mixed].astype(np.int16)
         for a in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(own[a : a + 100_000])], names=["key", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key, own, need)], names=names)
+
+    return entries.repartition(partitions, dealt).mapInArrow(run, "key long, s long, need short").distinct()
 
-    return entries.repartition(partitions, dealt).mapInArrow(run, "key long, s long").distinct()
+
+def enough(met: DataFrame) -> DataFrame:
+    """(key, s) of the sets that share as many keys of a class as a linked set must."""
+    kind = F.col("key").bitwiseAND(1).alias("kind")
+    fine = met.groupBy("s", kind).agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("s", "kind")
+    return met.select("key", "s", kind).join(fine, ["s", "kind"], "left_semi").select("key", "s")
+
+
+def cells_of(met: DataFrame) -> DataFrame:
+    """(cell, s): the sets that share keys with a pivot, by the pivot.
+
+    The pivot of a key is its set with the most shared keys.  A pivot that shares a key with a better one hands its cell to
+    that, a few times over, so that a set is in few cells.
+    """
+    weight = met.join(met.groupBy("s").agg(F.count("*").alias("k")), "s")
+    heads = weight.groupBy("key").agg(F.max(F.struct("k", "s")).alias("x")).select("key", "x")
+    joined = met.join(heads, "key")
+    better = joined.groupBy("s").agg(F.max("x").alias("x")).select("s", F.col("x.s").alias("up"))
+    for _ in range(HANDED):
+        up = better.select(F.col("s").alias("up"), F.col("up").alias("top"))
+        better = better.join(up, "up").select("s", F.col("top").alias("up"))
+    pivots = better.select(F.col("s").alias("pivot"), F.col("up").alias("cell"))
+    return joined.select("s", F.col("x.s").alias("pivot")).distinct().join(pivots, "pivot").select("cell", "s").distinct()
 
 
 # -- texts -------------------------------------------------------------------
@@ -224,14 +264,17 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def named(slim: DataFrame, words: int) -> DataFrame:
-    """Per text: doc_id, n, name, and the columns of type long behind the text."""
+    """Per text: doc_id, n, name, short name s, and the columns of type long behind the text."""
     more = slim.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, sizes = shingle_sets(batch.column(1), words)
-            columns = [batch.column(0), pa.array(sizes), pa.array(names_of(flat, sizes), pa.binary()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "name", *more])
+        for whole in batches:
+            for a, b in runs(whole.column(1)):
+                batch = whole.slice(a, b - a)
+                flat, sizes = shingle_sets(batch.column(1), words)
+                names = names_of(flat, sizes)
+                columns = [batch.column(0), pa.array(sizes), pa.array(names, pa.binary()), pa.array(short_names(names)), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "name", "s", *more])
 
     return slim.mapInArrow(run, ", ".join([_ROW, *(f"{x} long" for x in more)]))
 
@@ -251,30 +294,29 @@ def bit_map_of(spark: SparkSession, short: DataFrame) -> np.ndarray:
 
 
 def members(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
-    """(s, name, n, members) of the texts whose set's short name is in the bit map ``wanted`` (and of some others)."""
+    """(name, members) of the texts whose set's short name is in the bit map ``wanted`` (and of some others), once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            flat, sizes = shingle_sets(batch.column(0), words)
-            names = names_of(flat, sizes)
-            short = short_names(names)
-            at = _bits(short)
-            hit = ((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0) & (sizes > 0)
-            ends, pick = np.cumsum(sizes), []
-            for i in np.flatnonzero(hit).tolist():
-                if names[i] not in seen:
-                    seen.add(names[i])
-                    pick.append(i)
-            if len(seen) > SEEN:
-                seen.clear()
-            while pick:
-                some = pick[: max(1, int(np.searchsorted(np.cumsum(sizes[pick]), 1_000_000)))]
-                pick = pick[len(some) :]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes[some]]), pa.int32()), pa.array(_signed(np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in some]))))
-                yield pa.RecordBatch.from_arrays([pa.array(short[some]), pa.array([names[i] for i in some], pa.binary()), pa.array(sizes[some]), lists], names=["s", "name", "n", "members"])
-
-    return docs.select("text").mapInArrow(run, "s long, name binary, n long, members array<long>")
+            for a, b in runs(batch.column(0)):
+                flat, sizes = shingle_sets(batch.column(0).slice(a, b - a), words)
+                names = names_of(flat, sizes)
+                at = _bits(short_names(names))
+                hit = ((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0) & (sizes > 0)
+                ends, pick = np.cumsum(sizes), []
+                for i in np.flatnonzero(hit).tolist():
+                    if names[i] not in seen:
+                        seen.add(names[i])
+                        pick.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if pick:
+                    own = pa.array(_signed(np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in pick])))
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes[pick]]), pa.int32()), own)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in pick], pa.binary()), lists], names=["name", "members"])
+
+    return docs.select("text").mapInArrow(run, "name binary, members array<long>")
 
 
 # -- cells -------------------------------------------------------------------
@@ -289,22 +331,33 @@ def _edges(names: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([names[i] for i, _ in links], pa.binary()), "b": pa.array([names[j] for _, j in links], pa.binary())})
 
 
-def join_cells(rows: DataFrame, percent: int, bunches: int) -> DataFrame:
-    """(a, b): spanning forests of the links of cells (cell, name, n, members, pivot); each cell fits into a task."""
+def join_cells(cells: DataFrame, whole: DataFrame, percent: int, bunches: int) -> DataFrame:
+    """(a, b): spanning forests of the links of cells (cell, name, n, pivot); each cell fits into a task.
+
+    Cells go to tasks in bunches, and a set once to each bunch; ``whole`` (name, members) may hold a set several times.
+    """
+    routes = cells.withColumn("bunch", F.pmod(F.xxhash64("cell"), F.lit(bunches))).groupBy("name", "bunch").agg(F.collect_list(F.struct("cell", "pivot")).alias("cells"))
 
     def bunch(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cell", "ascending"), ("name", "ascending")])
-        cell, names, pivot = table.column("cell").to_numpy(), table.column("name").to_pylist(), table.column("pivot").to_numpy()
-        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist()
+        names = table.column("name").to_pylist()
+        first = {name: i for i, name in reversed(list(enumerate(names)))}
+        own: dict[int, list[tuple[int, bool]]] = {}
+        cells = table.column("cells").to_pylist()
+        for i in sorted(first.values()):
+            for x in cells[i]:
+                own.setdefault(x["cell"], []).append((i, x["pivot"]))
+        lists = table.column("members").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out: list[tuple[int, int]] = []
-        for a, b in zip(at, [*at[1:], len(cell)], strict=True):
-            sets, labels = _sets(table.slice(a, b - a)), regions.Labels(b - a)
-            head = np.flatnonzero(pivot[a:b])
-            regions.join(sets, np.arange(b - a), labels, percent, int(head[0]) if len(head) else None)
-            out += [(a + i, a + j) for i, j in labels.links]
+        for _, rows in sorted(own.items()):
+            idx = [i for i, _ in rows]
+            sets = regions.Sets(np.concatenate([flat[ends[i] : ends[i + 1]] for i in idx]), np.diff(ends)[idx])
+            labels = regions.Labels(len(idx))
+            regions.join(sets, np.arange(len(idx)), labels, percent, next((k for k, (_, head) in enumerate(rows) if head), None))
+            out += [(idx[i], idx[j]) for i, j in labels.links]
         return _edges(names, out)
 
-    return rows.withColumn("bunch", F.pmod(F.xxhash64("cell"), F.lit(bunches))).groupBy("bunch").applyInArrow(bunch, "a binary, b binary")
+    return whole.join(routes, "name").select("bunch", "name", "cells", "members").groupBy("bunch").applyInArrow(bunch, "a binary, b binary")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -383,36 +436,36 @@ def links(slim: DataFrame, rows: DataFrame, words: int, percent: int, work: Scra
     shingles_in_all = rows.agg(F.sum("n")).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles_in_all * 8 * (100 - percent) // 300 // ENTRIES))
     met = work.table(shared_keys(index_entries(slim, words, percent, 4 * partitions), partitions), "keys")
-    # The pivot of a key is its set with the most shared keys.
-    weight = met.join(met.groupBy("s").agg(F.count("*").alias("k")), "s")
-    pivots = weight.groupBy("key").agg(F.max(F.struct("k", "s")).alias("x")).select("key", F.col("x.s").alias("cell"))
-    pairs = work.table(met.join(pivots, "key").where("s <> cell").select("cell", "s").distinct(), "pairs")
+    close = work.table(enough(met), "close")
     work.drop(met)
-    everyone = pairs.union(pairs.select("cell", F.col("cell").alias("s")).distinct())
-    wanted = pairs.select("s").union(pairs.select("cell")).distinct()
-    found = members(slim, words, bit_map_of(spark, wanted)).join(wanted, "s", "left_semi")
-    sets = work.table(found.groupBy("name").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.first("members").alias("members")), "sets")
-    cells = work.table(_totals(everyone.join(sets.select("s", "name", "n"), "s").select("cell", "name", "n", (F.col("s") == F.col("cell")).alias("pivot"))), "cells")
-    edges = _recurse(cells, sets, percent, work)
-    work.drop(pairs, sets, cells)
+    pairs = work.table(cells_of(close), "pairs")
+    work.drop(close)
+    named_once = rows.where("n > 0").select("s", "name", "n").distinct()
+    cells = work.table(_totals(pairs.join(named_once, "s").select("cell", "name", "n", (F.col("s") == F.col("cell")).alias("pivot"))), "cells")
+    whole = members(slim, words, bit_map_of(spark, pairs.select("s").distinct()))
+    edges = _recurse(cells, whole, percent, work)
+    work.drop(pairs, cells)
     groups = work.table(components(edges), "groups")
     return groups
 
 
-def _recurse(cells: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
-    """The edges of all cells (cell, name, n, total, pivot)."""
-    whole = sets.select("name", "members")
+def _recurse(cells: DataFrame, whole: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """The edges of all cells (cell, name, n, total, pivot); ``whole``: (name, members), some maybe several times."""
     done: list[DataFrame] = []
+    sets: DataFrame | None = None
     turn = 0
     while True:
         fits = cells.where(F.col("total") <= TASK)
         bunches = max(1, -(-(fits.agg(F.sum(F.expr(WEIGHT))).first()[0] or 0) // TASK))
-        done.append(work.table(join_cells(fits.join(whole, "name"), percent, bunches), "edges"))
+        done.append(work.table(join_cells(fits, whole if sets is None else sets, percent, bunches), "edges"))
         large = cells.where(F.col("total") > TASK)
         if large.isEmpty():
             break
         turn += 2
-        dealt = work.table(deal(large.join(whole, "name"), percent, turn), "dealt")
+        if sets is None:
+            some = whole.join(large.select("name").distinct(), "name", "left_semi")
+            sets = work.table(some.groupBy("name").agg(F.first("members").alias("members")), "sets")
+        dealt = work.table(deal(large.join(sets, "name"), percent, turn), "dealt")
         done.append(work.table(dealt.where("link IS NOT NULL").select(F.col("name").alias("a"), F.col("link").alias("b")).distinct(), "edges"))
         labels = components(_all(done))
         parts = dealt.where("q IS NOT NULL")
@@ -420,12 +473,13 @@ def _recurse(cells: DataFrame, sets: DataFrame, percent: int, work: Scratch) ->
         kept = parts.join(reach, ["cell", "q"]).where(F.col("core") | (F.col("d") <= F.col("reach") + (1 - percent / 100) + regions.EPS))
         kept = kept.join(labels.withColumnRenamed("node", "name"), "name", "left").select("cell", "q", "name", F.coalesce("component", "name").alias("c"))
         mixed = kept.groupBy("cell", "q").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell", "q")
-        sub = kept.join(mixed, ["cell", "q"]).join(sets.select("name", "n"), "name").join(large.select("cell", F.col("total").alias("before")).distinct(), "cell")
+        sub = kept.join(mixed, ["cell", "q"]).join(large.select("cell", "name", "n", F.col("total").alias("before")), ["cell", "name"])
         named_sub = sub.select(F.xxhash64("cell", "q").alias("cell"), "name", "n", "c", "before")
         cells = work.table(_totals(named_sub).withColumn("pivot", F.lit(False)), "cells")
+        work.drop(dealt)
         stuck = cells.where((F.col("total") > TASK) & (F.col("total") > F.col("before") * regions.SHRUNK))
         if not stuck.isEmpty():
-            done.append(work.table(join_blocks(stuck.join(whole, "name"), percent), "edges"))
+            done.append(work.table(join_blocks(stuck.join(sets, "name"), percent), "edges"))
             cells = cells.where((F.col("total") <= TASK) | (F.col("total") <= F.col("before") * regions.SHRUNK))
     return _all(done)
 
@@ -447,10 +501,18 @@ def _labelled(slim: DataFrame, words: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    labelled = _labelled(_slim(docs, id_col, text_col), words, percent)
-    least = labelled.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    joined = labelled.join(least, (labelled.c == least.c) & (labelled.n > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    work = Scratch(docs.sparkSession)
+    slim = _slim(docs, id_col, text_col)
+    rows = work.table(named(slim, words), "named")
+    groups = links(slim, rows, words, percent, work)
+    # Copies of a set meet in partial aggregates; the join that brings the result back to rows may be split.
+    once = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "name"), "name", "left")
+    once = work.table(once.select("name", "least", F.coalesce("component", "name").alias("c")), "once")
+    least = once.groupBy("c").agg(F.min("least").alias("component_id"))
+    found = work.table(once.join(least, "c").select("name", "component_id"), "found")
+    work.drop(once, groups)
+    joined = rows.join(found, "name", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

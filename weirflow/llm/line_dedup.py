@@ -13,7 +13,8 @@ partial aggregation; the join that brings first places back to windows is an
 equi-join that adaptive execution may split.  Texts are shuffled once.
 
 Defined results: null texts stay null and have no lines; texts of fewer than
-three counting lines are left as they are; repeated rows (same id and text)
+three counting lines are left as they are; texts of any length are compared and
+cut whole; of equal windows at one place of a text the first counts; repeated rows (same id and text)
 count as one document and are treated alike; null ids come before all others;
 empty tables give empty tables; other columns pass through untouched, whatever
 their names.
@@ -31,7 +32,7 @@ WINDOW = 3
 
 def _key(id_col: str, text_col: str) -> Column:
     """What identifies a document: id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +41,7 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     made = f"""transform(array({counting}), c -> CASE WHEN size(c) >= {WINDOW} THEN transform(sequence(0, size(c) - {WINDOW}), i -> named_struct(
       'hash', unhex(md5(concat_ws('\\n', c[i].l, c[i + 1].l, c[i + 2].l))),
       'lines', array(c[i].i, c[i + 1].i, c[i + 2].i))) END)[0]"""
-    slim = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     per_text = slim.select("key", "id", F.expr(made).alias("w"))
     return per_text.select("key", "id", F.posexplode("w").alias("at", "w")).select("key", "id", "at", "w.hash", "w.lines")
 
@@ -53,22 +54,29 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.select("key", F.explode("lines").alias("line")).groupBy("key").agg(F.collect_set("line").alias("removed"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with covered lines taken out of the text, and ``_n_lines``, ``_n_removed`` (in place of columns of these names)."""
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: the row as it was in ``doc``, and ``text`` without covered lines, ``n_lines``, ``n_removed``."""
     # All of a document's columns travel in a struct, so none of their names can clash with ours.
     keyed = docs.select(_key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     joined = keyed.join(covered(docs, id_col, text_col), "key", "left")
-    lines = f"split(doc.`{text_col}`, '\\n')"
+    lines = f"split(cast(doc.`{text_col}` AS string), '\\n')"
     # The one-element array binds the lines to a name, so that a text is split once and not for every line.
     kept = F.expr(f"transform(array({lines}), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), removed), i -> ls[i]), '\\n'))[0]")
-    own = {c: F.col(f"doc.`{c}`") for c in docs.columns if c not in ("_n_lines", "_n_removed")}
+    own = F.col(f"doc.`{text_col}`").cast("string")
     return joined.select(
-        *(F.when(F.col("removed").isNull(), x).otherwise(kept).alias(c) if c == text_col else x.alias(c) for c, x in own.items()),
-        F.when(own[text_col].isNull(), 0).otherwise(F.size(F.expr(lines))).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("_n_removed"),
+        "doc", F.when(F.col("removed").isNull(), own).otherwise(kept).alias("text"),
+        F.when(own.isNull(), 0).otherwise(F.size(F.expr(lines))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with covered lines taken out of the text, and ``_n_lines``, ``_n_removed`` (in place of columns of these names)."""
+    own = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    columns = (F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in own)
+    return deduped(docs, id_col, text_col).select(*columns, F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"))
+
+
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """The query of this operator over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

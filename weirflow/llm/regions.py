@@ -18,6 +18,7 @@ import numpy as np
 SMALL = 24  #: regions of at most so many sets are joined exactly
 PIVOTS = 12  #: of a region, at most
 SHRUNK = 0.8  #: a region that keeps more than this share of the sets is joined exactly
+CELLS, DENSE = 8_000_000, 0.005  #: a region whose matrix has at most so many cells, of which this share is filled, is joined by products
 EPS = 1e-9  #: above the rounding of distances
 
 
@@ -72,6 +73,9 @@ class Sets:
 
 def exact(sets: Sets, idx: np.ndarray, labels: Labels, percent: int) -> None:
     """Link all pairs of ``idx`` within the radius that are not in one component already."""
+    entries = int(sets.left[idx].sum())
+    if len(idx) > SMALL and len(idx) * sets.width <= CELLS and entries > DENSE * len(idx) * sets.width:
+        return dense(sets, idx, labels, percent)
     # Small components first: their sets are compared with all others, those of the largest with none that is left.
     _, of, count = np.unique(labels.label[idx], return_inverse=True, return_counts=True)
     order = idx[np.argsort(count[of], kind="stable")]
@@ -84,6 +88,21 @@ def exact(sets: Sets, idx: np.ndarray, labels: Labels, percent: int) -> None:
             labels.join(i, rest[linked(sets, i, rest, percent)])
 
 
+def dense(sets: Sets, idx: np.ndarray, labels: Labels, percent: int) -> None:
+    """As :func:`exact`, with intersections as products of a matrix of zeros and ones."""
+    grid = np.zeros((len(idx), sets.width), dtype=np.float32)
+    for k, i in enumerate(idx.tolist()):
+        grid[k, sets.of(i)] = 1
+    size = sets.sizes[idx]
+    for at in range(0, len(idx), 256):
+        both = (grid[at : at + 256] @ grid.T).astype(np.int64)  # whole numbers below 2 ** 24 are exact
+        near = both * 100 >= (size[at : at + 256, None] + size - both) * percent
+        for k in range(len(near)):
+            others = idx[at + k + 1 :][near[k, at + k + 1 :]]
+            if len(others):
+                labels.join(int(idx[at + k]), others)
+
+
 def linked(sets: Sets, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Which of ``others`` are within the radius of set ``i``, in whole numbers."""
     both = sets.shared(i, others)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 STEP = 1 << 16  #: bytes hashed at a time (what stays in cache), but for longer words
@@ -133,6 +134,17 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[fresh], np.bincount(owner[fresh], minlength=len(counts)).astype(np.int64)
 
 
+def runs(texts: pa.Array, most: int = 1 << 22) -> list[tuple[int, int]]:
+    """Cuts of an array of texts into runs of at most so many bytes, but for single longer texts."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, side="right")))
+        out.append((at, stop))
+        at = stop
+    return out
+
+
 def names_of(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """The 128-bit name of each set: a hash of its sorted shingles."""
     ends = np.cumsum(sizes).tolist()

@@ -1,24 +1,32 @@
 """Toxicity of texts: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as a vector of a word part (how strongly it goes with the label
-in the training texts, for the words where that is significant, and a hashed
-random code) and a character part (the mean of its byte trigrams' vectors, one
-of whose entries is what the trigram's words say on average).  Two GRUs read a
-window of words in both directions, attention pools their states, a logistic
-unit scores the pool.  Windows overlap by half; all of them are scored, and a
-text's score is its most toxic window's, calibrated on the training texts.
-
-Fitting takes a bounded sample of labelled rows (``MOST_TRAINING`` of either
-label, by the order of a hash of their ids) on the driver; near copies among
-them are dropped first, so that a wrongly labelled text with many copies does
-not count as many witnesses.  Scoring covers every text whole, in batches of
-bounded size.
+A word enters as a vector of two parts, both trained with the network.  The word
+part is a row of a table, for the words that go with either label in the
+training texts (it begins as their shrunken log odds ratio).  The character part
+is the mean of the rows of the word's byte trigrams in another table, so that
+unseen spellings have a vector, too.  Two GRUs read a window of words in both
+directions, attention pools their states, a logistic unit scores the pool.
+Windows overlap by half; all of them are scored, and a text's score is its most
+toxic window's, calibrated on texts that the network has not been fitted to.
+
+Fitting begins with the windows that hold the most telling words, then takes all
+windows of a text at once: a text's logit is a soft maximum over its windows'.
+
+Fitting takes a bounded sample on the driver: ``MOST_TRAINING`` labelled rows of
+either label, by the order of a hash of their ids, and of each ``MOST_WINDOWS``
+windows, spread evenly over the whole text where it has more; they are cut on the
+executors.  Near copies among the texts are dropped first, so that a wrongly
+labelled text with many copies does not count as many witnesses.  A fifth of the
+texts are not fitted but calibrate the score.  Scoring covers every window of
+every text, in batches of bounded size.
 
 Defined results: null texts count as empty; an empty text is one window of
 padding and gets that window's score; without labelled rows of both kinds every
-score is the share of positive labels (0.5 if there are none); repeated rows
-get equal scores; null ids are never held out and never learnt from; an empty
-table gives an empty table; only the columns named are read.
+score is the share of positive labels (0.5 if there are none); a text's score is
+its highest window's, ties between windows make no difference; repeated rows get
+equal scores; null ids are never held out and never learnt from; of a labelled id
+with several texts the smallest text is learnt from; an empty table gives an
+empty table; only the columns named are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -31,16 +39,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 MOST_TRAINING = 2000  #: labelled rows of either label that fitting takes at most
-MOST_CHARS = 200_000  #: longer texts are not learnt from
+MOST_WINDOWS = 128  #: windows of a text that fitting takes at most
 WINDOW, STRIDE = 40, 20
 HIDDEN, CODE = 8, 5
-VOCABULARY = 4096  #: words whose association is kept
-SIGNIFICANT = 2.8  #: standard errors
-TRIGRAMS, CODES = 1 << 14, 1 << 12
+SIGNIFICANT = 2.8  #: standard errors by which a word must go with a label to have a row
+TRIGRAMS = 1 << 14  #: rows of the table of trigrams
+NEAR = 4  #: of four minima of hashes that a near copy has in common with an earlier text
+DEVELOPMENT = 5  #: one of so many training texts calibrates
+SOFT = 1e-3  #: windows with less of a text's soft maximum are taken as having none of its gradient
 THRESHOLD = 0.7
 BATCH = 4096  #: windows scored at a time
 GROUP_CHARS = 3_000_000  #: characters of text read at a time
@@ -67,9 +79,9 @@ def _trigram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """All that scoring needs; small enough to travel with a task."""
 
-    vocab: dict[str, float]
+    vocab: dict[str, int]
+    word: np.ndarray
     trigram: np.ndarray
-    code: np.ndarray
     par: dict[str, np.ndarray]
     slope: float = 1.0
     shift: float = 0.0
@@ -78,16 +90,59 @@ class Model:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """The vectors of words; row 0 is padding."""
-        out = np.zeros((len(words) + 1, 1 + CODE + self.trigram.shape[1]), dtype=np.float32)
-        if words:
-            get = self.vocab.get
-            out[1:, 0] = [get(w, 0.0) or get(w.strip(EDGE), 0.0) for w in words]
-            out[1:, 1 : 1 + CODE] = self.code[np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), dtype=np.int64, count=len(words)) % CODES]
-            buckets, starts = _trigram_buckets(words)
-            sizes = np.diff(np.append(starts, len(buckets)))
-            out[1:, 1 + CODE :] = np.add.reduceat(self.trigram[buckets], starts, axis=0) / sizes[:, None]
+        return Inputs(self, words).vectors(np.arange(len(words) + 1))
+
+
+class Inputs:
+    """The words of some texts as rows of the model's tables; number 0 is padding, word k has number k + 1."""
+
+    def __init__(self, model: Model, words: list[str]) -> None:
+        self.model = model
+        get = model.vocab.get
+        own = ((get(w, -1), w) for w in words)
+        self.row = np.array([-1, *(r if r >= 0 else get(w.strip(EDGE), -1) for r, w in own)], dtype=np.int64)
+        buckets, starts = _trigram_buckets(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.buckets = buckets
+        self.size = np.concatenate([[0], np.diff(np.append(starts, len(buckets)))]).astype(np.int64)
+        self.start = np.concatenate([[0], starts]).astype(np.int64)
+
+    def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the numbered words, and which of the numbers each belongs to."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[numbers] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.buckets[at], np.repeat(np.arange(len(numbers)), size)
+
+    def vectors(self, numbers: np.ndarray) -> np.ndarray:
+        word, trigram = self.model.word, self.model.trigram
+        out = np.zeros((len(numbers), word.shape[1] + trigram.shape[1]), dtype=np.float32)
+        row = self.row[numbers]
+        out[row >= 0, : word.shape[1]] = word[row[row >= 0]]
+        buckets, _ = self.spread(numbers)
+        some = self.size[numbers] > 0
+        if some.any():
+            size = self.size[numbers][some]
+            out[some, word.shape[1] :] = np.add.reduceat(trigram[buckets], np.cumsum(size) - size, axis=0) / size[:, None]
         return out
 
+    def gradients(self, numbers: np.ndarray, d_x: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(rows, gradient) of the word table and of the table of trigrams, from those of the vectors."""
+        width = self.model.word.shape[1]
+        row = self.row[numbers]
+        buckets, owner = self.spread(numbers)
+        shares = d_x[:, width:] / np.maximum(self.size[numbers], 1)[:, None]
+        return _summed(row[row >= 0], d_x[row >= 0, :width]), _summed(buckets, shares[owner])
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of their values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.add.reduceat(values[order], at, axis=0)
+
 
 def windows_of(n: int) -> np.ndarray:
     """Starts of the overlapping windows over n words; at least one."""
@@ -140,14 +195,15 @@ def forward(par: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, traces:
     return pool @ par["out"] + par["bias"][0], states, weight, pool
 
 
-def backward(par: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients by back-propagation through time."""
+def gradients(par: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, slope) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Logits and gradients by back-propagation through time; ``slope`` maps logits to the loss's derivatives by them.
+
+    The gradient ``x`` is that of the vectors.
+    """
     traces: tuple[list, list] = ([], [])
     logit, states, weight, pool = forward(par, x, ids, traces)
-    p = _sigmoid(logit.copy())
-    loss = float(np.mean(weights * (np.logaddexp(0, logit) - y * logit)))
-    d_logit = (weights * (p - y) / len(y)).astype(np.float32)
-    grad = {"out": pool.T @ d_logit, "bias": np.array([d_logit.sum()], dtype=np.float32)}
+    d_logit = slope(logit).astype(np.float32)
+    grad = {"out": pool.T @ d_logit, "bias": np.array([d_logit.sum()], dtype=np.float32), "x": np.zeros_like(x)}
     d_pool = d_logit[:, None] * par["out"]
     d_weight = np.einsum("tnh,nh->tn", states, d_pool)
     d_score = weight * (d_weight - (weight * d_weight).sum(axis=0))
@@ -155,21 +211,38 @@ def backward(par: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, y: np.n
     d_states = weight[:, :, None] * d_pool + d_score[:, :, None] * par["att"]
     for d in (0, 1):
         u = par[f"u{d}"]
-        d_u, d_w, d_b = np.zeros_like(u), np.zeros_like(par[f"w{d}"]), np.zeros_like(par[f"b{d}"])
-        d_h = np.zeros((len(y), HIDDEN), dtype=np.float32)
+        d_u = np.zeros_like(u)
+        d_h = np.zeros((len(ids), HIDDEN), dtype=np.float32)
+        gates, read = [], []
         for t, h, z, r, new, hu_new in reversed(traces[d]):
             d_h = d_h + d_states[t, :, d * HIDDEN : (d + 1) * HIDDEN]
             d_new = d_h * (1 - z) * (1 - new * new)
             d_z = d_h * (h - new) * z * (1 - z)
             d_r = d_new * hu_new * r * (1 - r)
             d_hu = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            d_gate = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_w += x[ids[:, t]].T @ d_gate
-            d_b += d_gate.sum(axis=0)
+            gates.append(np.concatenate([d_z, d_r, d_new], axis=1))
+            read.append(ids[:, t])
             d_u += h.T @ d_hu
             d_h = d_h * z + d_hu @ u.T
-        grad |= {f"u{d}": d_u, f"w{d}": d_w, f"b{d}": d_b}
-    return loss, grad
+        which, sums = _summed(np.concatenate(read), np.concatenate(gates))
+        grad |= {f"u{d}": d_u, f"w{d}": x[which].T @ sums, f"b{d}": sums.sum(axis=0)}
+        grad["x"][which] += sums @ par[f"w{d}"].T
+    return logit, grad
+
+
+def backward(par: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradients of windows with labels of their own."""
+    logit, grad = gradients(par, x, ids, lambda v: weights * (_sigmoid(v.copy()) - y) / len(y))
+    return float(np.mean(weights * (np.logaddexp(0, logit) - y * logit))), grad
+
+
+def soft_maximum(logits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the soft maximum of its windows' logits (log of the mean of exponentials), and each window's share in it."""
+    at = np.cumsum(sizes) - sizes
+    top = np.maximum.reduceat(logits, at)
+    power = np.exp(logits - np.repeat(top, sizes))
+    total = np.add.reduceat(power, at)
+    return top + np.log(total / sizes), power / np.repeat(total, sizes)
 
 
 def _minhashes(words: list[str], k: int = 4) -> list[int]:
@@ -185,25 +258,69 @@ def _minhashes(words: list[str], k: int = 4) -> list[int]:
     return out
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Model:
-    """Train on (text, label) pairs."""
+def training_windows(text: str) -> list[str]:
+    """The windows of a text that fitting takes: all, or ``MOST_WINDOWS`` spread evenly over the whole."""
+    words = words_of(text)
+    starts = windows_of(len(words))
+    if len(starts) > MOST_WINDOWS:
+        starts = starts[np.linspace(0, len(starts) - 1, MOST_WINDOWS).astype(np.int64)]
+    return [" ".join(words[at : at + WINDOW]) for at in starts.tolist()]
+
+
+def fit(rows: list[tuple[list[str] | str, int]], of_all: tuple[int, int] | None = None, epochs: int = 5, whole_epochs: int = 3, seed: int = 7) -> Model:
+    """Train on (windows, label) pairs; a text in place of its windows is cut.
+
+    ``of_all``: how many negative and positive rows there are of which ``rows`` is a sample (none given: the sample itself).
+    """
     rng = np.random.default_rng(seed)
-    seen: set[int] = set()
-    docs: list[tuple[list[str], int]] = []
-    for text, label in rows:
-        words = words_of(text)
-        marks = _minhashes(words)
-        if not any(m in seen for m in marks):
-            docs.append((words, label))
-        seen.update(marks)
+    first: dict[int, int] = {}
+    docs: list[tuple[list[list[str]], int]] = []
+    for given, label in rows:
+        windows = [w.split() for w in (training_windows(given) if isinstance(given, str) else given)]
+        marks = _minhashes([w for own in windows for w in own])
+        shared = Counter(first[m] for m in marks if m in first)
+        if max(shared.values(), default=0) < NEAR:
+            for m in marks:
+                first.setdefault(m, len(docs))
+            docs.append((windows, label))
     n_pos = sum(y for _, y in docs)
     n_neg = len(docs) - n_pos
     if not n_pos or not n_neg:
         share = sum(y for _, y in rows) / len(rows) if rows else 0.5
-        return Model({}, np.zeros((TRIGRAMS, 1 + CODE), np.float32), np.zeros((CODES, CODE), np.float32), {}, constant=share)
+        return Model({}, np.zeros((1, 1 + CODE), np.float32), np.zeros((TRIGRAMS, 1 + CODE), np.float32), {}, constant=share)
+    # Every DEVELOPMENT-th text of either label stays out of all that is fitted and calibrates, if there are enough.
+    rank = {y: 0 for y in (0, 1)}
+    kept_out = np.zeros(len(docs), dtype=bool)
+    for i, (_, y) in enumerate(docs):
+        rank[y] += 1
+        kept_out[i] = rank[y] % DEVELOPMENT == 0
+    if min(n_pos, n_neg) < 4 * DEVELOPMENT:
+        kept_out[:] = False
+    fitted = [d for d, out in zip(docs, kept_out, strict=True) if not out]
+    model = _begin(fitted, rng)
+
+    number: dict[str, int] = {}
+    cut = [np.array([[number.setdefault(w, len(number) + 1) for w in own] + [0] * (WINDOW - len(own)) for own in windows], dtype=np.int32).reshape(-1, WINDOW) for windows, _ in docs]
+    inputs = Inputs(model, list(number))
+    own_cut = [c for c, out in zip(cut, kept_out, strict=True) if not out]
+    labels = np.array([y for _, y in fitted], dtype=np.float32)
+    optimiser = Adam(model)
+    _descend_windows(optimiser, inputs, own_cut, labels, epochs, rng)
+    _descend_texts(optimiser, inputs, own_cut, labels, whole_epochs, rng)
+    x = inputs.vectors(np.arange(len(number) + 1))
+    calibrating = np.flatnonzero(kept_out) if kept_out.any() else np.arange(len(docs))
+    peaks = _peaks(model.par, x, [cut[i] for i in calibrating.tolist()])
+    _calibrate(model, peaks, np.array([docs[i][1] for i in calibrating.tolist()], dtype=np.float64), of_all or (n_neg, n_pos))
+    return model
+
+
+def _begin(docs: list[tuple[list[list[str]], int]], rng: np.random.Generator) -> Model:
+    """A model whose tables hold log odds, with a random network."""
+    n_pos = sum(y for _, y in docs)
+    n_neg = len(docs) - n_pos
     df: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, y in docs:
-        df[y].update({w.strip(EDGE) for w in words})
+    for windows, y in docs:
+        df[y].update({w.strip(EDGE) for own in windows for w in own})
     z, odds = {}, {}
     for w in df[1].keys() | df[0].keys():
         p, n = df[1][w] + 0.5, df[0][w] + 0.5
@@ -212,90 +329,124 @@ def fit(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Model:
             # What remains of the log odds ratio at 1.5 standard errors: common words that differ a little stay small.
             z[w], odds[w] = ratio / error, np.sign(ratio) * max(0.0, abs(ratio) - 1.5 * error) / 3
     z.pop("", None)
-    strong = sorted((w for w in z if abs(z[w]) >= SIGNIFICANT), key=lambda w: (-abs(z[w]), w))[:VOCABULARY]
-    vocab = {w: float(np.clip(odds[w], -2, 2)) for w in strong}
+    strong = sorted(w for w in z if abs(z[w]) >= SIGNIFICANT)
+    vocab = {w: i for i, w in enumerate(strong)}
+    word = rng.normal(0, 0.1, (max(1, len(strong)), 1 + CODE)).astype(np.float32)
+    word[: len(strong), 0] = [np.clip(odds[w], -2, 2) for w in strong]
     trigram = rng.normal(0, 0.3, (TRIGRAMS, 1 + CODE)).astype(np.float32)
-    types = list(z)
-    buckets, starts = _trigram_buckets(types)
-    value = np.repeat([vocab.get(w, 0.0) for w in types], np.diff(np.append(starts, len(buckets))))
-    total = np.bincount(buckets, minlength=TRIGRAMS)
-    trigram[:, 0] = np.bincount(buckets, value, TRIGRAMS) / (total + 2)
-    model = Model(vocab, trigram, rng.normal(0, 0.1, (CODES, CODE)).astype(np.float32), {})
-
-    number: dict[str, int] = {}
-    cut = [_windowed(np.array([number.setdefault(w, len(number) + 1) for w in words], dtype=np.int32)) for words, _ in docs]
-    x = model.inputs(list(number))
-    size = x.shape[1]
+    types = sorted(z)
+    buckets, starts = _trigram_buckets(types) if types else (np.empty(0, np.int64), np.empty(0, np.int64))
+    value = np.repeat([float(word[vocab[w], 0]) if w in vocab else 0.0 for w in types], np.diff(np.append(starts, len(buckets))))
+    trigram[:, 0] = np.bincount(buckets, value, TRIGRAMS) / (np.bincount(buckets, minlength=TRIGRAMS) + 2)
+    size = word.shape[1] + trigram.shape[1]
     par = {"att": np.zeros(2 * HIDDEN), "out": rng.normal(0, 0.3, 2 * HIDDEN), "bias": np.zeros(1)}
     for d in (0, 1):
         par |= {f"w{d}": rng.normal(0, 0.3, (size, 3 * HIDDEN)), f"u{d}": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), f"b{d}": np.zeros(3 * HIDDEN)}
-    par = {k: v.astype(np.float32) for k, v in par.items()}
-    # Of a positive text the window with the most telling words stands for it, of a negative one that and a random one.
-    picks: list[set[int]] = []
-    for ids, (_, y) in zip(cut, docs, strict=True):
-        most = int(np.argmax(x[ids, 0].max(axis=1)))
-        picks.append({most} if y else {most, int(rng.integers(len(ids)))})
-    _descend(par, x, cut, docs, picks, max(1, epochs // 2), rng, model.losses)
-    # Then the windows that the network itself finds worst: in place of the first guess, and as hard negatives.
-    for own, (worst, (_, y)) in zip(picks, zip(_worst_windows(par, x, cut), docs, strict=True), strict=True):
-        if y:
-            own.clear()
-        own.add(worst)
-    _descend(par, x, cut, docs, picks, max(1, epochs // 2), rng, model.losses)
-    model.par = par
-    peaks = _peaks(par, x, cut)
-    _calibrate(model, peaks, np.array([y for _, y in docs], dtype=np.float64))
-    return model
-
-
-def _descend(par: dict[str, np.ndarray], x: np.ndarray, cut: list[np.ndarray], docs: list, picks: list[set[int]], epochs: int, rng: np.random.Generator, log: list[float]) -> None:
-    """Train ``par`` in place on the picked windows by Adam, both labels weighing the same."""
-    windows = [ids[i] for ids, own in zip(cut, picks, strict=True) for i in sorted(own)]
-    labels = [y for (_, y), own in zip(docs, picks, strict=True) for _ in own]
+    return Model(vocab, word, trigram, {k: v.astype(np.float32) for k, v in par.items()})
+
+
+class Adam:
+    """Adam over the network and, for the rows that a step touches, over the tables of words and trigrams."""
+
+    def __init__(self, model: Model, rate: float = 0.01) -> None:
+        self.model, self.rate, self.step = model, rate, 0
+        self.whole = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.par.items()}
+        self.rows = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("word", model.word), ("trigram", model.trigram))}
+
+    def move(self, grad: dict[str, np.ndarray], inputs: Inputs, numbers: np.ndarray) -> None:
+        """One step along the gradients of windows that hold the numbered words."""
+        self.step += 1
+        rate = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        par = self.model.par
+        for k, (m, s) in self.whole.items():
+            m += 0.1 * (grad[k] - m)
+            s += 0.001 * (grad[k] ** 2 - s)
+            par[k] = (par[k] - rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        for (name, table), (row, g) in zip((("word", self.model.word), ("trigram", self.model.trigram)), inputs.gradients(numbers, grad["x"]), strict=True):
+            m, s = self.rows[name]
+            m[row] += 0.1 * (g - m[row])
+            s[row] += 0.001 * (g**2 - s[row])
+            table[row] -= (0.1 * rate * m[row] / (np.sqrt(s[row]) + 1e-8)).astype(np.float32)
+
+
+def _balance(y: np.ndarray) -> np.ndarray:
+    """Weights by which both labels count the same."""
+    return np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+
+
+def _local(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of windows, padding first, and the windows in places of these."""
+    names, local = np.unique(np.append(0, ids.ravel()), return_inverse=True)
+    return names, local[1:].reshape(ids.shape).astype(np.int32)
+
+
+def _descend_windows(optimiser: Adam, inputs: Inputs, cut: list[np.ndarray], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Train on windows: of a positive text the one with the most telling words, of a negative one that and a random one."""
+    telling = inputs.vectors(np.arange(len(inputs.row)))[:, 0]
+    windows, y = [], []
+    for ids, label in zip(cut, labels.tolist(), strict=True):
+        most = int(np.argmax(telling[ids].max(axis=1)))
+        for i in {most} if label else {most, int(rng.integers(len(ids)))}:
+            windows.append(ids[i])
+            y.append(label)
     # Without any word there is nothing toxic: padding alone is an example, too.
     empty = 1 + len(windows) // 50
-    w_all = np.array(windows + [np.zeros(WINDOW, dtype=np.int32)] * empty)
-    y_all = np.array(labels + [0] * empty, dtype=np.float32)
-    weights = np.where(y_all > 0, 0.5 / max(y_all.mean(), 1e-6), 0.5 / max(1 - y_all.mean(), 1e-6)).astype(np.float32)
-    m = {k: np.zeros_like(v) for k, v in par.items()}
-    s = {k: np.zeros_like(v) for k, v in par.items()}
-    step, size = 0, min(128, max(16, len(y_all) // 8))
+    w_all, y_all = np.array(windows + [np.zeros(WINDOW, dtype=np.int32)] * empty), np.array(y + [0.0] * empty, dtype=np.float32)
+    weights = _balance(y_all)
+    size = min(128, max(16, len(y_all) // 8))
     for _ in range(max(epochs, min(30, -(-200 * size // len(y_all))))):
         order, losses = rng.permutation(len(y_all)), []
         for at in range(0, len(order), size):
             pick = order[at : at + size]
-            names, local = np.unique(w_all[pick], return_inverse=True)
-            if names[0] != 0:
-                names, local = np.concatenate([[0], names]), local + 1
-            loss, grad = backward(par, x[names], local.reshape(len(pick), WINDOW), y_all[pick], weights[pick])
+            names, local = _local(w_all[pick])
+            loss, grad = backward(optimiser.model.par, inputs.vectors(names), local, y_all[pick], weights[pick])
             losses.append(loss)
-            step += 1
-            rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, g in grad.items():
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.001 * (g * g - s[k])
-                par[k] = (par[k] - rate * m[k] / (np.sqrt(s[k]) + 1e-8)).astype(np.float32)
-        log.append(float(np.mean(losses)))
-
-
-def _worst_windows(par: dict[str, np.ndarray], x: np.ndarray, cut: list[np.ndarray]) -> list[int]:
-    """Of each text the number of the window with the highest logit."""
-    ids = np.concatenate(cut)
+            optimiser.move(grad, inputs, names)
+        optimiser.model.losses.append(float(np.mean(losses)))
+
+
+def _descend_texts(optimiser: Adam, inputs: Inputs, cut: list[np.ndarray], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Train on texts: the loss is that of the soft maximum over all of a text's windows."""
+    weights, size = _balance(labels), min(64, max(8, len(labels) // 8))
+    for _ in range(epochs):
+        order, losses = rng.permutation(len(labels)), []
+        for at in range(0, len(order), size):
+            pick = order[at : at + size]
+            ids, counts = np.concatenate([cut[i] for i in pick.tolist()]), np.array([len(cut[i]) for i in pick.tolist()])
+            par, y, w = optimiser.model.par, labels[pick], weights[pick]
+            names, local = _local(ids)
+            x = inputs.vectors(names)
+            text, share = soft_maximum(_window_logits(par, x, local), counts)
+            losses.append(float(np.mean(w * (np.logaddexp(0, text) - y * text))))
+            slope = np.repeat(w * (1 / (1 + np.exp(-np.clip(text, -30, 30))) - y) / len(pick), counts) * share
+            some = np.flatnonzero(share > SOFT)
+            _, grad = gradients(par, x, local[some], lambda _, slope=slope[some]: slope)
+            optimiser.move(grad, inputs, names)
+        optimiser.model.losses.append(float(np.mean(losses)))
+
+
+def _window_logits(par: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The logits of windows, BATCH at a time."""
     gates = [x @ par[f"w{d}"] + par[f"b{d}"] for d in (0, 1)]
-    logits = np.concatenate([_logits(par, gates, ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)])
-    ends = np.cumsum([len(c) for c in cut])
-    return [int(np.argmax(logits[e - len(c) : e])) for e, c in zip(ends, cut, strict=True)]
+    return np.concatenate([_logits(par, gates, ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)])
+
 
+def _calibrate(model: Model, peaks: np.ndarray, y: np.ndarray, of_all: tuple[int, int]) -> None:
+    """Logistic regression of the label on a text's highest logit, by damped Newton steps.
 
-def _calibrate(model: Model, peaks: np.ndarray, y: np.ndarray) -> None:
-    """Logistic regression of the label on a text's highest logit, by damped Newton steps."""
+    Labels weigh as the square roots of their numbers among all labelled rows, whatever their shares in the sample: between
+    counting as often as they come, which hardly ever calls a rare label, and counting the same.
+    """
+    share = np.sqrt(np.array(of_all, dtype=np.float64))
+    each = np.where(y > 0, share[1] / max(y.sum(), 1), share[0] / max((1 - y).sum(), 1))
+    each /= each.mean()
     a, b = 1.0, 0.0
     mid, spread = peaks.mean(), peaks.std() + 1e-6
     v = (peaks - mid) / spread
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * v + b, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * v).sum() + 1e-2 * a, (p - y).sum()])
+        w = each * p * (1 - p)
+        g = np.array([(each * (p - y) * v).sum() + 1e-2 * a, (each * (p - y)).sum()])
         hess = np.array([[(w * v * v).sum() + 1e-2, (w * v).sum()], [(w * v).sum(), w.sum() + 1e-6]])
         delta = np.linalg.solve(hess, g)
         delta *= min(1.0, 2.0 / (np.abs(delta).max() + 1e-12))
@@ -318,9 +469,7 @@ def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
 
 def _peaks(par: dict[str, np.ndarray], x: np.ndarray, cut: list[np.ndarray]) -> np.ndarray:
     """The highest window logit of each text."""
-    gates = [x @ par[f"w{d}"] + par[f"b{d}"] for d in (0, 1)]
-    counts, ids = np.array([len(c) for c in cut]), np.concatenate(cut)
-    logits = np.concatenate([_logits(par, gates, ids[at : at + BATCH]) for at in range(0, len(ids), BATCH)])
+    counts, logits = np.array([len(c) for c in cut]), _window_logits(par, x, np.concatenate(cut))
     return np.maximum.reduceat(logits, np.cumsum(counts) - counts).astype(np.float64)
 
 
@@ -350,33 +499,48 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("_id")
     # At most MOST_TRAINING ids of either label: a proven bound for the broadcast and for what comes to the driver.
     sample = known.where("_y = 1").orderBy(order, "_id").limit(MOST_TRAINING).union(known.where("_y = 0").orderBy(order, "_id").limit(MOST_TRAINING))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text") <= MOST_CHARS)
-    rows = texts.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).select("_id", "_text", "_y").collect()
-    return fit([(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: r["_id"])])
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    one = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = [training_windows(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.string()))], names=["_id", "_y", "_windows"])
 
+    kind = dict(one.dtypes)["_id"]
+    rows = one.select("_id", "_y", "_text").mapInArrow(cut, f"_id {kind}, _y int, _windows array<string>").collect()
+    of_all = dict(known.groupBy("_y").count().collect())
+    return fit([(list(r["_windows"]), r["_y"]) for r in sorted(rows, key=lambda r: r["_id"])], (of_all.get(0, 0), of_all.get(1, 0)))
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id (or the columns named in ``keep``), ``_score`` and ``_windows``."""
-    given = keep or []
-    text = [F.col(text_col).cast("string").alias("_text")] if text_col not in given else []
-    kept = text + ([F.col(c) for c in given] or [F.col(id_col).cast("long").alias("doc_id")])
-    slim = docs.select(*kept)
-    at, out = (0, 1) if text else (given.index(text_col), 0)
+
+def _scored(slim: DataFrame, model: Model) -> DataFrame:
+    """``slim`` (text, and any one column) without the text, with ``_score`` and ``_windows``."""
+    other = slim.schema[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [str(t.as_py() or "") for t in batch.column(at)]
-            start = total = 0
-            for i, t in enumerate(texts):
-                total += len(t)
-                if total >= GROUP_CHARS or i + 1 == len(texts):
-                    part = batch.slice(start, i + 1 - start)
-                    scores, counts = score_texts(model, texts[start : i + 1])
-                    yield pa.RecordBatch.from_arrays([*part.columns[out:], pa.array(scores), pa.array(counts)], names=[*batch.schema.names[out:], "_score", "_windows"])
-                    start, total = i + 1, 0
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[out:])
-    return slim.mapInArrow(run, f"{fields}, _score double, _windows long")
+            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < len(batch):
+                stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), GROUP_CHARS)))
+                part = batch.slice(start, stop - start)
+                scores, counts = score_texts(model, [t or "" for t in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(scores), pa.array(counts)], names=[other.name, "_score", "_windows"])
+                start = stop
+
+    return slim.mapInArrow(run, StructType([other, StructField("_score", DoubleType()), StructField("_windows", LongType())]))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, ``_score`` and ``_windows``."""
+    return _scored(docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id")), model)
+
+
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold; columns as they were, whatever their names."""
+    # All of a document's columns travel in a struct, so none of their names can clash with ours.
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return _scored(rows, model).where(F.col("_score") < threshold).select("doc.*")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
