@@ -9,8 +9,9 @@ from weirflow.config import PAYER_TOKENS
 
 
 def as_text(df: DataFrame) -> DataFrame:
-    """Every column as a string, but for audit columns (those that begin with an underscore)."""
-    return df.select(*(F.col(f"`{c}`") if c.startswith("_") else F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
+    """The frame with text in all columns; audit columns, whose names begin with an underscore, keep their types."""
+    untyped = [c for c in df.columns if not c.startswith("_")]
+    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in untyped})
 
 
 def trimmed(name: str) -> Column:

@@ -69,7 +69,7 @@ def installs_source(config: Config) -> Source:
         {
             "user_id": lambda: C.trimmed("user_id"), "install_ts": lambda: C.timestamp("install_ts"),
             "country": lambda: F.upper(C.trimmed("country")), "platform": lambda: C.lowered("platform") if by_column else C.platform_of("device_model"),
-            "media_source": lambda: C.trimmed("media_source"), "device_model": lambda: C.trimmed("device_model"), "campaign_id": lambda: C.blank_to_null("campaign_id"),
+            "media_source": lambda: C.lowered("media_source"), "device_model": lambda: C.trimmed("device_model"), "campaign_id": lambda: C.blank_to_null("campaign_id"),
         },
         (lambda: valid() & F.col("platform").isin(*PLATFORMS)) if by_column else valid,
         "bad_ts_platform_or_country" if by_column else "bad_ts_or_country",
@@ -138,6 +138,11 @@ def cleanse(raw: DataFrame, source: Source) -> tuple[DataFrame, DataFrame]:
     return good, rejects
 
 
+def typed(raw: DataFrame, source: Source) -> DataFrame:
+    """The typed columns of every raw row, valid or not and with all copies: what checks see that must find something."""
+    return _tagged(raw, source).select(*source.columns)
+
+
 def clean_offers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cleanse(raw, OFFERS)
 

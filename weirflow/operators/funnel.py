@@ -1,4 +1,7 @@
-"""The daily funnel: one row per date, country and platform."""
+"""The daily funnel: one row per date, country and platform.
+
+A reward is unpriced if no payout is known for it: its offer is not in the catalog, or it names none.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +23,12 @@ def counts(config: Config) -> list[str]:
 
 
 def enrich(events: DataFrame, installs: DataFrame, offers: DataFrame) -> DataFrame:
-    """Events of installed users with country, platform and the offer's payout."""
+    """Events of installed users with country, platform and the offer's payout; each dimension is met once.
+
+    Events that :func:`weirflow.operators.flags.meet` made have met both already.
+    """
+    if "is_installed" in events.columns:
+        return events.where("is_installed").withColumn("date", F.col("event_date"))
     users = installs.select("user_id", "country", "platform")
     prices = offers.select("offer_id", "payout_eur")
     return events.join(users, "user_id").join(prices, "offer_id", "left").withColumn("date", F.col("event_date"))
@@ -32,7 +40,7 @@ def by_user(enriched: DataFrame, config: Config) -> DataFrame:
     steps = [F.max((F.col("event_name") == s).cast("int")).alias(f"_{s}") for s in config.steps]
     return enriched.groupBy(*GRAIN, "user_id").agg(
         F.count("*").alias("n"), *steps, F.sum(reward.cast("int")).alias("payouts"), F.sum(F.when(reward, F.col("payout_eur"))).alias("cost"),
-        F.sum((reward & F.col("is_orphan_offer")).cast("int")).alias("unpriced"), F.sum(F.col("is_late").cast("int")).alias("late"),
+        F.sum((reward & F.col("payout_eur").isNull()).cast("int")).alias("unpriced"), F.sum(F.col("is_late").cast("int")).alias("late"),
         F.sum(F.col("is_pre_install").cast("int")).alias("pre"),
     )
 
@@ -56,7 +64,7 @@ def aggregate_distinct(events: DataFrame, installs: DataFrame, offers: DataFrame
     funnel = enrich(events, installs, offers).groupBy(*GRAIN).agg(
         F.count("*").alias("events_total"), *(F.countDistinct(F.when(F.col("event_name") == s, F.col("user_id"))).alias(f"{s}_users") for s in config.steps),
         F.count_if(reward).alias("reward_payouts"), F.sum(F.when(reward, F.col("payout_eur"))).cast("decimal(18,2)").alias("reward_cost_eur"),
-        F.count_if(reward & F.col("is_orphan_offer")).alias("rewards_unpriced"), F.count_if("is_late").alias("late_events"), F.count_if("is_pre_install").alias("events_pre_install"),
+        F.count_if(reward & F.col("payout_eur").isNull()).alias("rewards_unpriced"), F.count_if("is_late").alias("late_events"), F.count_if("is_pre_install").alias("events_pre_install"),
     )
     return _finished(_installs_per_day(installs).join(funnel, list(GRAIN), "full_outer"), config)
 

@@ -1,9 +1,13 @@
-"""Data-quality rules, compiled: all row rules of a table are one aggregate."""
+"""Data-quality rules, generated from declared facts about tables and compiled into few passes.
+
+All row rules of a table are one aggregate, each uniqueness rule is one, and all
+totals that gold shares with other tables are one aggregate per table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
@@ -20,16 +24,40 @@ class DQFailure(RuntimeError):
 
 @dataclass(frozen=True)
 class Rule:
-    """Exactly one of: ``bad`` (SQL of a violating row), ``unique`` (keys), ``measure`` (tables -> frame with column violations)."""
+    """Exactly one of: ``bad`` (SQL of a violating row), ``unique`` (keys), ``total`` (sum over the table, other table, sum over that), ``measure`` (tables -> frame with column violations)."""
 
     name: str
     table: str
     bad: str | None = None
     unique: tuple[str, ...] = ()
+    total: tuple[str, str, str] | None = None
     measure: Callable[[dict[str, DataFrame]], DataFrame] | None = None
     severity: str = "error"
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What must hold of a table."""
+
+    table: str
+    key: tuple[str, ...]
+    present: tuple[str, ...] = ()
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict)  #: column -> values
+    never: dict[str, str] = field(default_factory=dict)  #: what must not be -> SQL of a row that is it
+    watched: dict[str, str] = field(default_factory=dict)  #: as ``never``, for warnings
+    matched: tuple[tuple[str, str, str], ...] = ()  #: (other table, column, severity): every value is there, too
+
+    def rules(self) -> list[Rule]:
+        """The facts as rules."""
+        t = self.table
+        out = [Rule(f"{t}: one row per {', '.join(self.key)}", t, unique=self.key)]
+        out += [Rule(f"{t}: {c} is missing", t, f"{c} IS NULL") for c in self.present]
+        out += [Rule(f"{t}: {c} is unknown", t, f"NOT coalesce({c} IN ({_listed(values)}), false)") for c, values in self.known.items()]
+        out += [Rule(f"{t}: {name}", t, bad) for name, bad in self.never.items()]
+        out += [Rule(f"{t}: {name}", t, bad, severity="warning") for name, bad in self.watched.items()]
+        return out + [Rule(f"{t}: {c} not in {other}", t, measure=_missing(t, other, c), severity=severity) for other, c, severity in self.matched]
+
+
 def _listed(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -39,98 +67,87 @@ def _missing(left: str, right: str, key: str) -> Callable[[dict[str, DataFrame]]
     return lambda t: t[left].join(t[right].select(key).distinct(), key, "left_anti").agg(F.count("*").cast("double").alias("violations"))
 
 
-def v1_silver_rules(steps: tuple[str, ...] = STEPS) -> list[Rule]:
-    """13 error rules and 4 warnings."""
+def silver_facts(steps: tuple[str, ...] = STEPS) -> list[Facts]:
+    """What must hold of the silver tables."""
     return [
-        Rule("offer_id unique", "offers", unique=("offer_id",)),
-        Rule("offer_id not null", "offers", "offer_id IS NULL"),
-        Rule("payout_eur > 0", "offers", "payout_eur IS NULL OR payout_eur <= 0"),
-        Rule("user_id unique", "installs", unique=("user_id",)),
-        Rule("user_id not null", "installs", "user_id IS NULL"),
-        Rule("install_ts not null", "installs", "install_ts IS NULL"),
-        Rule("platform known", "installs", f"platform NOT IN ({_listed(PLATFORMS)})"),
-        Rule("country ISO-2", "installs", "NOT country RLIKE '^[A-Z]{2}$'"),
-        Rule("event_id unique", "events", unique=("event_id",)),
-        Rule("no null keys/ts", "events", "event_id IS NULL OR user_id IS NULL OR event_ts IS NULL"),
-        Rule("event_name known", "events", f"event_name NOT IN ({_listed(steps)})"),
-        Rule("profile user_id unique", "user_profile", unique=("user_id",)),
-        Rule("profile user_id not null", "user_profile", "user_id IS NULL"),
-        Rule("late arrivals", "events", "is_late", severity="warning"),
-        Rule("pre-install events", "events", "is_pre_install", severity="warning"),
-        Rule("orphan offer_id", "events", "is_orphan_offer", severity="warning"),
-        Rule("users with no events", "installs", measure=_missing("installs", "events", "user_id"), severity="warning"),
-    ]
+        Facts("offers", ("offer_id",), ("offer_id",), never={"payout is not positive": "payout_eur IS NULL OR payout_eur <= 0"}),
+        Facts(
+            "installs", ("user_id",), ("user_id", "install_ts"), {"platform": PLATFORMS}, {"country is no two-letter code": "NOT coalesce(country RLIKE '^[A-Z]{2}$', false)"},
+            matched=(("events", "user_id", "warning"),),
+        ),
+        Facts(
+            "events", ("event_id",), ("event_id", "user_id", "event_ts", "ingest_ts"), {"event_name": steps}, {"date is not the event's": "event_date <> to_date(event_ts)"},
+            {"late": "is_late", "before the install": "is_pre_install", "offer is an orphan": "is_orphan_offer", "arrives before it happens": "lag_hours < 0"},
+            (("installs", "user_id", "error"),),
+        ),
+        Facts("user_profile", ("user_id",), ("user_id",)),
+    ]
+
+
+#: Rules of the first generation of the flow leave these out.
+LATER = ("events: ingest_ts is missing", "events: date is not the event's", "events: arrives before it happens", "events: user_id not in installs")
 
 
 def silver_rules(steps: tuple[str, ...] = STEPS) -> list[Rule]:
-    """11 error rules and 5 warnings."""
-    return [
-        Rule("events: event_id unique", "events", unique=("event_id",)),
-        Rule("events: no null keys/ts", "events", "event_id IS NULL OR user_id IS NULL OR event_ts IS NULL OR ingest_ts IS NULL"),
-        Rule("events: event_name known", "events", f"event_name NOT IN ({_listed(steps)})"),
-        Rule("events: event_date = date(event_ts)", "events", "event_date <> to_date(event_ts)"),
-        Rule("events: every event has an install", "events", measure=_missing("events", "installs", "user_id")),
-        Rule("events: lag_hours >= 0", "events", "lag_hours < 0", severity="warning"),
-        Rule("installs: user_id unique", "installs", unique=("user_id",)),
-        Rule("installs: country ISO-2", "installs", "NOT country RLIKE '^[A-Z]{2}$'"),
-        Rule("installs: platform enum", "installs", f"platform NOT IN ({_listed(PLATFORMS)})"),
-        Rule("offers: offer_id unique", "offers", unique=("offer_id",)),
-        Rule("offers: payout > 0", "offers", "payout_eur IS NULL OR payout_eur <= 0"),
-        Rule("user_profile: user_id unique", "user_profile", unique=("user_id",)),
-        Rule("events: late arrivals", "events", "is_late", severity="warning"),
-        Rule("events: pre-install", "events", "is_pre_install", severity="warning"),
-        Rule("events: orphan offer_id", "events", "is_orphan_offer", severity="warning"),
-        Rule("installs: users with no events", "installs", measure=_missing("installs", "events", "user_id"), severity="warning"),
-    ]
-
-
-def _gap(gold_sum: str, table: str, silver_sum: str, where: str = "true") -> Callable[[dict[str, DataFrame]], DataFrame]:
-    """|total in gold - the same recomputed from silver|."""
+    """All rules of the silver tables."""
+    return [r for facts in silver_facts(steps) for r in facts.rules()]
 
-    def measure(t: dict[str, DataFrame]) -> DataFrame:
-        a = t["gold"].agg(F.expr(f"coalesce(cast({gold_sum} AS double), 0D)").alias("a"))
-        b = t[table].where(where).agg(F.expr(f"coalesce(cast({silver_sum} AS double), 0D)").alias("b"))
-        return a.join(b, F.lit(True)).select(F.abs(F.col("a") - F.col("b")).alias("violations"))  # one row each
 
-    return measure
+def v1_silver_rules(steps: tuple[str, ...] = STEPS) -> list[Rule]:
+    """13 error rules and 4 warnings: without those on arrival, dates and users of events."""
+    return [r for r in silver_rules(steps) if r.name not in LATER]
+
+
+def installed_events(tables: dict[str, DataFrame]) -> DataFrame:
+    """Events of installed users with their payout, found otherwise than gold finds them: by semi-join, then by the catalog's prices."""
+    priced = tables["offers"].groupBy("offer_id").agg(F.max("payout_eur").alias("payout_eur"))
+    return tables["events"].join(tables["installs"].select("user_id"), "user_id", "left_semi").join(priced, "offer_id", "left")
 
 
 def _recompute(config: Config) -> Callable[[dict[str, DataFrame]], DataFrame]:
+    """Grains whose rows differ between gold and gold computed again, by one full join."""
+
     def measure(t: dict[str, DataFrame]) -> DataFrame:
-        again = funnel.aggregate(t["events"], t["installs"], t["offers"], config)
-        columns = [c for c in again.columns if c != "is_settled"]
-        a, b = t["gold"].select(*columns), again.select(*columns)
-        return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").cast("double").alias("violations"))
+        again = funnel.aggregate_distinct(t["events"], t["installs"], t["offers"], config)
+        values = [c for c in again.columns if c not in (*funnel.GRAIN, "is_settled")]
+        a = t["gold"].select(*funnel.GRAIN, F.struct(*values).alias("a"))
+        b = again.select(*funnel.GRAIN, F.struct(*values).alias("b"))
+        return a.join(b, list(funnel.GRAIN), "full_outer").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).cast("double").alias("violations"))
 
     return measure
 
 
+def gold_facts(config: Config) -> Facts:
+    """What must hold of gold's rows by themselves."""
+    users = [f"{s}_users" for s in config.steps]
+    numbers = [*funnel.counts(config), "reward_cost_eur"]
+    return Facts(
+        "gold", funnel.GRAIN, never={
+            "part of the grain is missing": " OR ".join(f"{c} IS NULL" for c in funnel.GRAIN),
+            "a number is negative": " OR ".join(f"{c} < 0" for c in numbers),
+            "more unpriced rewards than rewards": "rewards_unpriced > reward_payouts",
+            "more rewarded users than rewards": "reward_paid_users > reward_payouts",
+            "more flagged events than events": "late_events > events_total OR events_pre_install > events_total",
+            "more users of a step than events": " OR ".join(f"{c} > events_total" for c in users),
+        },
+    )
+
+
 def gold_rules(config: Config | None = None) -> list[Rule]:
-    """15 rules: grain, order invariants, totals recomputed from silver.
+    """15 rules: grain, order invariants, totals recomputed from silver, the whole table recomputed.
 
-    ``tables`` has ``installed_events`` beside the silver tables: events of installed users, priced.
+    ``tables`` has ``installed_events`` beside the silver tables, see :func:`installed_events`.
     """
     config = config or Config()
-    users = [f"{s}_users" for s in config.steps]
-    numbers = [*funnel.counts(config), "reward_cost_eur"]
     reward = "event_name = 'reward_paid'"
-    return [
-        Rule("gold: grain unique", "gold", unique=funnel.GRAIN),
-        Rule("gold: no null grain", "gold", " OR ".join(f"{c} IS NULL" for c in funnel.GRAIN)),
-        Rule("gold: no negatives", "gold", " OR ".join(f"{c} < 0" for c in numbers)),
-        Rule("gold: unpriced <= payouts", "gold", "rewards_unpriced > reward_payouts"),
-        Rule("gold: reward_paid_users <= payouts", "gold", "reward_paid_users > reward_payouts"),
-        Rule("gold: flagged <= events_total", "gold", "late_events > events_total OR events_pre_install > events_total"),
-        Rule("gold: step users <= events_total", "gold", " OR ".join(f"{c} > events_total" for c in users)),
-        Rule("gold: installs == silver", "gold", measure=_gap("sum(installs)", "installs", "count(*)")),
-        Rule("gold: events == silver", "gold", measure=_gap("sum(events_total)", "installed_events", "count(*)")),
-        Rule("gold: payouts == reward rows", "gold", measure=_gap("sum(reward_payouts)", "installed_events", "count(*)", reward)),
-        Rule("gold: cost == independent join", "gold", measure=_gap("sum(reward_cost_eur)", "installed_events", "sum(payout_eur)", reward)),
-        Rule("gold: unpriced == rewards on orphans", "gold", measure=_gap("sum(rewards_unpriced)", "installed_events", "count_if(is_orphan_offer)", reward)),
-        Rule("gold: late == silver flag", "gold", measure=_gap("sum(late_events)", "installed_events", "count_if(is_late)")),
-        Rule("gold: pre_install == silver flag", "gold", measure=_gap("sum(events_pre_install)", "installed_events", "count_if(is_pre_install)")),
-        Rule("gold: table == recompute", "gold", measure=_recompute(config)),
-    ]
+    totals = {
+        "installs": ("installs", "count(*)"), "events_total": ("installed_events", "count(*)"), "reward_payouts": ("installed_events", f"count_if({reward})"),
+        "reward_cost_eur": ("installed_events", f"sum(CASE WHEN {reward} THEN payout_eur END)"), "rewards_unpriced": ("installed_events", f"count_if({reward} AND payout_eur IS NULL)"),
+        "late_events": ("installed_events", "count_if(is_late)"), "events_pre_install": ("installed_events", "count_if(is_pre_install)"),
+    }
+    out = gold_facts(config).rules()
+    out += [Rule(f"gold: {c} adds up as in {table}", "gold", total=(f"sum({c})", table, again)) for c, (table, again) in totals.items()]
+    return [*out, Rule("gold: equals gold computed again", "gold", measure=_recompute(config))]
 
 
 def contract_rules(contract: dict[str, tuple[str, ...]], tables: dict[str, DataFrame]) -> list[Rule]:
@@ -150,8 +167,11 @@ def not_empty(table: str) -> Rule:
 
 
 def evaluate(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    """(rule, table_name, severity, violations, passed), lazily: one aggregate per table, one per uniqueness and measure."""
-    parts = []
+    """(rule, table_name, severity, violations, passed), lazily: one aggregate per table, one per uniqueness and measure.
+
+    A total's violations are the difference of the two sums.
+    """
+    parts = _totals(tables, [r for r in rules if r.total])
     row_rules: dict[str, list[Rule]] = {}
     for rule in rules:
         if rule.bad:
@@ -172,12 +192,32 @@ def evaluate(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     return stacked.select("rule", "table_name", "severity", "violations", (F.col("violations") == 0).alias("passed"))
 
 
+def _totals(tables: dict[str, DataFrame], rules: list[Rule]) -> list[DataFrame]:
+    """All totals: each table is summed once, and the two sums of a rule meet as rows."""
+    sums: dict[str, list[tuple[Rule, str, int]]] = {}
+    for r in rules:
+        own, other, again = r.total
+        sums.setdefault(r.table, []).append((r, own, 1))
+        sums.setdefault(other, []).append((r, again, -1))
+    sides = []
+    for table, group in sums.items():
+        summed = tables[table].agg(*(F.expr(f"coalesce(cast({e} AS double), 0D)").alias(f"_{i}") for i, (_, e, _) in enumerate(group)))
+        stacked = ", ".join(f"struct('{_sql(r.name)}' AS rule, '{r.severity}' AS severity, '{r.table}' AS table_name, {sign}D * _{i} AS part)" for i, (r, _, sign) in enumerate(group))
+        sides.append(summed.selectExpr(f"inline(array({stacked}))"))
+    if not sides:
+        return []
+    return [reduce(DataFrame.unionByName, sides).groupBy("rule", "severity", "table_name").agg(F.abs(F.sum("part")).alias("violations"))]
+
+
 def _sql(text: str) -> str:
     return text.replace("'", "\\'")
 
 
 def run_rules(tables: dict[str, DataFrame], rules: list[Rule], log: Callable[[DataFrame], None] | None = None) -> list[dict]:
-    """Evaluate all, log all, and only then raise; a rule that throws has failed."""
+    """Evaluate all, log all, and only then raise; a rule that throws has failed.
+
+    If any rule throws, all are evaluated again one by one to find out which: rules belong on stored tables.
+    """
     spark = next(iter(tables.values())).sparkSession
     schema = "rule string, table_name string, severity string, violations double, passed boolean, error string"
     try:
@@ -229,6 +269,36 @@ PASS_RULES = [
 ]
 
 
+#: Expectations that go with the tables' definitions, as table -> name -> (condition, action).
+EXPECTATIONS = {
+    "silver_events": {
+        "event_id_not_null": ("event_id IS NOT NULL", "drop"),
+        "user_id_not_null": ("user_id IS NOT NULL", "drop"),
+        "event_ts_not_null": ("event_ts IS NOT NULL", "drop"),
+        "ingest_ts_not_null": ("ingest_ts IS NOT NULL", "drop"),
+        "event_name_valid": (f"event_name IN ({_listed(STEPS)})", "warn"),
+    },
+    "silver_user_profile": {"user_id_not_null": ("user_id IS NOT NULL", "drop")},
+    "silver_offers": {
+        "offer_id_not_null": ("offer_id IS NOT NULL", "drop"),
+        "payout_eur_valid": ("payout_eur IS NOT NULL AND payout_eur > 0", "drop"),
+    },
+    "silver_installs": {
+        "user_id_not_null": ("user_id IS NOT NULL", "drop"),
+        "install_ts_not_null": ("install_ts IS NOT NULL", "drop"),
+        "country_valid": ("country IS NOT NULL AND LENGTH(country) = 2", "drop"),
+        "platform_valid": ("platform IN ('android', 'ios')", "drop"),
+    },
+    "gold_daily_country_platform": {
+        "date_not_null": ("date IS NOT NULL", "fail"),
+        "country_not_null": ("country IS NOT NULL", "fail"),
+        "platform_not_null": ("platform IS NOT NULL", "fail"),
+        "installs_non_negative": ("installs >= 0", "warn"),
+        "events_total_non_negative": ("events_total >= 0", "warn"),
+    },
+}
+
+
 def pass_rates(tables: dict[str, DataFrame]) -> DataFrame:
     """Per rule: rows, passed and failed rows, rate; a null condition counts as passed."""
     parts = []

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
-from functools import cached_property
+from datetime import date, datetime
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.config import STEPS, Config
-from weirflow.operators import cleanse, funnel, merge
+from weirflow.operators import cleanse, flags, funnel, merge
 from weirflow.plans import flows, governance, issues, profile, quality
-from weirflow.sources import testdata
+from weirflow.sources import bronze, testdata
 
 AS_OF, LO, HI = date(2024, 1, 25), date(2024, 1, 10), date(2024, 1, 15)
 CONFIG = Config(as_of=AS_OF)
@@ -42,9 +42,22 @@ class Tables:
     def profile(self) -> DataFrame:
         return cleanse.clean_user_profile(self.raw["user_profile"])
 
+    @cached_property
+    def met(self) -> DataFrame:
+        """Clean events with flags and what gold needs of the dimensions, each joined once."""
+        good, _ = cleanse.cleanse(self.raw["events"], cleanse.events_source(CONFIG))
+        return flags.meet(good, self.offers, self.installs, CONFIG)
+
     @cached_property
     def events(self) -> DataFrame:
-        return cleanse.clean_events(self.raw["events"], self.offers, self.installs, CONFIG)[0]
+        return self.met.drop(*flags.CARRIED)
+
+    @cached_property
+    def unchecked(self) -> dict[str, DataFrame]:
+        """Typed rows of all sources, good or bad and with all copies: here rules find what was planted."""
+        typed = lambda name, source: cleanse.typed(self.raw[name], source)
+        events = flags.flag(typed("events", cleanse.events_source(CONFIG)), self.offers, self.installs, CONFIG)
+        return {"offers": typed("offers", cleanse.OFFERS), "installs": typed("installs", cleanse.installs_source(CONFIG)), "events": events, "user_profile": typed("user_profile", cleanse.USER_PROFILE)}
 
     @cached_property
     def rejects(self) -> DataFrame:
@@ -52,7 +65,7 @@ class Tables:
 
     @cached_property
     def gold(self) -> DataFrame:
-        return funnel.aggregate(self.events, self.installs, self.offers, CONFIG)
+        return funnel.aggregate(self.met, self.installs, self.offers, CONFIG)
 
     @cached_property
     def silver(self) -> dict[str, DataFrame]:
@@ -62,28 +75,45 @@ class Tables:
 #: What all twins build on.
 BASE = """
 raw_events AS (
-  SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, ts::TIMESTAMP AS event_ts,
+  SELECT CASE WHEN event_id % 163 <> 0 THEN event_id::VARCHAR END AS event_id, CASE WHEN event_id % 157 <> 0 THEN user_id::VARCHAR END AS user_id,
+    CASE WHEN event_id % 151 <> 0 THEN ts::TIMESTAMP END AS event_ts,
     CASE event_type WHEN 'signup' THEN 'app_open' WHEN 'view' THEN 'offer_view' WHEN 'purchase' THEN 'reward_paid' WHEN 'error' THEN 'error'
       ELSE CASE WHEN k % 2 = 1 THEN 'offer_start' ELSE 'goal_reached' END END AS event_name,
-    CASE WHEN event_type <> 'signup' THEN k::VARCHAR END AS offer_id,
-    ts::TIMESTAMP + to_minutes((k * 10 + greatest(k - 90, 0) * 960)::BIGINT) + to_seconds(90 * again) AS ingest_ts
-  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) e, (VALUES (0), (1)) r(again) WHERE again = 0 OR event_id % 34 = 0
+    CASE WHEN again = 1 AND event_id % 68 = 0 THEN '999999' WHEN event_type = 'purchase' AND event_id % 13 = 0 THEN ' ' WHEN event_type <> 'signup' THEN k::VARCHAR END AS raw_offer,
+    nullif(trim(raw_offer), '') AS offer_id,
+    ts::TIMESTAMP + to_minutes((k * 10 + greatest(k - 90, 0) * 960)::BIGINT) + to_seconds(CASE WHEN again = 1 THEN 90 ELSE 0 END) AS ingest_ts
+  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) e, (VALUES (0), (1), (2)) r(again)
+  WHERE again = 0 OR again = 1 AND event_id % 34 = 0 OR again = 2 AND event_id % 85 = 0
 ),
 raw_installs AS (
-  SELECT c_custkey::VARCHAR AS user_id, TIMESTAMP '2024-01-01' + to_days((c_custkey % 20)::INT) AS install_ts,
+  SELECT CASE WHEN c_custkey % 83 <> 0 THEN c_custkey::VARCHAR END AS user_id,
+    CASE WHEN c_custkey % 89 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((c_custkey % 20 + second)::INT) END AS install_ts,
+    coalesce(strftime(install_ts, '%Y-%m-%d %H:%M:%S'), 'yesterday') AS install_text, CASE WHEN c_custkey % 2 = 0 THEN ' iOS ' ELSE 'Android' END AS raw_platform,
     CASE WHEN c_custkey % 97 = 0 THEN r_name WHEN c_custkey % 25 = 0 THEN ' ' || lower(substr(r_name, 1, 2)) || ' ' ELSE substr(r_name, 1, 2) END AS country,
-    c_mktsegment AS media_source, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'iPhone 15' ELSE c_mktsegment END AS device_model,
-    CASE WHEN c_custkey % 5 <> 0 THEN 'c' || (c_custkey % 7) END AS campaign_id
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    CASE WHEN second = 1 THEN 'Later' WHEN c_custkey % 3 = 0 THEN ' ' || lower(c_mktsegment) || ' ' ELSE c_mktsegment END AS media_source,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'iPhone 15' ELSE c_mktsegment END AS device_model,
+    CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE 'c' || (c_custkey % 7) END AS campaign_id
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (VALUES (0), (1)) s(second) WHERE second = 0 OR c_custkey % 41 = 0
+),
+raw_offers AS (
+  SELECT CASE WHEN p_partkey % 50 <> 23 THEN p_partkey::VARCHAR END AS offer_id, p_type, older,
+    CASE p_partkey % 50 WHEN 7 THEN '-1.00' WHEN 11 THEN 'abc' WHEN 17 THEN '0.00' ELSE (p_retailprice::DECIMAL(18,2) + older)::DECIMAL(18,2)::VARCHAR END AS payout_eur
+  FROM part, (VALUES (0), (1)) v(older) WHERE p_partkey % 10 <> 0 AND (older = 0 OR p_partkey % 40 = 3)
+),
+all_offers AS (
+  SELECT offer_id, trim(lower(p_type)) AS offer_category, 'cpa' AS payout_type, try_cast(payout_eur AS DECIMAL(18,2)) AS payout_eur, older FROM raw_offers
 ),
 offers AS (
-  SELECT p_partkey::VARCHAR AS offer_id, trim(lower(p_type)) AS offer_category, 'cpa' AS payout_type, p_retailprice::DECIMAL(18,2) AS payout_eur
-  FROM part WHERE p_partkey % 10 <> 0
+  SELECT * EXCLUDE (older) FROM all_offers WHERE offer_id IS NOT NULL AND payout_eur >= 0 QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY older) = 1
 ),
-installs AS (
+all_installs AS (
   SELECT user_id, install_ts, upper(trim(country)) AS country, CASE WHEN lower(device_model) LIKE '%iphone%' THEN 'ios' ELSE 'android' END AS platform,
-    media_source, device_model, campaign_id, install_ts::DATE AS install_date
-  FROM raw_installs WHERE regexp_full_match(upper(trim(country)), '[A-Z]{2}')
+    lower(trim(media_source)) AS media_source, device_model, nullif(trim(campaign_id), '') AS campaign_id, install_ts::DATE AS install_date
+  FROM raw_installs
+),
+installs AS (
+  SELECT * FROM all_installs WHERE user_id IS NOT NULL AND install_ts IS NOT NULL AND regexp_full_match(country, '[A-Z]{2}')
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY install_ts) = 1
 ),
 profile AS (
   SELECT o_custkey::VARCHAR AS user_id, count(*)::BIGINT AS events_lifetime, max(o_orderdate)::TIMESTAMP AS last_seen_ts,
@@ -93,7 +123,13 @@ profile AS (
 ),
 valid AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingest_ts) AS rn FROM raw_events
-  WHERE event_name IN ('app_open', 'offer_view', 'offer_start', 'goal_reached', 'reward_paid')
+  WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND event_ts IS NOT NULL AND event_name IN ('app_open', 'offer_view', 'offer_start', 'goal_reached', 'reward_paid')
+),
+all_ev AS (
+  SELECT v.*, v.event_ts::DATE AS event_date, (epoch_us(date_trunc('second', v.ingest_ts)) - epoch_us(date_trunc('second', v.event_ts))) / 3600000000.0 AS lag_hours,
+    v.ingest_ts > v.event_ts::DATE::TIMESTAMP + INTERVAL 1 DAY + INTERVAL 15 MINUTES AS is_late,
+    v.offer_id IS NOT NULL AND o.offer_id IS NULL AS is_orphan_offer, coalesce(v.event_ts < i.install_ts, false) AS is_pre_install
+  FROM raw_events v LEFT JOIN offers o USING (offer_id) LEFT JOIN installs i USING (user_id)
 ),
 ev AS (
   SELECT v.event_id, v.user_id, v.event_ts, v.event_name, v.offer_id, v.ingest_ts, v.event_ts::DATE AS event_date,
@@ -110,7 +146,7 @@ funnel AS (
     count(DISTINCT CASE WHEN event_name = 'app_open' THEN user_id END) AS app_open_users, count(DISTINCT CASE WHEN event_name = 'offer_view' THEN user_id END) AS offer_view_users,
     count(DISTINCT CASE WHEN event_name = 'offer_start' THEN user_id END) AS offer_start_users, count(DISTINCT CASE WHEN event_name = 'goal_reached' THEN user_id END) AS goal_reached_users,
     count(DISTINCT CASE WHEN event_name = 'reward_paid' THEN user_id END) AS reward_paid_users, count(*) FILTER (event_name = 'reward_paid') AS reward_payouts,
-    sum(payout_eur) FILTER (event_name = 'reward_paid') AS reward_cost_eur, count(*) FILTER (event_name = 'reward_paid' AND is_orphan_offer) AS rewards_unpriced,
+    sum(payout_eur) FILTER (event_name = 'reward_paid') AS reward_cost_eur, count(*) FILTER (event_name = 'reward_paid' AND payout_eur IS NULL) AS rewards_unpriced,
     count(*) FILTER (is_late) AS late_events, count(*) FILTER (is_pre_install) AS events_pre_install
   FROM enriched GROUP BY ALL
 ),
@@ -123,9 +159,12 @@ gold AS (
   FROM (SELECT install_date AS date, country, platform, count(*) AS installs FROM installs GROUP BY ALL) FULL OUTER JOIN funnel USING (date, country, platform)
 ),
 rejects AS (
-  SELECT 'events' AS source, event_id AS reject_key, 'null_key_bad_ts_or_unknown_event' AS reject_reason, TIMESTAMP '2024-03-01' AS _ingested_at FROM raw_events WHERE event_name = 'error'
+  SELECT 'events' AS source, event_id AS reject_key, 'null_key_bad_ts_or_unknown_event' AS reject_reason, TIMESTAMP '2024-03-01' AS _ingested_at FROM raw_events
+    WHERE event_id IS NULL OR user_id IS NULL OR event_ts IS NULL OR event_name = 'error'
   UNION ALL SELECT 'events', event_id, 'duplicate_event_id', TIMESTAMP '2024-03-01' FROM valid WHERE rn > 1
-  UNION ALL SELECT 'installs', user_id, 'bad_ts_or_country', TIMESTAMP '2024-03-01' FROM raw_installs WHERE NOT regexp_full_match(upper(trim(country)), '[A-Z]{2}')
+  UNION ALL SELECT 'installs', user_id, 'bad_ts_or_country', TIMESTAMP '2024-03-01' FROM raw_installs WHERE user_id IS NULL OR install_ts IS NULL OR NOT regexp_full_match(upper(trim(country)), '[A-Z]{2}')
+  UNION ALL SELECT 'offers', offer_id, 'null_id_or_bad_payout', CASE WHEN older = 1 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-03-01' END FROM all_offers
+    WHERE offer_id IS NULL OR payout_eur IS NULL OR payout_eur < 0
 )
 """
 
@@ -161,7 +200,7 @@ _simple("reject_summary", lambda t: cleanse.reject_summary(t.rejects), "SELECT s
 _simple(
     "rejects_raw_record",
     lambda t: t.rejects.where("source = 'installs'").select("reject_key", F.get_json_object("raw_record", "$.country").alias("raw_country")),
-    "SELECT user_id AS reject_key, country AS raw_country FROM raw_installs WHERE NOT regexp_full_match(upper(trim(country)), '[A-Z]{2}')",
+    "SELECT user_id AS reject_key, country AS raw_country FROM raw_installs WHERE user_id IS NULL OR install_ts IS NULL OR NOT regexp_full_match(upper(trim(country)), '[A-Z]{2}')",
 )
 _simple(
     "installs_platform_column",
@@ -174,6 +213,11 @@ def _orders(t: Tables) -> DataFrame:
     return testdata.load(t.spark, t.sf_dir, "orders")
 
 
+def _runs(t: Tables) -> DataFrame:
+    """Orders as results of runs: a day is a run, a priority a layer."""
+    return _orders(t).select(F.col("o_orderpriority").alias("layer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("run_id"), F.col("o_orderstatus").alias("status"))
+
+
 def _lineitem(t: Tables) -> DataFrame:
     return testdata.load(t.spark, t.sf_dir, "lineitem")
 
@@ -200,8 +244,8 @@ _simple("lag_hours", lambda t: t.events.select("event_id", F.round("lag_hours",
 # -- gold ----------------------------------------------------------------------
 
 _simple("gold_daily", lambda t: t.gold, "SELECT * FROM gold")
-_simple("gold_daily_distinct", lambda t: funnel.aggregate_distinct(t.events, t.installs, t.offers, CONFIG), "SELECT * FROM gold")
-_simple("gold_window", lambda t: funnel.window(t.events, t.installs, t.offers, LO, HI, CONFIG), f"SELECT * FROM gold WHERE date BETWEEN DATE '{LO}' AND DATE '{HI}'")
+_simple("gold_daily_distinct", lambda t: funnel.aggregate_distinct(t.met, t.installs, t.offers, CONFIG), "SELECT * FROM gold")
+_simple("gold_window", lambda t: funnel.window(t.met, t.installs, t.offers, LO, HI, CONFIG), f"SELECT * FROM gold WHERE date BETWEEN DATE '{LO}' AND DATE '{HI}'")
 _simple("gold_rollup_country", lambda t: profile.by_country(t.gold),
         "SELECT country, sum(installs)::BIGINT AS installs, sum(events_total)::BIGINT AS events_total, sum(reward_payouts)::BIGINT AS reward_payouts, sum(rewards_unpriced)::BIGINT AS rewards_unpriced, sum(late_events)::BIGINT AS late_events, sum(reward_cost_eur)::DECIMAL(18,2) AS reward_cost_eur FROM gold GROUP BY country")
 _simple("gold_trend", lambda t: profile.gold_trend(t.gold),
@@ -236,10 +280,10 @@ _simple("country_spellings", lambda t: profile.spellings(t.raw["installs"], "cou
 _simple("column_profile", lambda t: profile.column_profile(t.raw["installs"]).drop("approx_distinct"),
         " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) FILTER ({x} IS NULL) AS nulls, count(*) FILTER (trim({x}) = '') AS blank, count(*) FILTER ({x} <> trim({x})) AS untrimmed, min(length({x}))::INT AS min_length, max(length({x}))::INT AS max_length FROM raw_installs"
-            for c, x in {"user_id": "user_id", "install_ts": "strftime(install_ts, '%Y-%m-%d %H:%M:%S')", "country": "country", "platform": "CASE WHEN user_id::BIGINT % 2 = 0 THEN ' iOS ' ELSE 'Android' END", "media_source": "media_source", "device_model": "device_model", "campaign_id": "coalesce(campaign_id, ' ')"}.items()))
+            for c, x in {"user_id": "user_id", "install_ts": "install_text", "country": "country", "platform": "raw_platform", "media_source": "media_source", "device_model": "device_model", "campaign_id": "campaign_id"}.items()))
 _simple("top_values", lambda t: profile.top_values(t.events, "offer_id"), "SELECT offer_id AS value, count(*) AS count FROM ev GROUP BY ALL ORDER BY count DESC, value NULLS FIRST LIMIT 5")
 _simple("parse_failures", lambda t: profile.parse_failures(t.raw["installs"], {"install_ts": F.try_to_timestamp("install_ts"), "country": F.col("country").try_cast("bigint")}),
-        "SELECT 'install_ts' AS column_name, 0::BIGINT AS failures UNION ALL SELECT 'country', count(*) FROM raw_installs")
+        "SELECT 'install_ts' AS column_name, count(*) FILTER (try_cast(install_text AS TIMESTAMP) IS NULL) AS failures FROM raw_installs UNION ALL SELECT 'country', count(*) FILTER (try_cast(country AS BIGINT) IS NULL) FROM raw_installs")
 _simple("lag_histogram_share", lambda t: profile.lag_histogram(t.events), "SELECT floor(lag_hours / 24)::BIGINT AS lag_day, count(*) AS events, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM ev GROUP BY 1")
 _simple("lag_percentiles", lambda t: profile.lag_percentiles(t.events),
         "SELECT " + ", ".join(f"round(quantile_cont(lag_hours, {p}), 6) AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + ", round(max(lag_hours), 6) AS max_lag FROM ev")
@@ -254,21 +298,37 @@ _simple("top_users", lambda t: profile.top_users(t.events), "SELECT user_id, eve
 _simple("top_share", lambda t: profile.top_share(t.events),
         "SELECT round(sum(n) / max(total), 6)::DOUBLE AS share, count(*) AS users FROM (SELECT n, sum(n) OVER () AS total, count(*) OVER () AS users, row_number() OVER (ORDER BY n DESC, user_id) AS r FROM (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id)) WHERE r <= greatest(1, users // 100)")
 _simple("duplicate_forensics", lambda t: profile.duplicate_forensics(t.raw["events"], "event_id", F.col("ingest_ts").cast("timestamp")),
-        "SELECT count(*) AS keys, max(c) AS max_copies, 1::BIGINT AS max_variants, 90::BIGINT AS min_spread_s, 90::BIGINT AS max_spread_s, 90.0::DOUBLE AS p50_spread_s FROM (SELECT event_id, count(*) AS c FROM raw_events GROUP BY event_id HAVING count(*) > 1)")
+        """SELECT count(*) AS keys, sum(c - 1)::BIGINT AS extra_rows, count(*) FILTER (v > 1) AS conflicting_keys, max(c) AS max_copies, max(v) AS max_variants, min(s) AS min_spread_s, max(s) AS max_spread_s, quantile_cont(s, 0.5)::DOUBLE AS p50_spread_s
+        FROM (SELECT event_id, count(*) AS c, count(DISTINCT struct_pack(a := coalesce(user_id, '-'), b := coalesce(event_ts::VARCHAR, '-'), c := event_name, d := coalesce(raw_offer, '-'))) AS v, date_diff('second', min(date_trunc('second', ingest_ts)), max(date_trunc('second', ingest_ts))) AS s
+        FROM raw_events WHERE event_id IS NOT NULL GROUP BY event_id HAVING count(*) > 1)""")
 _simple("null_rate_by_event", lambda t: profile.null_rate(t.events), "SELECT event_name, round(avg(CASE WHEN offer_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_rate, count(*) AS rows FROM ev GROUP BY event_name")
-_simple("repeated_installs", lambda t: profile.repeated_keys(t.raw["installs"], "media_source"), "SELECT media_source, count(*) AS copies FROM raw_installs GROUP BY ALL HAVING count(*) > 1")
+_simple("repeated_installs", lambda t: profile.repeated_keys(t.raw["installs"].where("user_id IS NOT NULL"), "user_id"), "SELECT user_id, count(*) AS copies FROM raw_installs WHERE user_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 _simple("installs_by_source", lambda t: profile.value_counts(t.installs, "platform", "media_source", "campaign_id"), "SELECT platform, media_source, campaign_id, count(*) AS rows FROM installs GROUP BY ALL")
-_simple("devices_on_several_platforms", lambda t: profile.devices_on_several_platforms(t.installs), "SELECT device_model, count(DISTINCT platform) AS platforms FROM installs GROUP BY ALL HAVING count(DISTINCT platform) > 1")
+_simple("devices_on_several_platforms", lambda t: profile.devices_on_several_platforms(cleanse.clean_installs(t.raw["installs"], Config(platform_mode="column"))[0]), "SELECT device_model, count(DISTINCT p) AS platforms FROM (SELECT device_model, CASE WHEN user_id::BIGINT % 2 = 0 THEN 'ios' ELSE 'android' END AS p FROM installs) GROUP BY ALL HAVING count(DISTINCT p) > 1")
 _simple("catalog_quality", lambda t: profile.catalog_quality(t.offers), "SELECT count(*) AS rows, count(*) - count(DISTINCT offer_id) AS repeated, count(DISTINCT payout_eur) AS payouts, min(payout_eur) AS least, max(payout_eur) AS most FROM offers")
 _simple("pre_install_by_source", lambda t: profile.pre_install_by_source(t.events, t.installs),
-        """SELECT media_source, count(*) AS events, round(quantile_cont(h, 0.5), 4) AS p50_hours, round(max(h), 4) AS max_hours FROM (
+        """SELECT media_source, count(*) AS events, round(quantile_cont(h, 0.5), 6) AS p50_hours, round(max(h), 6) AS max_hours FROM (
         SELECT media_source, (epoch_us(install_ts) - epoch_us(date_trunc('second', event_ts))) / 3600000000.0 AS h FROM ev JOIN installs USING (user_id) WHERE event_ts < install_ts) GROUP BY ALL""")
 _simple("late_simulation", lambda t: profile.late_simulation(t.events),
         """SELECT count(*) AS events, count(*) FILTER (d = 0) AS same_day, count(*) FILTER (d = 1) AS next_day, count(*) FILTER (d >= 2) AS later, count(*) FILTER (d >= 1) AS crosses_midnight,
         count(*) FILTER (is_late) AS missed_by_job, count(*) FILTER (d >= 1 AND NOT is_late) AS caught_after_midnight FROM (SELECT *, ingest_ts::DATE - event_date AS d FROM ev)""")
-_simple("source_overview", lambda t: profile.source_overview(t.raw).drop("columns"), "SELECT 'events' AS source, count(*) AS rows FROM raw_events UNION ALL SELECT 'installs', count(*) FROM raw_installs UNION ALL SELECT 'offers', count(*) FROM offers UNION ALL SELECT 'user_profile', count(*) FROM profile")
-_simple("approx_distinct", lambda t: t.events.agg(F.approx_count_distinct("user_id").alias("users")))
-_simple("approx_percentile", lambda t: t.events.agg(F.percentile_approx("lag_hours", F.array(F.lit(0.5), F.lit(0.99))).alias("lag")))
+_simple("source_overview", lambda t: profile.source_overview(t.raw).drop("files"), "SELECT 'events' AS source, count(*) AS rows, 6::INT AS columns FROM raw_events UNION ALL SELECT 'installs', count(*), 7 FROM raw_installs UNION ALL SELECT 'offers', count(*), 4 FROM raw_offers UNION ALL SELECT 'user_profile', count(*), 5 FROM profile")
+_simple("approx_distinct", lambda t: profile.approximation(t.events, "user_id"), "SELECT count(DISTINCT user_id) AS exact, true AS within FROM ev")
+# With an accuracy above the number of rows the estimate is a value of that very rank.
+_simple("approx_percentile", lambda t: t.events.agg(*(F.round(F.percentile_approx("lag_hours", F.lit(p), F.lit(2_000_000_000)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.99))),
+        "SELECT " + ", ".join(f"round(list_sort(list(lag_hours))[ceil({p} * count(*))::BIGINT], 6) AS p{int(100 * p)}" for p in (0.5, 0.99)) + " FROM ev")
+_simple("event_name_spellings", lambda t: profile.spellings(t.raw["events"], "event_name", STEPS),
+        f"SELECT event_name AS raw, event_name AS canonical, count(*) AS rows, event_name IN {STEPS} AS known FROM raw_events GROUP BY ALL")
+_simple("platform_mismatches", lambda t: profile.platform_mismatches(t.raw["installs"]),
+        "SELECT lower(trim(raw_platform)) AS told, CASE WHEN lower(device_model) LIKE '%iphone%' THEN 'ios' ELSE 'android' END AS derived, count(*) AS rows FROM raw_installs WHERE told <> derived GROUP BY ALL")
+_simple("date_ranges", lambda t: profile.date_ranges({"events": (t.events, "event_ts"), "installs": (t.installs, "install_ts"), "user_profile": (t.profile, "last_seen_ts")}),
+        "SELECT 'events' AS table_name, min(event_ts)::DATE AS first_day, max(event_ts)::DATE AS last_day FROM ev UNION ALL SELECT 'installs', min(install_ts)::DATE, max(install_ts)::DATE FROM installs UNION ALL SELECT 'user_profile', min(last_seen_ts)::DATE, max(last_seen_ts)::DATE FROM profile")
+_simple("midnight_crossing", lambda t: profile.midnight_crossing(t.events),
+        "SELECT count(*) AS crossing, count(*) FILTER (NOT is_late) AS caught_by_cutoff, count(*) FILTER (is_late) AS missed_by_cutoff, count(DISTINCT event_date) AS days FROM ev WHERE hour(event_ts) >= 23 AND ingest_ts::DATE - event_date = 1 AND hour(ingest_ts) < 1")
+_simple("latest_run", lambda t: profile.latest_run(_runs(t)).select("layer", "run_id", "status"),
+        "SELECT o_orderpriority AS layer, strftime(o_orderdate, '%Y-%m-%d') AS run_id, o_orderstatus AS status FROM orders QUALIFY run_id = max(run_id) OVER (PARTITION BY layer)", base=False)
+_simple("events_above_watermark", lambda t: flows.since(t.events.withColumnRenamed("ingest_ts", "_ingested_at"), datetime(2024, 1, 5), datetime(2024, 1, 12)).groupBy("event_date").agg(F.count("*").alias("rows")),
+        "SELECT event_date, count(*) AS rows FROM ev WHERE ingest_ts > TIMESTAMP '2024-01-05' AND ingest_ts <= TIMESTAMP '2024-01-12' GROUP BY event_date")
 
 # -- merges and sets -----------------------------------------------------------
 
@@ -289,7 +349,7 @@ _simple("merge_conditional", lambda t: merge.conditional(*_halves(t), ["c_custke
 @_query("merge_close_issues", """SELECT coalesce(r.k, c.k) AS key_value, CASE WHEN c.k IS NOT NULL THEN 'open' ELSE 'resolved' END AS status, CASE WHEN r.k IS NOT NULL THEN 'run1' ELSE 'run2' END AS first_seen_run, CASE WHEN c.k IS NOT NULL THEN 'run2' ELSE 'run1' END AS last_seen_run
   FROM (SELECT DISTINCT event_id AS k FROM ev WHERE is_orphan_offer AND event_date <= DATE '2024-01-15') r FULL OUTER JOIN (SELECT DISTINCT event_id AS k FROM ev WHERE is_orphan_offer AND event_date >= DATE '2024-01-10') c ON r.k = c.k""")
 def _close_issues(t: Tables) -> DataFrame:
-    orphans = issues._issue(t.events.where("is_orphan_offer"), "orphan_offer", "bronze.events", "event_id", F.col("event_name"))
+    orphans = issues.found_in_events(t.events).where("issue = 'orphan_offer'")
     empty = t.spark.createDataFrame([], issues.REGISTER)
     first = issues.update_register(empty, orphans.where(F.col("event_date") <= HI), "run1")
     return issues.update_register(first, orphans.where(F.col("event_date") >= LO), "run2").select("key_value", "status", "first_seen_run", "last_seen_run")
@@ -298,49 +358,150 @@ def _close_issues(t: Tables) -> DataFrame:
 _simple("replace_window", lambda t: merge.replace_where(t.gold.withColumn("fresh", F.lit(False)), t.gold.where(F.col("date").between(LO, HI) & (F.col("country") != "AS")).withColumn("fresh", F.lit(True)), F.col("date").between(LO, HI)).select("date", "country", "platform", "events_total", "fresh"),
         f"SELECT date, country, platform, events_total, date BETWEEN DATE '{LO}' AND DATE '{HI}' AS fresh FROM gold WHERE NOT (date BETWEEN DATE '{LO}' AND DATE '{HI}' AND country = 'AS')")
 _simple("except_distinct", lambda t: _lineitem(t).select("l_orderkey").subtract(_lineitem(t).where("l_returnflag = 'R'").select("l_orderkey")), "SELECT l_orderkey FROM lineitem EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'", base=False)
-_simple("except_all_diff", lambda t: merge.multiset_difference(_lineitem(t).select("l_partkey"), _lineitem(t).where("l_quantity > 25").select("l_partkey")),
-        "SELECT l_partkey, 'left' AS side FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity > 25)", base=False)
+_simple("except_all_diff", lambda t: merge.multiset_difference(_lineitem(t).where("l_quantity < 40").select("l_partkey"), _lineitem(t).where("l_quantity > 25").select("l_partkey")),
+        "SELECT l_partkey, 'left' AS side FROM (SELECT l_partkey FROM lineitem WHERE l_quantity < 40 EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity > 25) UNION ALL SELECT l_partkey, 'right' FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 25 EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity < 40)", base=False)
 _simple("union_by_name", lambda t: t.raw["events"].select("user_id", "event_id").unionByName(t.raw["installs"].select("user_id", "country"), allowMissingColumns=True).groupBy((F.col("event_id").isNull()).alias("is_install")).agg(F.count("*").alias("rows")),
-        "SELECT false AS is_install, count(*) AS rows FROM raw_events UNION ALL SELECT true, count(*) FROM raw_installs")
+        "SELECT event_id IS NULL AS is_install, count(*) AS rows FROM (SELECT event_id FROM raw_events UNION ALL SELECT NULL FROM raw_installs) GROUP BY 1")
 
 # -- quality -------------------------------------------------------------------
 
-_FLAGGED = "SELECT 'events: late arrivals' AS rule, count(*) FILTER (is_late)::DOUBLE AS violations FROM ev UNION ALL SELECT 'events: pre-install', count(*) FILTER (is_pre_install) FROM ev UNION ALL SELECT 'events: orphan offer_id', count(*) FILTER (is_orphan_offer) FROM ev UNION ALL SELECT 'installs: users with no events', count(*) FROM installs WHERE user_id NOT IN (SELECT user_id FROM ev) UNION ALL SELECT 'events: every event has an install', count(*) FROM ev WHERE user_id NOT IN (SELECT user_id FROM installs)"
-_simple("dq_silver_rules", lambda t: quality.evaluate(t.silver, quality.silver_rules()).select("rule", "violations", "passed"),
-        f"SELECT r.rule AS rule, coalesce(violations, 0)::DOUBLE AS violations, coalesce(violations, 0) = 0 AS passed FROM (SELECT unnest([{', '.join(chr(39) + r.name + chr(39) for r in quality.silver_rules())}]) AS rule) r LEFT JOIN ({_FLAGGED}) f ON f.rule = r.rule")
-_simple("dq_silver_rules_v1", lambda t: quality.evaluate(t.silver, quality.v1_silver_rules()).groupBy("severity").agg(F.count("*").alias("rules"), F.count_if("passed").alias("passed_rules")),
-        "SELECT 'error' AS severity, 13::BIGINT AS rules, 13::BIGINT AS passed_rules UNION ALL SELECT 'warning', 4, (SELECT (count(*) FILTER (is_late) = 0)::INT + (count(*) FILTER (is_pre_install) = 0)::INT + (count(*) FILTER (is_orphan_offer) = 0)::INT FROM ev) + (SELECT (count(*) = 0)::INT FROM installs WHERE user_id NOT IN (SELECT user_id FROM ev))")
-
-
-@_query("dq_gold_rules", "SELECT unnest([" + ", ".join(f"'{r.name}'" for r in quality.gold_rules()) + "]) AS rule, 0.0::DOUBLE AS violations, true AS passed", base=False)
-def _gold_rules(t: Tables) -> DataFrame:
-    tables = t.silver | {"gold": t.gold, "installed_events": funnel.enrich(t.events, t.installs, t.offers)}
-    return quality.evaluate(tables, quality.gold_rules(CONFIG)).select("rule", "violations", "passed")
 
 
-@_query("dq_pass_rate", """SELECT 'silver_events' AS table_name, 'is_late' AS rule_name, count(*) AS total_rows, count(*) FILTER (is_late) AS failed_rows FROM ev
-  UNION ALL SELECT 'silver_events', 'is_pre_install', count(*), count(*) FILTER (is_pre_install) FROM ev UNION ALL SELECT 'silver_events', 'is_orphan_offer', count(*), count(*) FILTER (is_orphan_offer) FROM ev
-  UNION ALL SELECT 'silver_events', unnest(['event_id_not_null', 'user_id_not_null', 'event_ts_not_null', 'ingest_ts_not_null', 'event_name_valid']), (SELECT count(*) FROM ev), 0
-  UNION ALL SELECT 'silver_offers', unnest(['offer_id_not_null', 'payout_eur_positive']), (SELECT count(*) FROM offers), 0
-  UNION ALL SELECT 'silver_installs', unnest(['user_id_not_null', 'install_ts_not_null', 'country_valid', 'platform_valid']), (SELECT count(*) FROM installs), 0
-  UNION ALL SELECT 'silver_user_profile', 'user_id_not_null', (SELECT count(*) FROM profile), 0
-  UNION ALL SELECT 'gold_daily_country_platform', unnest(['date_not_null', 'country_not_null', 'platform_not_null', 'installs_non_negative', 'events_total_non_negative']), (SELECT count(*) FROM gold), 0""")
+def _rule_twin(o: str, i: str, e: str, p: str) -> str:
+    """DuckDB: (rule, violations) of all rules on the silver tables."""
+    repeated = lambda table, key: f"(SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY {key} HAVING count(*) > 1))"
+    bad = lambda table, where: f"(SELECT count(*) FROM {table} WHERE {where})"
+    counts = {
+        "offers: one row per offer_id": repeated(o, "offer_id"), "offers: offer_id is missing": bad(o, "offer_id IS NULL"), "offers: payout is not positive": bad(o, "payout_eur IS NULL OR payout_eur <= 0"),
+        "installs: one row per user_id": repeated(i, "user_id"), "installs: user_id is missing": bad(i, "user_id IS NULL"), "installs: install_ts is missing": bad(i, "install_ts IS NULL"),
+        "installs: platform is unknown": bad(i, "platform IS NULL OR platform NOT IN ('android', 'ios')"), "installs: country is no two-letter code": bad(i, "country IS NULL OR NOT regexp_full_match(country, '[A-Z]{2}')"),
+        "installs: user_id not in events": bad(i, f"NOT EXISTS (FROM {e} x WHERE x.user_id = {i}.user_id)"),
+        "events: one row per event_id": repeated(e, "event_id"), "events: event_id is missing": bad(e, "event_id IS NULL"), "events: user_id is missing": bad(e, "user_id IS NULL"),
+        "events: event_ts is missing": bad(e, "event_ts IS NULL"), "events: ingest_ts is missing": bad(e, "ingest_ts IS NULL"), "events: event_name is unknown": bad(e, f"event_name IS NULL OR event_name NOT IN {STEPS}"),
+        "events: date is not the event's": bad(e, "event_date <> event_ts::DATE"), "events: late": bad(e, "is_late"), "events: before the install": bad(e, "is_pre_install"),
+        "events: offer is an orphan": bad(e, "is_orphan_offer"), "events: arrives before it happens": bad(e, "lag_hours < 0"), "events: user_id not in installs": bad(e, f"NOT EXISTS (FROM {i} x WHERE x.user_id = {e}.user_id)"),
+        "user_profile: one row per user_id": repeated(p, "user_id"), "user_profile: user_id is missing": bad(p, "user_id IS NULL"),
+    }
+    return " UNION ALL ".join(f"SELECT '{name.replace(chr(39), chr(39) * 2)}' AS rule, {sql}::DOUBLE AS violations" for name, sql in counts.items())
+
+
+_CLEAN, _UNCHECKED = _rule_twin("offers", "installs", "ev", "profile"), _rule_twin("all_offers", "all_installs", "all_ev", "profile")
+_simple("dq_silver_rules", lambda t: quality.evaluate(t.silver, quality.silver_rules()).select("rule", "violations", "passed"), f"SELECT rule, violations, violations = 0 AS passed FROM ({_CLEAN})")
+_simple("dq_silver_rules_unchecked", lambda t: quality.evaluate(t.unchecked, quality.silver_rules()).select("rule", "violations", "passed"), f"SELECT rule, violations, violations = 0 AS passed FROM ({_UNCHECKED})")
+_simple("dq_silver_rules_v1", lambda t: quality.evaluate(t.unchecked, quality.v1_silver_rules()).groupBy("severity").agg(F.count("*").alias("rules"), F.count_if("passed").alias("passed_rules")),
+        f"""SELECT CASE WHEN rule IN ('events: late', 'events: before the install', 'events: offer is an orphan', 'installs: user_id not in events') THEN 'warning' ELSE 'error' END AS severity, count(*) AS rules, count(*) FILTER (violations = 0) AS passed_rules
+        FROM ({_UNCHECKED}) WHERE rule NOT IN ('events: ingest_ts is missing', 'events: date is not the event''s', 'events: arrives before it happens', 'events: user_id not in installs') GROUP BY 1""")
+
+
+def _gold_twin(gold: str) -> str:
+    """DuckDB: (rule, violations) of all rules on gold, which may be any table of gold's columns."""
+    numbers = ["installs", "events_total", *(f"{x}_users" for x in STEPS), "reward_payouts", "rewards_unpriced", "late_events", "events_pre_install", "reward_cost_eur"]
+    bad = {
+        "part of the grain is missing": "date IS NULL OR country IS NULL OR platform IS NULL", "a number is negative": " OR ".join(f"{n} < 0" for n in numbers),
+        "more unpriced rewards than rewards": "rewards_unpriced > reward_payouts", "more rewarded users than rewards": "reward_paid_users > reward_payouts",
+        "more flagged events than events": "greatest(late_events, events_pre_install) > events_total", "more users of a step than events": "greatest(" + ", ".join(f"{x}_users" for x in STEPS) + ") > events_total",
+    }
+    reward = "event_name = 'reward_paid'"
+    sums = {
+        "installs": ("installs", "SELECT count(*) FROM installs"), "events_total": ("installed_events", "SELECT count(*) FROM enriched"), "reward_payouts": ("installed_events", f"SELECT count(*) FROM enriched WHERE {reward}"),
+        "reward_cost_eur": ("installed_events", f"SELECT coalesce(sum(payout_eur), 0) FROM enriched WHERE {reward}"), "rewards_unpriced": ("installed_events", f"SELECT count(*) FROM enriched WHERE {reward} AND payout_eur IS NULL"),
+        "late_events": ("installed_events", "SELECT count(*) FROM enriched WHERE is_late"), "events_pre_install": ("installed_events", "SELECT count(*) FROM enriched WHERE is_pre_install"),
+    }
+    parts = [f"SELECT 'gold: one row per date, country, platform' AS rule, (SELECT count(*) FROM (SELECT 1 FROM {gold} GROUP BY date, country, platform HAVING count(*) > 1))::DOUBLE AS violations"]
+    parts += [f"SELECT 'gold: {name}', (SELECT count(*) FROM {gold} WHERE {where})" for name, where in bad.items()]
+    parts += [f"SELECT 'gold: {c} adds up as in {t}', abs((SELECT coalesce(sum({c}), 0)::DOUBLE FROM {gold}) - ({q})::DOUBLE)" for c, (t, q) in sums.items()]
+    columns = ", ".join(f"{{s}}.{n}" for n in numbers)
+    row = lambda x: f"({columns.format(s=x)})"
+    parts.append(f"""SELECT 'gold: equals gold computed again', (SELECT count(*) FROM {gold} a FULL OUTER JOIN gold b ON a.date = b.date AND a.country = b.country AND a.platform = b.platform
+      WHERE a.events_total IS NULL OR b.events_total IS NULL OR {row('a')} IS DISTINCT FROM {row('b')})""")
+    return f"SELECT rule, violations, violations = 0 AS passed FROM ({' UNION ALL '.join(parts)})"
+
+
+def _spoilt(t: Tables) -> DataFrame:
+    """Gold with planted faults: lost and repeated rows, wrong counts and signs."""
+    odd = F.dayofmonth("date") % 7
+    g = t.gold.where(~((odd == 1) & (F.col("country") == "AS")))
+    wrong = g.withColumns({
+        "rewards_unpriced": F.when(odd == 2, F.col("reward_payouts") + 1).otherwise(F.col("rewards_unpriced")), "late_events": F.when(odd == 3, F.col("events_total") + 2).otherwise(F.col("late_events")),
+        "installs": F.when(odd == 4, F.lit(-1).cast("bigint")).otherwise(F.col("installs")), "reward_paid_users": F.when(odd == 5, F.col("events_total") + 1).otherwise(F.col("reward_paid_users")),
+    })
+    return wrong.unionByName(wrong.where((odd == 6) & (F.col("platform") == "ios")))
+
+
+_SPOILT = """, wrong AS (SELECT * REPLACE (CASE WHEN day(date) % 7 = 2 THEN reward_payouts + 1 ELSE rewards_unpriced END AS rewards_unpriced, CASE WHEN day(date) % 7 = 3 THEN events_total + 2 ELSE late_events END AS late_events,
+    CASE WHEN day(date) % 7 = 4 THEN -1 ELSE installs END AS installs, CASE WHEN day(date) % 7 = 5 THEN events_total + 1 ELSE reward_paid_users END AS reward_paid_users) FROM gold WHERE NOT (day(date) % 7 = 1 AND country = 'AS')),
+  spoilt AS (SELECT * FROM wrong UNION ALL SELECT * FROM wrong WHERE day(date) % 7 = 6 AND platform = 'ios') """
+
+
+def _gold_rules(t: Tables, gold: DataFrame) -> DataFrame:
+    tables = t.silver | {"gold": gold}
+    return quality.evaluate(tables | {"installed_events": quality.installed_events(tables)}, quality.gold_rules(CONFIG)).select("rule", "violations", "passed")
+
+
+_simple("dq_gold_rules", lambda t: _gold_rules(t, t.gold), _gold_twin("gold"))
+_simple("dq_gold_rules_spoilt", lambda t: _gold_rules(t, _spoilt(t)), _SPOILT + _gold_twin("spoilt"))
+
+_EXPECTED = {
+    "silver_offers": ("all_offers", {"offer_id_not_null": "offer_id IS NOT NULL", "payout_eur_positive": "payout_eur > 0"}),
+    "silver_installs": ("all_installs", {"user_id_not_null": "user_id IS NOT NULL", "install_ts_not_null": "install_ts IS NOT NULL", "country_valid": "length(country) = 2", "platform_valid": "platform IN ('android', 'ios')"}),
+    "silver_events": ("all_ev", {
+        "event_id_not_null": "event_id IS NOT NULL", "user_id_not_null": "user_id IS NOT NULL", "event_ts_not_null": "event_ts IS NOT NULL", "ingest_ts_not_null": "ingest_ts IS NOT NULL", "event_name_valid": f"event_name IN {STEPS}",
+        "is_late": "coalesce(NOT is_late, true)", "is_pre_install": "coalesce(NOT is_pre_install, true)", "is_orphan_offer": "coalesce(NOT is_orphan_offer, true)"}),
+    "silver_user_profile": ("profile", {"user_id_not_null": "user_id IS NOT NULL"}),
+    "gold_daily_country_platform": ("spoilt", {"date_not_null": "date IS NOT NULL", "country_not_null": "country IS NOT NULL", "platform_not_null": "platform IS NOT NULL", "installs_non_negative": "installs >= 0", "events_total_non_negative": "events_total >= 0"}),
+}
+
+
+@_query("dq_pass_rate", _SPOILT + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r}' AS rule_name, count(*) AS total_rows, count(*) FILTER (NOT coalesce({c}, false)) AS failed_rows FROM {x}" for t, (x, rules) in _EXPECTED.items() for r, c in rules.items()))
 def _pass_rate(t: Tables) -> DataFrame:
-    tables = {"silver_offers": t.offers, "silver_installs": t.installs, "silver_events": t.events, "silver_user_profile": t.profile, "gold_daily_country_platform": t.gold}
+    tables = {f"silver_{n}": df for n, df in t.unchecked.items()} | {"gold_daily_country_platform": _spoilt(t)}
     return quality.pass_rates(tables).select("table_name", "rule_name", "total_rows", "failed_rows")
 
 
-_simple("expectations_drop", lambda t: quality.expect(t.offers, {"priced": ("payout_eur > 1000", "drop"), "named": ("offer_id IS NOT NULL", "warn")})[0].select("offer_id", "payout_eur"), "SELECT offer_id, payout_eur FROM offers WHERE payout_eur > 1000")
-_simple("dq_metrics", lambda t: issues.metrics(t.events, t.rejects).where("metric = 'rows_by_lag_day' OR check = 'rejects'").select("check", "detail", "value"),
-        "SELECT 'late_arrival' AS check, 'lag_day=' || floor(lag_hours / 24)::BIGINT AS detail, count(*)::DOUBLE AS value FROM ev GROUP BY ALL UNION ALL SELECT 'rejects', source || '/' || reject_reason, count(*) FROM rejects GROUP BY ALL")
-_simple("issue_register", lambda t: issues.update_register(t.spark.createDataFrame([], issues.REGISTER), issues.current(t.events, t.installs, t.rejects, t.raw["installs"]), "run1").groupBy("issue", "status").agg(F.count("*").alias("rows")),
-        """SELECT 'duplicate_event_id' AS issue, 'open' AS status, count(DISTINCT event_id) AS rows FROM valid WHERE rn > 1 UNION ALL SELECT 'late_arrival_over_1d', 'open', count(*) FROM ev WHERE is_late AND lag_hours > 24
-        UNION ALL SELECT 'pre_install', 'open', count(*) FROM ev WHERE is_pre_install UNION ALL SELECT 'orphan_offer', 'open', count(*) FROM ev WHERE is_orphan_offer
-        UNION ALL SELECT 'country_normalised', 'open', count(*) FROM installs JOIN raw_installs r USING (user_id) WHERE r.country <> installs.country
-        UNION ALL SELECT 'rejected', 'open', count(DISTINCT reject_key) FROM rejects WHERE reject_reason <> 'duplicate_event_id'""")
+@_query("expectations", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {x} WHERE {w}" for t, x, w in (
+    ("silver_events", "all_ev", "event_id IS NOT NULL AND user_id IS NOT NULL AND event_ts IS NOT NULL AND ingest_ts IS NOT NULL"), ("silver_user_profile", "profile", "user_id IS NOT NULL"),
+    ("silver_offers", "all_offers", "offer_id IS NOT NULL AND payout_eur > 0"), ("silver_installs", "all_installs", "user_id IS NOT NULL AND install_ts IS NOT NULL AND length(country) = 2 AND platform IN ('android', 'ios')"),
+    ("gold_daily_country_platform", "gold", "date IS NOT NULL AND country IS NOT NULL AND platform IS NOT NULL"))))
+def _expectations(t: Tables) -> DataFrame:
+    """What the named expectations leave of unchecked rows: those that drop drop, those that only warn don't."""
+    tables = {f"silver_{n}": df for n, df in t.unchecked.items()} | {"gold_daily_country_platform": t.gold}
+    parts = [quality.expect(tables[n], rules)[0].agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, rules in quality.EXPECTATIONS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query("bronze_contract", """SELECT * FROM (VALUES ('events: required columns', 1.0), ('offers: required columns', 0.0), ('installs: required columns', 0.0), ('user_profile: required columns', 0.0)) c(rule, violations)
+  UNION ALL SELECT 'events: not empty', (count(*) = 0)::INT::DOUBLE FROM raw_events UNION ALL SELECT 'installs: not empty', (count(*) = 0)::INT FROM raw_installs
+  UNION ALL SELECT 'offers: not empty', 1.0 UNION ALL SELECT 'user_profile: not empty', (count(*) = 0)::INT FROM profile
+  UNION ALL SELECT 'installs: rescued rows', count(*) FROM raw_installs WHERE user_id::BIGINT % 10 = 0 UNION ALL SELECT unnest(['events: rescued rows', 'offers: rescued rows', 'user_profile: rescued rows']), 0""")
+def _contract(t: Tables) -> DataFrame:
+    """A source without a column, one without rows, one with rescued data."""
+    tables = t.raw | {"events": t.raw["events"].drop("ingest_ts"), "offers": t.raw["offers"].where("false"), "installs": t.raw["installs"].withColumn("_rescued_data", F.when(F.col("user_id").cast("bigint") % 10 == 0, F.lit("{}")))}
+    return quality.evaluate(tables, quality.contract_rules(bronze.CONTRACT, tables)).select("rule", "violations")
+
+
+_simple("dq_metrics", lambda t: issues.metrics(t.events, t.rejects).where("metric <> 'offer_id'").select("check", "metric", "detail", F.round("value", 6).alias("value")),
+        """SELECT 'late_arrival' AS check, 'rows_by_lag_day' AS metric, 'lag_day=' || floor(lag_hours / 24)::BIGINT AS detail, count(*)::DOUBLE AS value FROM ev GROUP BY ALL
+        UNION ALL SELECT 'rejects', reject_reason, source, count(*) FROM rejects GROUP BY ALL
+        UNION ALL SELECT 'late_arrival', 'share_missed_0015_job', NULL, round(avg(is_late::INT), 6) FROM ev UNION ALL SELECT 'late_arrival', 'max_lag_hours', NULL, round(max(lag_hours), 6) FROM ev
+        UNION ALL SELECT 'late_arrival', 'negative_lag_rows', NULL, count(*) FILTER (lag_hours < 0) FROM ev UNION ALL SELECT 'late_arrival', 'p50_lag_hours', NULL, round(quantile_cont(lag_hours, 0.5), 6) FROM ev
+        UNION ALL SELECT 'late_arrival', 'p95_lag_hours', NULL, round(quantile_cont(lag_hours, 0.95), 6) FROM ev UNION ALL SELECT 'pre_install', 'events', NULL, count(*) FROM ev WHERE is_pre_install
+        UNION ALL SELECT 'pre_install', 'users', NULL, count(DISTINCT user_id) FROM ev WHERE is_pre_install UNION ALL SELECT 'orphan_offers', 'events', NULL, count(*) FROM ev WHERE is_orphan_offer
+        UNION ALL SELECT 'orphan_offers', 'distinct_offer_ids', NULL, count(DISTINCT offer_id) FROM ev WHERE is_orphan_offer
+        UNION ALL SELECT 'orphan_offers', 'reward_paid_events', NULL, count(*) FROM ev WHERE is_orphan_offer AND event_name = 'reward_paid'
+        UNION ALL SELECT 'funnel', 'reward_pairs', NULL, count(*) FROM ev WHERE event_name = 'reward_paid'
+        UNION ALL SELECT 'funnel', 'double_payout_pairs', NULL, count(*) FROM (SELECT 1 FROM ev WHERE event_name = 'reward_paid' AND offer_id IS NOT NULL GROUP BY user_id, offer_id HAVING count(*) > 1)""")
+_simple("issue_register", lambda t: issues.update_register(t.spark.createDataFrame([], issues.REGISTER), issues.current(t.events, t.installs, t.rejects, t.raw["installs"]), "run1").select("issue", "key_value", "detail", "event_date", "status"),
+        """SELECT issue, key_value, min(detail) AS detail, min(event_date) AS event_date, 'open' AS status FROM (
+        SELECT 'duplicate_event_id' AS issue, event_id AS key_value, NULL::VARCHAR AS detail, event_ts::DATE AS event_date FROM valid WHERE rn > 1
+        UNION ALL SELECT 'late_arrival_over_1d', event_id, round(lag_hours, 1)::VARCHAR, event_date FROM ev WHERE is_late AND lag_hours > 24
+        UNION ALL SELECT 'pre_install', event_id, media_source || '|' || round((epoch_us(install_ts) - epoch_us(date_trunc('second', event_ts))) / 3600000000.0, 1)::VARCHAR, event_date FROM ev JOIN installs USING (user_id) WHERE is_pre_install
+        UNION ALL SELECT 'orphan_offer', event_id, event_name, event_date FROM ev WHERE is_orphan_offer
+        UNION ALL SELECT 'country_normalised', user_id, r.country, NULL FROM installs JOIN raw_installs r USING (user_id) WHERE r.country <> installs.country
+        UNION ALL SELECT 'rejected', reject_key, reject_reason, NULL FROM rejects WHERE reject_reason <> 'duplicate_event_id') GROUP BY issue, key_value""")
 _simple("governance_manifest", lambda t: governance.manifest_frame(t.spark).groupBy("kind").agg(F.count("*").alias("entries")))
-_simple("constraint_checks", lambda t: governance.violations(t.installs, next(p for p in governance.MANIFEST if p.table == "silver.installs")),
-        "SELECT unnest(['country_iso', 'platform_known', 'user_id_not_null', 'primary_key']) AS constraint, 0::BIGINT AS violations", base=False)
+_simple("constraint_checks", lambda t: governance.violations(t.unchecked["installs"], next(p for p in governance.MANIFEST if p.table == "silver.installs")),
+        """SELECT 'country_iso' AS constraint, count(*) FILTER (NOT regexp_full_match(country, '[A-Z]{2}')) AS violations FROM all_installs UNION ALL SELECT 'platform_known', count(*) FILTER (platform NOT IN ('android', 'ios')) FROM all_installs
+        UNION ALL SELECT 'user_id_not_null', count(*) FILTER (user_id IS NULL) FROM all_installs UNION ALL SELECT 'primary_key', count(*) FROM (SELECT 1 FROM all_installs GROUP BY user_id HAVING count(*) > 1)""")
 _simple("row_count_report", lambda t: flows.standard(CONFIG).build(t.raw)["silver.rejects"].groupBy("source").agg(F.count("*").alias("rows")), "SELECT source, count(*) AS rows FROM rejects GROUP BY source")
 
 
