@@ -15,7 +15,7 @@ windows of a text at once: a text's logit is a soft maximum over its windows'.
 Fitting takes a bounded sample on the driver: ``MOST_TRAINING`` labelled rows of
 either label, by the order of a hash of their ids, and of each ``MOST_WINDOWS``
 windows, spread evenly over the whole text where it has more; they are cut on the
-executors.  Near copies among the texts are dropped first, so that a wrongly
+executors, and the driver keeps numbers of words only.  Near copies among the texts are dropped first, so that a wrongly
 labelled text with many copies does not count as many witnesses.  A fifth of the
 texts are not fitted but calibrate the score.  Scoring covers every window of
 every text, in batches of bounded size.
@@ -34,7 +34,7 @@ from __future__ import annotations
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -258,85 +258,101 @@ def _minhashes(words: list[str], k: int = 4) -> list[int]:
     return out
 
 
-def training_windows(text: str) -> list[str]:
-    """The windows of a text that fitting takes: all, or ``MOST_WINDOWS`` spread evenly over the whole."""
+def training_text(text: str) -> list[str]:
+    """What fitting takes of a text: all of its words as one string, or ``MOST_WINDOWS`` windows spread evenly over the whole, a string each."""
     words = words_of(text)
     starts = windows_of(len(words))
-    if len(starts) > MOST_WINDOWS:
-        starts = starts[np.linspace(0, len(starts) - 1, MOST_WINDOWS).astype(np.int64)]
+    if len(starts) <= MOST_WINDOWS:
+        return [" ".join(words)]
+    starts = starts[np.linspace(0, len(starts) - 1, MOST_WINDOWS).astype(np.int64)]
     return [" ".join(words[at : at + WINDOW]) for at in starts.tolist()]
 
 
-def fit(rows: list[tuple[list[str] | str, int]], of_all: tuple[int, int] | None = None, epochs: int = 5, whole_epochs: int = 3, seed: int = 7) -> Model:
-    """Train on (windows, label) pairs; a text in place of its windows is cut.
+class Texts:
+    """Training texts as windows of word numbers; the texts themselves are not kept."""
+
+    def __init__(self, rows: Iterable[tuple[list[str] | str, int]]) -> None:
+        number: dict[str, int] = {}
+        first: dict[int, int] = {}
+        self.cut: list[np.ndarray] = []
+        self.label: list[int] = []
+        self.labels_given: list[int] = []
+        for given, label in rows:
+            self.labels_given.append(label)
+            parts = [p.split() for p in (training_text(given) if isinstance(given, str) else given)]
+            marks = _minhashes([w for own in parts for w in own])
+            shared = Counter(first[m] for m in marks if m in first)
+            if max(shared.values(), default=0) >= NEAR:
+                continue
+            for m in marks:
+                first.setdefault(m, len(self.cut))
+            self.cut.append(np.concatenate([_windowed(np.array([number.setdefault(w, len(number) + 1) for w in own], dtype=np.int32)) for own in parts]))
+            self.label.append(label)
+        self.words = list(number)
+
+
+def fit(rows: Iterable[tuple[list[str] | str, int]], of_all: tuple[int, int] | None = None, epochs: int = 5, whole_epochs: int = 3, seed: int = 7) -> Model:
+    """Train on (text, label) pairs; in place of a text what :func:`training_text` takes of it.
 
     ``of_all``: how many negative and positive rows there are of which ``rows`` is a sample (none given: the sample itself).
     """
     rng = np.random.default_rng(seed)
-    first: dict[int, int] = {}
-    docs: list[tuple[list[list[str]], int]] = []
-    for given, label in rows:
-        windows = [w.split() for w in (training_windows(given) if isinstance(given, str) else given)]
-        marks = _minhashes([w for own in windows for w in own])
-        shared = Counter(first[m] for m in marks if m in first)
-        if max(shared.values(), default=0) < NEAR:
-            for m in marks:
-                first.setdefault(m, len(docs))
-            docs.append((windows, label))
-    n_pos = sum(y for _, y in docs)
-    n_neg = len(docs) - n_pos
+    texts = Texts(rows)
+    y = np.array(texts.label, dtype=np.float32)
+    n_pos = int(y.sum())
+    n_neg = len(y) - n_pos
     if not n_pos or not n_neg:
-        share = sum(y for _, y in rows) / len(rows) if rows else 0.5
+        share = sum(texts.labels_given) / len(texts.labels_given) if texts.labels_given else 0.5
         return Model({}, np.zeros((1, 1 + CODE), np.float32), np.zeros((TRIGRAMS, 1 + CODE), np.float32), {}, constant=share)
     # Every DEVELOPMENT-th text of either label stays out of all that is fitted and calibrates, if there are enough.
-    rank = {y: 0 for y in (0, 1)}
-    kept_out = np.zeros(len(docs), dtype=bool)
-    for i, (_, y) in enumerate(docs):
-        rank[y] += 1
-        kept_out[i] = rank[y] % DEVELOPMENT == 0
-    if min(n_pos, n_neg) < 4 * DEVELOPMENT:
-        kept_out[:] = False
-    fitted = [d for d, out in zip(docs, kept_out, strict=True) if not out]
-    model = _begin(fitted, rng)
-
-    number: dict[str, int] = {}
-    cut = [np.array([[number.setdefault(w, len(number) + 1) for w in own] + [0] * (WINDOW - len(own)) for own in windows], dtype=np.int32).reshape(-1, WINDOW) for windows, _ in docs]
-    inputs = Inputs(model, list(number))
-    own_cut = [c for c, out in zip(cut, kept_out, strict=True) if not out]
-    labels = np.array([y for _, y in fitted], dtype=np.float32)
+    rank = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y == 0))
+    kept_out = (rank % DEVELOPMENT == 0) & (min(n_pos, n_neg) >= 4 * DEVELOPMENT)
+    fitted = np.flatnonzero(~kept_out).tolist()
+    own_cut, labels = [texts.cut[i] for i in fitted], y[fitted]
+    model = _begin(own_cut, labels, texts.words, rng)
+    inputs = Inputs(model, texts.words)
     optimiser = Adam(model)
     _descend_windows(optimiser, inputs, own_cut, labels, epochs, rng)
     _descend_texts(optimiser, inputs, own_cut, labels, whole_epochs, rng)
-    x = inputs.vectors(np.arange(len(number) + 1))
-    calibrating = np.flatnonzero(kept_out) if kept_out.any() else np.arange(len(docs))
-    peaks = _peaks(model.par, x, [cut[i] for i in calibrating.tolist()])
-    _calibrate(model, peaks, np.array([docs[i][1] for i in calibrating.tolist()], dtype=np.float64), of_all or (n_neg, n_pos))
+    calibrating = np.flatnonzero(kept_out).tolist() if kept_out.any() else list(range(len(y)))
+    peaks = [_text_peak(model.par, inputs, texts.cut[i]) for i in calibrating]
+    _calibrate(model, np.array(peaks), y[calibrating].astype(np.float64), of_all or (n_neg, n_pos))
     return model
 
 
-def _begin(docs: list[tuple[list[list[str]], int]], rng: np.random.Generator) -> Model:
+def _text_peak(par: dict[str, np.ndarray], inputs: Inputs, ids: np.ndarray) -> float:
+    """The highest window logit of one text."""
+    names, local = _local(ids)
+    return float(_window_logits(par, inputs.vectors(names), local).max())
+
+
+def _begin(cut: list[np.ndarray], labels: np.ndarray, words: list[str], rng: np.random.Generator) -> Model:
     """A model whose tables hold log odds, with a random network."""
-    n_pos = sum(y for _, y in docs)
-    n_neg = len(docs) - n_pos
-    df: tuple[Counter, Counter] = (Counter(), Counter())
-    for windows, y in docs:
-        df[y].update({w.strip(EDGE) for own in windows for w in own})
-    z, odds = {}, {}
-    for w in df[1].keys() | df[0].keys():
-        p, n = df[1][w] + 0.5, df[0][w] + 0.5
-        if p + n >= 4:
-            ratio, error = np.log(p / (n_pos + 1)) - np.log(n / (n_neg + 1)), np.sqrt(1 / p + 1 / n)
-            # What remains of the log odds ratio at 1.5 standard errors: common words that differ a little stay small.
-            z[w], odds[w] = ratio / error, np.sign(ratio) * max(0.0, abs(ratio) - 1.5 * error) / 3
-    z.pop("", None)
-    strong = sorted(w for w in z if abs(z[w]) >= SIGNIFICANT)
-    vocab = {w: i for i, w in enumerate(strong)}
-    word = rng.normal(0, 0.1, (max(1, len(strong)), 1 + CODE)).astype(np.float32)
-    word[: len(strong), 0] = [np.clip(odds[w], -2, 2) for w in strong]
+    n_pos = int(labels.sum())
+    n_neg = len(labels) - n_pos
+    bare: dict[str, int] = {}
+    to_bare = np.array([-1, *(bare.setdefault(w.strip(EDGE), len(bare)) for w in words)], dtype=np.int64)
+    df = np.zeros((2, len(bare)), dtype=np.int64)
+    for ids, label in zip(cut, labels.astype(np.int64).tolist(), strict=True):
+        own = np.unique(to_bare[np.unique(ids)])
+        df[label, own[own >= 0]] += 1
+    n, p = df + 0.5
+    names = [w for w, many in zip(bare, p + n >= 4, strict=True) if many and w]
+    at = np.array([bare[w] for w in names], dtype=np.int64)
+    p, n = p[at], n[at]
+    ratio, error = np.log(p / (n_pos + 1)) - np.log(n / (n_neg + 1)), np.sqrt(1 / p + 1 / n)
+    # What remains of the log odds ratio at 1.5 standard errors: common words that differ a little stay small.
+    odds = np.clip(np.sign(ratio) * np.maximum(0, np.abs(ratio) - 1.5 * error) / 3, -2, 2)
+    strong = np.flatnonzero(np.abs(ratio / error) >= SIGNIFICANT)
+    order = sorted(strong.tolist(), key=lambda i: names[i])
+    vocab = {names[i]: k for k, i in enumerate(order)}
+    word = rng.normal(0, 0.1, (max(1, len(order)), 1 + CODE)).astype(np.float32)
+    word[: len(order), 0] = odds[order]
     trigram = rng.normal(0, 0.3, (TRIGRAMS, 1 + CODE)).astype(np.float32)
-    types = sorted(z)
-    buckets, starts = _trigram_buckets(types) if types else (np.empty(0, np.int64), np.empty(0, np.int64))
-    value = np.repeat([float(word[vocab[w], 0]) if w in vocab else 0.0 for w in types], np.diff(np.append(starts, len(buckets))))
+    buckets, starts = _trigram_buckets(names) if names else (np.empty(0, np.int64), np.empty(0, np.int64))
+    told = np.zeros(len(names))
+    told[order] = odds[order]
+    value = np.repeat(told, np.diff(np.append(starts, len(buckets))))
     trigram[:, 0] = np.bincount(buckets, value, TRIGRAMS) / (np.bincount(buckets, minlength=TRIGRAMS) + 2)
     size = word.shape[1] + trigram.shape[1]
     par = {"att": np.zeros(2 * HIDDEN), "out": rng.normal(0, 0.3, 2 * HIDDEN), "bias": np.zeros(1)}
@@ -382,7 +398,8 @@ def _local(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _descend_windows(optimiser: Adam, inputs: Inputs, cut: list[np.ndarray], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Train on windows: of a positive text the one with the most telling words, of a negative one that and a random one."""
-    telling = inputs.vectors(np.arange(len(inputs.row)))[:, 0]
+    word = inputs.model.word[:, 0]
+    telling = np.where(inputs.row >= 0, word[inputs.row], 0)
     windows, y = [], []
     for ids, label in zip(cut, labels.tolist(), strict=True):
         most = int(np.argmax(telling[ids].max(axis=1)))
@@ -504,13 +521,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows = [training_windows(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.string()))], names=["_id", "_y", "_windows"])
+            taken = [training_text(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.list_(pa.string()))], names=["_id", "_y", "_taken"])
 
     kind = dict(one.dtypes)["_id"]
-    rows = one.select("_id", "_y", "_text").mapInArrow(cut, f"_id {kind}, _y int, _windows array<string>").collect()
+    rows = one.select("_id", "_y", "_text").mapInArrow(cut, f"_id {kind}, _y int, _taken array<string>").toArrow().sort_by("_id")
     of_all = dict(known.groupBy("_y").count().collect())
-    return fit([(list(r["_windows"]), r["_y"]) for r in sorted(rows, key=lambda r: r["_id"])], (of_all.get(0, 0), of_all.get(1, 0)))
+    pairs = ((rows.column("_taken")[i].as_py(), rows.column("_y")[i].as_py()) for i in range(len(rows)))
+    return fit(pairs, (of_all.get(0, 0), of_all.get(1, 0)))
 
 
 def _scored(slim: DataFrame, model: Model) -> DataFrame:
