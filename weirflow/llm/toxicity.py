@@ -54,6 +54,7 @@ NEAR = 4  #: of four minima of hashes that a near copy has in common with an ear
 DEVELOPMENT = 5  #: one of so many training texts calibrates
 SOFT = 1e-3  #: windows with less of a text's soft maximum are taken as having none of its gradient
 THRESHOLD = 0.7
+TOGETHER = 2048  #: windows in a batch of texts, about
 BATCH = 4096  #: windows scored at a time
 GROUP_CHARS = 3_000_000  #: characters of text read at a time
 EDGE = string.punctuation + "…“”‘’«»¿¡"
@@ -425,10 +426,12 @@ def _descend_windows(optimiser: Adam, inputs: Inputs, cut: list[np.ndarray], lab
 def _descend_texts(optimiser: Adam, inputs: Inputs, cut: list[np.ndarray], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Train on texts: the loss is that of the soft maximum over all of a text's windows."""
     weights, size = _balance(labels), min(64, max(8, len(labels) // 8))
+    windows = np.array([len(c) for c in cut])
     for _ in range(epochs):
         order, losses = rng.permutation(len(labels)), []
-        for at in range(0, len(order), size):
-            pick = order[at : at + size]
+        # Batches of so many texts, or of fewer with TOGETHER windows: what is kept for the way back stays small.
+        full = np.cumsum(windows[order]) // TOGETHER * len(order) + np.arange(len(order)) // size
+        for pick in np.split(order, np.flatnonzero(np.diff(full)) + 1):
             ids, counts = np.concatenate([cut[i] for i in pick.tolist()]), np.array([len(cut[i]) for i in pick.tolist()])
             par, y, w = optimiser.model.par, labels[pick], weights[pick]
             names, local = _local(ids)
