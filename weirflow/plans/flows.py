@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from graphlib import TopologicalSorter
@@ -11,26 +13,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.config import Config
-from weirflow.operators import cleanse, funnel, merge
-from weirflow.operators.flags import flag
+from weirflow.operators import cleanse, flags, funnel
+from weirflow.plans import quality
+from weirflow.sources.bronze import CONTRACT
 from weirflow.sources.store import ParquetStore
 
 GOLD = "gold.daily_country_platform"
-WATERMARKS = "table_name string, last_ingested_at timestamp, run_ts timestamp"
+RESULTS = "dq.results"
 
 
-# -- watermarks ----------------------------------------------------------------
+# -- how far a table has come --------------------------------------------------
 
 
-def watermark(store: ParquetStore, table: str) -> datetime | None:
-    """Up to which arrival a table has been taken over."""
-    return store.read_or("silver.watermark", WATERMARKS).where(F.col("table_name") == table).agg(F.max("last_ingested_at")).first()[0]
+def mark(store: ParquetStore, table: str) -> datetime | None:
+    """The latest arrival that a table has taken in; kept with the table's pointer, so one table has one."""
+    text = store.properties(table).get("arrived_until")
+    return datetime.fromisoformat(text) if text else None
 
 
-def advance(store: ParquetStore, table: str, to: datetime) -> None:
-    """Log a new mark."""
-    rows = store.spark.createDataFrame([(table, to)], "table_name string, last_ingested_at timestamp").withColumn("run_ts", F.current_timestamp())
-    store.append("silver.watermark", rows)
+def set_mark(store: ParquetStore, table: str, to: datetime) -> None:
+    """Move the mark."""
+    store.set_properties(table, {"arrived_until": to.isoformat()})
 
 
 def since(bronze: DataFrame, low: datetime | None, high: datetime | None) -> DataFrame:
@@ -39,65 +42,93 @@ def since(bronze: DataFrame, low: datetime | None, high: datetime | None) -> Dat
     return out if high is None else out.where(F.col("_ingested_at") <= F.lit(high))
 
 
+# -- gates ---------------------------------------------------------------------
+
+
+def gate(store: ParquetStore, rules: list[quality.Rule], **tables: DataFrame) -> None:
+    """Evaluate rules, log all results, raise if an error rule fails: called before what is checked becomes visible."""
+    own = [r for r in rules if r.table in tables]
+    quality.run_rules(tables, own, lambda found: store.append(RESULTS, found.withColumn("run_ts", F.current_timestamp())))
+
+
 # -- silver --------------------------------------------------------------------
 
 
 def load_silver(store: ParquetStore, config: Config | None = None, full: bool = False) -> list[date]:
-    """Dimensions anew, events incrementally (insert-only) up to a bound that is pinned first; the dates touched.
+    """Dimensions anew, events incrementally up to a bound that is pinned first; the dates whose gold may change.
 
-    Events whose flags a changed dimension alters are flagged again, so that
-    increments end where a full run does.
+    An increment appends new events.  Old ones are flagged again, and only they, where an offer or install that they name has
+    changed, so that increments end where a full run does.  What a gate refuses is not stored.
     """
     config = config or Config()
     raw = {n: store.read(f"bronze.{n}") for n in ("events", "installs", "offers", "user_profile")}
+    gate(store, quality.contract_rules({n: c for n, c in CONTRACT.items() if n in raw}, raw), **raw)
     high = raw["events"].agg(F.max("_ingested_at")).first()[0]
-    low = None if full else watermark(store, "silver.events")
-    offers, _ = cleanse.clean_offers(raw["offers"])
-    installs, _ = cleanse.clean_installs(raw["installs"], config)
-    store.overwrite("silver.offers", offers)
-    store.overwrite("silver.installs", installs)
-    store.overwrite("silver.user_profile", cleanse.clean_user_profile(raw["user_profile"]))
+    full = full or not store.exists("silver.events")
+    low = None if full else mark(store, "silver.events")
+    rules = quality.v1_silver_rules(config.steps)
+    before = {n: store.read(f"silver.{n}") for n in ("offers", "installs")} if not full else {}
+    made = {"offers": cleanse.clean_offers(raw["offers"])[0], "installs": cleanse.clean_installs(raw["installs"], config)[0], "user_profile": cleanse.clean_user_profile(raw["user_profile"])}
+    for name, df in made.items():
+        own = [r for r in rules if r.table == name and not r.measure]
+        store.overwrite(f"silver.{name}", df, lambda stored, name=name, own=own: gate(store, own, **{name: stored}))
     offers, installs = store.read("silver.offers"), store.read("silver.installs")
     good, _ = cleanse.cleanse(since(raw["events"], low, high), cleanse.events_source(config))
-    fresh = flag(good, offers, installs, config)
-    if full or not store.exists("silver.events"):
-        touched = fresh
-        store.overwrite("silver.events", fresh)
+    own = [r for r in rules if r.table == "events" and not r.measure]
+    check = lambda stored: gate(store, own, events=stored)
+    if full:
+        store.overwrite("silver.events", flags.flag(good, offers, installs, config), check)
+        dates = _dates(store.read("silver.events").select("event_date"))
     else:
         old = store.read("silver.events")
-        base = [f for f in old.columns if f not in ("event_date", "lag_hours", "is_late", "is_orphan_offer", "is_pre_install", "dq_flags")]
-        merged = flag(merge.insert_only(old.select(*base), good, ["event_id"]), offers, installs, config)
-        flags = ["is_orphan_offer", "is_pre_install"]
-        before = old.select("event_id", *(F.col(c).alias(f"_{c}") for c in flags))
-        changed = merged.join(before, "event_id", "left").where(F.col("_is_orphan_offer").isNull() | (F.col("_is_orphan_offer") != F.col("is_orphan_offer")) | (F.col("_is_pre_install") != F.col("is_pre_install")))
-        dates = [r[0] for r in changed.select("event_date").distinct().collect()]  # as many rows as there are dates
-        store.overwrite("silver.events", merged)
-        store.overwrite("silver.rejects", cleanse.all_rejects(raw, config))
-        if high is not None:
-            advance(store, "silver.events", high)
-        return sorted(d for d in dates if d)
-    dates = sorted(r[0] for r in touched.select("event_date").distinct().collect() if r[0])
+        fresh = flags.flag(good.join(old.select("event_id"), "event_id", "left_anti"), offers, installs, config)
+        new_offers, new_installs = _changed(before["offers"], offers, "offer_id", ["payout_eur"]), _changed(before["installs"], installs, "user_id", ["install_ts", "country", "platform"])
+        stale = old.join(new_offers, "offer_id", "left_semi").unionByName(old.join(new_installs, "user_id", "left_semi")).dropDuplicates(["event_id"])
+        again = flags.flag(stale.drop(*flags.ADDED), offers, installs, config)
+        moved = before["installs"].unionByName(installs).join(new_installs, "user_id", "left_semi").select(F.col("install_date").alias("event_date"))
+        dates = _dates(fresh.select("event_date").union(stale.select("event_date")).union(moved))
+        if stale.isEmpty():
+            store.append("silver.events", fresh, check)
+        else:
+            kept = old.join(stale.select("event_id"), "event_id", "left_anti")
+            store.overwrite("silver.events", kept.unionByName(again).unionByName(fresh), check)
     store.overwrite("silver.rejects", cleanse.all_rejects(raw, config))
     if high is not None:
-        advance(store, "silver.events", high)
+        set_mark(store, "silver.events", high)
     return dates
 
 
+def _changed(before: DataFrame, after: DataFrame, key: str, facts: list[str]) -> DataFrame:
+    """Keys that came, went, or have other facts."""
+    a, b = (df.select(key, F.struct(*facts).alias(side)) for df, side in ((before, "a"), (after, "b")))
+    return a.join(b, key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+
+
+def _dates(df: DataFrame) -> list[date]:
+    """The distinct dates, in order: as many rows as there are days."""
+    return sorted(r[0] for r in df.distinct().collect() if r[0])
+
+
 # -- gold ----------------------------------------------------------------------
 
 
 def load_gold(store: ParquetStore, touched: list[date], config: Config | None = None, full: bool = False) -> tuple[date, date] | None:
-    """Replace the window that the touched dates and the lookback span; the window."""
+    """Make the days anew that touched dates and the lookback span, or all; the window.  Gold's rules hold before it is visible."""
     config = config or Config()
-    events, installs, offers = (store.read(f"silver.{t}") for t in ("events", "installs", "offers"))
+    silver = {t: store.read(f"silver.{t}") for t in ("events", "installs", "offers")}
+    frames = [silver[t] for t in ("events", "installs", "offers")]
+    rules = quality.gold_rules(config)
+
+    def check(stored: DataFrame) -> None:
+        gate(store, rules, gold=stored, **silver, installed_events=quality.installed_events(silver))
+
+    stamped = lambda df: df.withColumn("_loaded_at", F.current_timestamp())
+    span = (min(touched) - timedelta(days=config.lookback_days), max(touched)) if touched else None
     if full or not store.exists(GOLD):
-        store.overwrite(GOLD, funnel.aggregate(events, installs, offers, config))
-        return (min(touched), max(touched)) if touched else None
-    if not touched:
-        return None
-    lo, hi = min(touched) - timedelta(days=config.lookback_days), max(touched)
-    store.replace_where(GOLD, funnel.window(events, installs, offers, lo, hi, config), F.col("date").between(lo, hi))
-    return lo, hi
+        store.overwrite(GOLD, stamped(funnel.aggregate(*frames, config)), check)
+    elif span:
+        store.replace_where(GOLD, stamped(funnel.window(*frames, *span, config)), F.col("date").between(*span), check)
+    return span
 
 
 def backfill(store: ParquetStore, config: Config | None = None, full: bool = False, dates: list[str] | None = None) -> tuple[date, date] | None:
@@ -153,9 +184,22 @@ def standard(config: Config | None = None) -> Registry:
     return flow
 
 
-def run_pipeline(stages: list[tuple[str, Callable[[dict], object]]], params: dict | None = None) -> dict[str, object]:
-    """Run stages in turn; each gets the parameters and what earlier stages returned."""
+def run_pipeline(stages: list[tuple[str, Callable[[dict], object]]], params: dict | None = None, seconds: dict[str, float] | None = None, before: Callable[[], object] | None = None) -> dict[str, object]:
+    """Run stages in turn; each gets the parameters and what earlier stages returned.
+
+    ``before`` (a run of tests, say) must not raise, or no stage writes anything.  A stage that takes longer than its
+    ``seconds`` ends the run.
+    """
+    if before:
+        before()
     state: dict = dict(params or {})
     for name, stage in stages:
-        state[name] = stage(state)
+        limit = (seconds or {}).get(name)
+        pool = ThreadPoolExecutor(1)
+        try:
+            state[name] = pool.submit(stage, state).result(limit)
+        except FutureTimeout as e:
+            raise TimeoutError(f"stage {name} took longer than {limit} s") from e
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
     return state

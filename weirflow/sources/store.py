@@ -1,14 +1,17 @@
 """Tables as versioned Parquet snapshots behind a pointer.
 
 A write goes to a new snapshot folder; then the pointer file is replaced.  The
-snapshot being read is never touched, and a failed write leaves the pointer
-where it was.  All file operations go through Hadoop's file system API, so the
+snapshot being read is never touched, and a failed write, or one that its check
+refuses, leaves the pointer where it was.  Who replaces a pointer first claims
+the version that he has read, by a file that can be made only once: of two
+writers that begin with the same version one gets a ``Conflict``.  All file operations go through Hadoop's file system API, so the
 store may lie wherever Spark can write.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,10 +20,17 @@ from pyspark.sql import functions as F
 
 from weirflow.operators import merge
 
-POINTER = "_current"
+POINTER, CLAIMS = "_current", "_claims"
 SMALL_FILE = 16 * 1024 * 1024
 
 
+class Conflict(RuntimeError):
+    """Another writer has replaced the version that this one began with."""
+
+
+Check = Callable[[DataFrame], object]  #: raises if what is about to become visible must not
+
+
 @dataclass(frozen=True)
 class Layout:
     """How a table's files are dealt: partition columns, or clustering columns sorted within ranges."""
@@ -58,8 +68,9 @@ class ParquetStore:
             stream.close()
 
     def _point(self, name: str, state: dict) -> None:
-        """Write the pointer beside the old one, then put it in its place."""
-        fs, fresh = self._fs(self._path(name, f"{POINTER}.{state['version']}.tmp"))
+        """Claim the version before, write the pointer beside the old one, then put it in its place."""
+        self._claim(name, state["version"] - 1)
+        fs, fresh = self._fs(self._path(name, f"{POINTER}.{state['version']}.{uuid.uuid4().hex[:8]}.tmp"))
         stream = fs.create(fresh, True)
         try:
             stream.write(bytearray(json.dumps(state).encode()))
@@ -72,6 +83,18 @@ class ParquetStore:
         options[0] = rename.OVERWRITE
         context.rename(fresh, path, options)
 
+    def _claim(self, name: str, version: int) -> None:
+        """Be the only one who succeeds a version."""
+        fs, path = self._fs(self._path(name, CLAIMS, f"{version:06d}"))
+        fs.mkdirs(path.getParent())
+        if not fs.createNewFile(path):
+            raise Conflict(f"{name}: version {version} has been succeeded")
+
+    def recover(self, name: str) -> None:
+        """Give up the claim of a writer that died before it replaced the pointer; only while nobody writes."""
+        fs, path = self._fs(self._path(name, CLAIMS, f"{(self._pointer(name) or {'version': 0})['version']:06d}"))
+        fs.delete(path, False)
+
     # -- reading -------------------------------------------------------------
 
     def exists(self, name: str) -> bool:
@@ -97,25 +120,31 @@ class ParquetStore:
             writer = df.repartitionByRange(*layout.cluster_by).sortWithinPartitions(*layout.cluster_by).write
         else:
             writer = df.hint("rebalance").write
-        part = f"v{version:06d}"
+        part = f"v{version:06d}-{uuid.uuid4().hex[:8]}"  # two writers of one version don't share a folder
         writer.mode("overwrite").parquet(self._path(name, part))
         return part
 
-    def overwrite(self, name: str, df: DataFrame) -> None:
-        """A new snapshot replaces all rows (and the schema)."""
+    def _checked(self, name: str, part: str, check: Check | None) -> None:
+        if check:
+            check(self.spark.read.parquet(self._path(name, part)))
+
+    def overwrite(self, name: str, df: DataFrame, check: Check | None = None) -> None:
+        """A new snapshot replaces all rows (and the schema), once ``check`` has seen it as it is stored."""
         state = self._pointer(name) or {"version": 0, "parts": [], "properties": {}}
         version = state["version"] + 1
         part = self._write(name, df, version)
+        self._checked(name, part, check)
         layout = self.layouts.get(name, Layout())
         self._point(name, state | {"version": version, "parts": [part], "layout": [list(layout.partition_by), list(layout.cluster_by)]})
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Rows join the table; its files stay."""
+    def append(self, name: str, df: DataFrame, check: Check | None = None) -> None:
+        """Rows join the table, once ``check`` has seen them as they are stored; its files stay."""
         state = self._pointer(name)
         if state is None:
-            return self.overwrite(name, df)
+            return self.overwrite(name, df, check)
         version = state["version"] + 1
         part = self._write(name, df, version)
+        self._checked(name, part, check)
         return self._point(name, state | {"version": version, "parts": [*state["parts"], part]})
 
     def insert_only(self, name: str, df: DataFrame, keys: list[str]) -> None:
@@ -131,11 +160,11 @@ class ParquetStore:
         merge.assert_unique(df, keys)
         self.overwrite(name, merge.conditional(self.read(name), df, keys, when) if self.exists(name) else df)
 
-    def replace_where(self, name: str, df: DataFrame, inside: Column) -> None:
-        """Rows inside the predicate give way to ``df``, which must lie inside it."""
+    def replace_where(self, name: str, df: DataFrame, inside: Column, check: Check | None = None) -> None:
+        """Rows inside the predicate give way to ``df``, which must lie inside it; ``check`` sees the whole new table."""
         if not df.where(~F.coalesce(inside, F.lit(False))).isEmpty():
             raise merge.MergeError("rows outside the replaced window")
-        self.overwrite(name, merge.replace_where(self.read(name), df, inside) if self.exists(name) else df)
+        self.overwrite(name, merge.replace_where(self.read(name), df, inside) if self.exists(name) else df, check)
 
     def delete_where(self, name: str, inside: Column) -> None:
         """Rows go; a table that isn't there has none."""

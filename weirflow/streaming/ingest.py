@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from weirflow.operators.cleanse import keep_first
 from weirflow.operators.merge import assert_keys
 from weirflow.sources import bronze
 from weirflow.sources.store import ParquetStore
@@ -16,7 +18,10 @@ LEDGER = "flow string, batch_id long, rows long"
 
 
 def sink(store: ParquetStore, name: str, keys: list[str], mode: str, flow: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function; a batch that a restart replays is recognised by its number and skipped."""
+    """A foreachBatch function; a batch that a restart replays is recognised by its flow and number and skipped.
+
+    ``flow`` names a checkpoint: batches of another one begin at 0 again and are no replays.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ledger = store.read_or(f"{name}_batches", LEDGER)
@@ -26,15 +31,15 @@ def sink(store: ParquetStore, name: str, keys: list[str], mode: str, flow: str)
         try:
             assert_keys(kept, keys)
             if mode == "insert_only":
-                # Within a batch a key may come twice; the first file's row is kept.
-                store.insert_only(name, kept.dropDuplicates(keys), keys)
+                # Within a batch a key may come twice: the first file's row is kept, of one file's the first by a hash.
+                store.insert_only(name, keep_first(kept, keys, [F.asc("_source_file")]), keys)
             elif mode == "overwrite":
                 store.overwrite(name, kept)
             else:
-                known = store.exists(name)
-                # A crash between data and ledger replays rows of files that are there already.
-                fresh = kept.join(store.read(name).select("_source_file").distinct(), "_source_file", "left_anti").select(*kept.columns) if known else kept
-                store.append(name, fresh)
+                # A crash between data and ledger replays files that are there already, and a new checkpoint lists all files.
+                files = [r[0] for r in kept.select("_source_file").distinct().collect()]  # a batch's files
+                there = store.read(name).where(F.col("_source_file").isin(files)).select("_source_file").distinct() if store.exists(name) else None
+                store.append(name, kept if there is None else kept.join(there, "_source_file", "left_anti").select(*kept.columns))
             store.append(f"{name}_batches", batch.sparkSession.createDataFrame([(flow, batch_id, kept.count())], LEDGER))
         finally:
             kept.unpersist()
@@ -42,13 +47,17 @@ def sink(store: ParquetStore, name: str, keys: list[str], mode: str, flow: str)
     return write
 
 
-def ingest(spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None) -> None:
-    """Take in all files that have arrived, then stop."""
+def start(spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None, **trigger) -> StreamingQuery:
+    """Start taking in files; ``trigger`` as of Spark's writer (``processingTime="1 minute"`` goes on until it is stopped)."""
     table = name or f"bronze.{source}"
     key = bronze.CONTRACT[source][0]
     stream = bronze.stream_csv(spark, source, path)
-    query = stream.writeStream.foreachBatch(sink(store, table, [key], mode, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return stream.writeStream.foreachBatch(sink(store, table, [key], mode, f"{path}@{checkpoint}")).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def ingest(spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None) -> None:
+    """Take in all files that have arrived, then stop."""
+    start(spark, store, source, path, checkpoint, mode, name, availableNow=True).awaitTermination()
 
 
 @dataclass(frozen=True)
@@ -79,7 +88,7 @@ class FlowRegistry:
         """Run all flows that have something to do; a ``once`` flow runs a single time ever."""
         done = []
         for flow in self.flows:
-            ran = self.store.read_or(f"{flow.target}_batches", LEDGER).where(F.col("flow") == flow.path)
+            ran = self.store.read_or(f"{flow.target}_batches", LEDGER).where(F.col("flow") == f"{flow.path}@{self.checkpoints}/{flow.name}")
             if flow.once and not ran.isEmpty():
                 continue
             ingest(spark, self.store, flow.source, flow.path, f"{self.checkpoints}/{flow.name}", name=flow.target)
