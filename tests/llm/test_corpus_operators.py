@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.llm import jaccard, near_vectors, regions, top_k, toxicity
+from weirflow.llm.vectors import Slices
 from weirflow.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, s long, region string"
@@ -179,6 +180,34 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_slices_hold_their_numbers():
+    rng = np.random.default_rng(6)
+    for numbers in (rng.normal(size=3000), np.zeros(500), np.concatenate([np.full(900, 0.25), rng.random(300)]), np.array([-7.5])):
+        low, high = float(numbers.min()), float(numbers.max())
+        bins = np.clip(np.floor((numbers - low) / max((high - low) / Slices.BINS, 1e-300)), 0, Slices.BINS - 1).astype(np.int64)
+        cut = Slices(low, high, dict(zip(*(x.tolist() for x in np.unique(bins, return_counts=True)), strict=True)), 100)
+        at = cut.of(bins, rng.integers(0, 1 << 31, len(bins)))
+        assert (cut.least[at] <= numbers).all() and (numbers <= cut.most[at]).all()
+        assert (np.diff(cut.least) >= 0).all() and (np.diff(cut.most) >= 0).all() and np.bincount(at).max() <= 200
+
+
+def test_top_k_of_many_lengths_makes_few_cells(spark, monkeypatch):
+    """Lengths far apart: short candidates and the blocks of queries that cannot need them never meet."""
+    monkeypatch.setattr(top_k, "HEAD", 16)
+    monkeypatch.setattr(top_k, "CELL_ROWS", 20)
+    rng = np.random.default_rng(7)
+    v = np.abs(rng.normal(size=(600, 6))) * np.exp(rng.normal(0, 2, size=(600, 1)))
+    rows = [(i, np.float32(x).tolist()) for i, x in enumerate(v)]
+    good = {i: np.floor(256 * np.float64(np.float32(x))) for i, x in rows}
+    monkeypatch.setattr(top_k, "CELL_QUERIES", 4)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k.search(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()}
+    want = {}
+    for q in range(0, 600, 50):
+        for r, (s, c) in enumerate(sorted((-int(good[q] @ good[c]), c) for c in good if c != q)[:5]):
+            want[q, r + 1] = (c, -s)
+    assert got == want
+
+
 def test_top_k_edges(spark):
     ask = F.col("vec_id") % 50 == 0
     assert top_k.search(vectors(spark, []).limit(0), ask).count() == 0
@@ -188,8 +217,10 @@ def test_top_k_edges(spark):
     assert huge.tolist() == [[2**63 - 1]]
 
 
-def test_near_vectors_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("rows_a_slice", [8192, 10])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, rows_a_slice):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    monkeypatch.setattr(near_vectors, "SLICE_ROWS", rows_a_slice)
     rows = sample_vectors(np.random.default_rng(3)) + [(2000 + i, [1.0] * 12) for i in range(9)]
     good = {i: np.float64(np.float32(v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     cos = lambda a, b: a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b))

@@ -1,16 +1,20 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
 Equal vectors are collapsed first, so a vector that a third of all rows hold is
-one row.  The distinct ones are dealt into slices by hash; every two slices
-form a cell, and a cell's tile of cosines is bounded from int8 products: with
-v = s q + e and w = t p + f for unit vectors v and w,
+one row.  The distinct ones are dealt into slices in the order of their products
+with a fixed unit vector (the first singular direction of a bounded sample).
+Unit vectors with a cosine of at least t are at most sqrt(2 - 2t) apart, and so
+are their products with any unit vector: only slices that near form a cell.  A
+cell's tile of cosines is bounded from int8 products: with v = s q + e and
+w = t p + f for unit vectors v and w,
 
     |v.w - s t q.p| <= |s q| |f| + |e| |t p| + |e| |f|,
 
 all of which are known per vector.  Only pairs whose upper bound reaches the
 threshold are computed again in double precision.  A cell returns sums of links
 per vector and a spanning forest of its links, never the pairs, so dense groups
-cost rows in proportion to their vectors.
+cost rows in proportion to their vectors.  Distinct vectors are named by 128 bits
+of hashes.
 
 Defined results: vectors that are null, zero or empty or hold null or
 non-finite components link with nothing and stay; repeated rows are vectors of
@@ -21,17 +25,21 @@ an empty table; only the columns named are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weirflow.llm.components import components
-from weirflow.llm.vectors import matrix, slices, valid
-from weirflow.llm.workspace import materialise
+from weirflow.llm.vectors import Slices, matrix, valid
+from weirflow.llm.workspace import Scratch
 
 THRESHOLD = 0.95
 SLICE_ROWS, LEAST_SLICES = 8192, 16
+SAMPLE = 4096  #: vectors that fit the direction along which slices are ordered
 BLOCK = 512
 
 
@@ -81,15 +89,55 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def links(distinct: DataFrame, threshold: float, n_slices: int) -> DataFrame:
+def axis(distinct: DataFrame) -> np.ndarray:
+    """A unit vector along which vectors differ most, from a sample by the order of their names."""
+    sample = unit(matrix(distinct.orderBy("rep").limit(SAMPLE).select("v").toArrow().column("v")))
+    return np.linalg.svd(sample - sample.mean(axis=0), full_matrices=False)[2][0] if len(sample) else np.ones(1)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows."""
+    v = v / np.maximum(np.abs(v).max(axis=1, initial=0), 1e-300)[:, None]
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
+def projected(distinct: DataFrame, along: np.ndarray) -> DataFrame:
+    """``distinct`` with ``x``, the product of each unit vector with ``along`` (components that one of them lacks count as zero)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = distinct_names.index("v")
+        for batch in batches:
+            v = unit(matrix(batch.column(at)))
+            width = min(v.shape[1], len(along))
+            x = v[:, :width] @ along[:width]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*distinct_names, "x"])
+
+    distinct_names = distinct.columns
+    return distinct.mapInArrow(run, StructType([*distinct.schema, StructField("x", DoubleType())]))
+
+
+def links(distinct: DataFrame, threshold: float, rows: int) -> DataFrame:
     """(id, other, n): per cell the number of rows that a vector links with, and an edge of a spanning forest (or null)."""
-    hashed = distinct.withColumn("g", F.pmod(F.xxhash64("rep"), F.lit(n_slices)).cast("int"))
-    cells = hashed.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))).select(
+    near = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    placed = projected(distinct, axis(distinct)).withColumn("bin", Slices.bin_of(F.col("x"), -1.0, 1.0))
+    cut = Slices(-1.0, 1.0, {int(b): int(n) for b, n in placed.groupBy("bin").count().collect()}, rows)  # a row per bin
+    # Slice y is near slice x if their ranges are; ranges come in order, so the near ones are a run.
+    lo = np.searchsorted(cut.most, cut.least - near)
+    hi = np.searchsorted(cut.least, cut.most + near, side="right") - 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = cut.of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(lo[g]), pa.array(hi[g]), *batch.columns[2:]], names=["g", "lo", "hi", "rep", "v", "copies"])
+
+    keyed = placed.select("bin", F.pmod(F.xxhash64("rep"), F.lit(1 << 31)).alias("h"), "rep", "v", "copies")
+    dealt = keyed.mapInArrow(deal, "g long, lo long, hi long, rep string, v array<double>, copies long")
+    cells = dealt.withColumn("h", F.explode(F.sequence("lo", "hi"))).select(
         F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), (F.col("g") > F.col("h")).alias("second"), "rep", "v", "copies",
     )
 
     def tile(table: pa.Table) -> pa.Table:
-        ids, copies, v = table.column("rep").to_numpy(), table.column("copies").to_numpy(), matrix(table.column("v"))
+        ids, copies, v = np.array(table.column("rep").to_pylist(), dtype=object), table.column("copies").to_numpy(), matrix(table.column("v"))
         second = table.column("second").to_numpy().astype(bool)
         own = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         one = np.arange(len(ids)) if own else np.flatnonzero(~second)
@@ -104,9 +152,14 @@ def links(distinct: DataFrame, threshold: float, n_slices: int) -> DataFrame:
             label = _join_labels(label, i, j)
         at = np.flatnonzero(count)
         other = np.where(label[at] != at, ids[label[at]], ids[at])
-        return pa.table({"id": pa.array(ids[at], pa.int64()), "other": pa.array(other, pa.int64()), "n": pa.array(count[at], pa.int64())})
+        return pa.table({"id": pa.array(ids[at], pa.string()), "other": pa.array(other, pa.string()), "n": pa.array(count[at], pa.int64())})
+
+    return cells.groupBy("x", "y").applyInArrow(tile, "id string, other string, n long")
+
 
-    return cells.groupBy("x", "y").applyInArrow(tile, "id long, other long, n long")
+def name_of(vec_col: str) -> Column:
+    """128 bits of hashes of a vector, as text."""
+    return F.concat_ws("-", F.hex(F.xxhash64(vec_col)), F.hex(F.xxhash64(F.lit(1), F.col(vec_col))))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -115,15 +168,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     fine = valid("v") & F.exists("v", lambda x: x != 0)
     keyed = rows.select("vec_id", F.when(fine, F.transform("v", lambda x: x + 0.0)).alias("v"))  # no negative zeros
     distinct = keyed.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").cast("long").alias("copies"))
-    # A 64-bit hash names each distinct vector, also where ids are null or repeated.
-    distinct = materialise(distinct.select(F.xxhash64("v").alias("rep"), "v", "least", "copies"), "vectors")
-    found = materialise(links(distinct.select("rep", "v", "copies"), threshold, slices(distinct, SLICE_ROWS, LEAST_SLICES)), "links")
+    # A hash names each distinct vector, also where ids are null or repeated.
+    work = Scratch(vectors.sparkSession)
+    distinct = work.table(distinct.select(name_of("v").alias("rep"), "v", "least", "copies"), "vectors")
+    rows_a_slice = min(SLICE_ROWS, max(1, -(-distinct.count() // LEAST_SLICES)))
+    found = work.table(links(distinct.select("rep", "v", "copies"), threshold, rows_a_slice), "links")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     groups = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = distinct.select("rep", "least", "copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     facts = named.join(least, "component").join(counts, "rep", "left").select("rep", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = keyed.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("rep")).join(facts, "rep", "left")
+    joined = keyed.select("vec_id", F.when(F.col("v").isNotNull(), name_of("v")).alias("rep")).join(facts, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

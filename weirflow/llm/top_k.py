@@ -1,8 +1,10 @@
 """Exact top-k inner products over vectors sorted by length.
 
-Queries meet all candidates in blocks: a block of queries and a hash slice of
-candidates form a cell, a task of bounded size.  In a cell candidates come by
-descending length.  A rotation (the right singular vectors of a bounded sample)
+Candidates are dealt into slices by descending length, and queries into blocks by
+how many slices they need: a query whose k-th best so far is f needs no candidate
+shorter than f over its own length (Cauchy-Schwarz).  A block and a slice that it
+needs form a cell, a task of bounded size; no other cell is made.  In a cell
+candidates come by descending length, too.  A rotation (the right singular vectors of a bounded sample)
 puts most of a vector's length into its first coordinates; the product over
 these plus, by Cauchy-Schwarz, the product of the lengths of the rest bounds
 the whole product.  Pairs whose bound stays below the query's k-th best so far
@@ -13,7 +15,8 @@ longest candidates of all (a head of bounded size that every query sees first).
 Defined results: vectors that are null or empty or hold null or non-finite
 components, and rows without id, take no part; rows with the query's id are not
 its candidates; of repeated query ids the smallest vector is the query; ties go
-to smaller ids; vectors of fewer components count as filled up with zeros; no
+to smaller ids; vectors of fewer components count as filled up with zeros;
+products are exact, and those beyond a 64-bit number count as its ends; no
 queries or candidates give no rows; only the columns named are read.
 """
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.vectors import matrix, slices, valid, widened
+from weirflow.llm.vectors import Slices, matrix, valid, widened
 
 SCALE = 256
 K = 5
@@ -117,10 +120,48 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["id", "v", "floor"])
 
     queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(first_look, "id long, v array<double>, floor double")
-    c_slices, q_slices = slices(rows, CELL_ROWS, LEAST_SLICES), slices(rows.where("asks").select("id"), CELL_QUERIES, 1)
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = rows.select(F.pmod(F.xxhash64("id"), F.lit(c_slices)).alias("c"), numbers(q_slices).alias("q"), F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("floor")).union(
-        queries.select(numbers(c_slices).alias("c"), F.pmod(F.xxhash64("id"), F.lit(q_slices)).alias("q"), F.lit(True).alias("asks"), "id", "v", "floor")
+    # Slices by the negative length, so that the longest come first; what comes to the driver is a row per bin.
+    minus = (-F.sqrt(length)).alias("x")
+    low, high = rows.select(minus).agg(F.min("x"), F.max("x")).first()
+    low, high = float(low or 0.0), float(high or 0.0)
+    binned = rows.select("id", "v", Slices.bin_of(minus, low, high).alias("bin"))
+    total = rows.count()
+    cut = Slices(low, high, {int(b): int(n) for b, n in binned.groupBy("bin").count().collect()}, min(CELL_ROWS, max(1, -(-total // LEAST_SLICES))))
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                q, floor = whole(matrix(batch.column(1)), scale), batch.column(2).to_numpy()
+                own = np.sqrt((q * q).sum(axis=1))
+                # A slice's longest candidate has the length -least; lengths and products are rounded up.
+                shortest = np.where(own > 0, (floor - 1e-6 * np.abs(floor) - 1) / np.maximum(own, 1e-300) * (1 - 1e-9), -np.inf)
+                last = np.where((own == 0) & (floor > 0), 0, np.searchsorted(cut.least, np.where(np.isfinite(shortest), -shortest, np.inf), side="right") - 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(last, 0, len(cut) - 1))], names=["id", "v", "floor", "last"])
+
+    needing = queries.mapInArrow(need, "id long, v array<double>, floor double, last long")
+    kind = F.floor(F.log2(F.col("last") + 1)).cast("long")  # queries of a block need about as many slices
+    needing = needing.withColumn("kind", kind)
+    kinds = sorted(((int(x), int(n), int(most)) for x, n, most in needing.groupBy("kind").agg(F.count("*"), F.max("last")).collect()), reverse=True)  # some dozens of rows
+    blocks: list[tuple[int, int, int]] = []  # (kind, its first block, how many)
+    tops: list[int] = []  # per block the last slice that it needs, descending
+    for x, n, most in kinds:
+        many = -(-n // CELL_QUERIES)
+        blocks.append((x, len(tops), many))
+        tops += [most] * many
+    wanted = len(tops) - np.searchsorted(np.array(tops[::-1], dtype=np.int64), np.arange(len(cut)))  # per slice how many blocks, from the first, need it
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = cut.of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(wanted[c]), *batch.columns[2:]], names=["c", "n", "id", "v"])
+
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    dealt = binned.select("bin", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("h"), "id", "v").mapInArrow(deal, "c long, n long, id long, v array<double>")
+    block = F.lit(0).cast("long")
+    for x, first, many in blocks:
+        block = F.when(F.col("kind") == x, F.lit(first) + F.pmod(F.xxhash64("id"), F.lit(many))).otherwise(block)
+    cells = dealt.where("n > 0").select("c", to(F.col("n")).alias("q"), F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("floor")).union(
+        needing.select(to(F.col("last") + 1).alias("c"), block.alias("q"), F.lit(True).alias("asks"), "id", "v", "floor")
     )
 
     def look(table: pa.Table) -> pa.Table:

@@ -33,6 +33,44 @@ def widened(a: np.ndarray, width: int) -> np.ndarray:
     return np.pad(a, ((0, 0), (0, width - a.shape[1]))) if a.shape[1] < width else a
 
 
-def slices(df: DataFrame, rows_a_slice: int, least: int) -> int:
-    """How many slices of about so many rows a table has."""
-    return max(least, -(-df.count() // rows_a_slice))
+class Slices:
+    """Slices of rows in the order of a number, of about so many rows each.
+
+    Made from counts in equal bins (at most ``BINS``, whatever the number of rows): neighbouring bins share a slice, and a
+    bin with more rows is several slices, told apart by a hash.
+    """
+
+    BINS = 4096
+
+    def __init__(self, low: float, high: float, counts: dict[int, int], rows: int) -> None:
+        self.low, self.step = low, max((high - low) / self.BINS, 1e-300)
+        first, many, edges = np.zeros(self.BINS, np.int64), np.ones(self.BINS, np.int64), []
+        held = rows + 1
+        for b in range(self.BINS):
+            n = counts.get(b, 0)
+            pieces = -(-n // rows)
+            if pieces > 1 or held + n > rows or not edges:
+                first[b], many[b], held = len(edges), max(pieces, 1), n
+                edges += [[b, b] for _ in range(int(many[b]))]
+            else:
+                first[b], held = len(edges) - 1, held + n
+                edges[-1][1] = b
+            if many[b] > 1:
+                held = rows + 1
+        self.first, self.many = first, many
+        spans = np.array(edges, dtype=np.float64)
+        slack = 1e-9 * (abs(low) + abs(high))  # numbers are cut into bins with rounding errors
+        self.least, self.most = low + spans[:, 0] * self.step - self.step - slack, low + spans[:, 1] * self.step + 2 * self.step + slack
+
+    @staticmethod
+    def bin_of(number: Column, low: float, high: float) -> Column:
+        """The bin of a number, as :meth:`of` has it."""
+        step = max((high - low) / Slices.BINS, 1e-300)
+        return F.least(F.greatest(F.floor((number - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(Slices.BINS - 1))
+
+    def of(self, bins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The slice of rows in bins, by a hash of each row."""
+        return self.first[bins] + hashes % self.many[bins]
+
+    def __len__(self) -> int:
+        return len(self.least)
