@@ -201,6 +201,26 @@ def test_packing_frame(spark):
 # -- WARC ----------------------------------------------------------------------
 
 
+def test_dates_no_calendar_has():
+    assert warc.iso_date("20010231995961") == "2001-02-01T00:59:00Z" and warc.iso_date("2000") == "2000-01-01T00:00:00Z"
+    assert warc.iso_date("20000229235959") == "2000-02-29T23:59:59Z" and warc.iso_date("broken") == "0001-01-01T00:00:00Z"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Header lines with other case and white space; a revisit that names its original by identifier alone."""
+    import gzip
+
+    head = b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\nContent-Length: 5\r\n\r\n"
+    digest = "sha256:" + hashlib.sha256(b"hello").hexdigest()
+    one = f"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID:\t<urn:x:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date:   2001-01-01T00:00:00Z\r\nWARC-Payload-Digest:{digest}\r\nCONTENT-LENGTH: {len(head) + 5}\r\n\r\n".encode() + head + b"hello\r\n\r\n"
+    again = head.replace(b": 7", b": 9")
+    two = f"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:x:2>\r\nWARC-Refers-To: <urn:x:1>\r\nWARC-Target-URI: http://b/\r\nWARC-Date: 2002-01-01T00:00:00Z\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(again)}\r\n\r\n".encode() + again + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))  # a member a record
+    rows = warc.read_archives(spark, f"file://{tmp_path}", keep_payload=False)
+    label = F.regexp_extract(F.col("http_head").cast("string"), r"X-Page-Id: (-?\d*)", 1).try_cast("long")
+    assert sorted((r.label, r.record_type, r.payload_bytes, r.refers_to) for r in warc.resolved(rows, label).collect()) == [(7, "response", 5, None), (9, "revisit", 5, 7)]
+
+
 def test_arc_versions_and_declared_lengths():
     block = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhello\nworld"
     for version in (1, 2):

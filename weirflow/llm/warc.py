@@ -22,6 +22,7 @@ empty archives; further columns are not read.
 
 from __future__ import annotations
 
+import calendar
 import gzip
 import hashlib
 import io
@@ -32,10 +33,10 @@ from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.workspace import new_path
+from weirflow.llm.workspace import materialise, new_path
 
 #: Field names of the header lines, by version.
 FIELDS = {
@@ -111,11 +112,13 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
 
 
 def iso_date(date: str) -> str:
-    """A 14-digit (or shorter, or broken) ARC date as WARC writes it."""
+    """A 14-digit (or shorter, or broken) ARC date as WARC writes it; parts that no calendar or clock has count as their least."""
     digits = re.sub(r"\D", "", date)[:14].ljust(14, "0")
-    y, mo, d, h, mi, s = digits[:4], digits[4:6], digits[6:8], digits[8:10], digits[10:12], digits[12:]
-    mo, d = (mo if "01" <= mo <= "12" else "01"), (d if "01" <= d <= "31" else "01")
-    return f"{y}-{mo}-{d}T{h}:{mi}:{s}Z"
+    year, month, day, hour, minute, second = (int(digits[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14)))
+    year, month = max(year, 1), month if 1 <= month <= 12 else 1
+    day = day if 1 <= day <= calendar.monthrange(year, month)[1] else 1
+    hour, minute, second = (x if x < most else 0 for x, most in ((hour, 24), (minute, 60), (second, 60)))
+    return f"{year:04}-{month:02}-{day:02}T{hour:02}:{minute:02}:{second:02}Z"
 
 
 def record_id(url: str, date: str, payload_digest: str) -> str:
@@ -168,6 +171,16 @@ def to_warc(record: ArcRecord, revisit: Callable[[bytes, str], Original | None]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block
 
 
+#: The fields that are read, as they are written; their case does not matter.
+_NAMES = {
+    name.lower(): name
+    for name in (
+        "WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Filename", "WARC-IP-Address", "WARC-Profile",
+        "WARC-Truncated", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Refers-To-Label", "Content-Type", "Content-Length",
+    )
+}
+
+
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields and block of each record of a WARC stream."""
     while line := stream.readline():
@@ -177,8 +190,9 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes
             raise ArchiveError(f"not a record: {line[:40]!r}")
         fields: dict[str, str] = {}
         while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
-            fields[name] = value
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        fields = {_NAMES.get(name, name): value for name, value in fields.items()}
         size = int(fields["Content-Length"])
         block = stream.read(size)
         if len(block) < size:
@@ -208,14 +222,14 @@ def write_archives(records: DataFrame, path: str) -> None:
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-READ = "record_type string, url string, date string, payload_digest string, payload_bytes long, refers_label string, http_head binary, payload binary"
+READ = "record_type string, record_id string, refers_to_id string, url string, date string, payload_digest string, payload_bytes long, refers_label string, http_head binary, payload binary"
 
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """Rows of all records but ``warcinfo``; digests of full payloads are checked, those of revisits taken over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_label", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary())])
+        schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_label", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary())])
         for batch in batches:
             for cell in batch.column(0):
                 out: list[tuple] = []
@@ -234,7 +248,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
                             n = len(payload)
                             if hashlib.sha256(payload).hexdigest() != digest:
                                 raise ArchiveError(f"digest of {fields['WARC-Record-ID']}")
-                        out.append((kind, fields["WARC-Target-URI"], fields["WARC-Date"], digest, n, fields.get("WARC-Refers-To-Label"), head, payload if keep_payload else None))
+                        out.append((kind, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), fields["WARC-Target-URI"], fields["WARC-Date"], digest, n, fields.get("WARC-Refers-To-Label"), head, payload if keep_payload else None))
                         size += len(block)
                         if size > SEGMENT:
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o, strict=True)) for o in out], schema=schema)
@@ -305,15 +319,25 @@ def _converted(version: int, turn: int, segment: list[bytes], known_by: dict[tup
     return pa.RecordBatch.from_arrays([pa.array([to_warc(r, revisit) for r in read_arc(arc)], pa.binary())], names=["record"])
 
 
+def resolved(rows: DataFrame, label: Column) -> DataFrame:
+    """Rows of :func:`read_archives` with ``label`` and, of revisits, ``refers_to``: the label of the record that WARC-Refers-To names.
+
+    Of several records with one identifier the smallest label counts; where none has it, what the writer noted of it does.
+    """
+    told = rows.withColumn("label", label)
+    targets = told.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("label").alias("target"))
+    asked = told.where("record_type = 'revisit'").join(targets, "refers_to_id", "left").withColumn("refers_to", F.coalesce("target", F.col("refers_label").cast(rows.select(label.alias("x")).schema[0].dataType)))
+    return told.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast(asked.schema["refers_to"].dataType)).unionByName(asked.drop("target"))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query of this operator over the whole of ``pages``."""
     path = new_path(spark, "warc")
     write_archives(pages_to_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     label = F.regexp_extract(F.col("http_head").cast("string"), r"X-Page-Id: (-?\d*)", 1)
-    return read_archives(spark, path, keep_payload=False).select(
-        label.try_cast("long").alias("page_id"),
-        "payload_bytes", "payload_digest", "record_type", F.col("refers_label").try_cast("long").alias("refers_to"),
-    )
+    # Read once: what the archives say of each record is small.
+    rows = materialise(read_archives(spark, path, keep_payload=False).drop("payload"), "records")
+    return resolved(rows, label.try_cast("long")).select(F.col("label").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
