@@ -21,7 +21,7 @@ region.
    admits a partner there, to others.  Cells that are too large for a task are first
    split in the same way by whole jobs: a few pivots of the cell are sent to all of
    its blocks, each block deals its sets to regions, the next round deals those;
-   regions that stop shrinking are joined block by block.
+   cells whose regions save nothing are joined block by block.
 
 Empty parts need care: sets that are both empty in a part agree in it without being
 alike.  K therefore has a margin, more than the number of parts that a set of that
@@ -474,13 +474,17 @@ def _recurse(cells: DataFrame, whole: DataFrame, percent: int, work: Scratch) ->
         kept = kept.join(labels.withColumnRenamed("node", "name"), "name", "left").select("cell", "q", "name", F.coalesce("component", "name").alias("c"))
         mixed = kept.groupBy("cell", "q").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell", "q")
         sub = kept.join(mixed, ["cell", "q"]).join(large.select("cell", "name", "n", F.col("total").alias("before")), ["cell", "name"])
-        named_sub = sub.select(F.xxhash64("cell", "q").alias("cell"), "name", "n", "c", "before")
-        cells = work.table(_totals(named_sub).withColumn("pivot", F.lit(False)), "cells")
+        parted = work.table(sub.select(F.xxhash64("cell", "q").alias("cell"), F.col("cell").alias("parent"), "name", "n", "before"), "parted")
         work.drop(dealt)
-        stuck = cells.where((F.col("total") > TASK) & (F.col("total") > F.col("before") * regions.SHRUNK))
+        # Where regions don't shrink, or copies at borders outgrow what they save, the cell is joined block by block instead.
+        regional = parted.groupBy("parent", "cell", "before").agg(F.sum(F.expr(WEIGHT)).alias("own"))
+        pairs = regional.groupBy("parent", "before").agg(F.sum(F.col("own").cast("double") * F.col("own")).alias("pairs"))
+        stuck = pairs.where(F.col("pairs") > regions.SHRUNK * F.col("before").cast("double") * F.col("before")).select(F.col("parent").alias("cell"))
         if not stuck.isEmpty():
-            done.append(work.table(join_blocks(stuck.join(sets, "name"), percent), "edges"))
-            cells = cells.where((F.col("total") <= TASK) | (F.col("total") <= F.col("before") * regions.SHRUNK))
+            left = large.join(stuck, "cell", "left_semi").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("c", F.coalesce("component", "name"))
+            done.append(work.table(join_blocks(left.join(sets, "name"), percent), "edges"))
+            parted = parted.join(stuck.withColumnRenamed("cell", "parent"), "parent", "left_anti")
+        cells = work.table(_totals(parted.select("cell", "name", "n")).withColumn("pivot", F.lit(False)), "cells")
     return _all(done)
 
 

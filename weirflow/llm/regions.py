@@ -7,7 +7,7 @@ a set whose nearest pivot is q only if d(y, q) <= d(y, p) + 2r and d(y, q) is
 at most r more than the largest distance that a set of q's region has from q.
 Sets within r of a pivot are linked to it; pivots have met everybody and leave;
 regions are joined in the same way until they are small, have one component or
-stop shrinking, and then exactly.  Sets that are already in one component are
+their pairs add up to too many, and then exactly.  Sets that are already in one component are
 never compared.
 """
 
@@ -17,8 +17,9 @@ import numpy as np
 
 SMALL = 24  #: regions of at most so many sets are joined exactly
 PIVOTS = 12  #: of a region, at most
-SHRUNK = 0.8  #: a region that keeps more than this share of the sets is joined exactly
-CELLS, DENSE = 8_000_000, 0.005  #: a region whose matrix has at most so many cells, of which this share is filled, is joined by products
+SHRUNK = 0.5  #: regions whose pairs add up to more than this share of the pairs before are not made: the sets are joined exactly
+CELLS, DENSE = 8_000_000, 0.005  #: cells of a matrix made at a time; with less than this share filled there are no products
+PRODUCTS = 4000  #: sets of a region that is joined by products, at most
 EPS = 1e-9  #: above the rounding of distances
 
 
@@ -74,7 +75,7 @@ class Sets:
 def exact(sets: Sets, idx: np.ndarray, labels: Labels, percent: int) -> None:
     """Link all pairs of ``idx`` within the radius that are not in one component already."""
     entries = int(sets.left[idx].sum())
-    if len(idx) > SMALL and len(idx) * sets.width <= CELLS and entries > DENSE * len(idx) * sets.width:
+    if SMALL < len(idx) <= PRODUCTS and entries > DENSE * len(idx) * sets.width:
         return dense(sets, idx, labels, percent)
     # Small components first: their sets are compared with all others, those of the largest with none that is left.
     _, of, count = np.unique(labels.label[idx], return_inverse=True, return_counts=True)
@@ -89,18 +90,23 @@ def exact(sets: Sets, idx: np.ndarray, labels: Labels, percent: int) -> None:
 
 
 def dense(sets: Sets, idx: np.ndarray, labels: Labels, percent: int) -> None:
-    """As :func:`exact`, with intersections as products of a matrix of zeros and ones."""
-    grid = np.zeros((len(idx), sets.width), dtype=np.float32)
-    for k, i in enumerate(idx.tolist()):
-        grid[k, sets.of(i)] = 1
-    size = sets.sizes[idx]
-    for at in range(0, len(idx), 256):
-        both = (grid[at : at + 256] @ grid.T).astype(np.int64)  # whole numbers below 2 ** 24 are exact
-        near = both * 100 >= (size[at : at + 256, None] + size - both) * percent
-        for k in range(len(near)):
-            others = idx[at + k + 1 :][near[k, at + k + 1 :]]
-            if len(others):
-                labels.join(int(idx[at + k]), others)
+    """As :func:`exact`, with intersections as products of a matrix of zeros and ones, some columns at a time."""
+    step = max(1, CELLS // len(idx))
+    own = np.concatenate([sets.of(i) for i in idx.tolist()])
+    row = np.repeat(np.arange(len(idx)), sets.left[idx])
+    both = np.zeros((len(idx), len(idx)), dtype=np.float32)  # whole numbers below 2 ** 24 are exact
+    for lo in range(0, sets.width, step):
+        some = (own >= lo) & (own < lo + step)
+        columns, at = np.unique(own[some], return_inverse=True)
+        grid = np.zeros((len(idx), len(columns)), dtype=np.float32)
+        grid[row[some], at] = 1
+        both += grid @ grid.T
+    size = sets.sizes[idx].astype(np.float64)
+    for k in range(len(idx) - 1):
+        near = both[k, k + 1 :].astype(np.float64)
+        others = idx[k + 1 :][near * 100 >= (size[k] + size[k + 1 :] - near) * percent]
+        if len(others):
+            labels.join(int(idx[k]), others)
 
 
 def linked(sets: Sets, i: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -147,11 +153,10 @@ def join(sets: Sets, idx: np.ndarray, labels: Labels, percent: int, first: int |
                 break
             at = int(np.flatnonzero(apart)[np.argmax(least[apart])])
         d = np.stack(columns, axis=1)
-        for core, admitted in windows(d, radius):
-            sub = np.setdiff1d(np.concatenate([core, admitted]), pivots)
-            if len(sub) < 2:
-                continue
-            if len(sub) > SHRUNK * len(idx):
-                exact(sets, idx[sub], labels, percent)
-            else:
-                todo.append((idx[sub], None))
+        parts = [np.setdiff1d(np.concatenate([core, admitted]), pivots) for core, admitted in windows(d, radius)]
+        parts = [sub for sub in parts if len(np.unique(labels.label[idx[sub]])) > 1]
+        if sum(len(sub) ** 2 for sub in parts) > SHRUNK * len(idx) ** 2:
+            # Sets that are about equally far from each other: copies at the borders would outgrow what regions save.
+            exact(sets, np.delete(idx, pivots), labels, percent)
+        else:
+            todo += [(idx[sub], None) for sub in parts]
