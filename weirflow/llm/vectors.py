@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,20 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out
 
 
+def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers, exact for every finite double; ``scale`` is a power of two."""
+    out = np.empty(x.shape, dtype=object)
+    out.ravel()[:] = [math.floor(t * scale) if abs(t) < 1e300 else int(t) * scale for t in x.ravel().tolist()]
+    return out
+
+
+def exact_products(q: np.ndarray, c: np.ndarray, scale: int) -> np.ndarray:
+    """Inner products of rows of floor(scale * x), computed in Python integers; beyond 64 bits: their ends."""
+    if not q.size or not c.size:
+        return np.zeros((len(q), len(c)), dtype=np.int64)
+    return np.clip(whole_numbers(q, scale) @ whole_numbers(c, scale).T, -(2**63), 2**63 - 1).astype(np.int64)
+
+
 def widened(a: np.ndarray, width: int) -> np.ndarray:
     """With columns of zeros up to ``width``."""
     return np.pad(a, ((0, 0), (0, width - a.shape[1]))) if a.shape[1] < width else a
