@@ -101,7 +101,10 @@ def test_odd_rows(spark, small_cells):
     # Large finite components: products beyond 2^53, beyond 64 bits, and beyond the largest double.
     rows += [(150, [3e5, 1.0, -2e4], 0), (151, [1e307, 0.0, 0.0], 0), (152, [1e9, 1e9, 1.0], 1), (153, [-1e307, 2.0, 0.0], 1), (155, [1e-200, 0.0, 1e-300], 1)]
     rng.shuffle(rows)
-    assert mined(spark, rows) == brute(rows, {r[0] for r in rows if r[0] is not None and r[0] % 5 == 0})
+    got = [tuple(r) for r in hn.mine(frame(spark, rows), F.col("vec_id") % 5 == 0, F.col("label")).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()]
+    assert set(got) == brute(rows, {r[0] for r in rows if r[0] is not None and r[0] % 5 == 0})
+    # Two rows of one id and label are two positives, also where their scores are equal.
+    assert {r[:2] for r in got if got.count(r) > 1} <= {(130, 0), (135, 0), (155, 0)}
 
 
 def test_tables_without_rows_anchors_or_positives(spark):

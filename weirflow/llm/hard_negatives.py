@@ -181,12 +181,14 @@ def search_cell(q: Queries, ids: np.ndarray, labels: np.ndarray, v: np.ndarray,
     rows, which = np.flatnonzero(c_small), np.flatnonzero(~q_exact)
     if len(rows) and len(which):
         found = _search_tree(q, which, scaled(np.where(q_small[:, None], qv, 0.0)), ids[rows], labels[rows], scaled(cv[rows]), best, k)
-        best = best_of(*(np.concatenate(x) for x in zip(best, found, strict=True)), k)
+        done = q_exact[best[0]]  # the other windows' rows are among what the tree has returned
+        best = tuple(np.concatenate([x[done], y]) for x, y in zip(best, found, strict=True))
+        best = best_of(*best, k)
     return best
 
 
 def _search_tree(q: Queries, which: np.ndarray, a: np.ndarray, ids: np.ndarray, labels: np.ndarray, c: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``search_cell`` for the windows ``which`` and rows that may be in trees; ``known``: what else has been found."""
+    """As ``search_cell`` for the windows ``which`` and rows that may be in trees, together with ``known``, what else has been found for them."""
     longest = float((c * c).sum(axis=1).max())
     x = augmented(c, longest)
     depth = max(0, int(np.ceil(np.log2(max(1, len(c) / LEAF)))))
