@@ -327,7 +327,7 @@ class Cells:
         blocks = {int(c): max(1, -(-int(n) // CELL_QUERIES)) for c, n in visits.groupBy("cell").count().collect()}
         of = lambda numbers: F.create_map(*(F.lit(int(x)) for pair in sorted(numbers.items()) for x in pair))[F.col("cell")].cast("long")
         if not blocks:
-            return needing.sparkSession.createDataFrame([], FOUND)
+            return needing.sparkSession.createDataFrame([], f"{FOUND}, rank int")
         to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         none = F.lit(None).cast("array<long>")
         held = self.rows.where(F.col("cell").isin([int(c) for c in blocks])).select("cell", F.pmod(F.xxhash64("id", "label", "v"), of(self.parts)).alias("part"), to(of(blocks)).alias("block"), "id", "label", "v", none.alias("tags"), none.alias("lows"), none.alias("highs"))
