@@ -15,12 +15,13 @@ PLATFORMS = ("android", "ios")
 class Config:
     """Names of tables and knobs of the flow."""
 
-    catalog: str = "main"
+    catalog: str = ""  #: in front of all names of tables where it is set
     bronze: str = "bronze"
     silver: str = "silver"
     gold: str = "gold"
     steps: tuple[str, ...] = STEPS
     platform_mode: str = "derived"  #: or "column"
+    rule_set: str = "v1"  #: or "v2", whose gate also asks for an install of every event
     late_cutoff: timedelta = timedelta(minutes=15)  #: after midnight of the next day
     lookback_days: int = 6
     as_of: date | None = None  #: today where None
@@ -28,5 +29,5 @@ class Config:
     advisory_bytes: int = 64 * 1024 * 1024
 
     def table(self, layer: str, name: str) -> str:
-        """The three-part name of a table."""
-        return f"{self.catalog}.{getattr(self, layer)}.{name}"
+        """The name of a table of a layer (bronze, silver, gold)."""
+        return ".".join(x for x in (self.catalog, getattr(self, layer), name) if x)

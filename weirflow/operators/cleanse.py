@@ -95,8 +95,8 @@ def events_source(config: Config) -> Source:
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], columns: list[str] | None = None, name: str = "_rn") -> DataFrame:
-    """Rank the rows of a key; ties are broken by the rows' own values."""
-    tie = F.xxhash64(*(columns or df.columns))
+    """Rank the rows of a key; ties are broken by the rows' own values, audit columns left out: they differ when rows come again."""
+    tie = F.xxhash64(*(columns or [c for c in df.columns if not c.startswith("_")]))
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order, tie)))
 
 
@@ -132,12 +132,41 @@ def cleanse(raw: DataFrame, source: Source) -> tuple[DataFrame, DataFrame]:
     tagged = _tagged(raw, source)
     kept = ranked(tagged.where("_valid"), [source.key], source.order(), [*source.columns, "_raw"])
     good = kept.where("_rn = 1").select(*source.columns)
-    rejects = _rejected(tagged.where(~F.col("_valid")), source, source.reason or "invalid")
+    rejects = invalid(raw, source)
     if source.log_duplicates:
         rejects = rejects.unionByName(_rejected(kept.where("_rn > 1"), source, f"duplicate_{source.key}"))
     return good, rejects
 
 
+def invalid(raw: DataFrame, source: Source) -> DataFrame:
+    """Rejects of the rows that are wrong by themselves."""
+    return _rejected(_tagged(raw, source).where(~F.col("_valid")), source, source.reason or "invalid")
+
+
+# -- increments: the best row of each key so far -----------------------------------
+
+
+def contenders(raw: DataFrame, source: Source) -> DataFrame:
+    """Valid rows of a source with their raw record: what competes for a key."""
+    return _tagged(raw, source).where("_valid").select(*source.columns, "_raw", "_ingested_at")
+
+
+def settle(known: DataFrame, fresh: DataFrame, source: Source) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``fresh`` that are the best of their key so far, rejects among all that compete for the keys of ``fresh``).
+
+    ``known`` holds earlier contenders, of each key at least the best one, and perhaps others that have been rejected already.
+    Where a fresh row beats the best one known, that one becomes a reject.
+    """
+    columns = [*source.columns, "_raw"]
+    keys = fresh.select(source.key).distinct()
+    best = ranked(known.join(keys, source.key, "left_semi"), [source.key], source.order(), columns).where("_rn = 1").drop("_rn")
+    both = best.withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)))
+    # Of two rows that are equal in all that counts the known one stays.
+    order = Window.partitionBy(source.key).orderBy(*source.order(), F.xxhash64(*columns), F.desc("_old"))
+    both = both.withColumn("_rn", F.row_number().over(order))
+    return both.where("_rn = 1 AND NOT _old").drop("_rn", "_old"), _rejected(both.where("_rn > 1"), source, f"duplicate_{source.key}")
+
+
 def typed(raw: DataFrame, source: Source) -> DataFrame:
     """The typed columns of every raw row, valid or not and with all copies: what checks see that must find something."""
     return _tagged(raw, source).select(*source.columns)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from functools import reduce
 from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame
@@ -16,9 +19,9 @@ from weirflow.config import Config
 from weirflow.operators import cleanse, flags, funnel
 from weirflow.plans import quality
 from weirflow.sources.bronze import CONTRACT
-from weirflow.sources.store import ParquetStore
+from weirflow.sources.store import Notes, ParquetStore
 
-GOLD = "gold.daily_country_platform"
+GOLD = Config().table("gold", "daily_country_platform")
 RESULTS = "dq.results"
 
 
@@ -26,22 +29,21 @@ RESULTS = "dq.results"
 
 
 def mark(store: ParquetStore, table: str) -> datetime | None:
-    """The latest arrival that a table has taken in; kept with the table's pointer, so one table has one."""
+    """The latest arrival that a table has taken in; it moves with the table's pointer, so one table has one."""
     text = store.properties(table).get("arrived_until")
     return datetime.fromisoformat(text) if text else None
 
 
-def set_mark(store: ParquetStore, table: str, to: datetime) -> None:
-    """Move the mark."""
-    store.set_properties(table, {"arrived_until": to.isoformat()})
-
-
 def since(bronze: DataFrame, low: datetime | None, high: datetime | None) -> DataFrame:
     """Rows that arrived after the mark, up to the pinned bound."""
     out = bronze if low is None else bronze.where(F.col("_ingested_at") > F.lit(low))
     return out if high is None else out.where(F.col("_ingested_at") <= F.lit(high))
 
 
+def _until(high: datetime | None) -> dict[str, str]:
+    return {} if high is None else {"arrived_until": high.isoformat()}
+
+
 # -- gates ---------------------------------------------------------------------
 
 
@@ -53,49 +55,127 @@ def gate(store: ParquetStore, rules: list[quality.Rule], **tables: DataFrame) ->
 
 # -- silver --------------------------------------------------------------------
 
+#: What a change of these facts of a dimension means for events: they are flagged, or placed, anew.
+FACTS = {"offers": ("offer_id", ["payout_eur"]), "installs": ("user_id", ["install_ts", "country", "platform"])}
+
 
 def load_silver(store: ParquetStore, config: Config | None = None, full: bool = False) -> list[date]:
-    """Dimensions anew, events incrementally up to a bound that is pinned first; the dates whose gold may change.
+    """Dimensions, events and rejects, incrementally up to a bound that is pinned first; the dates whose gold waits to be made.
 
-    An increment appends new events.  Old ones are flagged again, and only they, where an offer or install that they name has
-    changed, so that increments end where a full run does.  What a gate refuses is not stored.
+    Each table takes in what has arrived since its own mark, which moves in the same step as its rows.  So does, with the events,
+    what they were flagged with (the versions of the dimensions) and the dates that gold has yet to make.  A run that dies
+    between two tables is therefore made up for by the next: nothing is taken in twice, and nothing is forgotten.
     """
     config = config or Config()
-    raw = {n: store.read(f"bronze.{n}") for n in ("events", "installs", "offers", "user_profile")}
-    gate(store, quality.contract_rules({n: c for n, c in CONTRACT.items() if n in raw}, raw), **raw)
+    raw = {n: store.read(config.table("bronze", n)) for n in CONTRACT}
+    gate(store, quality.contract_rules(CONTRACT, raw), **raw)
     high = raw["events"].agg(F.max("_ingested_at")).first()[0]
-    full = full or not store.exists("silver.events")
-    low = None if full else mark(store, "silver.events")
+    events, best = config.table("silver", "events"), config.table("silver", "event_best")
+    full = full or not store.exists(events) or not store.exists(best) or store.properties(events).get("generation") != store.properties(best).get("generation")
+    generation = uuid.uuid4().hex if full else store.properties(best)["generation"]
+    _load_dimensions(store, raw, config, full)
+    _load_best(store, raw["events"], high, config, full, generation)
+    _load_events(store, raw["events"], high, config, full, generation)
+    _load_rejects(store, raw, high, config, full, generation)
+    return sorted(pending(store, config))
+
+
+def _load_dimensions(store: ParquetStore, raw: dict[str, DataFrame], config: Config, full: bool) -> None:
+    """Offers, installs and profiles anew where their raw tables have changed."""
     rules = quality.v1_silver_rules(config.steps)
-    before = {n: store.read(f"silver.{n}") for n in ("offers", "installs")} if not full else {}
-    made = {"offers": cleanse.clean_offers(raw["offers"])[0], "installs": cleanse.clean_installs(raw["installs"], config)[0], "user_profile": cleanse.clean_user_profile(raw["user_profile"])}
-    for name, df in made.items():
-        own = [r for r in rules if r.table == name and not r.measure]
-        store.overwrite(f"silver.{name}", df, lambda stored, name=name, own=own: gate(store, own, **{name: stored}))
-    offers, installs = store.read("silver.offers"), store.read("silver.installs")
-    good, _ = cleanse.cleanse(since(raw["events"], low, high), cleanse.events_source(config))
-    own = [r for r in rules if r.table == "events" and not r.measure]
-    check = lambda stored: gate(store, own, events=stored)
+    made = {"offers": lambda: cleanse.clean_offers(raw["offers"])[0], "installs": lambda: cleanse.clean_installs(raw["installs"], config)[0], "user_profile": lambda: cleanse.clean_user_profile(raw["user_profile"])}
+    for name, make in made.items():
+        table = config.table("silver", name)
+        origin = f"{store.version(config.table('bronze', name))} {config.platform_mode}"
+        if full or store.properties(table).get("made_from") != origin:
+            own = [r for r in rules if r.table == name and not r.measure]
+            store.overwrite(table, make(), lambda stored, name=name, own=own: gate(store, own, **{name: stored}), lambda _, __, origin=origin: {"made_from": origin})
+
+
+def _load_best(store: ParquetStore, raw: DataFrame, high: datetime | None, config: Config, full: bool, generation: str) -> None:
+    """Append the rows that are the best of their key so far: of any key, the best row of the table is the best of all bronze."""
+    table, source = config.table("silver", "event_best"), cleanse.events_source(config)
+    fresh = cleanse.contenders(since(raw, None if full else mark(store, table), high), source)
+    notes = lambda _, __: _until(high) | {"generation": generation}
+    stamp = F.lit(high).cast("timestamp").alias("_until")
     if full:
-        store.overwrite("silver.events", flags.flag(good, offers, installs, config), check)
-        dates = _dates(store.read("silver.events").select("event_date"))
-    else:
-        old = store.read("silver.events")
-        fresh = flags.flag(good.join(old.select("event_id"), "event_id", "left_anti"), offers, installs, config)
-        new_offers, new_installs = _changed(before["offers"], offers, "offer_id", ["payout_eur"]), _changed(before["installs"], installs, "user_id", ["install_ts", "country", "platform"])
-        stale = old.join(new_offers, "offer_id", "left_semi").unionByName(old.join(new_installs, "user_id", "left_semi")).dropDuplicates(["event_id"])
+        store.overwrite(table, cleanse.settle(fresh.limit(0), fresh, source)[0].select("*", stamp), notes=notes)
+    elif mark(store, table) != high:
+        store.append(table, cleanse.settle(store.read(table).drop("_until"), fresh, source)[0].select("*", stamp), notes=notes)
+
+
+def _known(store: ParquetStore, config: Config, low: datetime | None) -> DataFrame:
+    """Best rows as they were known when another table's mark stood at ``low``."""
+    best = store.read(config.table("silver", "event_best"))
+    return (best.limit(0) if low is None else best.where(F.col("_until") <= F.lit(low))).drop("_until")
+
+
+def _load_events(store: ParquetStore, raw: DataFrame, high: datetime | None, config: Config, full: bool, generation: str) -> None:
+    """Append new events; write anew the days of events that a better copy replaces or whose offer or install has changed."""
+    table, source = config.table("silver", "events"), cleanse.events_source(config)
+    offers, installs = (store.read(config.table("silver", n)) for n in ("offers", "installs"))
+    with_now = {n: store.version(config.table("silver", n)) for n in FACTS}
+    rules = quality.silver_rules(config.steps) if config.rule_set == "v2" else quality.v1_silver_rules(config.steps)
+    own = [r for r in rules if r.table == "events"]
+    check = lambda stored: gate(store, own, events=stored) if config.rule_set == "v1" else quality_gate(stored)
+
+    def quality_gate(stored: DataFrame) -> None:
+        """Rules that look at other tables, too."""
+        quality.run_rules({"events": stored, "installs": installs, "offers": offers}, own, lambda found: store.append(RESULTS, found.withColumn("run_ts", F.current_timestamp())))
+
+    token = uuid.uuid4().hex
+
+    def notes(more: list[date]) -> Notes:
+        """What moves with the rows: the mark, the dimensions' versions, and dates that gold has yet to make."""
+
+        def of(stored: DataFrame, before: dict[str, str]) -> dict[str, str]:
+            waiting = json.loads(before.get("pending", "{}")) | {d.isoformat(): token for d in {*_dates(stored.select("event_date")), *more}}
+            return _until(high) | {"generation": generation, "flagged_with": json.dumps(with_now), "pending": json.dumps(waiting, sort_keys=True)}
+
+        return of
+
+    if full:
+        # All days wait for gold, those that have lost their last event, too.
+        had = _dates(store.read(table).select("event_date")) if store.exists(table) else []
+        good, _ = cleanse.cleanse(since(raw, None, high), source)
+        store.overwrite(table, flags.flag(good, offers, installs, config), check, notes([*had, *_dates(installs.select("install_date"))]))
+        return
+    low, old = mark(store, table), store.read(table)
+    changed = {n: _changed_since(store, config, n, json.loads(store.properties(table)["flagged_with"]).get(n)) for n in FACTS}
+    winners, _ = cleanse.settle(_known(store, config, low), cleanse.contenders(since(raw, low, high), source), source)
+    fresh = flags.flag(winners.select(*source.columns), offers, installs, config).persist()
+    beaten = old.join(fresh.select("event_id"), "event_id", "left_semi")
+    stale = reduce(DataFrame.unionByName, [old.join(keys, FACTS[n][0], "left_semi") for n, (keys, _) in changed.items()]).dropDuplicates(["event_id"]).join(fresh.select("event_id"), "event_id", "left_anti").persist()
+    try:
+        rewritten = _dates(beaten.select("event_date").union(stale.select("event_date")))
+        moved = sorted({*rewritten, *(d for _, dates in changed.values() for d in dates)})
+        if not rewritten:
+            store.append(table, fresh, check, notes(moved))
+            return
+        days = sorted({*rewritten, *_dates(fresh.select("event_date"))})
+        inside = F.col("event_date").isin(days)
+        gone = stale.select("event_id").union(beaten.select("event_id"))
         again = flags.flag(stale.drop(*flags.ADDED), offers, installs, config)
-        moved = before["installs"].unionByName(installs).join(new_installs, "user_id", "left_semi").select(F.col("install_date").alias("event_date"))
-        dates = _dates(fresh.select("event_date").union(stale.select("event_date")).union(moved))
-        if stale.isEmpty():
-            store.append("silver.events", fresh, check)
-        else:
-            kept = old.join(stale.select("event_id"), "event_id", "left_anti")
-            store.overwrite("silver.events", kept.unionByName(again).unionByName(fresh), check)
-    store.overwrite("silver.rejects", cleanse.all_rejects(raw, config))
-    if high is not None:
-        set_mark(store, "silver.events", high)
-    return dates
+        kept = old.where(inside).join(gone, "event_id", "left_anti")
+        store.replace_where(table, kept.unionByName(again).unionByName(fresh), inside, check, notes(moved))
+    finally:
+        fresh.unpersist()
+        stale.unpersist()
+
+
+def _changed_since(store: ParquetStore, config: Config, name: str, version: int | None) -> tuple[DataFrame, list[date]]:
+    """Keys of a dimension that came, went or have other facts since a version, and install dates that this moves."""
+    table = config.table("silver", name)
+    key, facts = FACTS[name]
+    now = store.read(table)
+    if version == store.version(table):
+        return now.select(key).limit(0), []
+    # A version that is gone leaves nothing to compare with: all keys count as changed.
+    then = store.read(table, version) if store.readable(table, version) else now.limit(0)
+    keys = _changed(then, now, key, facts)
+    if name != "installs":
+        return keys, []
+    return keys, _dates(then.unionByName(now).join(keys, key, "left_semi").select(F.col("install_date").alias("event_date")))
 
 
 def _changed(before: DataFrame, after: DataFrame, key: str, facts: list[str]) -> DataFrame:
@@ -109,13 +189,56 @@ def _dates(df: DataFrame) -> list[date]:
     return sorted(r[0] for r in df.distinct().collect() if r[0])
 
 
+def _load_rejects(store: ParquetStore, raw: dict[str, DataFrame], high: datetime | None, config: Config, full: bool, generation: str) -> None:
+    """Append what has been rejected since: rows that are wrong, and copies that have lost against a better one.
+
+    Rejects of a dimension are read from what was appended to its raw table, or made anew where that has been rewritten.
+    """
+    table = config.table("silver", "rejects")
+    dimensions = {"offers": cleanse.OFFERS, "installs": cleanse.installs_source(config)}
+    at = {n: str(store.version(config.table("bronze", n))) for n in dimensions}
+    own = lambda: store.properties(table)
+    if full or not store.exists(table) or own().get("generation") != generation:
+        notes = lambda _, __: _until(high) | {"generation": generation} | {f"{n}_version": v for n, v in at.items()}
+        store.overwrite(table, cleanse.all_rejects(raw | {"events": since(raw["events"], None, high)}, config), notes=notes)
+        return
+    for name, source in dimensions.items():
+        seen = own().get(f"{name}_version")
+        if seen == at[name]:
+            continue
+        note = lambda _, __, name=name: {f"{name}_version": at[name]}
+        added = store.added(config.table("bronze", name), int(seen))
+        if added is not None:
+            store.append(table, cleanse.invalid(added, source), notes=note)
+        else:
+            store.replace_where(table, cleanse.invalid(raw[name], source), F.col("source") == name, notes=note)
+    low, source = mark(store, table), cleanse.events_source(config)
+    if low != high:
+        arrived = since(raw["events"], low, high)
+        _, lost = cleanse.settle(_known(store, config, low), cleanse.contenders(arrived, source), source)
+        store.append(table, cleanse.invalid(arrived, source).unionByName(lost), notes=lambda _, __: _until(high))
+
+
 # -- gold ----------------------------------------------------------------------
 
 
-def load_gold(store: ParquetStore, touched: list[date], config: Config | None = None, full: bool = False) -> tuple[date, date] | None:
-    """Make the days anew that touched dates and the lookback span, or all; the window.  Gold's rules hold before it is visible."""
+def pending(store: ParquetStore, config: Config | None = None) -> dict[date, str]:
+    """The dates that gold has yet to make, each with a mark of the load that asked for it last."""
+    found = json.loads(store.properties((config or Config()).table("silver", "events")).get("pending", "{}"))
+    return {date.fromisoformat(d): token for d, token in found.items()}
+
+
+def load_gold(store: ParquetStore, touched: list[date] | None = None, config: Config | None = None, full: bool = False) -> tuple[date, date] | None:
+    """Make the days anew that waiting dates (or the given ones) and the lookback span, or all; the window.
+
+    Silver must not be empty, and gold's rules hold before it is visible.  A date waits until gold has been made with it: if this
+    fails, the next run makes it, and a date that silver has asked for again in the meantime goes on waiting.
+    """
     config = config or Config()
-    silver = {t: store.read(f"silver.{t}") for t in ("events", "installs", "offers")}
+    table, gold = config.table("silver", "events"), config.table("gold", "daily_country_platform")
+    waiting = pending(store, config)
+    silver = {t: store.read(config.table("silver", t)) for t in ("events", "installs", "offers")}
+    gate(store, quality.gold_input_rules(), **silver)
     frames = [silver[t] for t in ("events", "installs", "offers")]
     rules = quality.gold_rules(config)
 
@@ -123,18 +246,27 @@ def load_gold(store: ParquetStore, touched: list[date], config: Config | None =
         gate(store, rules, gold=stored, **silver, installed_events=quality.installed_events(silver))
 
     stamped = lambda df: df.withColumn("_loaded_at", F.current_timestamp())
-    span = (min(touched) - timedelta(days=config.lookback_days), max(touched)) if touched else None
-    if full or not store.exists(GOLD):
-        store.overwrite(GOLD, stamped(funnel.aggregate(*frames, config)), check)
+    dates = sorted(waiting) if touched is None else touched
+    span = (min(dates) - timedelta(days=config.lookback_days), max(dates)) if dates else None
+    if full or not store.exists(gold):
+        store.overwrite(gold, stamped(funnel.aggregate(*frames, config)), check)
+        made = waiting
     elif span:
-        store.replace_where(GOLD, stamped(funnel.window(*frames, *span, config)), F.col("date").between(*span), check)
+        store.replace_where(gold, stamped(funnel.window(*frames, *span, config)), F.col("date").between(*span), check)
+        made = {d: token for d, token in waiting.items() if span[0] <= d <= span[1]}
+    else:
+        return None
+    now = pending(store, config)
+    left = {d.isoformat(): token for d, token in now.items() if made.get(d) != token}
+    if len(left) < len(now):
+        store.set_properties(table, {"pending": json.dumps(left, sort_keys=True)})
     return span
 
 
 def backfill(store: ParquetStore, config: Config | None = None, full: bool = False, dates: list[str] | None = None) -> tuple[date, date] | None:
-    """Silver and gold again; ``dates`` (ISO) name the days to rebuild in place of those touched."""
-    touched = load_silver(store, config, full)
-    return load_gold(store, [date.fromisoformat(d) for d in dates] if dates else touched, config, full)
+    """Silver and gold again; ``dates`` (ISO) name the days to rebuild in place of those that wait."""
+    load_silver(store, config, full)
+    return load_gold(store, [date.fromisoformat(d) for d in dates] if dates else None, config, full)
 
 
 # -- order ---------------------------------------------------------------------

@@ -166,6 +166,11 @@ def not_empty(table: str) -> Rule:
     return Rule(f"{table}: not empty", table, measure=lambda t: t[table].agg((F.count("*") == 0).cast("double").alias("violations")))
 
 
+def gold_input_rules() -> list[Rule]:
+    """What gold is made of must not be empty."""
+    return [not_empty(t) for t in ("events", "installs", "offers")]
+
+
 def evaluate(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     """(rule, table_name, severity, violations, passed), lazily: one aggregate per table, one per uniqueness and measure.
 
