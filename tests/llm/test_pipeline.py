@@ -145,3 +145,15 @@ def test_packing_takes_odd_rows(spark):
         whole.setdefault((r.doc_id, r.sequence_id), []).append((r.offset, r.length))
     assert sum(r.piece == 0 for r in packed) == len(odd_rows()) and all(r.offset + r.length <= 2048 for r in packed)
     assert pipeline.pack_sequences(spark, odd_docs(spark).limit(0), SF).count() == 0
+
+
+def test_a_run_leaves_only_its_result(spark, tmp_path):
+    from weirflow.llm import workspace
+
+    rows = [(i, f"document {i} says a few words about number {i * 7} and nothing else", "en", "s", 10) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = set(workspace.made())
+    docs = pipeline.run(spark, str(tmp_path))
+    left = set(workspace.made()) - before
+    assert len(left) == 1 and "packing" in left.pop() and docs.columns[0] == "doc_id"

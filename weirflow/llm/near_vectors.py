@@ -53,6 +53,7 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float):
     """Yield (rows, columns) of pairs of a x b with a cosine of at least ``threshold``, block by block of rows."""
+    a, b = moderate(a), moderate(b)
     a_len, b_len = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     qa, sa, na, ea = quantised(a / a_len[:, None])
     qb, sb, nb, eb = quantised(b / b_len[:, None])
@@ -74,6 +75,11 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float):
         yield row[hit] + at, col[hit]
 
 
+def moderate(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near one: their cosines stay, and no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
+
+
 def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest-index labels after linking i with j."""
     while True:
@@ -96,8 +102,8 @@ def axis(distinct: DataFrame) -> np.ndarray:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    """Rows of length one; scaled by their largest component first, so that no square overflows."""
-    v = v / np.maximum(np.abs(v).max(axis=1, initial=0), 1e-300)[:, None]
+    """Rows of length one."""
+    v = moderate(v)
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 

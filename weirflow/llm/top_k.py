@@ -16,7 +16,9 @@ Defined results: vectors that are null or empty or hold null or non-finite
 components, and rows without id, take no part; rows with the query's id are not
 its candidates; of repeated query ids the smallest vector is the query; ties go
 to smaller ids; vectors of fewer components count as filled up with zeros;
-products are exact, and those beyond a 64-bit number count as its ends; no
+vectors with a component beyond 2^20 are in no slice: every query meets them, and
+they meet every slice, in Python integers, so that no finite component is too
+large; products are exact, and those beyond a 64-bit number count as its ends; no
 queries or candidates give no rows; only the columns named are read.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.vectors import Slices, matrix, valid, widened
+from weirflow.llm.vectors import Slices, exact_products, matrix, valid, widened
 
 SCALE = 256
 K = 5
@@ -37,6 +39,8 @@ CELL_ROWS, CELL_QUERIES, LEAST_SLICES = 4096, 2048, 16
 HEAD, SAMPLE = 1024, 4096  #: longest candidates that every query sees first; vectors that fit the rotation
 LEADING = 16  #: coordinates of the partial sums
 BLOCK = 1024
+LARGE = float(2**20)  #: components of vectors in slices; products of up to 2^13 of them are exact in doubles
+EXACT = 64  #: queries whose products are made in Python integers at a time
 
 
 def whole(x: np.ndarray, scale: float) -> np.ndarray:
@@ -44,6 +48,29 @@ def whole(x: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(scale * x)
 
 
+def large(x: np.ndarray, scale: float) -> np.ndarray:
+    """Which rows are in no slice."""
+    with np.errstate(over="ignore"):
+        return np.abs(scale * x).max(axis=1, initial=0) > LARGE
+
+
+def search_rows(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`search_cell`, of unscaled vectors, large ones among them."""
+    width = max(q.shape[1], c.shape[1])
+    q, c = widened(q, width), widened(c, width)
+    q_large, c_large = large(q, scale), large(c, scale)
+    few, rest = np.flatnonzero(~q_large), np.flatnonzero(~c_large)
+    n, ids, score = search_cell(q_ids[few], whole(q[few], scale), floor[few], c_ids[rest], whole(c[rest], scale), rotation, k)
+    best = (few[n], ids, score)
+    for asks, held in ((np.flatnonzero(q_large), np.arange(len(c))), (few, np.flatnonzero(c_large))):
+        for at in range(0, len(asks) if len(held) else 0, EXACT):
+            part = asks[at : at + EXACT]
+            row, col = np.nonzero(q_ids[part, None] != c_ids[None, held])
+            exact = exact_products(q[part], c[held], scale)[row, col]
+            best = best_of(*(np.concatenate(x) for x in zip(best, (part[row], c_ids[held][col], exact), strict=True)), k)
+    return best
+
+
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers, as int64 (beyond its range: its ends)."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
@@ -55,7 +82,7 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per query number the k highest scores, ties to smaller ids."""
-    order = np.lexsort((ids, -scores, query))
+    order = np.lexsort((ids, ~scores, query))  # the complement has no number that cannot be negated
     query, ids, scores = query[order], ids[order], scores[order]
     first = np.searchsorted(query, query, side="left")
     top = np.arange(len(query)) - first < k
@@ -102,10 +129,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     """(query_id, rank, vec_id, score): for every query row its k best of all rows by inner product of floor(scale * x)."""
     fine = vectors.where(valid(vec_col) & F.col(id_col).isNotNull())
     rows = fine.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks"))
+    big = F.exists("v", lambda x: F.abs(x * scale) > LARGE)
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
     # Two samples of proven size come to the driver: the longest candidates, and rows by the order of a hash.
-    head = rows.select("id", "v", length.alias("l")).orderBy(F.desc("l"), "id").limit(HEAD).select("id", "v").toArrow()
-    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toArrow()
+    head = rows.where(~big).select("id", "v", length.alias("l")).orderBy(F.desc("l"), "id").limit(HEAD).select("id", "v").toArrow()
+    sample = rows.where(~big).select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toArrow()
     head_ids, head_v = head.column("id").to_numpy(), whole(matrix(head.column("v")), scale)
     fitted = whole(matrix(sample.column("v")), scale)
     rotation = np.linalg.svd(fitted, full_matrices=True)[2].T if len(fitted) else np.eye(1)
@@ -114,24 +142,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
         for batch in batches:
             if not len(batch):
                 continue
-            ids, q = batch.column(0).to_numpy(), whole(matrix(batch.column(1)), scale)
+            ids, q = batch.column(0).to_numpy(), matrix(batch.column(1))
             width = max(q.shape[1], head_v.shape[1])
-            found = best_of_head(ids, widened(q, width), head_ids, widened(head_v, width), k)
+            fine = ~large(q, scale)
+            found = np.full(len(ids), -np.inf)
+            found[fine] = best_of_head(ids[fine], widened(whole(q[fine], scale), width), head_ids, widened(head_v, width), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["id", "v", "floor"])
 
     queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(first_look, "id long, v array<double>, floor double")
     # Slices by the negative length, so that the longest come first; what comes to the driver is a row per bin.
     minus = (-F.sqrt(length)).alias("x")
-    low, high = rows.select(minus).agg(F.min("x"), F.max("x")).first()
+    low, high, total, beyond = rows.select(minus, big.alias("big")).agg(F.min(F.when(~F.col("big"), F.col("x"))), F.max(F.when(~F.col("big"), F.col("x"))), F.count("*"), F.count_if("big")).first()
     low, high = float(low or 0.0), float(high or 0.0)
-    binned = rows.select("id", "v", Slices.bin_of(minus, low, high).alias("bin"))
-    total = rows.count()
+    binned = rows.where(~big).select("id", "v", Slices.bin_of(minus, low, high).alias("bin"))
     cut = Slices(low, high, {int(b): int(n) for b, n in binned.groupBy("bin").count().collect()}, min(CELL_ROWS, max(1, -(-total // LEAST_SLICES))))
 
     def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                q, floor = whole(matrix(batch.column(1)), scale), batch.column(2).to_numpy()
+                q, floor = matrix(batch.column(1)), batch.column(2).to_numpy()
+                q = np.where(large(q, scale)[:, None], 0.0, whole(np.where(large(q, scale)[:, None], 0.0, q), scale))  # large ones have no floor and need all
                 own = np.sqrt((q * q).sum(axis=1))
                 # A slice's longest candidate has the length -least; lengths and products are rounded up.
                 shortest = np.where(own > 0, (floor - 1e-6 * np.abs(floor) - 1) / np.maximum(own, 1e-300) * (1 - 1e-9), -np.inf)
@@ -160,14 +190,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     block = F.lit(0).cast("long")
     for x, first, many in blocks:
         block = F.when(F.col("kind") == x, F.lit(first) + F.pmod(F.xxhash64("id"), F.lit(many))).otherwise(block)
-    cells = dealt.where("n > 0").select("c", to(F.col("n")).alias("q"), F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("floor")).union(
-        needing.select(to(F.col("last") + 1).alias("c"), block.alias("q"), F.lit(True).alias("asks"), "id", "v", "floor")
+    # Large candidates are cells of their own, numbered from -1 down, that every query visits.
+    apart = -(-int(beyond) // CELL_ROWS)
+    odd = rows.where(big).select((-1 - F.pmod(F.xxhash64("id"), F.lit(max(apart, 1)))).alias("c"), F.lit(len(tops)).cast("long").alias("n"), "id", "v")
+    first = F.lit(-apart).cast("long")
+    cells = dealt.unionByName(odd).where("n > 0").select("c", to(F.col("n")).alias("q"), F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("floor")).union(
+        needing.select(F.explode(F.sequence(first, F.col("last"))).alias("c"), block.alias("q"), F.lit(True).alias("asks"), "id", "v", "floor")
     )
 
     def look(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy().astype(bool)
-        ids, v, floor = table.column("id").to_numpy(), whole(matrix(table.column("v")), scale), table.column("floor").to_numpy()
-        n, vec, score = search_cell(ids[asks], v[asks], floor[asks], ids[~asks], v[~asks], rotation, k)
+        ids, v, floor = table.column("id").to_numpy(), matrix(table.column("v")), table.column("floor").to_numpy()
+        n, vec, score = search_rows(ids[asks], v[asks], floor[asks], ids[~asks], v[~asks], rotation, k, scale)
         return pa.table({"query_id": pa.array(ids[asks][n], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
 
     found = cells.groupBy("c", "q").applyInArrow(look, "query_id long, vec_id long, score long")

@@ -12,10 +12,10 @@ toxic window's, calibrated on texts that the network has not been fitted to.
 Fitting begins with the windows that hold the most telling words, then takes all
 windows of a text at once: a text's logit is a soft maximum over its windows'.
 
-Fitting takes a bounded sample on the driver: ``MOST_TRAINING`` labelled rows of
-either label, by the order of a hash of their ids, and of each ``MOST_WINDOWS``
-windows, spread evenly over the whole text where it has more; they are cut on the
-executors, and the driver keeps numbers of words only.  Near copies among the texts are dropped first, so that a wrongly
+Fitting takes a bounded sample of labelled rows on the driver: of either label at
+most ``MOST_TRAINING``, by the order of a hash of their ids, until they have
+``MOST_WORDS`` words.  Rows are taken whole, with all windows of their texts, however
+long; the driver keeps numbers of words only.  Near copies among the texts are dropped first, so that a wrongly
 labelled text with many copies does not count as many witnesses.  A fifth of the
 texts are not fitted but calibrate the score.  Scoring covers every window of
 every text, in batches of bounded size.
@@ -40,12 +40,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 MOST_TRAINING = 2000  #: labelled rows of either label that fitting takes at most
-MOST_WINDOWS = 128  #: windows of a text that fitting takes at most
+MOST_WORDS = 900_000  #: words of either label's rows from which on fitting takes no further rows; those that it takes are taken whole
 WINDOW, STRIDE = 40, 20
 HIDDEN, CODE = 8, 5
 SIGNIFICANT = 2.8  #: standard errors by which a word must go with a label to have a row
@@ -259,20 +259,15 @@ def _minhashes(words: list[str], k: int = 4) -> list[int]:
     return out
 
 
-def training_text(text: str) -> list[str]:
-    """What fitting takes of a text: all of its words as one string, or ``MOST_WINDOWS`` windows spread evenly over the whole, a string each."""
-    words = words_of(text)
-    starts = windows_of(len(words))
-    if len(starts) <= MOST_WINDOWS:
-        return [" ".join(words)]
-    starts = starts[np.linspace(0, len(starts) - 1, MOST_WINDOWS).astype(np.int64)]
-    return [" ".join(words[at : at + WINDOW]) for at in starts.tolist()]
+def training_text(text: str) -> str:
+    """What fitting takes of a text: all of its words."""
+    return " ".join(words_of(text))
 
 
 class Texts:
     """Training texts as windows of word numbers; the texts themselves are not kept."""
 
-    def __init__(self, rows: Iterable[tuple[list[str] | str, int]]) -> None:
+    def __init__(self, rows: Iterable[tuple[str, int]]) -> None:
         number: dict[str, int] = {}
         first: dict[int, int] = {}
         self.cut: list[np.ndarray] = []
@@ -280,20 +275,20 @@ class Texts:
         self.labels_given: list[int] = []
         for given, label in rows:
             self.labels_given.append(label)
-            parts = [p.split() for p in (training_text(given) if isinstance(given, str) else given)]
-            marks = _minhashes([w for own in parts for w in own])
+            words = words_of(given)
+            marks = _minhashes(words)
             shared = Counter(first[m] for m in marks if m in first)
             if max(shared.values(), default=0) >= NEAR:
                 continue
             for m in marks:
                 first.setdefault(m, len(self.cut))
-            self.cut.append(np.concatenate([_windowed(np.array([number.setdefault(w, len(number) + 1) for w in own], dtype=np.int32)) for own in parts]))
+            self.cut.append(_windowed(np.array([number.setdefault(w, len(number) + 1) for w in words], dtype=np.int32)))
             self.label.append(label)
         self.words = list(number)
 
 
-def fit(rows: Iterable[tuple[list[str] | str, int]], of_all: tuple[int, int] | None = None, epochs: int = 5, whole_epochs: int = 3, seed: int = 7) -> Model:
-    """Train on (text, label) pairs; in place of a text what :func:`training_text` takes of it.
+def fit(rows: Iterable[tuple[str, int]], of_all: tuple[int, int] | None = None, epochs: int = 5, whole_epochs: int = 3, seed: int = 7) -> Model:
+    """Train on (text, label) pairs; in place of a text also what :func:`training_text` takes of it.
 
     ``of_all``: how many negative and positive rows there are of which ``rows`` is a sample (none given: the sample itself).
     """
@@ -525,10 +520,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken = [training_text(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.list_(pa.string()))], names=["_id", "_y", "_taken"])
+            sizes = pa.array([t.count(" ") + 1 for t in taken], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.string()), sizes], names=["_id", "_y", "_taken", "_n"])
 
     kind = dict(one.dtypes)["_id"]
-    rows = one.select("_id", "_y", "_text").mapInArrow(cut, f"_id {kind}, _y int, _taken array<string>").toArrow().sort_by("_id")
+    whole = one.select("_id", "_y", "_text").mapInArrow(cut, f"_id {kind}, _y int, _taken string, _n long")
+    before = F.sum("_n").over(Window.partitionBy("_y").orderBy(order, "_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = whole.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < MOST_WORDS).select("_id", "_y", "_taken").toArrow().sort_by("_id")
     of_all = dict(known.groupBy("_y").count().collect())
     pairs = ((rows.column("_taken")[i].as_py(), rows.column("_y")[i].as_py()) for i in range(len(rows)))
     return fit(pairs, (of_all.get(0, 0), of_all.get(1, 0)))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.workspace import materialise, new_path
+from weirflow.llm.workspace import delete, materialise, new_path
 
 #: Field names of the header lines, by version.
 FIELDS = {
@@ -64,6 +64,7 @@ class ArcRecord:
     version: int
     fields: dict[str, str]
     block: bytes
+    head: bool = False  #: whether it is the version block
 
 
 def arc_head(version: int, name: str, date: str) -> bytes:
@@ -81,8 +82,8 @@ def arc_record(version: int, url: str, date: str, kind: str, block: bytes, filen
 
 
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, its version block first."""
-    at, names, version = 0, FIELDS[1], 1
+    """The records of an ARC file, its version block first: only the first record can be one, whatever addresses others have."""
+    at, names, version, first = 0, FIELDS[1], 1, True
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
@@ -91,7 +92,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         if end < 0:
             raise ArchiveError("the header line does not end")
         parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        is_head = parts[0].startswith("filedesc://")
+        is_head, first = first and parts[0].startswith("filedesc://"), False
         expected = (len(FIELDS[1]), len(FIELDS[2])) if is_head else (len(names),)
         if len(parts) not in expected or not parts[-1].isdigit():
             raise ArchiveError(f"not a header line of version {version}: {parts[:3]}")
@@ -104,7 +105,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
                 raise ArchiveError(f"version {version}")
             lines = block.decode("utf-8", "replace").split("\n")
             names = tuple(lines[1].split()) if len(lines) > 1 and lines[1].strip() else FIELDS[version]
-        yield ArcRecord(version, dict(zip(FIELDS[2] if len(parts) == len(FIELDS[2]) else FIELDS[1], parts, strict=True)) if is_head else dict(zip(names, parts, strict=True)), block)
+        yield ArcRecord(version, dict(zip(FIELDS[2] if len(parts) == len(FIELDS[2]) else FIELDS[1], parts, strict=True)) if is_head else dict(zip(names, parts, strict=True)), block, is_head)
         at = end + 1 + int(parts[-1])
 
 
@@ -150,7 +151,7 @@ def to_warc(record: ArcRecord, revisit: Callable[[bytes, str], Original | None]
     digest = hashlib.sha256(payload).hexdigest()
     fields = {"WARC-Type": "resource", "WARC-Record-ID": record_id(url, date, digest), "WARC-Date": date}
     kind, block = record.fields["Content-type"], record.block
-    if url.startswith("filedesc://"):
+    if record.head:
         fields |= {"WARC-Type": "warcinfo", "WARC-Filename": url.removeprefix("filedesc://")}
         kind = "application/warc-fields"
         block = f"software: weirflow\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC {record.version}\r\n".encode()
@@ -337,6 +338,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.regexp_extract(F.col("http_head").cast("string"), r"X-Page-Id: (-?\d*)", 1)
     # Read once: what the archives say of each record is small.
     rows = materialise(read_archives(spark, path, keep_payload=False).drop("payload"), "records")
+    delete(spark, path)
     return resolved(rows, label.try_cast("long")).select(F.col("label").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

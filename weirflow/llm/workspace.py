@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_made: list[str] = []  #: folders of this process that nothing has deleted
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/weirflow/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/weirflow/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> list[str]:
+    """Working folders that this process has named and not deleted."""
+    return list(_made)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -49,6 +56,8 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _made:
+        _made.remove(path)
 
 
 class Scratch:
