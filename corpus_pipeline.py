@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import jaccard, line_dedup, packing, secrets, toxicity
-from weirflow.llm.workspace import delete, new_path, ship
+from weirflow.llm.workspace import delete, made, new_path, ship
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
@@ -91,14 +91,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``, each written and read again; a stage's table goes when the next is written."""
+    """All stages over the whole of ``documents``, each written and read again.
+
+    What a stage has left in the shared folder goes when its result is written, and its result when the next one's is: only the
+    last one's stays.
+    """
     ship(spark)
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        before = made()
         path = new_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
-            delete(spark, before)
-        before = path
+        for left in [x for x in made() if x == last or x not in (*before, path)]:
+            delete(spark, left)
+        last = path
     return docs
