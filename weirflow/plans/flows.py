@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -12,14 +13,14 @@ from datetime import date, datetime, timedelta
 from functools import reduce
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.config import Config
 from weirflow.operators import cleanse, flags, funnel
 from weirflow.plans import quality
 from weirflow.sources.bronze import CONTRACT
-from weirflow.sources.store import Notes, ParquetStore
+from weirflow.sources.store import Notes, ParquetStore, abandon
 
 GOLD = Config().table("gold", "daily_country_platform")
 RESULTS = "dq.results"
@@ -316,21 +317,36 @@ def standard(config: Config | None = None) -> Registry:
     return flow
 
 
-def run_pipeline(stages: list[tuple[str, Callable[[dict], object]]], params: dict | None = None, seconds: dict[str, float] | None = None, before: Callable[[], object] | None = None) -> dict[str, object]:
+def run_pipeline(stages: list[tuple[str, Callable[[dict], object]]], params: dict | None = None, seconds: dict[str, float] | None = None, before: Callable[[], object] | None = None, spark: SparkSession | None = None) -> dict[str, object]:
     """Run stages in turn; each gets the parameters and what earlier stages returned.
 
     ``before`` (a run of tests, say) must not raise, or no stage writes anything.  A stage that takes longer than its
-    ``seconds`` ends the run.
+    ``seconds`` ends the run: its Spark jobs (those of ``spark`` that its thread has begun) are cancelled, and no table that it
+    still tries to write becomes visible.
     """
     if before:
         before()
     state: dict = dict(params or {})
     for name, stage in stages:
-        limit = (seconds or {}).get(name)
+        limit, tag = (seconds or {}).get(name), f"stage-{uuid.uuid4().hex}"
+        own: list[int] = []
+
+        def run(stage: Callable[[dict], object] = stage, tag: str = tag, own: list[int] = own) -> object:
+            own.append(threading.get_ident())
+            if spark:
+                spark.sparkContext.addJobTag(tag)
+                spark.sparkContext.setInterruptOnCancel(True)
+            return stage(state)
+
         pool = ThreadPoolExecutor(1)
+        task = pool.submit(run)
         try:
-            state[name] = pool.submit(stage, state).result(limit)
+            state[name] = task.result(limit)
         except FutureTimeout as e:
+            for thread in own:
+                abandon(thread)
+            if spark:
+                spark.sparkContext.cancelJobsWithTag(tag)
             raise TimeoutError(f"stage {name} took longer than {limit} s") from e
         finally:
             pool.shutdown(wait=False, cancel_futures=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +66,54 @@ def apply(store: ParquetStore, manifest: tuple[TablePolicy, ...] = MANIFEST) ->
     done = []
     for p in manifest:
         if store.exists(p.table):
+            store.describe(p.table, {c: {"comment": text} for c, text in p.columns.items()})
             store.set_properties(p.table, {"comment": p.comment, **{f"tag.{k}": v for k, v in p.tags.items()}, **{f"personal.{c}": "true" for c in p.personal}})
             done.append(p.table)
     return done
 
 
+def found(store: ParquetStore, tables: tuple[str, ...] | None = None) -> DataFrame:
+    """What stored tables say of themselves, as rows like the manifest's: their properties, and the metadata of their columns."""
+    rows: list[tuple[str, str, str, str]] = []
+    for table in tables or tuple(p.table for p in MANIFEST):
+        if not store.exists(table):
+            continue
+        for key, value in store.properties(table).items():
+            kind, _, name = key.partition(".")
+            if key == "comment":
+                rows.append((table, "comment", "", value))
+            elif kind in ("tag", "personal"):
+                rows.append((table, kind, name, value))
+        rows += [(table, "column_comment", f.name, f.metadata["comment"]) for f in store.read(table).schema.fields if "comment" in f.metadata]
+    return store.spark.createDataFrame(rows, "table_name string, kind string, name string, value string")
+
+
+def drift(store: ParquetStore, manifest: tuple[TablePolicy, ...] = MANIFEST) -> DataFrame:
+    """(table_name, kind, name, declared, stored, state): where stored tables and the manifest disagree.
+
+    Of tables that are there, what is declared and can be stored (comments, tags, personal columns) must be found as it is
+    declared, and nothing else.
+    """
+    there = [p.table for p in manifest if store.exists(p.table)]
+    keys = ["table_name", "kind", "name"]
+    wanted = manifest_frame(store.spark, manifest).where(F.col("table_name").isin(there) & F.col("kind").isin("comment", "tag", "personal", "column_comment"))
+    both = wanted.withColumnRenamed("value", "declared").join(found(store, tuple(there)).withColumnRenamed("value", "stored"), keys, "full_outer")
+    state = F.when(F.col("stored").isNull(), "missing").when(F.col("declared").isNull(), "undeclared").otherwise("differs")
+    return both.where(~F.col("declared").eqNullSafe(F.col("stored"))).withColumn("state", state)
+
+
+def exposure(tables: dict[str, DataFrame], manifest: tuple[TablePolicy, ...] = MANIFEST) -> DataFrame:
+    """(table_name, column_name, readers, values): values of personal columns that are there, and how many roles may read them."""
+    parts = []
+    for p in manifest:
+        own = [c for c in p.personal if p.table in tables]
+        if own:
+            readers = len({role for role, privilege in p.grants if privilege == "SELECT"})
+            counted = tables[p.table].agg(*(F.count(F.col(c)).alias(c) for c in own)).unpivot([], own, "column_name", "values")
+            parts.append(counted.select(F.lit(p.table).alias("table_name"), "column_name", F.lit(readers).alias("readers"), "values"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def annotate(df: DataFrame, policy: TablePolicy) -> DataFrame:
     """Column comments and personal-data marks as column metadata."""
     out = df

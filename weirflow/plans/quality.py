@@ -117,24 +117,27 @@ def _recompute(config: Config) -> Callable[[dict[str, DataFrame]], DataFrame]:
     return measure
 
 
+def part_of(config: Config) -> dict[str, str]:
+    """Which number of gold counts a part of what another one counts: no part is larger than its whole."""
+    rewards = {"rewards_unpriced": "reward_payouts", f"{config.steps[-1]}_users": "reward_payouts"}
+    events = {c: "events_total" for c in ("late_events", "events_pre_install", "reward_payouts", *(f"{s}_users" for s in config.steps[:-1]))}
+    return rewards | events
+
+
 def gold_facts(config: Config) -> Facts:
     """What must hold of gold's rows by themselves."""
-    users = [f"{s}_users" for s in config.steps]
     numbers = [*funnel.counts(config), "reward_cost_eur"]
     return Facts(
         "gold", funnel.GRAIN, never={
             "part of the grain is missing": " OR ".join(f"{c} IS NULL" for c in funnel.GRAIN),
             "a number is negative": " OR ".join(f"{c} < 0" for c in numbers),
-            "more unpriced rewards than rewards": "rewards_unpriced > reward_payouts",
-            "more rewarded users than rewards": "reward_paid_users > reward_payouts",
-            "more flagged events than events": "late_events > events_total OR events_pre_install > events_total",
-            "more users of a step than events": " OR ".join(f"{c} > events_total" for c in users),
+            **{f"{part} exceeds {all_of_it}": f"{part} > {all_of_it}" for part, all_of_it in part_of(config).items()},
         },
     )
 
 
 def gold_rules(config: Config | None = None) -> list[Rule]:
-    """15 rules: grain, order invariants, totals recomputed from silver, the whole table recomputed.
+    """Grain, signs, parts within their wholes, totals recomputed from silver, the whole table recomputed.
 
     ``tables`` has ``installed_events`` beside the silver tables, see :func:`installed_events`.
     """

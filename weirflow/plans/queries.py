@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from weirflow.config import STEPS, Config
 from weirflow.operators import cleanse, flags, funnel, merge
-from weirflow.plans import flows, governance, issues, profile, quality
-from weirflow.sources import bronze, testdata
+from weirflow.plans import alerts, flows, governance, issues, profile, quality, sketches
+from weirflow.sources import bronze, scratch, testdata
 
 AS_OF, LO, HI = date(2024, 1, 25), date(2024, 1, 10), date(2024, 1, 15)
 CONFIG = Config(as_of=AS_OF)
@@ -191,10 +191,12 @@ def _simple(name: str, make: Make, twin: str | None = None, base: bool = True) -
 
 # -- cleansing, dedup, flags ---------------------------------------------------
 
+_FLAGS = "concat_ws(',', CASE WHEN is_late THEN 'late_arrival' END, CASE WHEN is_orphan_offer THEN 'orphan_offer' END, CASE WHEN is_pre_install THEN 'pre_install' END)"
+
 _simple("clean_offers", lambda t: t.offers, "SELECT * FROM offers")
 _simple("clean_installs", lambda t: t.installs, "SELECT * FROM installs")
 _simple("clean_user_profile", lambda t: t.profile, "SELECT * FROM profile")
-_simple("clean_events", lambda t: t.events.drop("dq_flags"), "SELECT * FROM ev")
+_simple("clean_events", lambda t: t.events.withColumn("dq_flags", F.array_join("dq_flags", ",")), f"SELECT *, {_FLAGS} AS dq_flags FROM ev")
 _simple("rejects", lambda t: t.rejects.drop("raw_record"), "SELECT * FROM rejects")
 _simple("reject_summary", lambda t: cleanse.reject_summary(t.rejects), "SELECT source, reject_reason, count(*) AS issue_count, count(DISTINCT reject_key) AS distinct_keys, max(_ingested_at) AS latest_ingested_at FROM rejects GROUP BY ALL")
 _simple(
@@ -237,8 +239,7 @@ _simple("dedup_lineitem", lambda t: cleanse.keep_first(_lineitem(t), ["l_orderke
 _simple("flag_late", lambda t: t.events.select("event_id", "is_late"), "SELECT event_id, is_late FROM ev")
 _simple("flag_orphan", lambda t: t.events.where("is_orphan_offer").select("event_id", "offer_id"), "SELECT event_id, offer_id FROM ev WHERE is_orphan_offer")
 _simple("flag_pre_install", lambda t: t.events.where("is_pre_install").select("event_id", "user_id"), "SELECT event_id, user_id FROM ev WHERE is_pre_install")
-_simple("dq_flags_array", lambda t: t.events.select("event_id", F.array_join("dq_flags", ",").alias("flags")),
-        "SELECT event_id, concat_ws(',', CASE WHEN is_late THEN 'late_arrival' END, CASE WHEN is_orphan_offer THEN 'orphan_offer' END, CASE WHEN is_pre_install THEN 'pre_install' END) AS flags FROM ev")
+_simple("dq_flags_array", lambda t: t.events.select("event_id", F.array_join("dq_flags", ",").alias("flags")), f"SELECT event_id, {_FLAGS} AS flags FROM ev")
 _simple("lag_hours", lambda t: t.events.select("event_id", F.round("lag_hours", 6).alias("lag_hours")), "SELECT event_id, round(lag_hours, 6) AS lag_hours FROM ev")
 
 # -- gold ----------------------------------------------------------------------
@@ -249,7 +250,14 @@ _simple("gold_window", lambda t: funnel.window(t.met, t.installs, t.offers, LO,
 _simple("gold_rollup_country", lambda t: profile.by_country(t.gold),
         "SELECT country, sum(installs)::BIGINT AS installs, sum(events_total)::BIGINT AS events_total, sum(reward_payouts)::BIGINT AS reward_payouts, sum(rewards_unpriced)::BIGINT AS rewards_unpriced, sum(late_events)::BIGINT AS late_events, sum(reward_cost_eur)::DECIMAL(18,2) AS reward_cost_eur FROM gold GROUP BY country")
 _simple("gold_trend", lambda t: profile.gold_trend(t.gold),
-        "SELECT date, sum(installs)::BIGINT AS installs, sum(reward_payouts)::BIGINT AS payouts, sum(reward_cost_eur)::DECIMAL(18,2) AS cost, round(CASE WHEN sum(reward_payouts) > 0 THEN sum(reward_cost_eur)::DOUBLE / sum(reward_payouts) END, 4) AS cost_per_payout FROM gold GROUP BY date")
+        """SELECT date, is_settled, sum(installs)::BIGINT AS installs, sum(events_total)::BIGINT AS events, sum(reward_payouts)::BIGINT AS payouts, sum(rewards_unpriced)::BIGINT AS unpriced, sum(reward_cost_eur)::DECIMAL(18,2) AS cost,
+        round(CASE WHEN sum(reward_payouts) > 0 THEN sum(reward_cost_eur)::DOUBLE / sum(reward_payouts) END, 4) AS cost_per_payout FROM gold GROUP BY date, is_settled""")
+_simple("gold_settled_ratio", lambda t: profile.settled_ratio(t.gold),
+        "SELECT country, platform, sum(installs)::BIGINT AS installs, " + ", ".join(f"sum({x}_users)::BIGINT AS {x}_user_days" for x in STEPS) + """, sum(reward_cost_eur)::DECIMAL(18,2) AS cost_eur,
+        round(CASE WHEN sum(installs) > 0 THEN sum(reward_cost_eur)::DOUBLE / sum(installs) END, 4) AS cost_per_install FROM gold WHERE is_settled GROUP BY ALL""")
+_simple("gold_by_platform", lambda t: profile.by_platform(t.gold),
+        """SELECT country, platform, installs, events, round(100.0 * installs / sum(installs) OVER w, 4)::DOUBLE AS installs_pct, round(100.0 * events / sum(events) OVER w, 4)::DOUBLE AS events_pct
+        FROM (SELECT country, platform, sum(installs)::BIGINT AS installs, sum(events_total)::BIGINT AS events FROM gold GROUP BY ALL) WINDOW w AS (PARTITION BY country)""")
 _simple("gold_cost_per_install", lambda t: profile.cost_per_install(t.gold),
         "SELECT country, platform, sum(installs)::BIGINT AS installs, round(CASE WHEN sum(installs) > 0 THEN sum(reward_cost_eur)::DOUBLE / sum(installs) END, 4) AS cost_per_install FROM gold GROUP BY ALL")
 _simple("is_settled", lambda t: t.gold.groupBy("is_settled").agg(F.countDistinct("date").alias("days")), "SELECT is_settled, count(DISTINCT date) AS days FROM gold GROUP BY ALL")
@@ -277,18 +285,24 @@ _simple("last_seen_gap", lambda t: profile.last_seen_gap(t.profile, t.events).se
         """SELECT round(quantile_cont(h, 0.5), 2) AS p50, round(quantile_cont(h, 0.95), 2) AS p95 FROM (
         SELECT (epoch_us(date_trunc('second', last_seen_ts)) - epoch_us(date_trunc('second', m))) / 3600000000.0 AS h FROM profile JOIN (SELECT user_id, max(event_ts) AS m FROM ev GROUP BY user_id) USING (user_id))""")
 _simple("country_spellings", lambda t: profile.spellings(t.raw["installs"], "country"), "SELECT country AS raw, upper(trim(country)) AS canonical, count(*) AS rows FROM raw_installs GROUP BY ALL")
+_RAW_INSTALLS = {"user_id": "user_id", "install_ts": "install_text", "country": "country", "platform": "raw_platform", "media_source": "media_source", "device_model": "device_model", "campaign_id": "campaign_id"}
 _simple("column_profile", lambda t: profile.column_profile(t.raw["installs"]).drop("approx_distinct"),
         " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) FILTER ({x} IS NULL) AS nulls, count(*) FILTER (trim({x}) = '') AS blank, count(*) FILTER ({x} <> trim({x})) AS untrimmed, min(length({x}))::INT AS min_length, max(length({x}))::INT AS max_length FROM raw_installs"
-            for c, x in {"user_id": "user_id", "install_ts": "install_text", "country": "country", "platform": "raw_platform", "media_source": "media_source", "device_model": "device_model", "campaign_id": "campaign_id"}.items()))
+            for c, x in _RAW_INSTALLS.items()))
+_simple("column_tops", lambda t: profile.column_tops(t.raw["installs"]),
+        "SELECT column_name, rank, value, rows FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, {x} AS value, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, {x} NULLS FIRST)::INT AS rank FROM raw_installs GROUP BY {x}" for c, x in _RAW_INSTALLS.items()) + ") WHERE rank <= 5")
 _simple("top_values", lambda t: profile.top_values(t.events, "offer_id"), "SELECT offer_id AS value, count(*) AS count FROM ev GROUP BY ALL ORDER BY count DESC, value NULLS FIRST LIMIT 5")
-_simple("parse_failures", lambda t: profile.parse_failures(t.raw["installs"], {"install_ts": F.try_to_timestamp("install_ts"), "country": F.col("country").try_cast("bigint")}),
-        "SELECT 'install_ts' AS column_name, count(*) FILTER (try_cast(install_text AS TIMESTAMP) IS NULL) AS failures FROM raw_installs UNION ALL SELECT 'country', count(*) FILTER (try_cast(country AS BIGINT) IS NULL) FROM raw_installs")
+_simple("parse_failures", lambda t: profile.parse_failures(t.raw["installs"], {"install_ts": F.try_to_timestamp("install_ts")}).unionByName(profile.parse_failures(t.raw["events"], {"event_ts": F.try_to_timestamp("event_ts"), "ingest_ts": F.try_to_timestamp("ingest_ts")}))
+        .unionByName(profile.parse_failures(t.raw["offers"], {"payout_eur": F.col("payout_eur").try_cast("decimal(18,2)")})),
+        """SELECT 'install_ts' AS column_name, count(*) FILTER (install_ts IS NULL) AS failures FROM raw_installs UNION ALL SELECT 'event_ts', count(*) FILTER (event_ts IS NULL) FROM raw_events UNION ALL SELECT 'ingest_ts', count(*) FILTER (ingest_ts IS NULL) FROM raw_events
+        UNION ALL SELECT 'payout_eur', count(*) FILTER (try_cast(payout_eur AS DECIMAL(18,2)) IS NULL) FROM raw_offers""")
 _simple("lag_histogram_share", lambda t: profile.lag_histogram(t.events), "SELECT floor(lag_hours / 24)::BIGINT AS lag_day, count(*) AS events, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM ev GROUP BY 1")
 _simple("lag_percentiles", lambda t: profile.lag_percentiles(t.events),
-        "SELECT " + ", ".join(f"round(quantile_cont(lag_hours, {p}), 6) AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + ", round(max(lag_hours), 6) AS max_lag FROM ev")
+        "SELECT " + ", ".join(f"round(quantile_cont(lag_hours, {p}), 6) AS {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))) + ", round(min(lag_hours), 6) AS min_lag, round(max(lag_hours), 6) AS max_lag, count(*) FILTER (lag_hours < 0) AS negative_rows FROM ev")
 _simple("late_cutoff_sweep", lambda t: profile.cutoff_sweep(t.events),
-        "SELECT m::INT AS cutoff_minutes, round(avg(CASE WHEN date_trunc('second', ingest_ts) > event_ts::DATE::TIMESTAMP + INTERVAL 1 DAY + to_minutes(m) THEN 1.0 ELSE 0.0 END), 6) AS missed_share FROM ev, (SELECT unnest([0, 15, 30, 60, 120, 360]) AS m) GROUP BY m")
+        "SELECT m::INT AS cutoff_minutes, round(avg(CASE WHEN date_trunc('second', ingest_ts) > event_ts::DATE::TIMESTAMP + INTERVAL 1 DAY + to_minutes(m) THEN 1.0 ELSE 0.0 END), 6) AS missed_share FROM ev, (SELECT unnest([0, 15, 60, 120, 360, 720]) AS m) GROUP BY m")
 _simple("lookback_tail", lambda t: profile.lookback_tail(t.events), "SELECT d::INT AS lookback_days, count(*) FILTER (ingest_ts::DATE - event_date > d) AS events_after FROM ev, (SELECT unnest(range(11)) AS d) GROUP BY d")
 _simple("volume_per_day", lambda t: profile.volume(t.events, "day"), "SELECT event_date AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM ev GROUP BY ALL")
 _simple("volume_per_hour", lambda t: profile.volume(t.events, "hour"), "SELECT hour(event_ts)::INT AS hour, count(*) AS events, count(DISTINCT user_id) AS users FROM ev GROUP BY ALL")
@@ -297,23 +311,42 @@ _simple("events_per_user_skew", lambda t: profile.skew(t.events),
 _simple("top_users", lambda t: profile.top_users(t.events), "SELECT user_id, events, row_number() OVER (ORDER BY events DESC, user_id)::INT AS rank FROM (SELECT user_id, count(*) AS events FROM ev GROUP BY user_id ORDER BY events DESC, user_id LIMIT 10)")
 _simple("top_share", lambda t: profile.top_share(t.events),
         "SELECT round(sum(n) / max(total), 6)::DOUBLE AS share, count(*) AS users FROM (SELECT n, sum(n) OVER () AS total, count(*) OVER () AS users, row_number() OVER (ORDER BY n DESC, user_id) AS r FROM (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id)) WHERE r <= greatest(1, users // 100)")
-_simple("duplicate_forensics", lambda t: profile.duplicate_forensics(t.raw["events"], "event_id", F.col("ingest_ts").cast("timestamp")),
+_simple("duplicate_forensics", lambda t: profile.duplicate_forensics(cleanse.typed(t.raw["events"], cleanse.events_source(CONFIG)), "event_id"),
         """SELECT count(*) AS keys, sum(c - 1)::BIGINT AS extra_rows, count(*) FILTER (v > 1) AS conflicting_keys, max(c) AS max_copies, max(v) AS max_variants, min(s) AS min_spread_s, max(s) AS max_spread_s, quantile_cont(s, 0.5)::DOUBLE AS p50_spread_s
-        FROM (SELECT event_id, count(*) AS c, count(DISTINCT struct_pack(a := coalesce(user_id, '-'), b := coalesce(event_ts::VARCHAR, '-'), c := event_name, d := coalesce(raw_offer, '-'))) AS v, date_diff('second', min(date_trunc('second', ingest_ts)), max(date_trunc('second', ingest_ts))) AS s
+        FROM (SELECT event_id, count(*) AS c, count(DISTINCT struct_pack(a := coalesce(user_id, '-'), b := coalesce(event_ts::VARCHAR, '-'), c := event_name, d := coalesce(offer_id, '-'))) AS v, date_diff('second', min(date_trunc('second', ingest_ts)), max(date_trunc('second', ingest_ts))) AS s
         FROM raw_events WHERE event_id IS NOT NULL GROUP BY event_id HAVING count(*) > 1)""")
 _simple("null_rate_by_event", lambda t: profile.null_rate(t.events), "SELECT event_name, round(avg(CASE WHEN offer_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_rate, count(*) AS rows FROM ev GROUP BY event_name")
-_simple("repeated_installs", lambda t: profile.repeated_keys(t.raw["installs"].where("user_id IS NOT NULL"), "user_id"), "SELECT user_id, count(*) AS copies FROM raw_installs WHERE user_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+_simple("repeated_installs", lambda t: profile.repeated_keys(cleanse.typed(t.raw["installs"], cleanse.installs_source(CONFIG)).where("user_id IS NOT NULL"), "user_id", ("install_ts", "country", "platform")),
+        "SELECT user_id, count(*) AS copies, count(DISTINCT install_ts) AS distinct_install_ts, count(DISTINCT country) AS distinct_country, count(DISTINCT platform) AS distinct_platform FROM all_installs WHERE user_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 _simple("installs_by_source", lambda t: profile.value_counts(t.installs, "platform", "media_source", "campaign_id"), "SELECT platform, media_source, campaign_id, count(*) AS rows FROM installs GROUP BY ALL")
+_simple("campaign_gaps", lambda t: profile.campaign_gaps(t.raw["installs"]),
+        "SELECT lower(trim(media_source)) AS media_source, count(*) AS installs, count(*) FILTER (campaign_id IS NULL) AS campaign_null, count(*) FILTER (trim(campaign_id) = '') AS campaign_blank FROM raw_installs GROUP BY 1")
 _simple("devices_on_several_platforms", lambda t: profile.devices_on_several_platforms(cleanse.clean_installs(t.raw["installs"], Config(platform_mode="column"))[0]), "SELECT device_model, count(DISTINCT p) AS platforms FROM (SELECT device_model, CASE WHEN user_id::BIGINT % 2 = 0 THEN 'ios' ELSE 'android' END AS p FROM installs) GROUP BY ALL HAVING count(DISTINCT p) > 1")
-_simple("catalog_quality", lambda t: profile.catalog_quality(t.offers), "SELECT count(*) AS rows, count(*) - count(DISTINCT offer_id) AS repeated, count(DISTINCT payout_eur) AS payouts, min(payout_eur) AS least, max(payout_eur) AS most FROM offers")
+_simple("catalog_quality", lambda t: profile.catalog_quality(t.raw["offers"]),
+        """SELECT count(*) AS rows, count(DISTINCT offer_id) AS offers, count(*) FILTER (offer_id IS NULL) AS without_id, count(*) FILTER (p IS NULL) AS unreadable, count(*) FILTER (p < 0) AS negative, count(*) FILTER (p = 0) AS zero, min(p) AS least, max(p) AS most
+        FROM (SELECT offer_id, try_cast(payout_eur AS DECIMAL(18,2)) AS p FROM raw_offers)""")
+_simple("offer_versions", lambda t: profile.offer_versions(t.raw["offers"]),
+        "SELECT offer_id, count(*) AS rows, count(DISTINCT try_cast(payout_eur AS DECIMAL(18,2))) AS payouts FROM raw_offers WHERE offer_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 _simple("pre_install_by_source", lambda t: profile.pre_install_by_source(t.events, t.installs),
-        """SELECT media_source, count(*) AS events, round(quantile_cont(h, 0.5), 6) AS p50_hours, round(max(h), 6) AS max_hours FROM (
-        SELECT media_source, (epoch_us(install_ts) - epoch_us(date_trunc('second', event_ts))) / 3600000000.0 AS h FROM ev JOIN installs USING (user_id) WHERE event_ts < install_ts) GROUP BY ALL""")
+        """SELECT media_source, count(*) AS events, count(DISTINCT user_id) AS users, round(quantile_cont(h, 0.5), 6) AS p50_hours, round(max(h), 6) AS max_hours FROM (
+        SELECT media_source, user_id, (epoch_us(install_ts) - epoch_us(date_trunc('second', event_ts))) / 3600000000.0 AS h FROM ev JOIN installs USING (user_id) WHERE event_ts < install_ts) GROUP BY ALL""")
 _simple("late_simulation", lambda t: profile.late_simulation(t.events),
         """SELECT count(*) AS events, count(*) FILTER (d = 0) AS same_day, count(*) FILTER (d = 1) AS next_day, count(*) FILTER (d >= 2) AS later, count(*) FILTER (d >= 1) AS crosses_midnight,
         count(*) FILTER (is_late) AS missed_by_job, count(*) FILTER (d >= 1 AND NOT is_late) AS caught_after_midnight FROM (SELECT *, ingest_ts::DATE - event_date AS d FROM ev)""")
+_simple("last_day_job", lambda t: profile.last_day_job(t.events),
+        """SELECT max(m) AS last_day, count(*) FILTER (event_date = m) AS events, count(*) FILTER (event_date = m AND NOT is_late) AS in_time, count(*) FILTER (event_date = m AND is_late) AS missed,
+        count(*) FILTER (ingest_ts::DATE = m AND event_date < m) AS wrongly_included FROM (SELECT *, max(event_date) OVER () AS m FROM ev)""")
 _simple("source_overview", lambda t: profile.source_overview(t.raw).drop("files"), "SELECT 'events' AS source, count(*) AS rows, 6::INT AS columns FROM raw_events UNION ALL SELECT 'installs', count(*), 7 FROM raw_installs UNION ALL SELECT 'offers', count(*), 4 FROM raw_offers UNION ALL SELECT 'user_profile', count(*), 5 FROM profile")
 _simple("approx_distinct", lambda t: profile.approximation(t.events, "user_id"), "SELECT count(DISTINCT user_id) AS exact, true AS within FROM ev")
+
+
+def _spans(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("all", date(1970, 1, 1), date(9999, 1, 1)), ("window", LO, HI), ("day", LO, LO), ("none", date(1980, 1, 1), date(1980, 1, 2))], "name string, lo date, hi date")
+
+
+_simple("lag_sketches", lambda t: sketches.checked(t.events, _spans(t)),
+        f"""SELECT name, count(*) AS rows, round(min(lag_hours), 6) AS min_lag, round(max(lag_hours), 6) AS max_lag, count(*) FILTER (lag_hours < 0) AS negative_rows, count(DISTINCT user_id) AS users, true AS ranks_within, true AS users_within
+        FROM ev JOIN (VALUES ('all', DATE '1970-01-01', DATE '9999-01-01'), ('window', DATE '{LO}', DATE '{HI}'), ('day', DATE '{LO}', DATE '{LO}')) s(name, lo, hi) ON event_date BETWEEN lo AND hi GROUP BY name""")
 # With an accuracy above the number of rows the estimate is a value of that very rank.
 _simple("approx_percentile", lambda t: t.events.agg(*(F.round(F.percentile_approx("lag_hours", F.lit(p), F.lit(2_000_000_000)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.99))),
         "SELECT " + ", ".join(f"round(list_sort(list(lag_hours))[ceil({p} * count(*))::BIGINT], 6) AS p{int(100 * p)}" for p in (0.5, 0.99)) + " FROM ev")
@@ -366,6 +399,60 @@ _simple("union_by_name", lambda t: t.raw["events"].select("user_id", "event_id")
 # -- quality -------------------------------------------------------------------
 
 
+def _governed(t: Tables) -> dict[str, DataFrame]:
+    """The tables that the manifest speaks of."""
+    return {f"bronze.{n}": df for n, df in t.raw.items()} | {f"silver.{n}": df for n, df in t.silver.items()} | {"silver.rejects": t.rejects, flows.GOLD: t.gold}
+
+
+def _declared(t: Tables) -> DataFrame:
+    """What is declared of tables, with their rows."""
+    rows = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in _governed(t).items()])
+    return governance.manifest_frame(t.spark).join(rows, "table_name")
+
+
+@_query("rescued_rows", """SELECT CASE WHEN n % 50 = 0 OR n % 70 = 0 THEN 'rescued' WHEN n % 60 = 0 THEN 'quoted' ELSE 'plain' END AS kind, count(*) AS rows, count(user_id) + count(*) FILTER (user_id IS NULL AND n % 60 = 0 AND n % 50 <> 0 AND n % 70 <> 0) AS users FROM (SELECT event_id::BIGINT AS n, user_id FROM raw_events) GROUP BY 1""")
+def _rescued(t: Tables) -> DataFrame:
+    """Raw events delivered as CSV and read again: rows that don't fit are kept as they came, quoted fields are one field."""
+    path = testdata.delivered_events(t.spark, t.sf_dir, scratch.new_folder(t.spark, "delivered"))
+    back = bronze.read_csv(t.spark, "events", path, rescue=True, header=False)
+    kind = F.when(F.col(bronze.RESCUED).isNotNull(), "rescued").when(F.col("user_id").rlike(', "x"$'), "quoted").otherwise("plain")
+    return back.groupBy(kind.alias("kind")).agg(F.count("*").alias("rows"), F.count("user_id").alias("users"))
+
+
+@_query("rescued_rule", """SELECT 'events: rescued rows' AS rule, count(*) FILTER (event_id::BIGINT % 50 = 0 OR event_id::BIGINT % 70 = 0)::DOUBLE AS violations FROM raw_events""")
+def _rescued_rule(t: Tables) -> DataFrame:
+    """The contract's warning, on delivered files."""
+    path = testdata.delivered_events(t.spark, t.sf_dir, scratch.new_folder(t.spark, "delivered"))
+    tables = {"events": bronze.read_csv(t.spark, "events", path, rescue=True, header=False)}
+    rules = [r for r in quality.contract_rules({"events": bronze.CONTRACT["events"]}, tables) if r.bad]
+    return quality.evaluate(tables, rules).select("rule", "violations")
+
+
+def _daily_results(t: Tables) -> DataFrame:
+    """Rules that each day's events pass or fail, as results of a run a day."""
+    per = t.events.groupBy("event_date").agg(F.avg(F.col("is_late").cast("int")).alias("late"), F.avg(F.col("is_orphan_offer").cast("int")).alias("orphan"))
+    long = per.selectExpr("event_date", "inline(array(struct('late share' AS rule, round(late, 9) AS share, 0.36D AS most), struct('orphan share' AS rule, round(orphan, 9) AS share, 0.07D AS most)))")
+    return long.select("rule", F.col("event_date").cast("timestamp").alias("run_ts"), (F.col("share") <= F.col("most")).alias("passed"), F.col("share").alias("violations"))
+
+
+@_query("rule_alerts", """SELECT rule, CASE WHEN failing THEN 'opened' ELSE 'closed' END AS change, event_date::TIMESTAMP AS run_ts, share AS violations FROM (
+  SELECT *, lag(failing, 1, false) OVER (PARTITION BY rule ORDER BY event_date) AS before FROM (
+    SELECT event_date, 'late share' AS rule, round(avg(is_late::INT), 9) AS share, share > 0.36 AS failing FROM ev GROUP BY event_date
+    UNION ALL SELECT event_date, 'orphan share', round(avg(is_orphan_offer::INT), 9) AS x, x > 0.07 FROM ev GROUP BY event_date)) WHERE failing <> before""")
+def _alerts(t: Tables) -> DataFrame:
+    """When rules over days begin to fail and when they hold again, in two calls: the second begins with the first one's state."""
+    results, half = _daily_results(t), F.lit(datetime(2024, 1, 16))
+    first, state = alerts.transitions(results.where(F.col("run_ts") < half), t.spark.createDataFrame([], alerts.STATE))
+    second, _ = alerts.transitions(results.where(F.col("run_ts") >= half), state)
+    return first.unionByName(second)
+
+
+@_query("physical_sizing")
+def _sizing(t: Tables) -> DataFrame:
+    days = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+    return profile.physical_sizing({n: (testdata.load(t.spark, t.sf_dir, n), c) for n, c in days.items()})
+
+
 
 def _rule_twin(o: str, i: str, e: str, p: str) -> str:
     """DuckDB: (rule, violations) of all rules on the silver tables."""
@@ -396,11 +483,9 @@ _simple("dq_silver_rules_v1", lambda t: quality.evaluate(t.unchecked, quality.v1
 def _gold_twin(gold: str) -> str:
     """DuckDB: (rule, violations) of all rules on gold, which may be any table of gold's columns."""
     numbers = ["installs", "events_total", *(f"{x}_users" for x in STEPS), "reward_payouts", "rewards_unpriced", "late_events", "events_pre_install", "reward_cost_eur"]
-    bad = {
-        "part of the grain is missing": "date IS NULL OR country IS NULL OR platform IS NULL", "a number is negative": " OR ".join(f"{n} < 0" for n in numbers),
-        "more unpriced rewards than rewards": "rewards_unpriced > reward_payouts", "more rewarded users than rewards": "reward_paid_users > reward_payouts",
-        "more flagged events than events": "greatest(late_events, events_pre_install) > events_total", "more users of a step than events": "greatest(" + ", ".join(f"{x}_users" for x in STEPS) + ") > events_total",
-    }
+    bad = {"part of the grain is missing": "date IS NULL OR country IS NULL OR platform IS NULL", "a number is negative": " OR ".join(f"{n} < 0" for n in numbers)}
+    wholes = {"reward_payouts": ["rewards_unpriced", "reward_paid_users"], "events_total": ["late_events", "events_pre_install", "reward_payouts", *(f"{x}_users" for x in STEPS if x != "reward_paid")]}
+    bad |= {f"{part} exceeds {whole}": f"{part} > {whole}" for whole, parts in wholes.items() for part in parts}
     reward = "event_name = 'reward_paid'"
     sums = {
         "installs": ("installs", "SELECT count(*) FROM installs"), "events_total": ("installed_events", "SELECT count(*) FROM enriched"), "reward_payouts": ("installed_events", f"SELECT count(*) FROM enriched WHERE {reward}"),
@@ -479,7 +564,7 @@ def _contract(t: Tables) -> DataFrame:
     return quality.evaluate(tables, quality.contract_rules(bronze.CONTRACT, tables)).select("rule", "violations")
 
 
-_simple("dq_metrics", lambda t: issues.metrics(t.events, t.rejects).where("metric <> 'offer_id'").select("check", "metric", "detail", F.round("value", 6).alias("value")),
+_simple("dq_metrics", lambda t: issues.metrics(t.events, t.rejects).select("check", "metric", "detail", F.round("value", 6).alias("value")),
         """SELECT 'late_arrival' AS check, 'rows_by_lag_day' AS metric, 'lag_day=' || floor(lag_hours / 24)::BIGINT AS detail, count(*)::DOUBLE AS value FROM ev GROUP BY ALL
         UNION ALL SELECT 'rejects', reject_reason, source, count(*) FROM rejects GROUP BY ALL
         UNION ALL SELECT 'late_arrival', 'share_missed_0015_job', NULL, round(avg(is_late::INT), 6) FROM ev UNION ALL SELECT 'late_arrival', 'max_lag_hours', NULL, round(max(lag_hours), 6) FROM ev
@@ -489,7 +574,8 @@ _simple("dq_metrics", lambda t: issues.metrics(t.events, t.rejects).where("metri
         UNION ALL SELECT 'orphan_offers', 'distinct_offer_ids', NULL, count(DISTINCT offer_id) FROM ev WHERE is_orphan_offer
         UNION ALL SELECT 'orphan_offers', 'reward_paid_events', NULL, count(*) FROM ev WHERE is_orphan_offer AND event_name = 'reward_paid'
         UNION ALL SELECT 'funnel', 'reward_pairs', NULL, count(*) FROM ev WHERE event_name = 'reward_paid'
-        UNION ALL SELECT 'funnel', 'double_payout_pairs', NULL, count(*) FROM (SELECT 1 FROM ev WHERE event_name = 'reward_paid' AND offer_id IS NOT NULL GROUP BY user_id, offer_id HAVING count(*) > 1)""")
+        UNION ALL SELECT 'funnel', 'double_payout_pairs', NULL, count(*) FROM (SELECT 1 FROM ev WHERE event_name = 'reward_paid' GROUP BY user_id, offer_id HAVING count(*) > 1)
+        UNION ALL SELECT DISTINCT 'orphan_offers', 'offer_id', offer_id, NULL::DOUBLE FROM ev WHERE is_orphan_offer""")
 _simple("issue_register", lambda t: issues.update_register(t.spark.createDataFrame([], issues.REGISTER), issues.current(t.events, t.installs, t.rejects, t.raw["installs"]), "run1").select("issue", "key_value", "detail", "event_date", "status"),
         """SELECT issue, key_value, min(detail) AS detail, min(event_date) AS event_date, 'open' AS status FROM (
         SELECT 'duplicate_event_id' AS issue, event_id AS key_value, NULL::VARCHAR AS detail, event_ts::DATE AS event_date FROM valid WHERE rn > 1
@@ -498,7 +584,13 @@ _simple("issue_register", lambda t: issues.update_register(t.spark.createDataFra
         UNION ALL SELECT 'orphan_offer', event_id, event_name, event_date FROM ev WHERE is_orphan_offer
         UNION ALL SELECT 'country_normalised', user_id, r.country, NULL FROM installs JOIN raw_installs r USING (user_id) WHERE r.country <> installs.country
         UNION ALL SELECT 'rejected', reject_key, reject_reason, NULL FROM rejects WHERE reject_reason <> 'duplicate_event_id') GROUP BY issue, key_value""")
-_simple("governance_manifest", lambda t: governance.manifest_frame(t.spark).groupBy("kind").agg(F.count("*").alias("entries")))
+_simple("governance_manifest", lambda t: _declared(t).groupBy("kind").agg(F.count("*").alias("entries"), F.sum("rows").alias("rows")))
+_simple("personal_exposure", lambda t: governance.exposure(_governed(t)),
+        "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{c}' AS column_name, {readers}::INT AS readers, count({x}) AS values FROM {source}" for table, source, readers, c, x in (
+            ("bronze.events", "raw_events", 1, "user_id", "user_id"), ("bronze.installs", "raw_installs", 1, "user_id", "user_id"), ("bronze.installs", "raw_installs", 1, "device_model", "device_model"),
+            ("bronze.user_profile", "profile", 1, "user_id", "user_id"), ("bronze.user_profile", "profile", 1, "revenue_30d_eur", "revenue_30d_eur"),
+            ("silver.events", "ev", 3, "user_id", "user_id"), ("silver.installs", "installs", 3, "user_id", "user_id"), ("silver.installs", "installs", 3, "device_model", "device_model"),
+            ("silver.user_profile", "profile", 2, "user_id", "user_id"), ("silver.user_profile", "profile", 2, "revenue_30d_eur", "revenue_30d_eur"), ("silver.rejects", "rejects", 2, "raw_record", "*"))) + ")")
 _simple("constraint_checks", lambda t: governance.violations(t.unchecked["installs"], next(p for p in governance.MANIFEST if p.table == "silver.installs")),
         """SELECT 'country_iso' AS constraint, count(*) FILTER (NOT regexp_full_match(country, '[A-Z]{2}')) AS violations FROM all_installs UNION ALL SELECT 'platform_known', count(*) FILTER (platform NOT IN ('android', 'ios')) FROM all_installs
         UNION ALL SELECT 'user_id_not_null', count(*) FILTER (user_id IS NULL) FROM all_installs UNION ALL SELECT 'primary_key', count(*) FROM (SELECT 1 FROM all_installs GROUP BY user_id HAVING count(*) > 1)""")

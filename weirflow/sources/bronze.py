@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESCUED = "_rescued_data"
+RESCUED, _LINE = "_rescued_data", "_line_that_does_not_fit"
 
 #: What each source must deliver.
 CONTRACT = {
@@ -19,27 +19,43 @@ CONTRACT = {
 
 def schema(source: str, rescue: bool = False) -> T.StructType:
     """All text; with a column for rows that don't fit where asked."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in (*CONTRACT[source], *([RESCUED] if rescue else []))])
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*CONTRACT[source], *([_LINE] if rescue else []))])
 
 
 def audited(df: DataFrame, source: str) -> DataFrame:
     """Where a row came from, when, and of which source."""
-    return df.select("*", F.col("_metadata.file_path").alias("_source_file"), F.current_timestamp().alias("_ingested_at"), F.lit(source).alias("_source"))
+    told = [c for c in df.columns if c != _LINE]
+    # Spark does not answer what asks for the line alone, so the rescued line is made to depend on a column of data, too.
+    rescued = [F.when(F.col(_LINE).isNotNull() | (F.length(told[0]) < 0), F.col(_LINE)).alias(RESCUED)] if _LINE in df.columns else []
+    return df.select(*told, *rescued, F.col("_metadata.file_path").alias("_source_file"), F.current_timestamp().alias("_ingested_at"), F.lit(source).alias("_source"))
 
 
-def _options(reader, rescue: bool):
-    reader = reader.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False if not rescue else True)
-    return reader.option("columnNameOfCorruptRecord", RESCUED) if rescue else reader
+def _options(reader, rescue: bool, header: bool = True):
+    reader = reader.option("header", header).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", False if not rescue else True)
+    # Whole lines are parsed, whatever columns are asked for: a line fits or it does not.
+    return reader.option("columnNameOfCorruptRecord", _LINE).option("columnPruning", False) if rescue else reader
 
 
-def read_csv(spark: SparkSession, source: str, path: str, rescue: bool = False) -> DataFrame:
-    """A batch of CSV files."""
-    return audited(_options(spark.read.schema(schema(source, rescue)), rescue).csv(path), source)
+def read_csv(spark: SparkSession, source: str, path: str, rescue: bool = False, header: bool = True) -> DataFrame:
+    """A batch of CSV files; with ``rescue`` lines with too few or too many fields are kept as they came, beside what could be read of them."""
+    return audited(_options(spark.read.schema(schema(source, rescue)), rescue, header).csv(path), source)
 
 
-def stream_csv(spark: SparkSession, source: str, path: str, rescue: bool = False) -> DataFrame:
+def stream_csv(spark: SparkSession, source: str, path: str, rescue: bool = False, files_per_batch: int | None = None) -> DataFrame:
     """The same files as they arrive."""
-    return audited(_options(spark.readStream.schema(schema(source, rescue)), rescue).csv(path), source)
+    reader = _options(spark.readStream.schema(schema(source, rescue)), rescue)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return audited(reader.csv(path), source)
+
+
+def distinct_within(stream: DataFrame, horizon: str) -> DataFrame:
+    """A stream without rows that have come before, in the same or another file, within a horizon of arrival.
+
+    Rows are compared by all they say; audit columns are left out.  What remains does not depend on how files are dealt into
+    batches; the state that remembers rows is kept in the checkpoint and let go of after the horizon.
+    """
+    told = [c for c in stream.columns if not c.startswith("_") or c == RESCUED]
+    return stream.withWatermark("_ingested_at", horizon).dropDuplicatesWithinWatermark(told)
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:

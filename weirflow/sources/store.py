@@ -16,6 +16,7 @@ visible.  Earlier versions can be read until ``vacuum`` deletes their folders.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -40,6 +41,20 @@ class Conflict(RuntimeError):
     """Another writer has replaced the version that this one began with."""
 
 
+class Abandoned(RuntimeError):
+    """The run that this thread works for has been given up."""
+
+
+_abandoned: set[int] = set()
+_moving = threading.Lock()
+
+
+def abandon(thread: int) -> None:
+    """From now on a thread moves no pointers: waits for a move that is under way, refuses all later ones."""
+    with _moving:
+        _abandoned.add(thread)
+
+
 Check = Callable[[DataFrame], object]  #: raises if what is about to become visible must not
 Notes = Callable[[DataFrame, dict[str, str]], dict[str, str]]  #: what was written, the properties so far -> properties to be set with it
 
@@ -82,6 +97,12 @@ class ParquetStore:
 
     def _point(self, name: str, state: dict) -> None:
         """Claim the version before, write the pointer beside the old one, then put it in its place."""
+        with _moving:
+            if threading.get_ident() in _abandoned:
+                raise Abandoned(name)
+            self._move(name, state)
+
+    def _move(self, name: str, state: dict) -> None:
         self._claim(name, state["version"] - 1)
         fs, fresh = self._fs(self._path(name, f"{POINTER}.{state['version']}.{uuid.uuid4().hex[:8]}.tmp"))
         stream = fs.create(fresh, True)
@@ -390,6 +411,16 @@ class ParquetStore:
             raise KeyError(name)
         self._point(name, {"rows_version": state["version"]} | state | {"version": state["version"] + 1, "properties": state["properties"] | properties})
 
+    def describe(self, name: str, columns: dict[str, dict]) -> None:
+        """Add metadata to columns; readers find it in the schema."""
+        state = self._pointer(name)
+        if state is None:
+            raise KeyError(name)
+        schema = T.StructType.fromJson(json.loads(state["schema"]))
+        fields = [T.StructField(f.name, f.dataType, f.nullable, f.metadata | columns.get(f.name, {})) for f in schema.fields]
+        if fields != schema.fields:
+            self._point(name, {"rows_version": state["version"]} | state | {"version": state["version"] + 1, "schema": T.StructType(fields).json()})
+
     def properties(self, name: str) -> dict[str, str]:
         return (self._pointer(name) or {}).get("properties", {})
 

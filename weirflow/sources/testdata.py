@@ -42,6 +42,21 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def delivered_events(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The raw events as CSV files under ``path``, some lines of which don't fit: one field too many (ids divisible by 50), only
+    two fields (by 70), a quoted user with a comma and quotes in it (by 60)."""
+    from weirflow.sources.bronze import CONTRACT
+
+    names = CONTRACT["events"]
+    n = F.col("event_id").cast("bigint")
+    fields = {c: F.coalesce(F.col(c), F.lit("")) for c in names}
+    quoted = fields | {"user_id": F.concat(F.lit('"'), fields["user_id"], F.lit(', ""x"""'))}
+    line = lambda of, many=len(names): F.concat_ws(",", *(of[c] for c in names[:many]))
+    row = F.when(n % 50 == 0, F.concat(line(fields), F.lit(",surplus"))).when(n % 70 == 0, line(fields, 2)).when(n % 60 == 0, line(quoted)).otherwise(line(fields))
+    raw_events(spark, sf_dir).select(row.alias("value")).write.text(path)
+    return path
+
+
 def raw_installs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with planted anomalies, by their key.
 

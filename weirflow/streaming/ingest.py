@@ -47,17 +47,25 @@ def sink(store: ParquetStore, name: str, keys: list[str], mode: str, flow: str)
     return write
 
 
-def start(spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None, **trigger) -> StreamingQuery:
-    """Start taking in files; ``trigger`` as of Spark's writer (``processingTime="1 minute"`` goes on until it is stopped)."""
+def start(
+    spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None, within: str | None = None,
+    files_per_batch: int | None = None, rescue: bool = False, **trigger,
+) -> StreamingQuery:
+    """Start taking in files; ``trigger`` as of Spark's writer (``processingTime="1 minute"`` goes on until it is stopped).
+
+    ``within``: rows that repeat within this horizon ("2 days") are dropped by a stateful step in front of the sink.
+    ``rescue``: rows that don't fit their columns are kept as they came, beside what could be read of them.
+    """
     table = name or f"bronze.{source}"
     key = bronze.CONTRACT[source][0]
-    stream = bronze.stream_csv(spark, source, path)
+    stream = bronze.stream_csv(spark, source, path, rescue, files_per_batch)
+    stream = bronze.distinct_within(stream, within) if within else stream
     return stream.writeStream.foreachBatch(sink(store, table, [key], mode, f"{path}@{checkpoint}")).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def ingest(spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None) -> None:
-    """Take in all files that have arrived, then stop."""
-    start(spark, store, source, path, checkpoint, mode, name, availableNow=True).awaitTermination()
+def ingest(spark: SparkSession, store: ParquetStore, source: str, path: str, checkpoint: str, mode: str = "append", name: str | None = None, **options) -> None:
+    """Take in all files that have arrived, then stop; ``options`` as of :func:`start`."""
+    start(spark, store, source, path, checkpoint, mode, name, **options, availableNow=True).awaitTermination()
 
 
 @dataclass(frozen=True)
