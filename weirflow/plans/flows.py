@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,7 +19,7 @@ from weirflow.config import Config
 from weirflow.operators import cleanse, flags, funnel
 from weirflow.plans import quality
 from weirflow.sources.bronze import CONTRACT
-from weirflow.sources.store import Notes, ParquetStore, abandon
+from weirflow.sources.store import Notes, ParquetStore, abandon, work_for
 
 GOLD = Config().table("gold", "daily_country_platform")
 RESULTS = "dq.results"
@@ -329,10 +328,9 @@ def run_pipeline(stages: list[tuple[str, Callable[[dict], object]]], params: dic
     state: dict = dict(params or {})
     for name, stage in stages:
         limit, tag = (seconds or {}).get(name), f"stage-{uuid.uuid4().hex}"
-        own: list[int] = []
 
-        def run(stage: Callable[[dict], object] = stage, tag: str = tag, own: list[int] = own) -> object:
-            own.append(threading.get_ident())
+        def run(stage: Callable[[dict], object] = stage, tag: str = tag) -> object:
+            work_for(tag)
             if spark:
                 spark.sparkContext.addJobTag(tag)
                 spark.sparkContext.setInterruptOnCancel(True)
@@ -343,8 +341,7 @@ def run_pipeline(stages: list[tuple[str, Callable[[dict], object]]], params: dic
         try:
             state[name] = task.result(limit)
         except FutureTimeout as e:
-            for thread in own:
-                abandon(thread)
+            abandon(tag)
             if spark:
                 spark.sparkContext.cancelJobsWithTag(tag)
             raise TimeoutError(f"stage {name} took longer than {limit} s") from e

@@ -45,14 +45,20 @@ class Abandoned(RuntimeError):
     """The run that this thread works for has been given up."""
 
 
-_abandoned: set[int] = set()
+_own = threading.local()  #: ``run``: the run that a thread works for
+_abandoned: set[str] = set()
 _moving = threading.Lock()
 
 
-def abandon(thread: int) -> None:
-    """From now on a thread moves no pointers: waits for a move that is under way, refuses all later ones."""
+def work_for(run: str) -> None:
+    """This thread works for a run, which can be given up."""
+    _own.run = run
+
+
+def abandon(run: str) -> None:
+    """From now on threads that work for a run move no pointers: a move that is under way is waited for, later ones are refused."""
     with _moving:
-        _abandoned.add(thread)
+        _abandoned.add(run)
 
 
 Check = Callable[[DataFrame], object]  #: raises if what is about to become visible must not
@@ -98,7 +104,7 @@ class ParquetStore:
     def _point(self, name: str, state: dict) -> None:
         """Claim the version before, write the pointer beside the old one, then put it in its place."""
         with _moving:
-            if threading.get_ident() in _abandoned:
+            if getattr(_own, "run", None) in _abandoned:
                 raise Abandoned(name)
             self._move(name, state)
 
