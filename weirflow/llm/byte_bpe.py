@@ -13,9 +13,10 @@ Texts are cut into pieces and pieces into numbers by whole arrays
 worker has merged is kept, up to a bound on what is kept.  Under another pattern
 than the one that the arrays stand for, texts are cut by regular expression.
 
-Defined results: a null text counts as empty, an empty text has no tokens, rows
-are independent (repeated rows, null ids), empty tables give empty tables, only
-the columns named are read.
+Defined results: a null text counts as empty, an empty text has no tokens, very
+long texts are encoded whole (in parts that begin where a piece does), rows are
+independent (repeated rows and ids, null ids), equal ranks merge leftmost first,
+empty tables give empty tables, only the columns named are read.
 """
 
 from __future__ import annotations

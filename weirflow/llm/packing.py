@@ -17,9 +17,13 @@ with the data.  Rows then learn their rank within their length by a window over
 (length, salt), salted so that no length gathers in one task, and look up their
 place.
 
-Defined results: a null text counts as empty (only the end id); an empty table
-gives an empty table; rows are independent, so repeated rows are packed each on
-its own; only the columns named are read.
+Defined results: a null text counts as empty (only the end id); texts of any
+length are cut into pieces of at most a sequence; an empty table gives an empty
+table; rows are independent, so repeated rows and ids, and null ids, are packed
+each on its own; equal lengths take their places by id, piece and checksum, and
+rows equal in these too by chance, which changes no sequence's fill; further
+columns of ``pack`` are kept whatever their names, but for ``sequence_id`` and
+``offset``, which are new.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weirflow.llm import pretokens
 from weirflow.llm.interned import Interned, Lists
@@ -44,8 +49,8 @@ GROUPS = 192  #: groups of large lengths
 SMALL = 3  #: a length is small if so many of it fit into a sequence
 ROWS_A_SALT = 50_000  #: rows of one length that a task ranks, about
 MARK, LINE = " ~ ", 4000  #: what parts words that are encoded together, and how many are
-KEPT, KEPT_IDS = 1_200_000, 8_000_000  #: pieces that a worker keeps, and ids of them: about 100 MB
-GROUP = 1 << 22  #: bytes of text encoded at a time, but for longer texts
+KEPT, KEPT_IDS = 800_000, 5_000_000  #: pieces that a worker keeps, and ids of them: about 65 MB
+GROUP = 1 << 21  #: bytes of text encoded at a time, but for longer texts
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -357,7 +362,9 @@ def lookup(bins: Bins) -> np.ndarray:
 
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
     """``pieces_df`` (doc_id, piece, length between 1 and capacity, ...) with sequence_id and offset."""
-    saved = materialise(pieces_df, "pieces")
+    kept = [c for c in pieces_df.columns if c not in ("sequence_id", "offset")]
+    # A row travels as one struct, so none of its names can clash with ours.
+    saved = materialise(pieces_df.select("doc_id", "piece", "length", "ids_crc32", F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")), "pieces")
     histogram = {int(a): int(n) for a, n in saved.groupBy("length").count().collect()}  # at most ``capacity`` rows
     table = lookup(pack_histogram(histogram, capacity, groups, small))
     salts = max(1, -(-max(histogram.values(), default=1) // ROWS_A_SALT), 16)
@@ -377,14 +384,11 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, s
             at = np.searchsorted(keys, length * span + rank, side="right") - 1
             _, first, sequence, copies, offset = table[at].T
             nth, slot = np.divmod(rank - first, copies)
-            kept = [i for i, f in enumerate(batch.schema) if f.name != "_rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(sequence + nth), pa.array(offset + slot * length)],
-                names=[*(batch.schema[i].name for i in kept), "sequence_id", "offset"],
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name != "_rank")
-    return placed.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+            row = batch.column(batch.schema.get_field_index("row"))
+            yield pa.RecordBatch.from_arrays([row, pa.array(sequence + nth), pa.array(offset + slot * length)], names=["row", "sequence_id", "offset"])
+
+    out = StructType([placed.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return placed.select("length", "_rank", "row").mapInArrow(place, out).select("row.*", "sequence_id", "offset")
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ Kinds ``email ip card phone`` follow fixed definitions (leftmost,
 non-overlapping per kind; a span that fails its check is dropped and the scan
 goes on behind it).  The cues add ``url``, ``iban`` and ``account``.
 
-Defined results: a null text counts as empty, an empty text has no spans, rows
-are independent (repeated rows give repeated results; null ids pass through),
+Defined results: a null text counts as empty, an empty text has no spans, very
+long texts are scanned whole, rows are independent (repeated rows and ids give a
+result each; null ids pass through; spans are ordered by start, then kind),
 an empty table gives an empty table, and only the columns named are read, so
 further columns of any name are harmless.
 """

@@ -16,7 +16,8 @@ that end it are a "line" with its separator, so the files are genuine
 Defined results: null pages have empty payloads; null addresses become
 ``urn:none``; white space in an address is percent-encoded; a null page_id
 comes back as null and is a revisit if an equal payload has an id; of repeated
-rows that share the smallest page_id each stays a response; empty tables give
+rows that share the smallest page_id each stays a response; a page is written
+whole, however long (a record and its page must fit a task); empty tables give
 empty archives; further columns are not read.
 """
 
