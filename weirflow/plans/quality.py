@@ -322,6 +322,17 @@ def pass_rates(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def expectation_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, name, action, rows, violations) of the expectations on tables as they came, one pass per table; a null condition is a violation."""
+    parts = []
+    for table, rules in EXPECTATIONS.items():
+        if table in tables:
+            told = [F.struct(F.lit(n).alias("name"), F.lit(action).alias("action"), F.count("*").alias("rows"), F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias("violations")) for n, (c, action) in rules.items()]
+            wide = tables[table].agg(*(x.alias(f"_{i}") for i, x in enumerate(told)))
+            parts.append(wide.select(F.lit(table).alias("table_name"), F.inline(F.array(*wide.columns))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def expect(df: DataFrame, rules: dict[str, tuple[str, str]]) -> tuple[DataFrame, Observation]:
     """Apply expectations name -> (condition, warn | drop | fail) in one pass; counts are observed as the rows flow by.
 

@@ -554,6 +554,16 @@ def _expectations(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_SEEN = {"silver_events": "all_ev", "silver_user_profile": "profile", "silver_offers": "all_offers", "silver_installs": "all_installs", "gold_daily_country_platform": "spoilt"}
+
+
+@_query("expectation_counts", _SPOILT + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{n}' AS name, '{action}' AS action, count(*) AS rows, count(*) FILTER (NOT coalesce({c}, false)) AS violations FROM {_SEEN[t]}" for t, rules in quality.EXPECTATIONS.items() for n, (c, action) in rules.items()))
+def _expectation_counts(t: Tables) -> DataFrame:
+    """What expectations find, the warning and the failing ones too, in rows as they came and in spoilt gold."""
+    return quality.expectation_counts({f"silver_{n}": df for n, df in t.unchecked.items()} | {"gold_daily_country_platform": _spoilt(t)})
+
+
 @_query("bronze_contract", """SELECT * FROM (VALUES ('events: required columns', 1.0), ('offers: required columns', 0.0), ('installs: required columns', 0.0), ('user_profile: required columns', 0.0)) c(rule, violations)
   UNION ALL SELECT 'events: not empty', (count(*) = 0)::INT::DOUBLE FROM raw_events UNION ALL SELECT 'installs: not empty', (count(*) = 0)::INT FROM raw_installs
   UNION ALL SELECT 'offers: not empty', 1.0 UNION ALL SELECT 'user_profile: not empty', (count(*) = 0)::INT FROM profile
