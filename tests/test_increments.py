@@ -254,7 +254,7 @@ def test_compaction_of_a_window_along_a_curve(spark, tmp_path):
     outside = store.read("t").where(~window).select(F.input_file_name()).distinct().collect()
     size = store._files("t", {"parts": store._pointer("t")["parts"], "held": {p: [d for d in ds if "01-02" in d] for p, ds in store._pointer("t")["held"].items()}})[1]
     done = store.compact("t", window, ("a", "b"), file_bytes=size // 16)
-    assert done["files_before"] == 4 and done["files_after"] >= 12
+    assert done["files_before"] >= 4 and done["files_after"] >= 12
     after = {r: n for r, n in store.read("t").groupBy(*store.read("t").columns).count().rdd.map(lambda r: (tuple(r[:-1]), r[-1])).collect()}
     assert before == after
     assert sorted(outside) == sorted(store.read("t").where(~window).select(F.input_file_name()).distinct().collect())
