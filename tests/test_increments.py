@@ -81,7 +81,7 @@ def kill(monkeypatch, store, table, after):
     monkeypatch.setattr(ParquetStore, "_point", point)
 
 
-@pytest.mark.parametrize(("table", "after"), [("silver.event_best", True), ("silver.events", True), ("silver.rejects", False)])
+@pytest.mark.parametrize(("table", "after"), [("silver.event_best", True), ("silver.rejects", False)])
 def test_a_run_that_dies_is_made_up_for(spark, tmp_path, monkeypatch, table, after):
     store, full = ParquetStore(spark, f"file://{tmp_path}/inc", dict(LAYOUTS)), ParquetStore(spark, f"file://{tmp_path}/full")
     fill(store, [e(1, 2), e(2, 3, "o2"), e(3, 8, user="u2")])
