@@ -117,12 +117,7 @@ def _load_events(store: ParquetStore, raw: DataFrame, high: datetime | None, con
     with_now = {n: store.version(config.table("silver", n)) for n in FACTS}
     rules = quality.silver_rules(config.steps) if config.rule_set == "v2" else quality.v1_silver_rules(config.steps)
     own = [r for r in rules if r.table == "events"]
-    check = lambda stored: gate(store, own, events=stored) if config.rule_set == "v1" else quality_gate(stored)
-
-    def quality_gate(stored: DataFrame) -> None:
-        """Rules that look at other tables, too."""
-        quality.run_rules({"events": stored, "installs": installs, "offers": offers}, own, lambda found: store.append(RESULTS, found.withColumn("run_ts", F.current_timestamp())))
-
+    check = lambda stored: gate(store, own, events=stored, installs=installs, offers=offers)
     token = uuid.uuid4().hex
 
     def notes(more: list[date]) -> Notes:
